@@ -1,10 +1,11 @@
 """The registered queries of this subpackage."""
 
+from kgloom.llm.decontamination import op2_decontamination
 from kgloom.llm.jaccard import op4_jaccard
 from kgloom.llm.language import op9_language
 from kgloom.llm.packing import op10_packing
 from kgloom.llm.quality import op8_quality
 from kgloom.llm.sharding import op1_shards
 
-QUERIES = {f.__name__: f for f in (op1_shards, op4_jaccard, op8_quality, op9_language, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_shards, op2_decontamination, op4_jaccard, op8_quality, op9_language, op10_packing)}
 ORACLES: dict[str, str] = {}
