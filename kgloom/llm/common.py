@@ -54,9 +54,10 @@ def clean_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the input, for sizing buckets."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def input_bytes(df: DataFrame, a_row: int = 2_000) -> int:
+    """Catalyst's estimate of the input, or rows times ``a_row`` where it has none; for sizing buckets."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 52 else df.count() * a_row
 
 
 def buckets_for(df: DataFrame, each: int, least: int) -> int:
