@@ -4,9 +4,10 @@ from kgloom.llm.decontamination import op2_decontamination
 from kgloom.llm.jaccard import op4_jaccard
 from kgloom.llm.language import op9_language
 from kgloom.llm.packing import op10_packing
+from kgloom.llm.pivots import op3_embeddings
 from kgloom.llm.quality import op8_quality
 from kgloom.llm.sharding import op1_shards
 from kgloom.llm.substrings import op7_substrings
 
-QUERIES = {f.__name__: f for f in (op1_shards, op2_decontamination, op4_jaccard, op7_substrings, op8_quality, op9_language, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_shards, op2_decontamination, op3_embeddings, op4_jaccard, op7_substrings, op8_quality, op9_language, op10_packing)}
 ORACLES: dict[str, str] = {}
