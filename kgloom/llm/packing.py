@@ -170,23 +170,26 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
     """Patterns (columns) and how often to use each: the linear programme of least
     sequences that covers ``demand``, by column generation from the simplex basis."""
     k = len(sizes)
-    basis = np.zeros((k, k))
-    np.fill_diagonal(basis, capacity // sizes)
-    inverse = np.linalg.inv(basis)
-    x = inverse @ demand
+    basis = np.diag((capacity // sizes).astype(float))
+    inverse = np.diag(1 / (capacity // sizes))
+    x = (inverse * demand).sum(axis=1)
     for _ in range(rounds):
         dual = inverse.sum(axis=0)
         gain, column = best_pattern(sizes, np.maximum(dual, 0), capacity)
         if gain <= 1 + 1e-9:
             break
-        step = inverse @ column
+        step = (inverse * column).sum(axis=1)
         ratio = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
         out = int(np.argmin(ratio))
         if not np.isfinite(ratio[out]):
             break
         basis[:, out] = column
-        inverse = np.linalg.inv(basis)
-        x = inverse @ demand
+        # the basis changes in one column: its inverse follows by one elimination step
+        row = inverse[out] / step[out]
+        step[out] = 0
+        inverse -= step[:, None] * row
+        inverse[out] = row
+        x = (inverse * demand).sum(axis=1)
     return basis.astype(np.int64), x
 
 
