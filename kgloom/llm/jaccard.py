@@ -16,13 +16,16 @@ spoils at most one of r's non-empty segments, so
   which counts twice; a set for which that isn't enough either is compared
   with all sets in a scan.
 
-Candidates are verified on the whole sets. Equal sets are one class from the
-start, and within a segment group all members are first compared with one
-pivot, the member with the most shared subsets; only members that are still in
-different components are then paired, so a family of near copies costs a
-multiple of its size and no link between different texts is lost.
+Sets that meet in a probed group are in one cluster; clusters are joined
+independently, by counting common elements over an inverted index of the whole
+sets. In a cluster the members are first compared with a few of them, and only
+members outside the largest component so far are compared with all, so a family
+of near copies costs a multiple of its size and no link between different texts
+is lost. A cluster with many elements is cut in chunks, each pair of chunks is
+one task, and only a spanning forest of the links leaves a task. Equal sets are
+one class from the start.
 
-Shingles are compared by 64-bit hashes and sets are identified by 128 bits.
+Shingles are compared by 64-bit hashes and sets are identified by 80 bits.
 
 Defined results: null text and text without words have an empty set, linked
 with nothing; repeated rows are equal sets and rows with one doc_id are one
@@ -39,15 +42,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import buckets_for, clean_shuffles, components, drop_written, mix, shingles, utf8_parts, written
+from kgloom.llm.common import buckets_for, clean_shuffles, components, drop_written, mix, roots, shingles, union_pairs, utf8_parts, written
 
 #: Sets of fewer elements than this (as a power of two) get so many more segments that nearly every element has its own.
 SMALL_BANDS, SMALL_EXTRA = 6, 4
 #: Rows without a doc_id get a key from here on, made from their text.
 NO_ID = 1 << 62
 
-SET = np.dtype([("hi", "<u8"), ("lo", "<u8"), ("scheme", "u1"), ("n", "<u4"), ("segments", "<u4"), ("count", "<u4")])
-PROFILE = np.dtype([("id", "<i8"), ("hi", "<u8"), ("lo", "<u8"), ("n", "<u4")])
+SET = np.dtype([("hi", "<u2"), ("lo", "<u8"), ("scheme", "u1"), ("n", "<u4"), ("segments", "<u4")])
+#: Before packed hashes: whose they are, and how many. ``share`` ranks pivots (a logarithm of what a set shares).
+HEAD = np.dtype([("hi", "<u2"), ("lo", "<u8"), ("scheme", "u1"), ("share", "u1"), ("count", "<u2")])
+PROFILE = np.dtype([("id", "<i8"), ("hi", "<u2"), ("lo", "<u8"), ("n", "<u4")])
+#: Members of a cluster that are compared with all others at the start.
+PIVOTS = 8
+#: Elements in one chunk of a cluster.
+CHUNK = 1 << 20
+#: Up to so many wanted sets (of about 40 bytes) are broadcast to find their texts; beyond, texts are shuffled.
+BROADCAST_ROWS = 200_000
 
 
 def segment_bits(scheme: int, extra: int = SMALL_EXTRA) -> int:
@@ -68,7 +79,7 @@ def budget(n: int, scheme: int) -> int:
 def identity(u: np.ndarray) -> tuple[int, int]:
     a = np.bitwise_xor.reduce(mix(u + np.uint64(0x243F6A8885A308D3))) if len(u) else np.uint64(0)
     b = mix(u ^ np.uint64(0x13198A2E03707344)).sum(dtype=np.uint64) if len(u) else np.uint64(0)
-    return int(mix(np.array([a ^ np.uint64(len(u))]))[0]), int(b)
+    return int(mix(np.array([a ^ np.uint64(len(u))]))[0]) & 0xFFFF, int(b)
 
 
 def segment_starts(u: np.ndarray, bits: int) -> np.ndarray:
@@ -102,11 +113,11 @@ def row_key() -> Column:
 
 def emit(docs: DataFrame, buckets: int, extra: int, deletions_of: list[int] | None = None) -> DataFrame:
     """Rows (bucket, kind, data). Kind 0: the documents' sets. Kind 1: subset hashes with a
-    table of the sets they are of. Kind 2: sets whose segments are too few for the
+    table of the sets they are of. Kind 4: the tables alone, by set. Kind 2: sets whose segments are too few for the
     pigeonhole; kind 3: of these the elements of those for which deletions don't help either.
 
     With ``deletions_of`` (bands) only kind 1 for those bands, one-deletion
-    neighbourhoods included; ``segments`` then says whether a set lacks some.
+    neighbourhoods included; ``share`` then says whether a set lacks some.
     """
 
     def run(batches):
@@ -131,19 +142,22 @@ def emit(docs: DataFrame, buckets: int, extra: int, deletions_of: list[int] | No
                         if deletions_of is not None:
                             h = np.concatenate([h, deletion_hashes(u, k, bits)])
                         elif few:
-                            out.append((lo % buckets, 2, np.array([(hi, lo, k, n, 0, 0)], dtype=SET).tobytes()))
+                            out.append((lo % buckets, 2, np.array([(hi, lo, k, n, 0)], dtype=SET).tobytes()))
                             if len(h) + int((np.diff(np.append(starts, n)) >= 2).sum()) < budget(n, k) + 1:
                                 out.append((lo % buckets, 3, u.tobytes()))
                         owner.append(np.full(len(h), len(table), dtype=np.uint32))
-                        table.append((hi, lo, k, n, int(few) if deletions_of is not None else len(h), 0))
-                        hashes.append(h)
+                        table.append((hi, lo, k, n, int(few) if deletions_of is not None else len(h)))
+                        hashes.append(h & ~np.uint64(0xFFFF))
                 if deletions_of is None:
                     rows = np.array(rows, dtype=PROFILE)
                     part = rows["lo"] % np.uint64(16)
                     out += [(int(rows["lo"][part == p][0] % np.uint64(buckets)), 0, rows[part == p].tobytes()) for p in np.unique(part)]
                 if table:
                     table, hashes, owner = np.array(table, dtype=SET), np.concatenate(hashes), np.concatenate(owner)
-                    out += [(b, 1, x) for b, x in dealt((hashes >> np.uint64(20)) % np.uint64(buckets), table, hashes, owner)]
+                    out += [(b, 1, x) for b, x in dealt((hashes >> np.uint64(20)) % np.uint64(buckets), heads(table), hashes, owner)]
+                    if deletions_of is None:
+                        home = table["lo"] % np.uint64(buckets)
+                        out += [(int(b), 4, table[home == b].tobytes()) for b in np.unique(home)]
                 yield batch_of(out)
 
     return docs.select(row_key().alias("id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "bucket int, kind int, data binary")
@@ -164,28 +178,55 @@ def batch_of(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.int32()), pa.array(d, pa.binary())], names=["bucket", "kind", "data"])
 
 
+def heads(table: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(table), dtype=HEAD)
+    for f in ("hi", "lo", "scheme"):
+        out[f] = table[f]
+    out["share"] = np.minimum(table["segments"], 255)
+    return out
+
+
 def pack(table: np.ndarray, hashes: np.ndarray, owner: np.ndarray) -> bytes:
-    """Hashes by owner, with how many each owner of ``table`` has; owners without any are left out."""
+    """Hashes by owner after a head for each owner of ``table`` that has some; the
+    lowest 16 bits, where all are 0, are left out."""
     order = np.argsort(owner, kind="stable")
-    who, count = np.unique(owner, return_counts=True)
-    head = table[who].copy()
-    head["count"] = count
-    return np.uint32(len(head)).tobytes() + head.tobytes() + hashes[order].tobytes()
+    owner, hashes = owner[order], hashes[order]
+    who, first = np.unique(owner, return_index=True)
+    sizes = np.diff(np.append(first, len(owner)))
+    parts = -(-sizes // 65535)
+    head = table[np.repeat(who, parts)].copy()
+    head["count"] = 65535
+    head["count"][np.cumsum(parts) - 1] = sizes - 65535 * (parts - 1)
+    wide = bool((hashes & np.uint64(0xFFFF)).any())
+    raw = hashes if wide else np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, 2:])
+    return np.array([len(head), wide], dtype="<u4").tobytes() + head.tobytes() + raw.tobytes()
 
 
 def unpack(blobs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All sets of the blobs (one row each, merged), and for every hash its set's row."""
-    heads, hashes = [], []
+    """All owners of the blobs (one row each, merged), and for every hash its owner's row and the hash."""
+    found, hashes = [], []
     for x in blobs:
-        n = int(np.frombuffer(x, "<u4", 1)[0])
-        heads.append(np.frombuffer(x, SET, n, 4))
-        hashes.append(np.frombuffer(x, "<u8", -1, 4 + n * SET.itemsize))
-    head, h = np.concatenate(heads), np.concatenate(hashes)
-    key = np.empty(len(head), dtype=[("hi", "<u8"), ("lo", "<u8"), ("scheme", "u1")])
-    for f in key.dtype.names:
-        key[f] = head[f]
-    _, first, same = np.unique(key, return_index=True, return_inverse=True)
-    return head[first], np.repeat(same.ravel(), head["count"]), h
+        n, wide = (int(v) for v in np.frombuffer(x, "<u4", 2))
+        found.append(np.frombuffer(x, HEAD, n, 8))
+        raw = np.frombuffer(x, np.uint8, -1, 8 + n * HEAD.itemsize)
+        full = np.zeros((len(raw) // (8 if wide else 6), 8), dtype=np.uint8)
+        full[:, 0 if wide else 2 :] = raw.reshape(len(full), -1)
+        hashes.append(full.view("<u8").ravel())
+    head, h = np.concatenate(found), np.concatenate(hashes)
+    first, same = merged(head)
+    return head[first], np.repeat(same, head["count"]), h
+
+
+def merged(head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First row of each distinct (hi, lo, scheme), in their order, and every row's number among them."""
+    order = np.lexsort((head["scheme"], head["hi"], head["lo"]))
+    new = np.ones(len(head), dtype=bool)
+    for i, f in enumerate(("lo", "hi", "scheme")):
+        x = head[f][order]
+        new[1:] = (x[1:] != x[:-1]) if i == 0 else new[1:] | (x[1:] != x[:-1])
+    same = np.empty(len(head), dtype=np.int64)
+    same[order] = np.cumsum(new) - 1
+    return order[new], same
 
 
 def groups_of(h: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -210,7 +251,7 @@ def shared(buckets: int):
         blobs = pdf["data"][pdf["kind"] == 1]
         if len(blobs):
             head, who, h = unpack(blobs)
-            h, who, size = groups_of(h, who)
+            h, who, size = groups_of(h & ~np.uint64(0xFFFF), who)
             more = size > 1
             h, who, size = h[more], who[more], size[more]
             # the low 16 bits now hold the group's size, 65535 at most: it only ranks
@@ -224,129 +265,82 @@ def shared(buckets: int):
 # ------------------------------------------------------------- 2: survivors
 
 
-def survive(blobs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def survive(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The sets that share enough subsets to have a partner, with their shared hashes;
-    the lowest bit says whether to probe. ``segments`` becomes how much a set shares."""
-    head, who, h = unpack(blobs)
+    the lowest bit says whether to probe."""
+    head, who, h = unpack(pdf["data"][pdf["kind"] == 1])
+    table = np.concatenate([np.frombuffer(x, SET) for x in pdf["data"][pdf["kind"] == 4]])
+    table = table[merged(table)[0]]
+    # both are in the order of (lo, hi, scheme), and every set has its row in the table
+    every = np.concatenate([heads(table), head])
+    place = merged(every)[1][len(table) :]
+    info = table[place]
     order = np.lexsort((h & np.uint64(0xFFFF), who))
     h, who = h[order], who[order]
     mine = np.bincount(who, minlength=len(head))
-    n, band = head["n"].astype(np.int64), head["scheme"].astype(np.int64)
+    n, band = info["n"].astype(np.int64), info["scheme"].astype(np.int64)
     most = np.minimum(n // 3, (n + (2 << band) - 1) // 7)
-    probes = most + 1 - (head["segments"].astype(np.int64) - mine)  # segments that no other set has are probed for nothing
+    probes = most + 1 - (info["segments"].astype(np.int64) - mine)  # segments that no other set has are probed for nothing
     nth = np.arange(len(h)) - np.repeat(np.cumsum(mine) - mine, mine)
     score = np.bincount(who, weights=(h & np.uint64(0xFFFF)).astype(float), minlength=len(head))
     keep = probes[who] > 0
     probe = nth[keep] < probes[who[keep]]
     h, who = (h[keep] & ~np.uint64(0xFFFF)) | probe.astype(np.uint64), who[keep]
-    head = head.copy()
-    head["segments"] = np.minimum(score, 0xFFFFFFFF).astype(np.uint32)
+    head["share"] = np.minimum(8 * np.log2(score + 1), 255)
     return head, who, h
 
 
 def surviving(buckets: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        head, who, h = survive(pdf["data"])
+        if not (pdf["kind"] == 1).any():
+            return pd.DataFrame({"bucket": [], "data": []})
+        head, who, h = survive(pdf)
         out = list(dealt((h >> np.uint64(20)) % np.uint64(buckets), head, h, who))
         return pd.DataFrame(out, columns=["bucket", "data"])
 
     return run
 
 
-def surviving_with_components(buckets: int):
-    """As ``surviving``; a set's component is put in ``count``-th place of a parallel array."""
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            head, who, h = survive(left["data"])
-            known = {(a, b): c for a, b, c in zip(right["hi"].tolist(), right["lo"].tolist(), right["comp"].tolist(), strict=True)}
-            comp = np.array([known.get(x, -1) for x in zip(head["hi"].view(np.int64).tolist(), head["lo"].view(np.int64).tolist(), strict=True)], dtype=np.int64)
-            keep = comp[who] >= 0
-            h, who = h[keep], who[keep]
-            for b, x in dealt((h >> np.uint64(20)) % np.uint64(buckets), head, h, who):
-                part = np.frombuffer(x, SET, int(np.frombuffer(x, "<u4", 1)[0]), 4)
-                out.append((b, x, np.array([known[k] for k in zip(part["hi"].view(np.int64).tolist(), part["lo"].view(np.int64).tolist(), strict=True)], dtype=np.int64).tobytes()))
-        return pd.DataFrame(out, columns=["bucket", "data", "comps"])
-
-    return run
-
-
 def star(buckets: int):
-    """Each member of a hash group with the group's pivot, the member that shares most."""
+    """Each member of a probed hash group with the member that shares most."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         head, who, h = unpack(pdf["data"])
-        h, who, size = groups_of(h >> np.uint64(16), who)
-        h, who = h[size > 1], who[size > 1]
-        order = np.lexsort((head["lo"][who], head["hi"][who], -head["segments"][who].astype(np.int64), h))
-        h, who = h[order], who[order]
-        start = np.ones(len(h), dtype=bool)
-        start[1:] = h[1:] != h[:-1]
-        pivot = who[np.flatnonzero(start)[np.cumsum(start) - 1]] if len(h) else who
-        return edges_dealt(head, np.stack([who, pivot], axis=1)[who != pivot], buckets)
+        probe, h = (h & np.uint64(0xFFFF)) > 0, h >> np.uint64(16)
+        order = np.lexsort((head["lo"][who], -head["share"][who].astype(np.int64), h))
+        h, who, probe = h[order], who[order], probe[order]
+        if not len(h):
+            return pd.DataFrame({"bucket": [], "data": []})
+        first = np.append(True, h[1:] != h[:-1])
+        group = np.cumsum(first) - 1
+        asked = np.bincount(group, weights=probe)[group] > 0
+        pivot = who[first][group]
+        return edges_dealt(head, np.stack([who, pivot], axis=1)[asked], buckets)
 
     return run
 
 
 def edges_dealt(head: np.ndarray, pairs: np.ndarray, buckets: int) -> pd.DataFrame:
-    """Distinct pairs of sets, packed by bucket; smaller identity first."""
-    pairs = np.unique(pairs, axis=0)
-    e = np.empty((len(pairs), 4), dtype=np.uint64)
-    a, b = head[pairs[:, 0]], head[pairs[:, 1]]
-    swap = (a["hi"] > b["hi"]) | ((a["hi"] == b["hi"]) & (a["lo"] > b["lo"]))
-    a, b = np.where(swap, b, a), np.where(swap, a, b)
-    for i, x in enumerate((a["hi"], a["lo"], b["hi"], b["lo"])):
-        e[:, i] = x
-    to = (e[:, 1] ^ e[:, 3]) % np.uint64(buckets)
+    """Distinct pairs of sets, packed by bucket. Here 64 bits tell sets apart: a collision only makes a cluster larger."""
+    e = np.sort(head["lo"][pairs].astype(np.uint64), axis=1)
+    e = np.unique(e[e[:, 0] != e[:, 1]], axis=0) if len(e) else e.reshape(0, 2)
+    to = (e[:, 0] ^ e[:, 1]) % np.uint64(buckets)
     return pd.DataFrame([(int(t), e[to == t].tobytes()) for t in np.unique(to)], columns=["bucket", "data"])
 
 
-EDGE = "ahi long, alo long, bhi long, blo long"
+EDGE = "a long, b long"
 
 
 def edge_rows(pdf: pd.DataFrame) -> pd.DataFrame:
-    e = np.unique(np.concatenate([np.frombuffer(x, "<i8").reshape(-1, 4) for x in pdf["data"]]), axis=0)
-    return pd.DataFrame(e, columns=["ahi", "alo", "bhi", "blo"])
-
-
-def crossing(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Probing members with the members of their group that are in another component."""
-    blobs, comps = pdf["data"], pdf["comps"]
-    heads, hashes, comp = [], [], []
-    for x, c in zip(blobs, comps, strict=True):
-        n = int(np.frombuffer(x, "<u4", 1)[0])
-        heads.append(np.frombuffer(x, SET, n, 4))
-        hashes.append(np.frombuffer(x, "<u8", -1, 4 + n * SET.itemsize))
-        comp.append(np.frombuffer(c, "<i8"))
-    head, h, comp = np.concatenate(heads), np.concatenate(hashes), np.concatenate(comp)
-    who = np.repeat(np.arange(len(head)), head["count"])
-    probe = (h & np.uint64(0xFFFF)).astype(bool)
-    h = h >> np.uint64(16)
-    order = np.lexsort((comp[who], h))
-    h, who, probe = h[order], who[order], probe[order]
-    start = np.append(np.flatnonzero(np.append(True, h[1:] != h[:-1])), len(h)) if len(h) else np.zeros(1, int)
-    c = comp[who]
-    out = []
-    for a, b in zip(start[:-1], start[1:], strict=True):
-        if c[a] == c[b - 1]:
-            continue
-        g, p, cc = who[a:b], probe[a:b], c[a:b]
-        for i in np.flatnonzero(p):
-            other = g[(cc != cc[i]) & (~p | (g > g[i]))]
-            out.append(np.stack([np.full(len(other), g[i]), other], axis=1))
-    return head, np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
-
-
-def crossing_edges(buckets: int):
-    return lambda pdf: edges_dealt(*crossing(pdf), buckets)
+    e = np.unique(np.concatenate([np.frombuffer(x, "<i8").reshape(-1, 2) for x in pdf["data"]]), axis=0)
+    return pd.DataFrame(e, columns=["a", "b"])
 
 
 # ---------------------------------------------------------- 3: verification
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows (hi, lo, rep, elements) for ``wanted`` (hi, lo, rep): the sets read again from the documents."""
+def sets_of(docs: DataFrame, wanted: DataFrame, count: int) -> DataFrame:
+    """``wanted`` (hi, lo, rep, root, chunks) with the sets' elements, read again from the documents."""
 
     def run(batches):
         for batch in batches:
@@ -357,11 +351,12 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     take.append(r)
                     data.append(u.tobytes())
             rows = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in batch.columns[1:]), pa.array(data, pa.binary())], names=["hi", "lo", "rep", "elements"])
+            yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in batch.columns[1:]), pa.array(data, pa.binary())], names=["hi", "lo", "rep", "root", "chunks", "elements"])
 
     d = docs.select(row_key().alias("_id"), F.coalesce("text", F.lit("")).alias("_text"))
-    found = d.join(wanted, d["_id"] == wanted["rep"]).select("_text", "hi", "lo", "rep")
-    return found.mapInArrow(run, "hi long, lo long, rep long, elements binary").dropDuplicates(["hi", "lo"])
+    side = F.broadcast(wanted) if count <= BROADCAST_ROWS else wanted
+    found = d.join(side, d["_id"] == side["rep"]).select("_text", "hi", "lo", "rep", "root", "chunks")
+    return found.mapInArrow(run, "hi long, lo long, rep long, root long, chunks int, elements binary")
 
 
 def signed(pair: tuple[int, int]) -> tuple[int, int]:
@@ -377,17 +372,59 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * inside >= 75 * (len(a) + len(b) - inside)
 
 
-def verify(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) between representatives, for edges whose sets have an intersection of at least 3/4 of their union."""
-
-    def run(batches):
-        for batch in batches:
-            ok = [similar(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
-
-    a = sets.select(F.col("hi").alias("ahi"), F.col("lo").alias("alo"), F.col("rep").alias("a"), F.col("elements").alias("_a"))
-    b = sets.select(F.col("hi").alias("bhi"), F.col("lo").alias("blo"), F.col("rep").alias("b"), F.col("elements").alias("_b"))
-    return edges.join(a, ["ahi", "alo"]).join(b, ["bhi", "blo"]).select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long")
+def cluster_forest(sets: list[np.ndarray]) -> np.ndarray:
+    """The root of every set in the components of similar sets, as positions."""
+    g = len(sets)
+    parent = np.arange(g)
+    sizes = np.array([len(x) for x in sets])
+    if g == 2:
+        if similar(*sets):
+            parent[1] = 0
+        return parent
+    elements, owner = np.concatenate(sets), np.repeat(np.arange(g), sizes)
+    order = np.argsort(elements, kind="stable")
+    elements, owner = elements[order], owner[order]
+    number = np.cumsum(np.append(True, elements[1:] != elements[:-1])) - 1
+    starts = np.append(np.flatnonzero(np.append(True, elements[1:] != elements[:-1])), len(elements))
+    mine = np.empty(len(order), dtype=np.int64)
+    mine[order] = number
+    offsets = np.append(0, np.cumsum(sizes))
+
+    def compare(r: int) -> None:
+        ids = mine[offsets[r] : offsets[r + 1]]
+        length = starts[ids + 1] - starts[ids]
+        at = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(starts[ids], length)
+        common = np.bincount(owner[at], minlength=g)
+        near = np.flatnonzero(100 * common >= 75 * (sizes[r] + sizes - common))
+        union_pairs(parent, np.full(len(near), r), near)
+
+    central = np.bincount(owner, weights=(starts[number + 1] - starts[number]).astype(float), minlength=g) / np.maximum(1, sizes)
+    pivots = np.unique(np.append(np.argsort(-central, kind="stable")[: PIVOTS // 2], np.linspace(0, g - 1, PIVOTS // 2).astype(int)))
+    for r in pivots:
+        compare(int(r))
+    done = set(pivots.tolist())
+    root = roots(parent, np.arange(g))
+    main = int(np.bincount(root).argmax())
+    for r in range(g):
+        if r not in done and int(roots(parent, np.array([r]))[0]) != int(roots(parent, np.array([main]))[0]):
+            compare(r)
+    return roots(parent, np.arange(g))
+
+
+def cluster_links(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A spanning forest of the links in each cluster of a task, between representatives."""
+    pdf = pdf.drop_duplicates(["hi", "lo"]).sort_values(["root", "hi", "lo"])
+    root, rep = pdf["root"].to_numpy(), pdf["rep"].to_numpy()
+    sets = [np.frombuffer(x, "<u8") for x in pdf["elements"]]
+    at = np.append(np.flatnonzero(np.append(True, root[1:] != root[:-1])), len(root))
+    a, b = [], []
+    for i, j in zip(at[:-1], at[1:], strict=True):
+        if j - i > 1:
+            found = cluster_forest(sets[i:j])
+            moved = np.flatnonzero(found != np.arange(j - i))
+            a.append(rep[i + moved])
+            b.append(rep[i + found[moved]])
+    return pd.DataFrame({"a": np.concatenate(a) if a else [], "b": np.concatenate(b) if b else []}, dtype="int64")
 
 
 # ------------------------------------------------------- where segments are few
@@ -398,13 +435,13 @@ def deletion_pairs(buckets: int):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         head, who, h = unpack(pdf["data"])
-        h, who, size = groups_of(h, who)
+        h, who, size = groups_of(h >> np.uint64(16), who)
         h, who = h[size > 1], who[size > 1]
         bounds = np.append(np.flatnonzero(np.append(True, h[1:] != h[:-1])), len(h)) if len(h) else np.zeros(1, int)
         out = []
         for i, j in zip(bounds[:-1], bounds[1:], strict=True):
             g = who[i:j]
-            for r in g[head["segments"][g] > 0]:
+            for r in g[head["share"][g] > 0]:
                 out.append(np.stack([np.full(j - i - 1, r), g[g != r]], axis=1))
         return edges_dealt(head, np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64), buckets)
 
@@ -420,10 +457,10 @@ def scanned(docs: DataFrame, queries: DataFrame, block: int = 1000) -> DataFrame
         sets = [np.frombuffer(r["data"], "<u8") for r in numbered.orderBy("_i").offset(at * block).limit(block).collect()]
 
         def run(batches, sets=sets):
-            names = [signed(identity(q)) for q in sets]
+            names = [signed(identity(q))[1] for q in sets]
             for batch in batches:
-                out = [(*names[i], *signed(identity(u))) for _, u in shingles(batch.column(0)) for i, q in enumerate(sets) if similar(u, q)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ((),) * 4)], names=["ahi", "alo", "bhi", "blo"])
+                out = [(names[i], signed(identity(u))[1]) for _, u in shingles(batch.column(0)) for i, q in enumerate(sets) if similar(u, q)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ((),) * 2)], names=["a", "b"])
 
         part = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, EDGE)
         found = part if found is None else found.union(part)
@@ -433,59 +470,69 @@ def scanned(docs: DataFrame, queries: DataFrame, block: int = 1000) -> DataFrame
 # -------------------------------------------------------------------- the join
 
 
-def join_classes(docs: DataFrame, extra: int = SMALL_EXTRA, buckets: int | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document of ``docs`` (doc_id, text)."""
+def joined(docs: DataFrame, extra: int = SMALL_EXTRA, buckets: int | None = None) -> DataFrame:
+    """id (see ``row_key``), n_shingles and comp, the smallest id of its component, of every document."""
     spark = docs.sparkSession
-    buckets = buckets or buckets_for(docs, 1 << 21, 256)
+    buckets = buckets or buckets_for(docs, 1 << 23, 48)
     base = written(emit(docs, buckets, extra).groupBy("bucket").applyInPandas(shared(buckets), "bucket int, kind int, data binary"))
 
     def profiles(batches):
         for batch in batches:
             rows = np.concatenate([np.frombuffer(x.as_buffer(), PROFILE) for x in batch.column(0)] or [np.zeros(0, PROFILE)])
-            yield pa.RecordBatch.from_arrays([pa.array(rows[f].astype("<u8").view(np.int64) if f != "n" else rows[f].astype(np.int64)) for f in ("id", "hi", "lo", "n")], names=["id", "hi", "lo", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[f]).astype("<u8").view(np.int64)) for f in ("id", "hi", "lo", "n")], names=["id", "hi", "lo", "n"])
 
     profile = base.where("kind = 0").select("data").mapInArrow(profiles, "id long, hi long, lo long, n long")
-    classes = written(profile.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("rep")))
+    classes = written(profile.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.first("n").alias("n")))
     clean_shuffles(spark)
-    hashes = base.where("kind = 1").select("bucket", "data")
+    hashes = base.where("kind in (1, 4)").select("bucket", "kind", "data")
     blob = "bucket int, data binary"
     alive = hashes.groupBy("bucket").applyInPandas(surviving(buckets), blob)
-    edges = written(alive.groupBy("bucket").applyInPandas(star(buckets), blob).groupBy("bucket").applyInPandas(edge_rows, EDGE))
-    extra_edges = []
-    few = [r["data"] for r in base.where("kind = 2").select(F.substring("data", 17, 1).alias("data")).distinct().collect()]  # bands: 64 at most
+    edges = alive.groupBy("bucket").applyInPandas(star(buckets), blob).groupBy("bucket").applyInPandas(edge_rows, EDGE)
+    few = [r["data"] for r in base.where("kind = 2").select(F.substring("data", 11, 1).alias("data")).distinct().collect()]  # bands: 64 at most
     if few:
-        bands = [x[0] for x in few]
-        again = emit(docs, buckets, extra, bands).select("bucket", "data")
-        extra_edges.append(written(again.groupBy("bucket").applyInPandas(deletion_pairs(buckets), blob).groupBy("bucket").applyInPandas(edge_rows, EDGE)))
+        again = emit(docs, buckets, extra, [x[0] for x in few]).select("bucket", "data")
+        edges = edges.union(again.groupBy("bucket").applyInPandas(deletion_pairs(buckets), blob).groupBy("bucket").applyInPandas(edge_rows, EDGE))
         whole = scanned(docs, base.where("kind = 3").select("data").distinct())
         if whole is not None:
-            extra_edges.append(written(whole.where("ahi <> bhi or alo <> blo").distinct()))
-    for e in extra_edges:
-        edges = edges.union(e)
-    ends = edges.select(F.col("ahi").alias("hi"), F.col("alo").alias("lo")).union(edges.select("bhi", "blo")).distinct()
-    sets = written(sets_of(docs, written(ends.join(classes, ["hi", "lo"]))))
+            edges = edges.union(whole.where("a <> b").distinct())
+    clusters = components(written(edges))
+    clean_shuffles(spark)
+    members = written(classes.join(clusters, F.col("lo") == F.col("node")).select("hi", "lo", "rep", "root", "n"))
+    sizes = written(members.groupBy("root").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks")))
+    wanted = written(members.join(sizes, "root").select("hi", "lo", "rep", "root", "chunks"))
+    sets = sets_of(docs, wanted, wanted.count())
+    # small clusters share tasks; a large one has a task for each pair of its chunks
+    mine = F.pmod(F.xxhash64("hi", "lo"), F.col("chunks")).cast("int")
+    others = F.sequence(F.lit(0), F.col("chunks") - 1)
+    pairs = F.transform(others, lambda k: F.struct(F.least(mine, k).alias("i"), F.greatest(mine, k).alias("j")))
+    dealt_sets = sets.withColumn("p", F.explode(F.when(F.col("chunks") > 2, F.filter(pairs, lambda x: (x["i"] != x["j"]))).when(F.col("chunks") == 2, F.array(F.struct(F.lit(0).alias("i"), F.lit(1).alias("j")))).otherwise(F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))))))
+    task = F.when(F.col("chunks") == 1, F.pmod("root", F.lit(4 * buckets))).otherwise(F.col("root"))
+    dealt_sets = dealt_sets.select(task.alias("task"), F.col("p.i").alias("i"), F.col("p.j").alias("j"), "hi", "lo", "rep", "root", "elements")
+    links = written(dealt_sets.groupBy("task", "i", "j").applyInPandas(cluster_links, EDGE))
+    final = components(links)
+    known = written(classes.join(final, F.col("rep") == F.col("node"), "left").select("hi", "lo", F.coalesce("root", "rep").alias("comp")))
+    drop_written(members, sizes, wanted, links)
     clean_shuffles(spark)
-    links = written(verify(edges, sets))
-    first = components(links)
-    named = sets.select("hi", "lo", "rep").join(first, F.col("rep") == F.col("node"), "left")
-    named = named.select("hi", "lo", F.coalesce("root", "rep").alias("comp"))
-    named = named.withColumn("bucket", F.expr(f"cast(pmod(pmod(lo, {buckets}) + if(lo < 0, {(1 << 64) % buckets}, 0), {buckets}) as int)"))  # as an unsigned number
-    grouped = hashes.groupBy("bucket").cogroup(named.groupBy("bucket")).applyInPandas(surviving_with_components(buckets), "bucket int, data binary, comps binary")
-    rest = written(grouped.groupBy("bucket").applyInPandas(crossing_edges(buckets), blob).groupBy("bucket").applyInPandas(edge_rows, EDGE))
-    more = written(verify(rest, sets))
-    final = components(links.union(more)) if not more.isEmpty() else first
-    known = classes.join(final, F.col("rep") == F.col("node"), "left").select("hi", "lo", F.coalesce("root", "rep").alias("comp"))
-    known = written(known)
-    drop_written(rest, more, links, sets)
     out = profile.join(known, ["hi", "lo"], "left")
-    real = lambda c: F.when(c < NO_ID, c)
-    return out.select(real(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("comp", "id")).alias("component_id"))
+    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("comp", "id").alias("comp"))
+
+
+def join_classes(docs: DataFrame, extra: int = SMALL_EXTRA, buckets: int | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document of ``docs`` (doc_id, text)."""
+    real = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
+    return joined(docs, extra, buckets).select(real("id").alias("doc_id"), "n_shingles", real("comp").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class, the smallest id, with its columns; rows without an id are all kept."""
-    mates = written(join_classes(docs).where("component_id < doc_id").select("doc_id").distinct())
-    return docs.join(mates, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each component, the one with the smallest id, with its columns; of rows that share an id one stays."""
+    rest = written(joined(docs).where("comp < id").select("id").distinct())
+    keyed = docs.withColumn("_key", row_key())
+    again = written(keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("_key").alias("id")))
+    kept = keyed.join(rest, keyed["_key"] == rest["id"], "left_anti")
+    if not again.isEmpty():
+        several = kept.join(again, kept["_key"] == again["id"], "left_semi").dropDuplicates(["_key"])
+        kept = kept.join(again, kept["_key"] == again["id"], "left_anti").union(several)
+    return kept.select(*docs.columns)
 
 
 def op4_jaccard(spark, sf_dir: str) -> DataFrame:
