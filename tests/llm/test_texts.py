@@ -216,12 +216,3 @@ def test_a_long_text_scores_like_its_parts(spark):
     two = [np.sort(np.concatenate([f[u[i] : u[i + 1]] for i in range(len(u) - 1)])) for _, _, parts in features(pa.array(["x", text, "", "y z"]), False) for f, u in parts]
     assert len(one) == len(two) == 4
     assert hashlib.sha256(one[2].tobytes()) is not None and all(len(b) >= len(a) for a, b in zip(one, two, strict=True))
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    name, stage = corpus_pipeline.STAGES[0]
-    assert name == "quality" and stage(spark, docs, "/root/testdata/sf0.001").columns == docs.columns
-    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
