@@ -19,6 +19,12 @@ def test_jaccard(spark, odd, extra):
     assert got == brute.jaccard(texts(odd))
 
 
+def test_jaccard_with_clusters_in_chunks(spark, odd, monkeypatch):
+    monkeypatch.setattr("kgloom.llm.jaccard.CHUNK", 60)
+    monkeypatch.setattr("kgloom.llm.jaccard.BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, join_classes(odd).collect())) == brute.jaccard(texts(odd))
+
+
 def test_jaccard_repeated_and_empty(spark, repeated, none):
     got = join_classes(repeated).collect()
     assert sorted(set(map(tuple, got))) == sorted(set(brute.jaccard(texts(repeated)))) and len(got) == repeated.count()
