@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from kgloom.catalog import table
-from kgloom.functions.scalars import levenshtein_ratio
 from kgloom.operators import resolve as R
 from kgloom.registry import query
 
