@@ -202,7 +202,7 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
 
 
-def utf8_parts(array: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def utf8_parts(array: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cuts a string or binary array in runs of rows of up to ``most`` bytes (a longer
     row alone): (first row, row after the last, bytes, offsets). Nulls are empty."""
     if isinstance(array, pa.ChunkedArray):

@@ -124,7 +124,7 @@ def emit(docs: DataFrame, buckets: int, extra: int, deletions_of: list[int] | No
         for batch in batches:
             ids = batch.column(0).to_pylist()
             text = batch.column(1)
-            for first, after, _, _ in utf8_parts(text, 1 << 24):
+            for first, after, _, _ in utf8_parts(text, 1 << 23):
                 rows, out, seen, table, hashes, owner = [], [], set(), [], [], []
                 for r, u in shingles(text.slice(first, after - first)):
                     hi, lo = identity(u)

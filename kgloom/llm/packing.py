@@ -60,7 +60,7 @@ class WordTokenizer:
     #: The splitting pattern of the tokenizer file: fixed value.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    def __init__(self, path: str, chunks_kept: int = 1_200_000):
+    def __init__(self, path: str, chunks_kept: int = 400_000):
         import tiktoken
         from tokenizers import Tokenizer
 
