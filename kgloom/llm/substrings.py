@@ -35,15 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgloom.llm.common import BYTE_CODE, buckets_for, clean_shuffles, drop_written, prefix_hash, span_hash, utf8_parts, written
-from kgloom.llm.jaccard import row_key
+from kgloom.llm.jaccard import BROADCAST_ROWS, row_key
 from kgloom.llm.suffixes import permuted_common_prefixes, suffix_array
 
 WIDTH = 200
 GRAM = 40
 LONGEST = 512  # windows in one segment
 
-ENTRY = np.dtype([("hi", "<i8"), ("lo", "<i8"), ("fp", "<u8"), ("content", "<u8"), ("pos", "<u8"), ("windows", "<u4"), ("repeats", "u1")])
-PIECE = np.dtype([("hi", "<i8"), ("lo", "<i8"), ("fp", "<u8"), ("pos", "<u8"), ("windows", "<u4"), ("open", "u1")])
+ENTRY = np.dtype([("hi", "<i8"), ("lo", "<i8"), ("fp", "<u8"), ("content", "<u8"), ("pos", "<u4"), ("windows", "<u2"), ("repeats", "u1")])
+PIECE = np.dtype([("hi", "<i8"), ("lo", "<i8"), ("fp", "<u8"), ("pos", "<u4"), ("windows", "<u2"), ("open", "u1")])
 
 
 def text_key(raw: bytes) -> tuple[int, int]:
@@ -116,7 +116,7 @@ def emit(docs: DataFrame, buckets: int, width: int, gram: int) -> DataFrame:
         for batch in batches:
             ids, doc = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             seen = set()
-            for first, after, data, offsets in utf8_parts(batch.column(2), 1 << 21):
+            for first, after, data, offsets in utf8_parts(batch.column(2), 1 << 20):
                 rows, keys, new = [], np.zeros((after - first, 2), dtype=np.int64), np.zeros(after - first, dtype=bool)
                 for i in range(after - first):
                     raw = data[offsets[i] : offsets[i + 1]]
@@ -241,7 +241,7 @@ def sort_shard(buckets: int, width: int):
         of = piece[first]
         for f in ("hi", "lo", "fp"):
             out[f] = p[f][of]
-        out["pos"] = p["pos"][of] + (where[first] - at[of]).astype(np.uint64)
+        out["pos"] = p["pos"][of] + (where[first] - at[of]).astype(np.uint32)
         out["windows"] = np.diff(np.append(first, len(where)))
         out["open"] = 0
         return pd.DataFrame([(b, 1, x) for b, x in dealt(out["lo"] % buckets, out)], columns=["bucket", "kind", "data"])
@@ -303,7 +303,9 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, bucket
 
     def of_texts(pieces: DataFrame) -> DataFrame:
         wanted = written(pieces.groupBy("bucket").applyInPandas(by_text, "hi long, lo long, pieces binary").join(named.select("hi", "lo", "rep"), ["hi", "lo"]))
-        return d.join(wanted, d["_id"] == wanted["rep"]).select("_text", "hi", "lo", "pieces")
+        # few enough ids go to the texts, so that only texts that are wanted are shuffled
+        near = d.join(F.broadcast(wanted.select("rep")), F.col("_id") == F.col("rep"), "left_semi") if wanted.count() <= BROADCAST_ROWS else d
+        return near.join(wanted.hint("merge"), near["_id"] == wanted["rep"]).select("_text", "hi", "lo", "pieces")
 
     to_sort = of_texts(sift.where("kind = 2").select("bucket", "data"))
     sorted_ = written(to_sort.mapInArrow(cut_pieces(buckets, width), "bucket int, piece binary, raw binary").groupBy("bucket").applyInPandas(sort_shard(buckets, width), "bucket int, kind int, data binary"))
