@@ -1,29 +1,37 @@
 """License scans by conditional compression.
 
-Lines that mention licensing are cut to blocks. Each block is compressed alone
-and with every template as a zstandard raw-content dictionary; the templates are
-ranked by how much smaller it gets. Winners are confirmed by exact wording: the
-template's words must occur in the block, in order and close together, with at
-most ``wording`` of them missing or inserted, and none of its numbers or marked
-words may differ. What a confirmed template covers is taken out and the block is
-tried again, so a block can hold several.
-
-Defined results: null text has no blocks; a line of any length is searched
-around each mention; repeated rows are rows of their own; ids may be null;
-an empty table gives no rows; other columns are ignored.
+Blocks are the stretches of a text, across line breaks, that hold all marked words
+of a template no further apart than its wording allows; nothing else can be
+confirmed. Each block is compressed alone and with every such template as a
+zstandard raw-content dictionary; the templates are ranked by how much smaller it
+gets. Winners are confirmed by exact wording: the template's words must occur in
+the block, in order and close together, with at most ``wording`` of them missing or
+inserted, and none of its numbers or marked words may differ. What a confirmed
+template covers is taken out and the block is tried again, so a block can hold
+several.
+
+Defined results: null text has no blocks; signs without a letter or digit, such as
+those that open a comment line, aren't words; repeated rows are rows of their own;
+ids may be null; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import defaultdict
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+FREE = "you can redistribute it and/or modify it under the terms of the {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+
 #: Notices by SPDX identifier: fixed values. Words in capitals or with digits tell licenses apart.
+#: Identifiers with -grant and -endorsement are sentences of full license texts; BSD-grant opens all BSD licenses.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "MIT": "Released under the MIT License.",
@@ -40,19 +48,27 @@ TEMPLATES = {
     "BSD-3-Clause": "Redistributed under the BSD 3-Clause License.",
     "BSD-2-Clause": "Redistributed under the BSD 2-Clause License.",
     "all-rights-reserved": "All rights reserved.",
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "MIT-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
+    "ISC-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "BSD-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "BSD-3-Clause-endorsement": "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "GPL-3.0-or-later": FREE.format("GNU General Public License", "3"),
+    "GPL-2.0-or-later": FREE.format("GNU General Public License", "2"),
+    "LGPL-3.0-or-later": FREE.format("GNU Lesser General Public License", "3"),
+    "LGPL-2.1-or-later": FREE.format("GNU Lesser General Public License", "2.1"),
+    "AGPL-3.0-or-later": FREE.format("GNU Affero General Public License", "3"),
 }
 
-MENTION = r"(?i)licen[cs]e|rights reserved|public domain|creative commons|\bcc by|\bcc0"
-AROUND = 400
 WORD = re.compile(r"[^\s,;:()\"']+")
 
 
 def words(text: str) -> list[tuple[str, int, int]]:
-    """Lower-cased words without closing stops, with their places."""
+    """Lower-cased words without closing stops, with their places; signs alone are none."""
     out = []
     for m in WORD.finditer(text):
         w = m.group().rstrip(".!?")
-        if w:
+        if w and (w.isalnum() or any(c.isalnum() for c in w)):
             out.append((w.lower(), m.start(), m.start() + len(w)))
     return out
 
@@ -64,22 +80,31 @@ def marked(template: str) -> set[str]:
     for a, b in zip(ws, ws[1:], strict=False):
         if b in ("License", "General", "Public") and a[0].isupper():
             fixed.add(a.lower())
-    return fixed or {w.lower() for w in ws}
+    return fixed or {w for w, _, _ in words(template)}
+
+
+def possible(text, templates: dict[str, str]):
+    """Whether a text can hold a template: the longest of its marked words occur. Only plain letters,
+    which are lower-cased alike everywhere, are asked for."""
+    asked = [sorted((w for w in marked(t) if w.isascii()), key=lambda w: (-len(w), w))[:3] for t in templates.values() if words(t)]
+    each = lambda t: reduce(lambda x, y: x | y, [reduce(lambda x, y: x & y, [F.contains(t, F.lit(w)) for w in ws], F.lit(True)) for ws in asked], F.lit(False))
+    return F.exists(F.array(F.lower(text)), each)
 
 
 class Scanner:
     def __init__(self, templates: dict[str, str], wording: float, least: float):
-        self.names = list(templates)
-        self.words = {n: [w for w, _, _ in words(t)] for n, t in templates.items()}
-        self.marked = {n: marked(t) for n, t in templates.items()}
+        self.words = {n: ws for n, t in templates.items() if (ws := [w for w, _, _ in words(t)])}
+        self.marked = {n: marked(templates[n]) for n in self.words}
+        # the most words a notice can take: its own and those inserted
+        self.reach = {n: len(ws) + int(wording * len(ws)) for n, ws in self.words.items()}
         self.plain = zstandard.ZstdCompressor(level=10)
-        self.given = {n: zstandard.ZstdCompressor(level=10, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for n, t in templates.items()}
+        self.given = {n: zstandard.ZstdCompressor(level=10, dict_data=zstandard.ZstdCompressionDict(templates[n].encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for n in self.words}
         self.wording, self.least = wording, least
 
-    def ranked(self, block: str) -> list[tuple[float, str]]:
+    def ranked(self, block: str, names: list[str]) -> list[tuple[float, str]]:
         raw = block.encode()
         alone = len(self.plain.compress(raw))
-        saved = [(alone - len(c.compress(raw)), n) for n, c in self.given.items()]
+        saved = [(alone - len(self.given[n].compress(raw)), n) for n in names]
         # shares of what a template could save at most: its own length
         return sorted(((s / max(1, len(" ".join(self.words[n]))), n) for s, n in saved if s > 0), key=lambda x: (-x[0], x[1]))
 
@@ -100,42 +125,68 @@ class Scanner:
             return None
         return first, last, differ
 
+    def places(self, block: list[tuple[str, int, int]]) -> dict[str, list[int]]:
+        at = defaultdict(list)
+        for i, (w, _, _) in enumerate(block):
+            at[w].append(i)
+        return at
+
+    def stretches(self, at: dict[str, list[int]], name: str):
+        """(place, start, end) around each place of the rarest marked word, if all marked words are in reach of it."""
+        if not all(w in at for w in self.marked[name]):
+            return
+        reach, rarest = self.reach[name], min(self.marked[name], key=lambda w: (len(at[w]), w))
+        for p in at[rarest]:
+            a, b = max(0, p - reach + 1), p + reach
+            if all((i := bisect_left(at[w], a)) < len(at[w]) and at[w][i] < b for w in self.marked[name]):
+                yield p, a, b
+
+    def hits(self, block: list[tuple[str, int, int]], at: dict[str, list[int]], name: str) -> set[tuple[int, int, int]]:
+        """(differences, first word, word after the last) wherever the template is confirmed."""
+        want, found = self.words[name], set()
+        slack = self.reach[name] - len(want)
+        for p, a, b in self.stretches(at, name):
+            # where the notice lies if this word of it is in its place, then anywhere in reach
+            own = [(max(0, p - k - slack), p - k + len(want) + slack) for k, w in enumerate(want) if w == block[p][0]]
+            for x, y in [*own, (a, b)]:
+                if y > 0 and (hit := self.confirm(block[x:y], name)):
+                    found.add((hit[2], x + hit[0], x + hit[1]))
+        return found
+
     def scan(self, text: str):
         """(license, start, end, saved, differences) of every notice, in code points."""
-        at = 0
-        for line in text.split("\n"):
-            spans: list[list[int]] = []
-            for m in re.finditer(MENTION, line):
-                a, b = max(0, m.start() - AROUND), min(len(line), m.end() + AROUND)
-                if spans and a <= spans[-1][1]:
-                    spans[-1][1] = b
-                else:
-                    spans.append([a, b])
-            for a, b in spans:
-                yield from self.block(line[a:b], at + a)
-            at += len(line) + 1
-
-    def block(self, block: str, at: int):
-        left = words(block)
+        left = words(text)
+        at = self.places(left)
+        spans: list[list] = []
+        for a, b, n in sorted((a, b, n) for n in self.words for _, a, b in self.stretches(at, n)):
+            if spans and a <= spans[-1][1]:
+                spans[-1][1] = max(spans[-1][1], b)
+                spans[-1][2].add(n)
+            else:
+                spans.append([a, b, {n}])
+        for a, b, names in spans:
+            yield from self.block(text, left[a:b], sorted(names))
+
+    def block(self, text: str, left: list[tuple[str, int, int]], names: list[str]):
+        ranked = self.ranked(text[left[0][1] : left[-1][2]], names)
         again = True
-        while again and left:
-            again = False
-            text = block[left[0][1] : left[-1][2]]
-            best = None
-            for saved, name in self.ranked(text):
+        while again:
+            at, found = self.places(left), []
+            for saved, name in ranked:
                 if saved < self.least:
                     break
-                hit = self.confirm(left, name)
-                if hit and (best is None or (hit[2], -saved) < (best[1][2], -best[2])):
-                    best = (name, hit, saved)
-                    if not hit[2]:
-                        break
-            if best:
-                name, (first, last, differ), saved = best
-                yield name, at + left[first][1], at + left[last - 1][2], saved, differ
-                # what the notice covers can't match again; what lies around it can
-                left = [*left[:first], ("\0", left[first][1], left[first][2]), *left[last:]]
-                again = any(re.search(MENTION, block[s:e]) or w in ("rights", "cc", "domain") for w, s, e in left if w != "\0")
+                found += [(differ, -saved, name, first, last) for differ, first, last in self.hits(left, at, name)]
+            taken = [False] * len(left)
+            out = []
+            for differ, saved, name, first, last in sorted(found):
+                if not any(taken[first:last]):
+                    taken[first:last] = [True] * (last - first)
+                    out.append((first, last))
+                    yield name, left[first][1], left[last - 1][2], -saved, differ
+            # what the notices cover can't match again; what lies around them can
+            for first, last in sorted(out, reverse=True):
+                left[first:last] = [("\0", left[first][1], left[first][2])]
+            again = bool(out)
 
 
 def notices(docs: DataFrame, templates: dict[str, str] | None = None, wording: float = 0.15, least: float = 0.3) -> DataFrame:
@@ -150,7 +201,7 @@ def notices(docs: DataFrame, templates: dict[str, str] | None = None, wording: f
                 rows += [(ids[i], *hit) for hit in scanner.scan(text.as_py())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ((),) * 6, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], names=["doc_id", "license", "start", "end", "saved", "differences"])
 
-    near = docs.where(F.col("text").rlike(MENTION)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    near = docs.where(possible(F.col("text"), templates)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return near.mapInArrow(run, "doc_id long, license string, start long, end long, saved double, differences long")
 
 

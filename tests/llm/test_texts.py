@@ -175,6 +175,16 @@ def test_licenses(spark, none):
     assert licenses.notices(none).count() == 0
 
 
+def test_licenses_over_lines_and_without_a_mention(spark):
+    mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\n'
+    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are met:\n"
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Lesser General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n"
+    docs = [(1, "Intro.\nThis work is licensed under the GNU\nGeneral Public License, version 3.\nMore."), (2, "x " * 700 + mit), (3, bsd), (4, gpl), (5, "Permission is hereby\ngranted.\nRedistribution and use are not."), (6, "All rights\n * reserved.")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((r.doc_id, r.license) for r in licenses.notices(df).collect())
+    assert got == [(1, "GPL-3.0"), (2, "MIT-grant"), (3, "BSD-grant"), (4, "LGPL-3.0-or-later"), (6, "all-rights-reserved")]
+
+
 # -------------------------------------------------------------- classifiers
 
 
