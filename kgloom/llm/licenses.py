@@ -4,8 +4,9 @@ Blocks are the stretches of a text, across line breaks, that hold all marked wor
 of a template no further apart than its wording allows; nothing else can be
 confirmed. Each block is compressed alone and with every such template as a
 zstandard raw-content dictionary; the templates are ranked by how much smaller it
-gets. Winners are confirmed by exact wording: the template's words must occur in
-the block, in order and close together, with at most ``wording`` of them missing or
+gets. The saving only ranks: all are tried for exact wording, and of those that
+cover the same words the one with fewest differences, then the best ranked, is
+given. For exact wording the template's words must occur in the block, in order and close together, with at most ``wording`` of them missing or
 inserted, and none of its numbers or marked words may differ. What a confirmed
 template covers is taken out and the block is tried again, so a block can hold
 several.
@@ -92,21 +93,21 @@ def possible(text, templates: dict[str, str]):
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str], wording: float, least: float):
+    def __init__(self, templates: dict[str, str], wording: float):
         self.words = {n: ws for n, t in templates.items() if (ws := [w for w, _, _ in words(t)])}
         self.marked = {n: marked(templates[n]) for n in self.words}
         # the most words a notice can take: its own and those inserted
         self.reach = {n: len(ws) + int(wording * len(ws)) for n, ws in self.words.items()}
         self.plain = zstandard.ZstdCompressor(level=10)
         self.given = {n: zstandard.ZstdCompressor(level=10, dict_data=zstandard.ZstdCompressionDict(templates[n].encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for n in self.words}
-        self.wording, self.least = wording, least
+        self.wording = wording
 
     def ranked(self, block: str, names: list[str]) -> list[tuple[float, str]]:
         raw = block.encode()
         alone = len(self.plain.compress(raw))
         saved = [(alone - len(self.given[n].compress(raw)), n) for n in names]
         # shares of what a template could save at most: its own length
-        return sorted(((s / max(1, len(" ".join(self.words[n]))), n) for s, n in saved if s > 0), key=lambda x: (-x[0], x[1]))
+        return sorted(((s / max(1, len(" ".join(self.words[n]))), n) for s, n in saved), key=lambda x: (-x[0], x[1]))
 
     def confirm(self, block: list[tuple[str, int, int]], name: str) -> tuple[int, int, int] | None:
         """(first word, word after the last, differences) of the template in the block."""
@@ -173,8 +174,6 @@ class Scanner:
         while again:
             at, found = self.places(left), []
             for saved, name in ranked:
-                if saved < self.least:
-                    break
                 found += [(differ, -saved, name, first, last) for differ, first, last in self.hits(left, at, name)]
             taken = [False] * len(left)
             out = []
@@ -189,12 +188,12 @@ class Scanner:
             again = bool(out)
 
 
-def notices(docs: DataFrame, templates: dict[str, str] | None = None, wording: float = 0.15, least: float = 0.3) -> DataFrame:
+def notices(docs: DataFrame, templates: dict[str, str] | None = None, wording: float = 0.15) -> DataFrame:
     """Rows (doc_id, license, start, end, saved, differences), one for each confirmed notice."""
     templates = templates or TEMPLATES
 
     def run(batches):
-        scanner = Scanner(templates, wording, least)
+        scanner = Scanner(templates, wording)
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), []
             for i, text in enumerate(batch.column(1)):

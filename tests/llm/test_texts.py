@@ -185,6 +185,31 @@ def test_licenses_over_lines_and_without_a_mention(spark):
     assert got == [(1, "GPL-3.0"), (2, "MIT-grant"), (3, "BSD-grant"), (4, "LGPL-3.0-or-later"), (6, "all-rights-reserved")]
 
 
+def test_license_templates_of_the_caller(spark):
+    """Any wording and any length: places are the notice's own."""
+    long = " ".join(f"clause{i} grants what is written there" for i in range(60))
+    own = {"short": "Feel free to share.", "long": long, "empty": ""}
+    texts = ["word " * 500 + t + " end" for t in ("feel free\nto share", long, long.replace(" ", "\n", 100), "feel free to sell")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.license, r.start, r.end) for r in licenses.notices(df, own).collect())
+    assert got == [(0, "short", 2500, 2518), (1, "long", 2500, 2500 + len(long)), (2, "long", 2500, 2500 + len(long))]
+
+
+def test_many_licenses_in_one_text(spark):
+    t = licenses.TEMPLATES
+    text = "\n".join(t[n] for _ in range(40) for n in sorted(t))
+    got = Counter(r.license for r in licenses.notices(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect())
+    assert got == {n: 40 for n in t}
+
+
+def test_no_exact_notice_depends_on_its_saving(spark):
+    """Dense notices save little each, and short ones little in a long line."""
+    t = licenses.TEMPLATES
+    docs = [(i, f"{t['GPL-3.0']} All the rights{i} are reserved{i} by those of line {i}. {t['all-rights-reserved']} All words{i} left.") for i in range(50)]
+    got = Counter(r.license for r in licenses.notices(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert got == {"GPL-3.0": 50, "all-rights-reserved": 50}
+
+
 # -------------------------------------------------------------- classifiers
 
 
