@@ -3,11 +3,15 @@
 from pyspark.sql import functions as F
 
 from kgloom.catalog import table
+from kgloom.operators import graph as G
 from kgloom.operators import resolve as R
 from kgloom.registry import query
+from kgloom.sources.readers import scratch
 
 BLOCKS = "SELECT c_custkey AS id, unnest(['w:' || regexp_split_to_array(lower(nm), '\\s+')[1], 'p:' || lower(nm)[1:3]]) AS block FROM (SELECT c_custkey, c_mktsegment[1:2] || c_name[16:18] || ' ' || c_nationkey AS nm FROM customer)"
 
+RANKS = "SELECT id, row_number() OVER (ORDER BY nm, id) AS n FROM (SELECT c_custkey AS id, lower(c_mktsegment[1:2] || c_name[16:18] || ' ' || c_nationkey) AS nm FROM customer)"
+
 
 def names(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", F.concat(F.substring("c_mktsegment", 1, 2), F.substring("c_name", 16, 3), F.lit(" "), F.col("c_nationkey")).alias("nm"), "c_nationkey", "c_mktsegment", "c_acctbal")
@@ -49,10 +53,25 @@ PAIRS = "SELECT a.c_custkey AS a, b.c_custkey AS b, a.c_name AS an, b.c_name AS
 SCORE = "CASE WHEN a % 97 = 0 THEN 0.0::DOUBLE ELSE round((1 - levenshtein(lower(an), lower(bn))::DOUBLE / greatest(length(an), length(bn))) * 30 + (am = bm)::INT * 20 + 10 + (ac = bc)::INT * 15 + 5 + 2.5, 6)::DOUBLE END"
 
 
-def scored(spark, sf):
+CANDIDATES = f"SELECT x.id AS a, y.id AS b FROM ({BLOCKS}) x JOIN ({BLOCKS}) y ON x.block = y.block AND x.id < y.id UNION SELECT least(x.id, y.id), greatest(x.id, y.id) FROM ({RANKS}) x JOIN ({RANKS}) y ON y.n BETWEEN x.n + 1 AND x.n + 15"
+CANDIDATE_PAIRS = f"SELECT a.c_custkey AS a, b.c_custkey AS b, a.c_name AS an, b.c_name AS bn, a.c_mktsegment AS am, b.c_mktsegment AS bm, a.c_nationkey AS ac, b.c_nationkey AS bc FROM ({CANDIDATES}) p JOIN customer a ON a.c_custkey = p.a JOIN customer b ON b.c_custkey = p.b"
+
+
+def candidates(spark, sf):
+    """The pairs that blocking or the sorted neighbourhood finds among all customers, smaller id first."""
+    n = names(spark, sf)
+    near = R.neighbour_pairs(n, "c_custkey", "nm").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return R.blocked_pairs(n, "c_custkey", "nm").union(near).distinct()
+
+
+def scored(spark, sf, pairs=None):
+    """Scores of ``pairs`` (a, b), or of each id and the next one."""
     c = table(spark, sf, "customer")
     left, right = c.select([F.col(x).alias(f"l_{x}") for x in c.columns]), c.select([F.col(x).alias(f"r_{x}") for x in c.columns])
-    j = left.join(right, F.col("r_c_custkey") == F.col("l_c_custkey") + 1)
+    if pairs is None:
+        j = left.join(right, F.col("r_c_custkey") == F.col("l_c_custkey") + 1)
+    else:
+        j = pairs.join(left, F.col("a") == F.col("l_c_custkey")).join(right, F.col("b") == F.col("r_c_custkey"))
     parts = {"name": R.name_score(F.col("l_c_name"), F.col("r_c_name")), "org": R.same_text(F.col("l_c_mktsegment"), F.col("r_c_mktsegment")), "loc": R.same_text(F.col("l_c_nationkey").cast("string"), F.col("r_c_nationkey").cast("string"))}
     return j.select(F.col("l_c_custkey").alias("a"), F.col("r_c_custkey").alias("b"), F.round(R.score(parts, F.col("l_c_custkey") % 97 == 0), 6).alias("score"))
 
@@ -67,19 +86,55 @@ def n08(spark, sf):
     return scored(spark, sf).select("a", "b", R.band(F.col("score"), F.when(F.col("a") % 2 == 0, 0.9).otherwise(0.1)).alias("band"))
 
 
+@query("n06_resolution_score_candidates", f"SELECT a, b, {SCORE} AS score FROM ({CANDIDATE_PAIRS})")
+def n06b(spark, sf):
+    return scored(spark, sf, candidates(spark, sf))
+
+
+@query("n08_decision_bands_candidates", f"SELECT a, b, CASE WHEN s >= 95 THEN 'AUTO_MERGE' WHEN s >= 85 OR (a % 2 = 0 AND s >= 60) THEN 'REVIEW' ELSE 'DROP' END AS band FROM (SELECT a, b, {SCORE} AS s FROM ({CANDIDATE_PAIRS}))")
+def n08b(spark, sf):
+    return scored(spark, sf, candidates(spark, sf)).select("a", "b", R.band(F.col("score"), F.when(F.col("a") % 2 == 0, 0.9).otherwise(0.1)).alias("band"))
+
+
 @query("n07_relation_similarity", "WITH s AS (SELECT o_custkey AS id, list(DISTINCT o_orderpriority) AS r, list(DISTINCT o_orderstatus) AS t FROM orders WHERE o_custkey < 400 GROUP BY 1) SELECT a.id AS a, b.id AS b, round(greatest(0, len(list_intersect(a.r, b.r))::DOUBLE / len(list_distinct(list_concat(a.r, b.r))) - CASE WHEN len(list_intersect(a.t, b.t)) = 0 THEN 0.3::DOUBLE ELSE 0 END), 6) AS similarity FROM s a JOIN s b ON b.id = a.id + 3")
 def n07(spark, sf):
-    s = table(spark, sf, "orders").where("o_custkey < 400").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("r"), F.collect_set("o_orderstatus").alias("t"))
+    a, b = relations(table(spark, sf, "orders").where("o_custkey < 400"))
+    return similarities(a.join(b, F.col("b") == F.col("a") + 3))
+
+
+def relations(orders):
+    s = orders.groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("r"), F.collect_set("o_orderstatus").alias("t"))
     a = s.select(F.col("o_custkey").alias("a"), F.col("r").alias("ra"), F.col("t").alias("ta"))
     b = s.select(F.col("o_custkey").alias("b"), F.col("r").alias("rb"), F.col("t").alias("tb"))
+    return a, b
+
+
+def similarities(pairs):
     jaccard = F.size(F.array_intersect("ra", "rb")) / F.size(F.array_union("ra", "rb"))
-    return a.join(b, F.col("b") == F.col("a") + 3).select("a", "b", F.round(F.greatest(F.lit(0.0), jaccard - F.when(~F.arrays_overlap("ta", "tb"), 0.3).otherwise(0.0)), 6).alias("similarity"))
+    return pairs.select("a", "b", F.round(F.greatest(F.lit(0.0), jaccard - F.when(~F.arrays_overlap("ta", "tb"), 0.3).otherwise(0.0)), 6).alias("similarity"))
+
+
+@query("n07_relation_similarity_candidates", f"WITH s AS (SELECT o_custkey AS id, list(DISTINCT o_orderpriority) AS r, list(DISTINCT o_orderstatus) AS t FROM orders GROUP BY 1) SELECT a.id AS a, b.id AS b, round(greatest(0, len(list_intersect(a.r, b.r))::DOUBLE / len(list_distinct(list_concat(a.r, b.r))) - CASE WHEN len(list_intersect(a.t, b.t)) = 0 THEN 0.3::DOUBLE ELSE 0 END), 6) AS similarity FROM ({CANDIDATES}) p JOIN s a ON a.id = p.a JOIN s b ON b.id = p.b")
+def n07b(spark, sf):
+    a, b = relations(table(spark, sf, "orders"))
+    return similarities(candidates(spark, sf).join(a, "a").join(b, "b"))
+
+
+@query("u06_jaccard_candidates", f"WITH s AS (SELECT o_custkey, list(DISTINCT o_orderpriority) AS p FROM orders GROUP BY 1) SELECT a.o_custkey AS a, b.o_custkey AS b, round(len(list_intersect(a.p, b.p))::DOUBLE / len(list_distinct(list_concat(a.p, b.p))), 6) AS jaccard FROM ({CANDIDATES}) c JOIN s a ON a.o_custkey = c.a JOIN s b ON b.o_custkey = c.b")
+def u06b(spark, sf):
+    a, b = relations(table(spark, sf, "orders"))
+    j = candidates(spark, sf).join(a, "a").join(b, "b")
+    return j.select("a", "b", F.round(F.size(F.array_intersect("ra", "rb")) / F.size(F.array_union("ra", "rb")), 6).alias("jaccard"))
 
 
 @query("g12_merge_plan")
 def g12(spark, sf):
-    pairs = scored(spark, sf).where("score >= 55").withColumn("block", F.floor(F.col("a") / 50))
-    return R.merge_plan(pairs, "block", "a", "b", "score")
+    """Greedy merges of all candidate pairs that score 55; each connected component of them is planned in one go."""
+    path = scratch(spark, "pairs")
+    scored(spark, sf, candidates(spark, sf)).where("score >= 55").write.parquet(path)
+    pairs = spark.read.parquet(path)
+    block = G.components(pairs).select(F.col("node").alias("a"), "root")
+    return R.merge_plan(pairs.join(block, "a"), "root", "a", "b", "score")
 
 
 @query("n01_regex_entities", "SELECT DISTINCT doc_id, lower(w) AS entity, 'ORGANIZATION' AS kind FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS w FROM documents) WHERE regexp_full_match(w, '[A-Za-z]{4,10}')")
