@@ -47,7 +47,16 @@ def g08(spark, sf):
 
 @query("g05_entity_mentions", "SELECT entity, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS chunks FROM (SELECT DISTINCT doc_id, lower(w) AS entity FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z]{6,10}')) AS w FROM documents WHERE doc_id < 400)) GROUP BY 1")
 def g05(spark, sf):
-    d = table(spark, sf, "documents").where("doc_id < 400").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Z]{6,10}"), F.lit(0))).alias("w"))
+    return mentions(table(spark, sf, "documents").where("doc_id < 400"))
+
+
+@query("g05_entity_mentions_whole", "SELECT entity, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS chunks FROM (SELECT DISTINCT doc_id, lower(w) AS entity FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z]{6,10}')) AS w FROM documents)) GROUP BY 1")
+def g05b(spark, sf):
+    return mentions(table(spark, sf, "documents"))
+
+
+def mentions(documents):
+    d = documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Z]{6,10}"), F.lit(0))).alias("w"))
     g = d.select("doc_id", F.lower("w").alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("doc_id")).alias("c"))
     return g.select("entity", "n", F.array_join(F.transform("c", lambda x: x.cast("string")), ",").alias("chunks"))
 
@@ -125,7 +134,16 @@ def g18(spark, sf):
 
 @query("g13_triplets", "SELECT DISTINCT 'customer ' || o_custkey AS subject, 'PURCHASED' AS predicate, p_name AS object FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderkey < 500")
 def g13(spark, sf):
+    return triplets(spark, sf, table(spark, sf, "orders").where("o_orderkey < 500"))
+
+
+@query("g13_triplets_whole", "SELECT DISTINCT 'customer ' || o_custkey AS subject, 'PURCHASED' AS predicate, p_name AS object FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey")
+def g13b(spark, sf):
+    return triplets(spark, sf, table(spark, sf, "orders"))
+
+
+def triplets(spark, sf, orders):
     from kgloom.functions.scalars import predicate
 
-    j = table(spark, sf, "orders").where("o_orderkey < 500").join(table(spark, sf, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    j = orders.join(table(spark, sf, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey"))
     return j.select(F.concat(F.lit("customer "), "o_custkey").alias("subject"), predicate(F.lit("Ordered")).alias("predicate"), F.col("p_name").alias("object")).distinct()

@@ -39,7 +39,16 @@ def j04(spark, sf):
 
 @query("j05_mentions", "SELECT l_partkey AS entity, string_agg(DISTINCT l_orderkey::VARCHAR, ',' ORDER BY l_orderkey::VARCHAR) AS chunks FROM lineitem WHERE l_partkey < 50 GROUP BY 1")
 def j05(spark, sf):
-    return table(spark, sf, "lineitem").where("l_partkey < 50").groupBy(F.col("l_partkey").alias("entity")).agg(F.array_join(F.array_sort(F.collect_set(F.col("l_orderkey").cast("string"))), ",").alias("chunks"))
+    return orders_of_parts(table(spark, sf, "lineitem").where("l_partkey < 50"))
+
+
+@query("j05_mentions_whole", "SELECT l_partkey AS entity, string_agg(DISTINCT l_orderkey::VARCHAR, ',' ORDER BY l_orderkey::VARCHAR) AS chunks FROM lineitem GROUP BY 1")
+def j05b(spark, sf):
+    return orders_of_parts(table(spark, sf, "lineitem"))
+
+
+def orders_of_parts(lineitem):
+    return lineitem.groupBy(F.col("l_partkey").alias("entity")).agg(F.array_join(F.array_sort(F.collect_set(F.col("l_orderkey").cast("string"))), ",").alias("chunks"))
 
 
 @query("j06_path_join", "SELECT r_name, n_name, c_custkey FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON c_nationkey = n_nationkey")
@@ -67,8 +76,17 @@ def j16(spark, sf):
 
 @query("j17_neighbourhood", "SELECT DISTINCT id FROM (SELECT 'c' || o_custkey AS id FROM orders WHERE o_orderkey < 200 UNION ALL SELECT 'p' || l_partkey FROM lineitem WHERE l_orderkey < 200)")
 def j17(spark, sf):
-    out = table(spark, sf, "orders").where("o_orderkey < 200").select(F.concat(F.lit("c"), F.col("o_custkey")).alias("id"))
-    into = table(spark, sf, "lineitem").where("l_orderkey < 200").select(F.concat(F.lit("p"), F.col("l_partkey")).alias("id"))
+    return neighbours(table(spark, sf, "orders").where("o_orderkey < 200"), table(spark, sf, "lineitem").where("l_orderkey < 200"))
+
+
+@query("j17_neighbourhood_whole", "SELECT DISTINCT id FROM (SELECT 'c' || o_custkey AS id FROM orders UNION ALL SELECT 'p' || l_partkey FROM lineitem)")
+def j17b(spark, sf):
+    return neighbours(table(spark, sf, "orders"), table(spark, sf, "lineitem"))
+
+
+def neighbours(orders, lineitem):
+    out = orders.select(F.concat(F.lit("c"), F.col("o_custkey")).alias("id"))
+    into = lineitem.select(F.concat(F.lit("p"), F.col("l_partkey")).alias("id"))
     return out.union(into).distinct()
 
 

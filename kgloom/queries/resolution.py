@@ -162,9 +162,18 @@ def n03(spark, sf):
 
 @query("n05_memory_parse", "SELECT event_id, event_type AS fact, 0.9::DOUBLE AS confidence FROM events WHERE event_id < 500")
 def n05(spark, sf):
+    return memories(table(spark, sf, "events").where("event_id < 500"))
+
+
+@query("n05_memory_parse_whole", "SELECT event_id, event_type AS fact, 0.9::DOUBLE AS confidence FROM events")
+def n05b(spark, sf):
+    return memories(table(spark, sf, "events"))
+
+
+def memories(events):
     raw = F.concat(F.lit('Here: {"facts": ["'), "event_type", F.lit('", " "]} ok'))
     facts = F.from_json(F.regexp_extract(raw, r"(?s)\{.*\}", 0), "struct<facts:array<string>>")["facts"]
-    e = table(spark, sf, "events").where("event_id < 500").select("event_id", F.explode(F.filter(facts, lambda x: F.trim(x) != "")).alias("fact"))
+    e = events.select("event_id", F.explode(F.filter(facts, lambda x: F.trim(x) != "")).alias("fact"))
     return e.select("event_id", "fact", F.lit(0.9).alias("confidence"))
 
 

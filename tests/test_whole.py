@@ -59,3 +59,22 @@ def test_components(spark):
     edges = [(1, 9), (9, 4), (4, 30), (30, 2), (50, 51), (51, 52), (60, 60), (70, 69), *((i, i + 1) for i in range(100, 160))]
     got = {r.node: r.root for r in G.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {1: 1, 9: 1, 4: 1, 30: 1, 2: 1, 50: 50, 51: 50, 52: 50, 60: 60, 70: 69, 69: 69, **{i: 100 for i in range(100, 161)}}
+
+
+def test_rows_of_any_id_are_read(spark, tables):
+    far = 10**9
+    sf = tables(
+        documents=([(1, "ALPHABET"), (far, "ALPHABET and BETAMAX")], "doc_id long, text string"),
+        orders=([(1, 3, "F"), (far, far, "F")], "o_orderkey long, o_custkey long, o_orderstatus string"),
+        lineitem=([(1, 4), (far, far)], "l_orderkey long, l_partkey long"),
+        part=([(4, "bolt"), (far, "nut")], "p_partkey long, p_name string"),
+        events=([(1, "view"), (far, "click")], "event_id long, event_type string"),
+        benchmark=([(1, "one\ntwo"), (far, "x"), (far, "y")], "item_id long, text string"),
+    )
+    got = lambda name: sorted(map(tuple, QUERIES[name](spark, sf).collect()))
+    assert got("g05_entity_mentions_whole") == [("alphabet", 2, f"1,{far}"), ("betamax", 1, f"{far}")]
+    assert got("g13_triplets_whole") == [(f"customer {far}", "PURCHASED", "nut"), ("customer 3", "PURCHASED", "bolt")]
+    assert got("j05_mentions_whole") == [(4, "1"), (far, f"{far}")]
+    assert got("j17_neighbourhood_whole") == [(f"c{far}",), ("c3",), (f"p{far}",), ("p4",)]
+    assert got("n05_memory_parse_whole") == [(1, "view", 0.9), (far, "click", 0.9)]
+    assert got("s07_text_scan_whole") == [(1, "one\ntwo"), (far, "x"), (far, "y")]
