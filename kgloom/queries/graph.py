@@ -94,6 +94,34 @@ def g11(spark, sf):
     return G.merged(small_edges(spark, sf), canonical).select("src", "dst", "rel").distinct()
 
 
+def order_edges(spark, sf):
+    """Edges of all orders with ids in ranges of their own: order, customer, nation and region LOCATED, order, part and supplier SUPPLIED."""
+    at = lambda c, n: (F.col(c) + n * 10**12).cast("long")
+    o, c, n = table(spark, sf, "orders"), table(spark, sf, "customer"), table(spark, sf, "nation")
+    placed = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    order, customer, nation, region = at("o_orderkey", 0), at("c_custkey", 1), at("n_nationkey", 2), at("n_regionkey", 3)
+    part, supplier = at("l_partkey", 4), at("l_suppkey", 5)
+    located = [placed.select(a.alias("src"), b.alias("dst"), F.lit("LOCATED").alias("rel")) for a, b in ((order, customer), (order, nation), (order, region), (customer, nation), (customer, region), (nation, region))]
+    supplied = [table(spark, sf, "lineitem").select(a.alias("src"), b.alias("dst"), F.lit("SUPPLIED").alias("rel")) for a, b in ((at("l_orderkey", 0), part), (at("l_orderkey", 0), supplier), (part, supplier))]
+    edges = located[0]
+    for e in (*located[1:], *supplied):
+        edges = edges.union(e)
+    return edges.distinct()
+
+
+@query("g10_transitive_reduction_whole")
+def g10b(spark, sf):
+    return G.reduced(order_edges(spark, sf)).select("src", "dst", "rel")
+
+
+@query("g11_node_merge_whole")
+def g11b(spark, sf):
+    """Parts of one name become the one with the smallest id."""
+    p = table(spark, sf, "part").select(F.lower("p_name").alias("name"), (F.col("p_partkey") + 4 * 10**12).alias("dup"))
+    canonical = p.join(p.groupBy("name").agg(F.min("dup").alias("keep")), "name").where("dup <> keep").select("dup", "keep").distinct()
+    return G.merged(order_edges(spark, sf), canonical).select("src", "dst", "rel").distinct()
+
+
 @query("g14_neighbourhood", "SELECT DISTINCT id FROM (SELECT o_orderkey AS id FROM orders WHERE o_custkey = 7 UNION ALL SELECT o_custkey FROM orders WHERE o_orderkey = 7)")
 def g14(spark, sf):
     o = table(spark, sf, "orders")
