@@ -266,6 +266,23 @@ def shingles(array: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
                 yield first + r, h[:0]
 
 
+def grams(array: pa.Array, sizes: list[int]) -> Iterator[np.ndarray]:
+    """For every row the hashes of its runs of so many words; a run of 1 to 4 words has the
+    hash that ``shingles`` gives a text of just these words."""
+    for first, after, data, offsets in utf8_parts(array):
+        starts, ends, at = words_of(data, offsets)
+        word = span_hash(prefix_hash(LOWER_CODE[data]), starts, ends)
+        runs = []
+        for n in sizes:
+            h = np.zeros(max(0, len(word) - n + 1), dtype=np.uint64)
+            for j in range(n):
+                h = h * _MULTIPLY + word[j : len(h) + j]
+            runs.append(mix(h ^ np.uint64(n)))
+        for r in range(after - first):
+            a, b = int(at[r]), int(at[r + 1])
+            yield np.concatenate([h[a : max(a, b - n + 1)] for n, h in zip(sizes, runs, strict=True)])
+
+
 def distinct(x: np.ndarray) -> np.ndarray:
     x = np.sort(x)
     keep = np.ones(len(x), dtype=bool)

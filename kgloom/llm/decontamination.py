@@ -13,6 +13,9 @@ shingles of whole texts.
 Items are the query side: they go to the executors in blocks of ``block`` items,
 one pass over the documents for each block, so memory doesn't grow with them.
 
+Items of 1 to 4 words have no shingle inside a longer document: they are contained
+in the documents in which their words occur in a row, and count as one shingle.
+
 Defined results: null text or text without words contains nothing; an item
 without words is contained in nothing; a document that repeats appears for each
 row; ids may be null and are returned as they are; other columns are ignored.
@@ -21,13 +24,14 @@ row; ids may be null and are returned as they are; other columns are ignored.
 from __future__ import annotations
 
 import math
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import distinct, shingles, written
+from kgloom.llm.common import SHINGLE, distinct, grams, shingles, utf8_parts, words_of, written
 
 PREFILTER_BITS = 20
 MISS = 1e-12
@@ -40,6 +44,13 @@ def bin_bits(doc_size: int, item_size: int, threshold: float, miss: float = MISS
     return min(63, math.ceil(math.log2(doc_size) - math.log2(miss) / shared))
 
 
+def word_counts(texts: list[str]) -> list[int]:
+    out: list[int] = []
+    for _, _, data, offsets in utf8_parts(pa.array(texts, pa.large_string())):
+        out += np.diff(words_of(data, offsets)[2]).tolist()
+    return out
+
+
 class Block:
     """The items of one block, indexed by their signatures."""
 
@@ -48,17 +59,30 @@ class Block:
         self.ids = [i for i, _ in items]
         self.sets = [sets[r] for r in range(len(items))]
         self.threshold = threshold
+        counts = word_counts([t or "" for _, t in items])
+        #: items under five words by hash, and their numbers of words
+        self.short: dict[int, list[int]] = {}
+        for r, n in enumerate(counts):
+            if 0 < n < SHINGLE:
+                self.short.setdefault(int(self.sets[r][0]), []).append(r)
+        self.short_sizes = sorted({n for n in counts if 0 < n < SHINGLE})
+        self.short_hashes = np.array(sorted(self.short), dtype=np.uint64)
+        full = [s if n >= SHINGLE else s[:0] for s, n in zip(self.sets, counts, strict=True)]
         self.by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for band in sorted({len(s).bit_length() - 1 for s in self.sets if len(s)}):
-            own = [r for r, s in enumerate(self.sets) if len(s) and len(s).bit_length() - 1 == band]
+        for band in sorted({len(s).bit_length() - 1 for s in full if len(s)}):
+            own = [r for r, s in enumerate(full) if len(s) and len(s).bit_length() - 1 == band]
             h = np.concatenate([self.sets[r] for r in own])
             who = np.repeat(own, [len(self.sets[r]) for r in own])
             order = np.argsort(h, kind="stable")
             self.by_size[band] = h[order], who[order]
-        self.all = distinct(np.concatenate(self.sets)) if self.sets else np.zeros(0, np.uint64)
+        self.all = distinct(np.concatenate(full)) if full else np.zeros(0, np.uint64)
         self.maybe = np.zeros(1 << PREFILTER_BITS, dtype=bool)
         self.maybe[(self.all >> np.uint64(64 - PREFILTER_BITS)).astype(np.int64)] = True
 
+    def words_in_row(self, g: np.ndarray) -> list[tuple[int, int]]:
+        """(item, 1) of the items under five words among the runs ``g``."""
+        return [(r, 1) for h in np.intersect1d(g, self.short_hashes) for r in self.short[int(h)]]
+
     def search(self, u: np.ndarray) -> list[tuple[int, int]]:
         """(item, shared shingles) of the items that ``u`` contains; u: sorted distinct hashes."""
         near = np.flatnonzero(self.maybe[(u >> np.uint64(64 - PREFILTER_BITS)).astype(np.int64)])
@@ -99,8 +123,9 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.75, block:
             for batch in batches:
                 ids = batch.column(0)
                 row, item, n, shared = [], [], [], []
-                for r, u in shingles(batch.column(1)):
-                    for i, k in index.search(u) if len(u) else ():
+                runs = grams(batch.column(1), index.short_sizes) if index.short else repeat(None)
+                for (r, u), g in zip(shingles(batch.column(1)), runs, strict=False):
+                    for i, k in [*(index.search(u) if len(u) else ()), *(index.words_in_row(g) if g is not None else ())]:
                         row.append(r)
                         item.append(index.ids[i])
                         n.append(len(index.sets[i]))

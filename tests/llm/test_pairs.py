@@ -72,6 +72,14 @@ def test_decontamination(spark, odd, none):
     assert contained(none, table).count() == 0 and contained(odd, table.limit(0)).count() == 0
 
 
+def test_items_under_five_words_inside_documents(spark):
+    docs = [(1, "here are Two\nwords of a longer text"), (2, "two  words"), (3, "two other words and two"), (4, "a b c d e"), (5, "x b c d"), (6, "b"), (7, None)]
+    items = [(10, "two words"), (11, "b c d"), (12, "b"), (13, "TWO WORDS"), (14, "d a"), (15, ""), (16, "a b c d e")]
+    got = sorted(map(tuple, contained(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block=3).collect()))
+    pairs = [(1, 10), (1, 13), (2, 10), (2, 13), (4, 11), (4, 12), (4, 16), (5, 11), (5, 12), (6, 12)]
+    assert got == [(d, i, 1, 1, 1.0) for d, i in pairs]
+
+
 VECTORS = [(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [1.0, 0.1]), (5, []), (6, [float("nan"), 1.0]), (7, [1.0, 0.0]), (7, [1.0, 0.0]), (8, [None, 1.0]), (9, [1.0, 0.0, 0.0]), (10, [0.7, 0.5]), (11, [1e-200, 1e-200]), (12, [float("inf"), 0.0])]
 
 
