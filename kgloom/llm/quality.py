@@ -10,12 +10,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgloom.llm.subwords import Model, train
 
 
+#: So many labels, the most frequent, are sampled one by one; all others together.
+APART = 256
+
+
 def remainder(key: str, of: int) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % of
 
@@ -24,15 +28,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     """Texts and labels of up to ``per_class`` documents of each class, smallest hash of
     the key first, and the shares of the classes. ``labels``: doc_id and ``label``."""
     one = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("_y"), F.max(label).alias("_z")).where("_y = _z").select("doc_id", "_y")
-    counts = {r["_y"]: r["n"] for r in one.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "_y").limit(256).collect()}
+    counts = {r["_y"]: r["n"] for r in one.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "_y").collect()}
     if not counts:
         return [], [], {}
     total = sum(counts.values())
     chosen = None
-    for y in sorted(counts):
+    common = list(counts)[:APART]
+    for y in sorted(common):
         part = one.where(F.col("_y") == F.lit(y)).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.union(part)
-    # at most 256 * per_class keys, whatever the input
+    if len(counts) > APART:
+        # each of the rarer labels has fewer rows than any of those above, so a window may gather them
+        first = Window.partitionBy("_y").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id")
+        rest = one.where(~F.col("_y").isin(common)).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_class)
+        chosen = chosen.union(rest.select("doc_id", "_y"))
+    # at most per_class keys a class
     rows = docs.where(F.octet_length("text") <= longest).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "_y").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
     return [r["text"] for r in rows], [r["_y"] for r in rows], {y: n / total for y, n in counts.items()}
 

@@ -228,6 +228,14 @@ def test_quality(spark, none):
     assert {r.score for r in quality.score(odd, nobody, ["doc_id"]).collect()} == {0.5}
 
 
+def test_all_label_values_are_classes(spark):
+    rows = [(i, f"text {i}", f"l{i % 300:03}" if i < 900 else "l000") for i in range(1000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts_, y, priors = quality.labelled_sample(d.select("doc_id", "text"), d.select("doc_id", "lang"), "lang", 2, 1000)
+    assert Counter(y) == {f"l{k:03}": 2 for k in range(300)} and len(texts_) == 600
+    assert priors["l000"] == 0.103 and priors["l299"] == 0.003 and len(priors) == 300
+
+
 def test_language(spark, none):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language.fit_language(d)
