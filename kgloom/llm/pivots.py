@@ -79,8 +79,9 @@ def bound_cells(units: np.ndarray, pivots: np.ndarray, radius: np.ndarray | None
     return own, mine, reach
 
 
-def join(vectors: DataFrame, cosine: float = 0.9, cell_rows: int = 4096, sample_rows: int = 20_000, most_pivots: int = 512) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every row of ``vectors`` (vec_id, embedding)."""
+def join(vectors: DataFrame, cosine: float = 0.9, cell_rows: int = 4096, sample_rows: int = 20_000, most_pivots: int = 512, most_dims: int = 4096) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every row of ``vectors`` (vec_id, embedding).
+    Each length of vectors is joined in turn; more than ``most_dims`` lengths are refused."""
     spark = vectors.sparkSession
     eps = math.sqrt(2 - 2 * cosine)
     e = F.transform("embedding", lambda x: x.cast("double"))
@@ -96,7 +97,9 @@ def join(vectors: DataFrame, cosine: float = 0.9, cell_rows: int = 4096, sample_
     rows = written(rows.withColumn("node", F.coalesce("id", F.lit(NO_ID) + F.monotonically_increasing_id())))
     groups = written(rows.where("raw is not null").groupBy("raw").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("copies")))
     reps = groups.select("rep", "copies", "raw", F.octet_length("raw").alias("dim"))
-    sizes = {r["dim"]: r["n"] for r in reps.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(4096).collect()}
+    sizes = {r["dim"]: r["n"] for r in reps.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(most_dims + 1).collect()}
+    if len(sizes) > most_dims:
+        raise ValueError(f"vectors of more than {most_dims} lengths: raise most_dims to join them all")
     counts = links = None
     for dim, n in sizes.items():
         part = reps.where(F.col("dim") == dim)

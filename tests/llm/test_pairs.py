@@ -90,6 +90,12 @@ def test_vectors(spark):
     assert [tuple(r) for r in join(spark.createDataFrame([(None, [1.0])], "vec_id long, embedding array<float>")).collect()] == [(None, 0, None, False)]
 
 
+def test_too_many_lengths_of_vectors_are_refused(spark):
+    df = spark.createDataFrame(VECTORS, "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="more than 1 lengths"):
+        join(df, most_dims=1)
+
+
 def test_vectors_in_many_cells(spark, sf):
     df = spark.read.parquet(f"{sf}/embeddings.parquet").limit(200)
     data = [(r.vec_id, list(r.embedding)) for r in df.collect()]
