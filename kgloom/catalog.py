@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MODULES = ("tabular", "analytics", "joins", "windows", "text", "vectors", "graph", "resolution", "chunks", "metadata", "streams", "connectors")
+MODULES = ("tabular", "analytics", "joins", "windows", "text", "vectors", "graph", "resolution", "chunks", "metadata", "streams", "connectors", "sessions")
 
 
 def load() -> None:

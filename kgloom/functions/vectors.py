@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -69,15 +73,51 @@ def centroids(df: DataFrame, key: str, vector: str) -> DataFrame:
 
 def pairs_above(df: DataFrame, key: str, vector: str, threshold: float, block_rows: int = 4096) -> DataFrame:
     """All pairs a < b with unit cosine of ``threshold`` or more, compared block by block: rows are
-    dealt to blocks, each pair of blocks is one task, and the blocks grow in number with the rows."""
-    import math
-
-    n = df.count()
-    blocks = max(1, math.ceil(n / block_rows))
-    rows = df.select(F.col(key).alias("k"), doubles(F.col(vector)).alias("v"), norm(F.col(vector)).alias("n"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"))
-    left = rows.select("k", "v", "n", "b", F.explode(F.sequence(F.col("b"), F.lit(blocks - 1))).alias("o")).select(F.col("k").alias("k1"), F.col("v").alias("v1"), F.col("n").alias("n1"), F.col("b").alias("x"), F.col("o").alias("y"))
-    right = rows.select("k", "v", "n", "b", F.explode(F.sequence(F.lit(0), F.col("b"))).alias("o")).select(F.col("k").alias("k2"), F.col("v").alias("v2"), F.col("n").alias("n2"), F.col("o").alias("x"), F.col("b").alias("y"))
-    j = left.join(right, ["x", "y"]).where((F.col("x") != F.col("y")) | (F.col("k1") < F.col("k2")))
-    dot = F.aggregate(F.zip_with("v1", "v2", lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p)
-    score = F.try_divide(dot, F.col("n1") * F.col("n2"))
-    return j.select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b"), ((score + 1) / 2).alias("similarity")).where(F.col("similarity") >= threshold)
+    dealt to blocks, each pair of blocks is one task of matrix products over Arrow batches, and the
+    blocks grow in number with the rows. Vectors of different lengths or without a norm aren't compared."""
+    blocks = max(1, math.ceil(df.count() / block_rows))
+    rows = df.select(F.col(key).alias("k"), doubles(F.col(vector)).alias("v"), F.size(vector).alias("dim"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"))
+    mates = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least("b", o).alias("x"), F.greatest("b", o).alias("y")))
+    dealt = rows.select("k", "v", "dim", "b", F.explode(mates).alias("p")).select("k", "v", "dim", "b", "p.x", "p.y")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        k, b = pdf["k"].to_numpy(), pdf["b"].to_numpy()
+        u = np.stack(pdf["v"].to_numpy())
+        length = np.sqrt((u * u).sum(axis=1))
+        fine = length > 0
+        k, b, u = k[fine], b[fine], u[fine] / length[fine, None]
+        first, second = (np.flatnonzero(b == x) for x in (pdf["x"].iloc[0], pdf["y"].iloc[0]))
+        out = []
+        for at in range(0, len(first), 512):
+            some = first[at : at + 512]
+            score = (u[some] @ u[second].T + 1) / 2
+            i, j = np.nonzero(score >= threshold)
+            one, two, score = k[some[i]], k[second[j]], score[i, j]
+            keep = one < two if pdf["x"].iloc[0] == pdf["y"].iloc[0] else np.ones(len(one), dtype=bool)
+            out.append(pd.DataFrame({"a": np.minimum(one, two)[keep], "b": np.maximum(one, two)[keep], "similarity": score[keep]}))
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "similarity": []})
+
+    return dealt.groupBy("dim", "x", "y").applyInPandas(compare, "a long, b long, similarity double")
+
+
+class ListIndex:
+    """An approximate index in the manner of inverted files: vectors belong to the nearest of ``lists``
+    centres, taken from the table by the hash of their keys, and a query looks into the ``probes`` nearest lists.
+    More probes find more; all of them find what an exact search finds."""
+
+    def __init__(self, df: DataFrame, key: str, vector: str, lists: int = 16):
+        self.key, self.vector = key, vector
+        best = df.where(norm(F.col(vector)) > 0).orderBy(F.xxhash64(key), key).limit(lists).select(vector)  # so many centres
+        self.centres = F.array(*[F.struct(F.lit(i).alias("list"), literal(r[0]).alias("c")) for i, r in enumerate(best.collect())])
+        self.rows = df.withColumn("_list", self.nearest(F.col(vector), 1)[0])
+
+    def nearest(self, v: Column, probes: int) -> Column:
+        ranked = F.array_sort(F.transform(self.centres, lambda s: F.struct((-F.coalesce(cosine(v, s["c"]), F.lit(-2.0))).alias("d"), s["list"].alias("list"))))
+        return F.transform(F.slice(ranked, 1, probes), lambda s: s["list"])
+
+    def search(self, queries: DataFrame, k: int, probes: int = 6) -> DataFrame:
+        """(query, key, similarity): up to ``k`` rows for each of ``queries`` (query, q), best first by similarity, then key."""
+        asked = queries.select("query", "q", F.explode(self.nearest(F.col("q"), probes)).alias("_list"))
+        hits = self.rows.join(asked, "_list").select("query", self.key, cosine(F.col("q"), F.col(self.vector)).alias("similarity"))
+        w = Window.partitionBy("query").orderBy(F.desc("similarity"), self.key)
+        return hits.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")

@@ -14,8 +14,12 @@ from pyspark.sql import functions as F
 def fixed_windows(text: Column, size: int, overlap: int) -> Column:
     """Array of windows that start every size - overlap characters; the last may be shorter."""
     step = size - overlap
-    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(step))
-    return F.when(F.length(text) > 0, F.transform(starts, lambda i: F.substring(text, i + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    # a stretch holds 64 windows: a window is looked up within its stretch, not from the text's start
+    stretch = 64 * step
+    stretches = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(stretch))
+    inside = lambda s: F.transform(F.sequence(F.lit(0), F.least(F.length(s) - 1, F.lit(stretch - 1)), F.lit(step)), lambda i: F.substring(s, i + 1, F.lit(size)))
+    parts = F.transform(F.transform(stretches, lambda a: F.substring(text, a + 1, F.lit(stretch + overlap))), inside)
+    return F.when(F.length(text) > 0, F.flatten(parts)).otherwise(F.array().cast("array<string>"))
 
 
 def table_chunks(text: str, most: int = 2500) -> list[str]:
@@ -261,6 +265,41 @@ def structured_rows(rows: list[str], most: int = 2500, overlap: int = 2) -> list
     return [*groups, held] if held else groups
 
 
+def grouping_column(head: list[str], rows: list[list[str]]) -> int | None:
+    """The first column that is no id, index or key, holds no broken numbers and has 2 to 20 values, fewer than 0.7 of its rows."""
+    for i, name in enumerate(head):
+        values = [r[i] for r in rows if r[i] != ""]
+        if any(w in name.lower() for w in ("id", "index", "key")) or all(re.fullmatch(r"[+-]?\d*\.\d+", v) for v in values):
+            continue
+        if 2 <= len(set(values)) <= 20 and len(set(values)) < 0.7 * len(rows):
+            return i
+    return None
+
+
+def sheet_chunks(cells: DataFrame, most: int = 2500) -> DataFrame:
+    """(path, sheet, chunk_index, kind, section, chunk) of the rows of sheets (path, sheet, row_index, cells), the first
+    row being the header. Rows with one value of the grouping column are one table; without such a column a
+    table has as many rows as their mean width allows, 5 to 50. A sheet is one task: its format bounds it."""
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        every = [[c or "" for c in r] for r in pdf.sort_values("row_index")["cells"]]
+        head, rows = every[0], [r for r in every[1:] if any(c.strip() for c in r)]
+        rows = [(r + [""] * len(head))[: len(head)] for r in rows]
+        line = lambda r: "| " + " | ".join(r) + " |"
+        table = lambda rs: "\n".join([line(head), line(["---"] * len(head)), *map(line, rs)])
+        by = grouping_column(head, rows)
+        if by is not None:
+            parts = [("group", f"Group: {head[by]} = {v}", [r for r in rows if r[by] == v]) for v in sorted({r[by] for r in rows if r[by] != ""})]
+        else:
+            width = sum(len(c) for r in rows for c in r) / len(rows) if rows else 0
+            step = max(5, min(50, int((most - 500) // (width or 100))))
+            parts = [("rows", f"Rows {i} to {min(i + step, len(rows))}", rows[i : i + step]) for i in range(0, len(rows), step)]
+        out = [(kind, section, c) for kind, section, rs in parts for c in table_chunks(table(rs), most)]
+        return pd.DataFrame([(pdf["path"].iloc[0], pdf["sheet"].iloc[0], i, *x) for i, x in enumerate(out)], columns=["path", "sheet", "chunk_index", "kind", "section", "chunk"])
+
+    return cells.groupBy("path", "sheet").applyInPandas(cut, "path string, sheet string, chunk_index int, kind string, section string, chunk string")
+
+
 def route(source: str, text: str) -> list[tuple[str, str]]:
     """(kind, text) by source type; unknown ones are chunked by meaning."""
     if source in ("url", "html"):
@@ -318,14 +357,16 @@ def repaired_json(raw: str) -> str:
 
 
 def indel_ratio(a: str, b: str) -> float:
-    """Normalised insert/delete similarity: twice the longest common subsequence over both lengths."""
+    """Normalised insert/delete similarity: twice the longest common subsequence over both lengths. A row of the
+    table is the bits of one integer: a step takes a word operation for every 30 characters, not one for each."""
     if not a and not b:
         return 1.0
-    row = [0] * (len(b) + 1)
+    where: dict[str, int] = {}
+    for i, x in enumerate(b):
+        where[x] = where.get(x, 0) | 1 << i
+    every = (1 << len(b)) - 1
+    row = every
     for x in a:
-        left = 0
-        for j, y in enumerate(b, 1):
-            up = row[j]
-            row[j] = left + 1 if x == y else max(up, row[j - 1])
-            left = up
-    return 2 * row[-1] / (len(a) + len(b))
+        hit = row & where.get(x, 0)
+        row = ((row + hit) | (row - hit)) & every
+    return 2 * (len(b) - row.bit_count()) / (len(a) + len(b))

@@ -62,7 +62,9 @@ def retrieve(chunks: DataFrame, edges: DataFrame, query: Column, terms: list[str
     """``chunks``: id, text, embedding; ``edges``: src, dst. Scored context chunks within the token budget."""
     found = vectors.top_k(chunks, "embedding", query, knobs.k, "id").where(F.col("similarity") >= knobs.threshold).select("id", "similarity")
     hits = chunks.where(F.exists(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains("text", t))).orderBy("id").limit(knobs.k) if terms else chunks.limit(0)
-    seeds = boosted(found, hits, "id")
+    # at most 2k rows, evaluated once for the hops and the scores
+    best = boosted(found, hits, "id")
+    seeds = chunks.sparkSession.createDataFrame(best.collect(), best.schema)
     reached = graph.expand(edges, seeds.select("id"), knobs.depth, knobs.per_hop) if knobs.depth else seeds.select("id", F.lit(0).alias("depth"))
     scored = reached.join(seeds, "id", "left")
     g = graph_score(F.col("depth"))

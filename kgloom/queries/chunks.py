@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from kgloom.catalog import table
 from kgloom.operators import chunking as K
 from kgloom.registry import query
+from kgloom.sources.readers import sheets, workbook
 
 
 def docs(spark, sf):
@@ -20,7 +21,8 @@ def k05(spark, sf):
 
 @query("k01_chunk_table")
 def k01(spark, sf):
-    rows = table(spark, sf, "lineitem").groupBy((F.col("l_orderkey") % 50).alias("t")).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" | ", F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string"), "l_returnflag"))), "\n").alias("body"))
+    """A table of lines for each supplier."""
+    rows = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").cast("long").alias("t")).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" | ", F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string"), "l_returnflag"))), "\n").alias("body"))
     text = rows.select("t", F.concat(F.lit("order | part | flag\n--- | --- | ---\n"), "body").alias("text"))
     return K.chunked(text, "t", "text", K.table_chunks)
 
@@ -43,16 +45,36 @@ def k04(spark, sf):
     return K.chunked(docs(spark, sf), "doc_id", "text", K.overlapped)
 
 
-@query("k06_chunk_sheet")
+@query("k06_chunk_sheet", "SELECT grp, min(chunk_index)::INT AS chunk_index, string_agg(line, chr(10) ORDER BY p_partkey) AS chunk FROM (SELECT p_type AS grp, p_partkey // 5000 AS part, p_partkey, p_name || ' | ' || p_brand AS line, (row_number() OVER (PARTITION BY p_type, p_partkey // 5000 ORDER BY p_partkey) - 1) // 50 AS chunk_index FROM part) GROUP BY grp, part, chunk_index")
 def k06(spark, sf):
-    """Rows of a sheet by the values of its grouping column."""
-    p = table(spark, sf, "part").select("p_partkey", "p_type", F.concat_ws(" | ", "p_name", "p_brand").alias("line"))
+    """Rows of a sheet by the values of its grouping column, 50 a chunk; a sheet is 5000 rows."""
+    from pyspark.sql import Window
+
+    part = F.floor(F.col("p_partkey") / 5000)
+    n = F.row_number().over(Window.partitionBy("grp", "part").orderBy("p_partkey"))
+    p = table(spark, sf, "part").select(F.col("p_type").alias("grp"), part.alias("part"), "p_partkey", F.concat_ws(" | ", "p_name", "p_brand").alias("line"))
+    rows = p.withColumn("chunk_index", F.floor((n - 1) / 50).cast("int")).groupBy("grp", "part", "chunk_index").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "line"))).alias("r"))
+    return rows.select("grp", "chunk_index", F.array_join(F.transform("r", lambda x: x["line"]), "\n").alias("chunk"))
+
+
+@query("k07_chunk_csv", "WITH w AS (SELECT avg(length(s_suppkey::VARCHAR) + length(s_name) + length(s_nationkey::VARCHAR)) AS w FROM supplier), r AS (SELECT s_suppkey, '| ' || s_suppkey || ' | ' || s_name || ' | ' || s_nationkey || ' |' AS line, (row_number() OVER (ORDER BY s_suppkey) - 1) // greatest(5, least(50, (2000 // w)::INT)) AS chunk_index FROM supplier, w) SELECT chunk_index::INT AS chunk_index, 'rows' AS kind, '| s_suppkey | s_name | s_nationkey |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg(line, chr(10) ORDER BY s_suppkey) AS chunk FROM r GROUP BY 1")
+def k07(spark, sf):
+    """A comma-separated file: no column groups its rows, so they are cut by their mean width."""
+    s = table(spark, sf, "supplier")
+    text = s.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", F.concat_ws(",", F.col("s_suppkey").cast("string"), "s_name", F.col("s_nationkey").cast("string")).alias("l")))), lambda x: x["l"]), "\n").alias("t"))
+    file = text.select(F.lit("suppliers.csv").alias("path"), F.concat(F.lit("s_suppkey,s_name,s_nationkey\n"), "t").cast("binary").alias("content"))  # one file
+    return K.sheet_chunks(sheets(file)).select("chunk_index", "kind", "chunk")
+
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("p_partkey")["line"].tolist()
-        return pd.DataFrame([(pdf["p_type"].iloc[0], i // 50, "\n".join(rows[i : i + 50])) for i in range(0, len(rows), 50)], columns=["grp", "chunk_index", "chunk"])
+@query("k06_chunk_workbook", "SELECT (dense_rank() OVER (ORDER BY g) - 1)::INT AS chunk_index, 'group' AS kind, '| key | shade | name |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || g || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS chunk FROM (SELECT *, 'shade ' || (n_nationkey % 3) AS g FROM nation) GROUP BY g")
+def k06b(spark, sf):
+    """A workbook's sheet, grouped by the first column with few values."""
+    def book(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [[str(k), f"shade {k % 3}", n] for k, n in sorted(zip(pdf["n_nationkey"], pdf["n_name"], strict=True))]
+        return pd.DataFrame({"path": ["nations.xlsx"], "content": [workbook({"all": [["key", "shade", "name"], [None, None], *rows]})]})
 
-    return p.withColumn("_part", F.floor(F.col("p_partkey") / 5000)).groupBy("p_type", "_part").applyInPandas(pack, "grp string, chunk_index int, chunk string")
+    files = table(spark, sf, "nation").groupBy().applyInPandas(book, "path string, content binary")  # one file
+    return K.sheet_chunks(sheets(files)).select("chunk_index", "kind", "chunk")
 
 
 @query("k08_chunk_html")
@@ -77,9 +99,10 @@ def k11(spark, sf):
     return K.chunked(d, "doc_id", "text", K.route, "kind_of")
 
 
-@query("k12_chunk_structured")
+@query("k12_chunk_structured", "SELECT o_custkey AS t, 0 AS chunk_index, 'chunk' AS kind, string_agg(o_orderkey || ',' || o_orderstatus, chr(10) ORDER BY o_orderkey || ',' || o_orderstatus) AS chunk FROM orders GROUP BY 1")
 def k12(spark, sf):
-    rows = table(spark, sf, "orders").groupBy((F.col("o_orderkey") % 100).alias("t")).agg(F.array_join(F.collect_list(F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderstatus")), "\n").alias("text"))
+    """The orders of each customer, sorted; none has more than fit in one group of rows here."""
+    rows = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("t")).agg(F.array_join(F.collect_list(F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderstatus")), "\n").alias("text"))
     return K.chunked(rows, "t", "text", lambda t: ["\n".join(g) for g in K.structured_rows(t.split("\n"))])
 
 

@@ -3,6 +3,7 @@
 import json
 import os
 import unicodedata
+import uuid
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -12,16 +13,11 @@ from kgloom.functions import vectors as V
 from kgloom.operators import chunking as K
 from kgloom.operators import retrieval as R
 from kgloom.registry import query
-from kgloom.sources.readers import scratch, whole_texts
+from kgloom.sources import pages as pages_of
+from kgloom.sources.readers import jdbc_table, scratch, sheets, whole_texts, workbook
 
 
-@query("s07_text_scan", "SELECT item_id, text FROM benchmark WHERE item_id < 5")
-def s07(spark, sf):
-    """Whole files, one a row."""
-    return scanned(spark, table(spark, sf, "benchmark").where("item_id < 5"))
-
-
-@query("s07_text_scan_whole", "SELECT item_id, text FROM benchmark")
+@query("s07_text_scan", "SELECT item_id, text FROM benchmark")
 def s07b(spark, sf):
     return scanned(spark, table(spark, sf, "benchmark"))
 
@@ -35,6 +31,68 @@ def scanned(spark, b):
     return t.select(one.alias("r")).select("r.item_id", "r.text")
 
 
+@query("s10_jdbc_scan", "SELECT s_suppkey, s_name FROM supplier")
+def s10_jdbc(spark, sf):
+    """A relational table in ranges of its key. The database is an embedded one in the driver's process, so this runs
+    with a local master; with a server only the address differs."""
+    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    table(spark, sf, "supplier").select("s_suppkey", F.col("s_name").cast("varchar(64)").alias("s_name")).write.format("jdbc").option("url", url).option("dbtable", "supplier").options(**driver).save()
+    bounds = table(spark, sf, "supplier").agg(F.min("s_suppkey"), F.max("s_suppkey")).first()
+    return jdbc_table(spark, url, "supplier", "s_suppkey", 4, (bounds[0], bounds[1] + 1), **driver).toDF("s_suppkey", "s_name")
+
+
+@query("s03_workbook_scan", "SELECT 'region ' || n_regionkey || '.xlsx' AS path, 'nations' AS sheet, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey))::INT AS row_index, n_nationkey || '|' || n_name AS line FROM nation UNION ALL SELECT DISTINCT 'region ' || n_regionkey || '.xlsx', 'nations', 0, 'key|name' FROM nation UNION ALL SELECT DISTINCT 'region ' || n_regionkey || '.xlsx', 'about', 0, 'region|' || n_regionkey FROM nation")
+def s03(spark, sf):
+    """All sheets of a workbook for each region."""
+    return sheets(workbooks(table(spark, sf, "nation"))).select("path", "sheet", "row_index", F.array_join("cells", "|").alias("line"))
+
+
+def workbooks(nation):
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = int(pdf["n_regionkey"].iloc[0])
+        rows = [["key", "name"], *[[str(k), n] for k, n in sorted(zip(pdf["n_nationkey"], pdf["n_name"], strict=True))]]
+        return pd.DataFrame({"path": [f"region {r}.xlsx"], "content": [workbook({"nations": rows, "about": [["region", str(r)]]})]})
+
+    return nation.groupBy("n_regionkey").applyInPandas(pack, "path string, content binary")
+
+
+@query("s04_graph_ingest_scan", 'SELECT n_nationkey::VARCHAR AS row_key, "column", target FROM (SELECT n_nationkey, unnest([\'name\', \'region\']) AS "column", unnest([n_name, n_regionkey::VARCHAR]) AS target FROM nation) UNION ALL SELECT r_regionkey::VARCHAR, \'name\', r_name FROM region')
+def s04(spark, sf):
+    """Workbooks and comma-separated files alike become cells by row key and column; the path's ending tells which is which."""
+    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
+
+    def book(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"path": ["nations.xlsx"], "content": [workbook({"all": [["key", "name", "region"], *[[str(a), b, str(c)] for a, b, c in pdf[["n_nationkey", "n_name", "n_regionkey"]].itertuples(index=False)]]})]})
+
+    text = r.agg(F.array_join(F.collect_list(F.concat_ws(",", F.col("r_regionkey").cast("string"), "r_name")), "\n").alias("t"))
+    files = n.groupBy().applyInPandas(book, "path string, content binary").union(text.select(F.lit("regions.csv").alias("path"), F.concat(F.lit("key,name\n"), "t").cast("binary").alias("content")))  # two files
+    rows = sheets(files)
+    heads = rows.where("row_index = 0").select("path", "sheet", F.col("cells").alias("head"))
+    cells = rows.where("row_index > 0").join(heads, ["path", "sheet"]).select(F.col("cells")[0].alias("row_key"), F.explode(F.slice(F.arrays_zip(F.col("head").alias("column"), F.col("cells").alias("target")), F.lit(2), F.size("head"))).alias("c"))
+    return cells.select("row_key", "c.column", "c.target").where("target is not null")
+
+
+@query("s14_drive_pages", "SELECT doc_id::VARCHAR AS id, source AS folder, (lang || '.txt') AS name, n_chars::BIGINT AS size FROM documents WHERE source = (SELECT min(source) FROM documents)")
+def s14(spark, sf):
+    """A drive's recorded listing, with the files under the chosen folders at any depth."""
+    d = table(spark, sf, "documents")
+    item = F.struct(F.col("doc_id").cast("string").alias("id"), F.concat("lang", F.lit(".txt")).alias("name"), F.col("n_chars").alias("size"), F.lit("2024-01-01T00:00:00Z").alias("lastModifiedDateTime"), F.struct(F.concat(F.lit("/drive/root:/"), "source").alias("path")).alias("parentReference"), F.struct(F.lit("text/plain").alias("mimeType")).alias("file"))
+    folder = F.struct(F.col("source").alias("id"), F.col("source").alias("name"), F.lit(0).cast("long").alias("size"), F.lit("2024-01-01T00:00:00Z").alias("lastModifiedDateTime"), F.struct(F.lit("/drive/root:").alias("path")).alias("parentReference"), F.struct(F.lit(1).alias("childCount")).alias("folder"))
+    pages = d.select(F.to_json(F.struct(F.array(item).alias("value"))).alias("page")).union(d.select("source").distinct().select(F.to_json(F.struct(F.array(folder).alias("value"))).alias("page")))
+    chosen = d.agg(F.min("source").alias("folder"))
+    return pages_of.drive_files(pages, chosen).select("id", "folder", "name", "size")
+
+
+@query("s16_mail_pages", "SELECT event_id::VARCHAR AS id, 'user' || user_id || '@example.com' AS sender, event_type AS subject, ts AS received FROM events WHERE ts >= TIMESTAMP '2024-01-15 00:00:00'")
+def s16(spark, sf):
+    """A mailbox's recorded listing since the last scan; a message that two pages hold comes once."""
+    e = table(spark, sf, "events")
+    item = F.struct(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("subject"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("receivedDateTime"), F.struct(F.struct(F.concat(F.lit("user"), "user_id", F.lit("@example.com")).alias("address")).alias("emailAddress")).alias("from"), F.col("props").alias("bodyPreview"))
+    pages = e.select(F.to_json(F.struct(F.array(item, item).alias("value"))).alias("page"))
+    return pages_of.messages(pages, "2024-01-15 00:00:00").select("id", "sender", "subject", "received")
+
+
 @query("s10_jdbc_stand_in", "SELECT s_suppkey, s_name FROM supplier")
 def s10(spark, sf):
     """The relational scan's projection over a Parquet stand-in; see readers.jdbc_table for the driver-backed one."""
@@ -102,7 +160,7 @@ def v08(spark, sf):
     return V.centroids(table(spark, sf, "embeddings"), "label", "embedding").select("label", F.round(F.col("centroid")[0], 6).alias("first_mean"))
 
 
-@query("n04_tiered_extraction")
+@query("n04_tiered_extraction", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'repair' ELSE 'model' END AS tier, '[\"' || event_type || '\"]' AS entities FROM events")
 def n04(spark, sf):
     """Tier by tier: parsed JSON, repaired JSON, rules. The model is a function; here it writes broken JSON for some rows."""
 

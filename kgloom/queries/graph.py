@@ -8,6 +8,11 @@ from kgloom.operators import retrieval as R
 from kgloom.registry import query
 
 
+def once(text, pattern):
+    """The lower-cased matches of a text, each once, so that repeats don't reach a shuffle."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.lower))
+
+
 def customer_nation(spark, sf):
     """Edges order -> customer -> nation with ids in ranges of their own."""
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("src"), (F.col("o_custkey") + 10_000_000).alias("dst"))
@@ -41,23 +46,18 @@ def g07(spark, sf):
 
 @query("g08_mentions_edges", "SELECT DISTINCT doc_id, lower(w) AS entity FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z]{4,10}')) AS w FROM documents)")
 def g08(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Z]{4,10}"), F.lit(0))).alias("w"))
-    return d.select("doc_id", F.lower("w").alias("entity")).distinct()
-
+    d = table(spark, sf, "documents").select("doc_id", F.explode(once("text", "[A-Z]{4,10}")).alias("entity"))
+    return d.distinct()
 
-@query("g05_entity_mentions", "SELECT entity, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS chunks FROM (SELECT DISTINCT doc_id, lower(w) AS entity FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z]{6,10}')) AS w FROM documents WHERE doc_id < 400)) GROUP BY 1")
-def g05(spark, sf):
-    return mentions(table(spark, sf, "documents").where("doc_id < 400"))
 
-
-@query("g05_entity_mentions_whole", "SELECT entity, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS chunks FROM (SELECT DISTINCT doc_id, lower(w) AS entity FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z]{6,10}')) AS w FROM documents)) GROUP BY 1")
+@query("g05_entity_mentions", "SELECT entity, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS chunks FROM (SELECT DISTINCT doc_id, lower(w) AS entity FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z]{6,10}')) AS w FROM documents)) GROUP BY 1")
 def g05b(spark, sf):
     return mentions(table(spark, sf, "documents"))
 
 
 def mentions(documents):
-    d = documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Z]{6,10}"), F.lit(0))).alias("w"))
-    g = d.select("doc_id", F.lower("w").alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("doc_id")).alias("c"))
+    d = documents.select("doc_id", F.explode(once("text", "[A-Z]{6,10}")).alias("entity"))
+    g = d.distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("doc_id")).alias("c"))
     return g.select("entity", "n", F.array_join(F.transform("c", lambda x: x.cast("string")), ",").alias("chunks"))
 
 
@@ -70,28 +70,13 @@ def g09(spark, sf):
     return G.without_duplicates(part_supplier(spark, sf), ["tax"], "ord")
 
 
-@query("g09_edge_dedup_collapsed", "SELECT l_partkey AS src, l_suppkey AS dst, count(*) AS n FROM lineitem GROUP BY 1, 2")
+@query("g09_edge_dedup_collapsed", "SELECT l_partkey AS src, l_suppkey AS dst, first(l_tax ORDER BY lpad(l_orderkey::VARCHAR, 12, '0') || '-' || l_linenumber || '-' || l_extendedprice) FILTER (l_tax > 0.04) AS tax FROM lineitem GROUP BY 1, 2")
 def g09b(spark, sf):
-    e = part_supplier(spark, sf).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
-    return e
-
-
-SMALL = "SELECT DISTINCT (l_partkey % 60) AS src, ((l_suppkey * 7 + l_partkey) % 60) AS dst, l_returnflag AS rel FROM lineitem WHERE l_orderkey < 60"
-
-
-def small_edges(spark, sf):
-    return table(spark, sf, "lineitem").where("l_orderkey < 60").select((F.col("l_partkey") % 60).alias("src"), ((F.col("l_suppkey") * 7 + F.col("l_partkey")) % 60).alias("dst"), F.col("l_returnflag").alias("rel")).distinct()
-
+    """Edges of all types between two nodes become one."""
+    return G.without_duplicates(part_supplier(spark, sf), ["tax"], "ord", keep_rel=False)
 
-@query("g10_transitive_reduction", f"WITH e AS ({SMALL}), h AS (SELECT * FROM e WHERE src <> dst) SELECT src, dst, rel FROM e WHERE NOT (src <> dst AND (EXISTS (SELECT 1 FROM h a JOIN h b ON a.dst = b.src AND a.rel = b.rel WHERE a.src = e.src AND b.dst = e.dst AND a.rel = e.rel) OR EXISTS (SELECT 1 FROM h a JOIN h b ON a.dst = b.src AND a.rel = b.rel JOIN h c ON b.dst = c.src AND b.rel = c.rel WHERE a.src = e.src AND c.dst = e.dst AND a.rel = e.rel AND b.dst <> e.src AND a.dst <> e.dst)))")
-def g10(spark, sf):
-    return G.reduced(small_edges(spark, sf)).select("src", "dst", "rel")
 
-
-@query("g11_node_merge", f"WITH e AS ({SMALL}), m AS (SELECT src, dst, rel, CASE WHEN src % 5 = 0 THEN src // 2 ELSE src END AS s, CASE WHEN dst % 5 = 0 THEN dst // 2 ELSE dst END AS d FROM e) SELECT DISTINCT s AS src, d AS dst, rel FROM m WHERE s <> d OR src = dst")
-def g11(spark, sf):
-    canonical = spark.range(0, 60, 5).select(F.col("id").alias("dup"), F.floor(F.col("id") / 2).alias("keep"))
-    return G.merged(small_edges(spark, sf), canonical).select("src", "dst", "rel").distinct()
+ORDER_EDGES = "SELECT DISTINCT src::BIGINT AS src, dst::BIGINT AS dst, rel FROM (WITH p AS (SELECT o_orderkey AS o, c_custkey + 1000000000000 AS c, n_nationkey + 2000000000000 AS n, n_regionkey + 3000000000000 AS r FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey), s AS (SELECT l_orderkey AS o, l_partkey + 4000000000000 AS p, l_suppkey + 5000000000000 AS u FROM lineitem) SELECT o AS src, c AS dst, 'LOCATED' AS rel FROM p UNION ALL SELECT o, n, 'LOCATED' FROM p UNION ALL SELECT o, r, 'LOCATED' FROM p UNION ALL SELECT c, n, 'LOCATED' FROM p UNION ALL SELECT c, r, 'LOCATED' FROM p UNION ALL SELECT n, r, 'LOCATED' FROM p UNION ALL SELECT o, p, 'SUPPLIED' FROM s UNION ALL SELECT o, u, 'SUPPLIED' FROM s UNION ALL SELECT p, u, 'SUPPLIED' FROM s)"
 
 
 def order_edges(spark, sf):
@@ -109,12 +94,12 @@ def order_edges(spark, sf):
     return edges.distinct()
 
 
-@query("g10_transitive_reduction_whole")
+@query("g10_transitive_reduction", f"WITH e AS ({ORDER_EDGES}), h AS (SELECT * FROM e WHERE src <> dst), two AS (SELECT DISTINCT a.rel, a.src AS u, b.src AS x, b.dst AS y FROM h a JOIN h b ON a.dst = b.src AND a.rel = b.rel WHERE b.dst <> a.src), gone AS (SELECT rel, u, y AS v FROM two UNION SELECT t.rel, t.u, c.dst FROM two t JOIN h c ON c.src = t.y AND c.rel = t.rel WHERE c.dst NOT IN (t.u, t.x)) SELECT src, dst, rel FROM e WHERE (rel, src, dst) NOT IN (SELECT rel, u, v FROM gone)")
 def g10b(spark, sf):
     return G.reduced(order_edges(spark, sf)).select("src", "dst", "rel")
 
 
-@query("g11_node_merge_whole")
+@query("g11_node_merge", f"WITH m AS (SELECT p_partkey + 4000000000000 AS dup, min(p_partkey + 4000000000000) OVER (PARTITION BY lower(p_name)) AS keep FROM part), e AS (SELECT coalesce(a.keep, src)::BIGINT AS s, coalesce(b.keep, dst)::BIGINT AS d, src, dst, rel FROM ({ORDER_EDGES}) LEFT JOIN m a ON a.dup = src LEFT JOIN m b ON b.dup = dst) SELECT DISTINCT s AS src, d AS dst, rel FROM e WHERE s <> d OR src = dst")
 def g11b(spark, sf):
     """Parts of one name become the one with the smallest id."""
     p = table(spark, sf, "part").select(F.lower("p_name").alias("name"), (F.col("p_partkey") + 4 * 10**12).alias("dup"))
@@ -122,10 +107,28 @@ def g11b(spark, sf):
     return G.merged(order_edges(spark, sf), canonical).select("src", "dst", "rel").distinct()
 
 
-@query("g14_neighbourhood", "SELECT DISTINCT id FROM (SELECT o_orderkey AS id FROM orders WHERE o_custkey = 7 UNION ALL SELECT o_custkey FROM orders WHERE o_orderkey = 7)")
+@query("g14_neighbourhood", f"WITH e AS ({EDGES}), s AS (SELECT s_suppkey + 10000000 AS id FROM supplier) SELECT DISTINCT id AS node, dst AS id FROM s JOIN (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e) ON id = src")
 def g14(spark, sf):
-    o = table(spark, sf, "orders")
-    return o.where("o_custkey = 7").select(F.col("o_orderkey").alias("id")).union(o.where("o_orderkey = 7").select("o_custkey")).distinct()
+    """One hop around several nodes at once."""
+    return G.neighbours(customer_nation(spark, sf), some_customers(spark, sf))
+
+
+def some_customers(spark, sf):
+    """The nodes of the customers whose number is a supplier's, too."""
+    return table(spark, sf, "supplier").select((F.col("s_suppkey") + 10_000_000).cast("long").alias("id"))
+
+
+@query("u02_union_of_neighbourhoods", f"WITH e AS ({EDGES}), s AS (SELECT s_suppkey + 10000000 AS id FROM supplier) SELECT DISTINCT dst AS id FROM s JOIN e ON id = src UNION SELECT DISTINCT src FROM s JOIN e ON id = dst")
+def u02(spark, sf):
+    """What leads out of the nodes and what leads into them, each once."""
+    return G.neighbours(customer_nation(spark, sf), some_customers(spark, sf)).select("id").distinct()
+
+
+@query("j08_frontier_chunks", f"WITH e AS ({EDGES}), s AS (SELECT s_suppkey + 10000000 AS id FROM supplier), b AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e) SELECT o_orderkey AS id, o_totalprice FROM orders WHERE o_orderkey IN (SELECT dst FROM b JOIN s ON src = id) AND o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')")
+def j08(spark, sf):
+    """Orders one undirected edge away from the frontier that weren't visited before."""
+    o = table(spark, sf, "orders").withColumnRenamed("o_orderkey", "id")
+    return G.frontier_rows(customer_nation(spark, sf), some_customers(spark, sf), o.where("o_orderstatus = 'P'").select("id"), o.select("id", "o_totalprice"))
 
 
 @query("g15_relational_to_graph", "SELECT 'customer:' || c_custkey AS src, 'nation:' || c_nationkey AS dst, 'IN_NATION' AS rel FROM customer WHERE c_nationkey IS NOT NULL UNION ALL SELECT 'orders:' || o_orderkey, 'customer:' || o_custkey, 'PLACED_BY' FROM orders WHERE o_custkey IS NOT NULL")
@@ -160,12 +163,7 @@ def g18(spark, sf):
     return table(spark, sf, "part").selectExpr("p_partkey as row", "stack(2, 'brand', p_brand, 'type', p_type) as (column, target)")
 
 
-@query("g13_triplets", "SELECT DISTINCT 'customer ' || o_custkey AS subject, 'PURCHASED' AS predicate, p_name AS object FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderkey < 500")
-def g13(spark, sf):
-    return triplets(spark, sf, table(spark, sf, "orders").where("o_orderkey < 500"))
-
-
-@query("g13_triplets_whole", "SELECT DISTINCT 'customer ' || o_custkey AS subject, 'PURCHASED' AS predicate, p_name AS object FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey")
+@query("g13_triplets", "SELECT DISTINCT 'customer ' || o_custkey AS subject, 'PURCHASED' AS predicate, p_name AS object FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey")
 def g13b(spark, sf):
     return triplets(spark, sf, table(spark, sf, "orders"))
 

@@ -96,7 +96,9 @@ def q11(spark, sf):
 @query("q12_idf_discount", "WITH t AS (SELECT DISTINCT doc_id, lower(w) AS term FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS w FROM documents)), n AS (SELECT count(*) AS total FROM documents) SELECT term, count(*) AS docs, round(ln(max(total)::DOUBLE / count(*)) / ln(max(total)), 6) AS idf FROM t, n GROUP BY 1 HAVING count(*) >= 20")
 def q12(spark, sf):
     d = table(spark, sf, "documents")
-    terms = d.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("w")).select("doc_id", F.lower("w").alias("term")).distinct()
+    # each term once a text before any shuffle; the ids are distinct, so counting rows counts documents
+    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), F.lower))
+    terms = d.select(F.explode(words).alias("term"))
     total = d.count()
     g = terms.groupBy("term").agg(F.count(F.lit(1)).alias("docs")).where("docs >= 20")
     return g.select("term", "docs", F.round(C.idf(F.col("docs"), F.lit(float(total))), 6).alias("idf"))

@@ -41,15 +41,28 @@ def j11(spark, sf):
     return R.neighbour_pairs(table(spark, sf, "part"), "p_partkey", "p_name")
 
 
-@query("j12_acronym_pairs", "SELECT a.n_nationkey AS a, b.r_regionkey AS b FROM nation a JOIN region b ON a.n_regionkey = b.r_regionkey WHERE lower(a.n_name) = lower(b.r_name)")
+INITIALS = "SELECT DISTINCT p_type AS kind, p_name AS name FROM part UNION SELECT DISTINCT p_type, upper(p_name[1:1] || split_part(p_name, ' ', 2)[1:1]) FROM part WHERE p_size < 10"
+
+
+@query("x07_rank_window", "SELECT p_partkey AS id, row_number() OVER (ORDER BY lower(p_name), p_partkey) AS r FROM part")
+def x07(spark, sf):
+    """Places in the order of all names, which the window of neighbours counts in."""
+    return R.ranked(table(spark, sf, "part"), "p_partkey", "p_name")
+
+
+@query("j12_acronym_pairs", f"WITH e AS ({INITIALS}) SELECT a.kind, a.name AS short, b.name AS long FROM e a JOIN e b ON a.kind = b.kind AND length(a.name) = 2 AND length(b.name) > 2 AND lower(a.name) = b.name[1:1] || split_part(b.name, ' ', 2)[1:1]")
 def j12(spark, sf):
+    """Names and their acronyms within a type. Initials are a join key, so no two names are compared without need."""
     from kgloom.functions.scalars import acronym_match
 
-    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
-    return n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).where(acronym_match(F.col("n_name"), F.col("r_name"))).select(F.col("n_nationkey").alias("a"), F.col("r_regionkey").alias("b"))
+    p = table(spark, sf, "part")
+    short = F.upper(F.concat(F.substring("p_name", 1, 1), F.substring(F.split_part("p_name", F.lit(" "), F.lit(2)), 1, 1)))
+    e = p.select(F.col("p_type").alias("kind"), F.col("p_name").alias("name")).union(p.where("p_size < 10").select("p_type", short)).distinct()
+    a, b = R.by_initials(e, "name", "short"), R.by_initials(e, "name", "long")
+    j = a.join(b, ["kind", "initials"]).where(F.length("short") < F.length("long"))
+    return j.where(acronym_match(F.col("short"), F.col("long"))).select("kind", "short", "long").distinct()
 
 
-PAIRS = "SELECT a.c_custkey AS a, b.c_custkey AS b, a.c_name AS an, b.c_name AS bn, a.c_mktsegment AS am, b.c_mktsegment AS bm, a.c_nationkey AS ac, b.c_nationkey AS bc FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 1"
 SCORE = "CASE WHEN a % 97 = 0 THEN 0.0::DOUBLE ELSE round((1 - levenshtein(lower(an), lower(bn))::DOUBLE / greatest(length(an), length(bn))) * 30 + (am = bm)::INT * 20 + 10 + (ac = bc)::INT * 15 + 5 + 2.5, 6)::DOUBLE END"
 
 
@@ -64,44 +77,25 @@ def candidates(spark, sf):
     return R.blocked_pairs(n, "c_custkey", "nm").union(near).distinct()
 
 
-def scored(spark, sf, pairs=None):
-    """Scores of ``pairs`` (a, b), or of each id and the next one."""
+def scored(spark, sf, pairs):
+    """Scores of ``pairs`` (a, b)."""
     c = table(spark, sf, "customer")
     left, right = c.select([F.col(x).alias(f"l_{x}") for x in c.columns]), c.select([F.col(x).alias(f"r_{x}") for x in c.columns])
-    if pairs is None:
-        j = left.join(right, F.col("r_c_custkey") == F.col("l_c_custkey") + 1)
-    else:
-        j = pairs.join(left, F.col("a") == F.col("l_c_custkey")).join(right, F.col("b") == F.col("r_c_custkey"))
+    j = pairs.join(left, F.col("a") == F.col("l_c_custkey")).join(right, F.col("b") == F.col("r_c_custkey"))
     parts = {"name": R.name_score(F.col("l_c_name"), F.col("r_c_name")), "org": R.same_text(F.col("l_c_mktsegment"), F.col("r_c_mktsegment")), "loc": R.same_text(F.col("l_c_nationkey").cast("string"), F.col("r_c_nationkey").cast("string"))}
     return j.select(F.col("l_c_custkey").alias("a"), F.col("r_c_custkey").alias("b"), F.round(R.score(parts, F.col("l_c_custkey") % 97 == 0), 6).alias("score"))
 
 
-@query("n06_resolution_score", f"SELECT a, b, {SCORE} AS score FROM ({PAIRS})")
-def n06(spark, sf):
-    return scored(spark, sf)
-
-
-@query("n08_decision_bands", f"SELECT a, b, CASE WHEN s >= 95 THEN 'AUTO_MERGE' WHEN s >= 85 OR (a % 2 = 0 AND s >= 60) THEN 'REVIEW' ELSE 'DROP' END AS band FROM (SELECT a, b, {SCORE} AS s FROM ({PAIRS}))")
-def n08(spark, sf):
-    return scored(spark, sf).select("a", "b", R.band(F.col("score"), F.when(F.col("a") % 2 == 0, 0.9).otherwise(0.1)).alias("band"))
-
-
-@query("n06_resolution_score_candidates", f"SELECT a, b, {SCORE} AS score FROM ({CANDIDATE_PAIRS})")
+@query("n06_resolution_score", f"SELECT a, b, {SCORE} AS score FROM ({CANDIDATE_PAIRS})")
 def n06b(spark, sf):
     return scored(spark, sf, candidates(spark, sf))
 
 
-@query("n08_decision_bands_candidates", f"SELECT a, b, CASE WHEN s >= 95 THEN 'AUTO_MERGE' WHEN s >= 85 OR (a % 2 = 0 AND s >= 60) THEN 'REVIEW' ELSE 'DROP' END AS band FROM (SELECT a, b, {SCORE} AS s FROM ({CANDIDATE_PAIRS}))")
+@query("n08_decision_bands", f"SELECT a, b, CASE WHEN s >= 95 THEN 'AUTO_MERGE' WHEN s >= 85 OR (a % 2 = 0 AND s >= 60) THEN 'REVIEW' ELSE 'DROP' END AS band FROM (SELECT a, b, {SCORE} AS s FROM ({CANDIDATE_PAIRS}))")
 def n08b(spark, sf):
     return scored(spark, sf, candidates(spark, sf)).select("a", "b", R.band(F.col("score"), F.when(F.col("a") % 2 == 0, 0.9).otherwise(0.1)).alias("band"))
 
 
-@query("n07_relation_similarity", "WITH s AS (SELECT o_custkey AS id, list(DISTINCT o_orderpriority) AS r, list(DISTINCT o_orderstatus) AS t FROM orders WHERE o_custkey < 400 GROUP BY 1) SELECT a.id AS a, b.id AS b, round(greatest(0, len(list_intersect(a.r, b.r))::DOUBLE / len(list_distinct(list_concat(a.r, b.r))) - CASE WHEN len(list_intersect(a.t, b.t)) = 0 THEN 0.3::DOUBLE ELSE 0 END), 6) AS similarity FROM s a JOIN s b ON b.id = a.id + 3")
-def n07(spark, sf):
-    a, b = relations(table(spark, sf, "orders").where("o_custkey < 400"))
-    return similarities(a.join(b, F.col("b") == F.col("a") + 3))
-
-
 def relations(orders):
     s = orders.groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("r"), F.collect_set("o_orderstatus").alias("t"))
     a = s.select(F.col("o_custkey").alias("a"), F.col("r").alias("ra"), F.col("t").alias("ta"))
@@ -114,13 +108,13 @@ def similarities(pairs):
     return pairs.select("a", "b", F.round(F.greatest(F.lit(0.0), jaccard - F.when(~F.arrays_overlap("ta", "tb"), 0.3).otherwise(0.0)), 6).alias("similarity"))
 
 
-@query("n07_relation_similarity_candidates", f"WITH s AS (SELECT o_custkey AS id, list(DISTINCT o_orderpriority) AS r, list(DISTINCT o_orderstatus) AS t FROM orders GROUP BY 1) SELECT a.id AS a, b.id AS b, round(greatest(0, len(list_intersect(a.r, b.r))::DOUBLE / len(list_distinct(list_concat(a.r, b.r))) - CASE WHEN len(list_intersect(a.t, b.t)) = 0 THEN 0.3::DOUBLE ELSE 0 END), 6) AS similarity FROM ({CANDIDATES}) p JOIN s a ON a.id = p.a JOIN s b ON b.id = p.b")
+@query("n07_relation_similarity", f"WITH s AS (SELECT o_custkey AS id, list(DISTINCT o_orderpriority) AS r, list(DISTINCT o_orderstatus) AS t FROM orders GROUP BY 1) SELECT a.id AS a, b.id AS b, round(greatest(0, len(list_intersect(a.r, b.r))::DOUBLE / len(list_distinct(list_concat(a.r, b.r))) - CASE WHEN len(list_intersect(a.t, b.t)) = 0 THEN 0.3::DOUBLE ELSE 0 END), 6) AS similarity FROM ({CANDIDATES}) p JOIN s a ON a.id = p.a JOIN s b ON b.id = p.b")
 def n07b(spark, sf):
     a, b = relations(table(spark, sf, "orders"))
     return similarities(candidates(spark, sf).join(a, "a").join(b, "b"))
 
 
-@query("u06_jaccard_candidates", f"WITH s AS (SELECT o_custkey, list(DISTINCT o_orderpriority) AS p FROM orders GROUP BY 1) SELECT a.o_custkey AS a, b.o_custkey AS b, round(len(list_intersect(a.p, b.p))::DOUBLE / len(list_distinct(list_concat(a.p, b.p))), 6) AS jaccard FROM ({CANDIDATES}) c JOIN s a ON a.o_custkey = c.a JOIN s b ON b.o_custkey = c.b")
+@query("u06_jaccard", f"WITH s AS (SELECT o_custkey, list(DISTINCT o_orderpriority) AS p FROM orders GROUP BY 1) SELECT a.o_custkey AS a, b.o_custkey AS b, round(len(list_intersect(a.p, b.p))::DOUBLE / len(list_distinct(list_concat(a.p, b.p))), 6) AS jaccard FROM ({CANDIDATES}) c JOIN s a ON a.o_custkey = c.a JOIN s b ON b.o_custkey = c.b")
 def u06b(spark, sf):
     a, b = relations(table(spark, sf, "orders"))
     j = candidates(spark, sf).join(a, "a").join(b, "b")
@@ -140,8 +134,9 @@ def g12(spark, sf):
 @query("n01_regex_entities", "SELECT DISTINCT doc_id, lower(w) AS entity, 'ORGANIZATION' AS kind FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS w FROM documents) WHERE regexp_full_match(w, '[A-Za-z]{4,10}')")
 def n01(spark, sf):
     """The acronym pattern, which without case takes every word of 4 to 10 letters."""
-    w = table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("w"))
-    return w.where(F.col("w").rlike("^[A-Za-z]{4,10}$")).select("doc_id", F.lower("w").alias("entity"), F.lit("ORGANIZATION").alias("kind")).distinct()
+    words = F.filter(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: w.rlike("^[A-Za-z]{4,10}$"))
+    w = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(F.transform(words, F.lower))).alias("entity"))
+    return w.distinct().withColumn("kind", F.lit("ORGANIZATION"))
 
 
 @query("n02_entity_dedupe", "SELECT lower(p_name) AS entity, min(p_partkey) AS first_id FROM part GROUP BY 1")
@@ -160,12 +155,7 @@ def n03(spark, sf):
     return e.select("event_id", "t.subject", predicate(F.col("t.predicate")).alias("predicate"), "t.object")
 
 
-@query("n05_memory_parse", "SELECT event_id, event_type AS fact, 0.9::DOUBLE AS confidence FROM events WHERE event_id < 500")
-def n05(spark, sf):
-    return memories(table(spark, sf, "events").where("event_id < 500"))
-
-
-@query("n05_memory_parse_whole", "SELECT event_id, event_type AS fact, 0.9::DOUBLE AS confidence FROM events")
+@query("n05_memory_parse", "SELECT event_id, event_type AS fact, 0.9::DOUBLE AS confidence FROM events")
 def n05b(spark, sf):
     return memories(table(spark, sf, "events"))
 

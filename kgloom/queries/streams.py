@@ -42,24 +42,31 @@ def m04(spark, sf):
     return P.newest(spark, out).select("user_id", "event_id", "event_type")
 
 
-@query("m10_stream_dedupe")
+@query("m10_stream_dedupe", "SELECT DISTINCT user_id, event_type FROM events")
 def m10(spark, sf):
-    """One alert for each key within the watermark."""
+    """One alert for each key within the watermark; all files are one batch here, so one for each key."""
     out, ck = scratch(spark, "m10"), scratch(spark, "m10-ck")
     P.run_once(P.first_seen(staged(spark, sf).select("ts", "user_id", "event_type"), "ts", ["user_id", "event_type"]), out, ck)
     return spark.read.parquet(out).select("user_id", "event_type")
 
 
-@query("m01_stream_daily")
-def m01(spark, sf):
-    """Closed days only: the last ones wait for the watermark."""
-    out, ck = scratch(spark, "m01"), scratch(spark, "m01-ck")
-    P.run_once(P.daily(staged(spark, sf), "ts"), out, ck)
+def closed(spark, sf, make):
+    """The windows of all events: a marker later than every event goes into the folder after them and closes what
+    would wait for the watermark; its own window stays open and is never written."""
+    e = table(spark, sf, "events")
+    path, out, ck = (scratch(spark, n) for n in ("events-in", "windows", "windows-ck"))
+    e.repartitionByRange(4, "ts").write.parquet(path)
+    P.run_once(make(P.files(spark, path, e)), out, ck)
+    e.agg(F.max(F.col("ts")).alias("ts")).select(*[((F.col("ts") + F.expr("interval 60 days")) if c.name == "ts" else F.lit(None)).cast(c.dataType).alias(c.name) for c in e.schema]).write.mode("append").parquet(path)
+    P.run_once(make(P.files(spark, path, e)), out, ck)
     return spark.read.parquet(out)
 
 
-@query("m07_stream_sessions")
+@query("m01_stream_daily", "SELECT date_trunc('day', ts)::TIMESTAMP AS start, count(*) AS count FROM events GROUP BY 1")
+def m01(spark, sf):
+    return closed(spark, sf, lambda s: P.daily(s, "ts")).select(F.col("start").cast("timestamp_ntz").alias("start"), "count")
+
+
+@query("m07_stream_sessions", "WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g) SELECT user_id, min(ts) AS start, count(*) AS count FROM s GROUP BY user_id, n")
 def m07(spark, sf):
-    out, ck = scratch(spark, "m07"), scratch(spark, "m07-ck")
-    P.run_once(P.sessions(staged(spark, sf), "ts", "user_id"), out, ck)
-    return spark.read.parquet(out)
+    return closed(spark, sf, lambda s: P.sessions(s, "ts", "user_id")).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "count")

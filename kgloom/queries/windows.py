@@ -78,10 +78,16 @@ def t10(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").orderBy("l_orderkey", "l_linenumber", "l_partkey").limit(min(5000, 1000))
 
 
-@query("m05_feedback_weights")
+@query("m05_feedback_weights", "SELECT user_id, round(list_reduce(list_prepend(1.0::DOUBLE, list(CASE WHEN event_type IN ('purchase', 'click') THEN 0.1::DOUBLE ELSE -0.1 END ORDER BY ts, event_id)), lambda a, d: least(2.0::DOUBLE, greatest(0.1::DOUBLE, a + d))), 6) AS weight FROM events GROUP BY 1")
 def m05(spark, sf):
-    """Weights move by 0.1 and are clamped at every event, so the order counts."""
-    step = F.struct("ts", "event_id", F.when(F.col("event_type").isin("purchase", "click"), 0.1).otherwise(-0.1).alias("d"))
-    e = table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(step)).alias("s"))
-    w = F.aggregate("s", F.lit(1.0), lambda a, x: F.least(F.lit(2.0), F.greatest(F.lit(0.1), a + x["d"])))
-    return e.select("user_id", F.round(w, 6).alias("weight"))
+    """Weights move by 0.1 and are clamped at every event, so the order counts. A run of clamped steps is
+    again a shift with a lower and an upper bound: an hour's events become one such step first, and the
+    hours of a user are few, so no list grows with the events of a busy user."""
+    e = table(spark, sf, "events").select("user_id", "ts", "event_id", F.when(F.col("event_type").isin("purchase", "click"), 0.1).otherwise(-0.1).alias("d"))
+    low, high = F.lit(0.1), F.lit(2.0)
+    step = lambda a, x: F.struct((a["shift"] + x["d"]).alias("shift"), F.least(high, F.greatest(low, a["low"] + x["d"])).alias("low"), F.least(high, F.greatest(low, a["high"] + x["d"])).alias("high"))
+    hours = e.groupBy("user_id", F.date_trunc("hour", F.col("ts")).alias("hour")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "d"))).alias("s"))
+    hours = hours.select("user_id", "hour", F.aggregate("s", F.struct(F.lit(0.0).alias("shift"), low.alias("low"), high.alias("high")), step).alias("f"))
+    users = hours.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("hour", "f"))).alias("h"))
+    weight = F.aggregate("h", F.lit(1.0), lambda w, x: F.least(x["f"]["high"], F.greatest(x["f"]["low"], w + x["f"]["shift"])))
+    return users.select("user_id", F.round(weight, 6).alias("weight"))

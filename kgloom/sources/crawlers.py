@@ -2,8 +2,11 @@
 
 ``register(spark)`` adds the format ``folder_crawl``: a listing of files under a
 folder with their modification times. As a batch source it reads all; as a
-stream its offset is the newest modification time seen, which Structured
-Streaming keeps in the checkpoint, so a run continues where the last one stopped.
+stream its offset is the newest modification time seen and the files that have it, which Structured
+Streaming keeps in the checkpoint, so a run continues where the last one stopped and a file that
+appears later with the same time is still new. A folder that can't be read fails the run, so that the
+offset never passes it; ``skip_failed`` leaves it out instead. A listing is one task: it waits for a
+directory, not for data.
 Remote drives plug in by another ``listing`` of (id, folder, name, modified, size).
 """
 
@@ -19,8 +22,13 @@ SCHEMA = "id string, folder string, name string, modified long, size long"
 
 
 def folder_listing(options: dict) -> Iterator[tuple]:
-    """Files under ``root`` with a name that ends in ``suffix``; failed folders are skipped."""
-    for folder, _, names in os.walk(options["root"], onerror=lambda _: None):
+    """Files under ``root`` with a name that ends in ``suffix``."""
+
+    def failed(error: OSError) -> None:
+        if options.get("skip_failed", "false") != "true":
+            raise error
+
+    for folder, _, names in os.walk(options["root"], onerror=failed):
         for n in sorted(names):
             if n.endswith(options.get("suffix", "")):
                 path = os.path.join(folder, n)
@@ -47,14 +55,19 @@ class StreamReader(SimpleDataSourceStreamReader):
         self.options = options
 
     def initialOffset(self):
-        return {"modified": 0}
+        return {"modified": 0, "seen": []}
+
+    def after(self, start):
+        return [r for r in LISTINGS[self.options.get("listing", "folder")](self.options) if r[3] > start["modified"] or (r[3] == start["modified"] and r[0] not in start["seen"])]
 
     def read(self, start):
-        rows = [r for r in LISTINGS[self.options.get("listing", "folder")](self.options) if r[3] > start["modified"]]
-        return iter(rows), {"modified": max([start["modified"], *(r[3] for r in rows)])}
+        rows = self.after(start)
+        newest = max([start["modified"], *(r[3] for r in rows)])
+        seen = [r[0] for r in rows if r[3] == newest] + (start["seen"] if newest == start["modified"] else [])
+        return iter(rows), {"modified": newest, "seen": sorted(seen)}
 
     def readBetweenOffsets(self, start, end):
-        return iter([r for r in LISTINGS[self.options.get("listing", "folder")](self.options) if start["modified"] < r[3] <= end["modified"]])
+        return iter([r for r in self.after(start) if r[3] < end["modified"] or (r[3] == end["modified"] and r[0] in end["seen"])])
 
 
 class FolderCrawl(DataSource):

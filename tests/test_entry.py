@@ -24,5 +24,20 @@ def test_imports_without_the_optional_folders(tmp_path):
         q = e.queries()
         assert q and not any(n.startswith('op1') or n == 'pipeline' for n in q), sorted(q)[:5]
         e.oracle_sql()
+        from pyspark.sql import SparkSession
+        spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+        assert e.entry(spark).count() > 0 and q["a03_ast_group"](spark, "/root/testdata/sf0.001").count() > 0
+        spark.stop()
     """)
     subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path)
+
+
+def test_a_missing_library_takes_away_only_the_queries_that_need_it():
+    code = textwrap.dedent(f"""
+        import sys
+        sys.modules["zstandard"] = None
+        sys.path.insert(0, {ROOT!r})
+        import __spark_entry__ as e
+        assert "a03_ast_group" in e.queries() and "a03_ast_group" in e.oracle_sql()
+    """)
+    subprocess.run([sys.executable, "-W", "ignore", "-c", code], check=True)

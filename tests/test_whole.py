@@ -42,9 +42,9 @@ def customers():
 def test_entities_of_distant_ids_are_scored_and_planned(spark, tables):
     sf = tables(customer=(customers(), CUSTOMER), orders=([(k, k, "F", 1.0, "1-URGENT") for k, *_ in customers()], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string"))
     own = {(5, 1000), (40, 60), (40, 140), (60, 140), (7, 900)}
-    for name in ("n06_resolution_score_candidates", "n08_decision_bands_candidates", "n07_relation_similarity_candidates", "u06_jaccard_candidates"):
+    for name in ("n06_resolution_score", "n08_decision_bands", "n07_relation_similarity", "u06_jaccard"):
         assert own <= {(r.a, r.b) for r in QUERIES[name](spark, sf).collect()}, name
-    scores = [(r.score, r.a, r.b) for r in QUERIES["n06_resolution_score_candidates"](spark, sf).collect() if r.score >= 55]
+    scores = [(r.score, r.a, r.b) for r in QUERIES["n06_resolution_score"](spark, sf).collect() if r.score >= 55]
     got = {tuple(r) for r in QUERIES["g12_merge_plan"](spark, sf).collect()}
     assert got == plain_plan(scores) and {(5, 1000), (40, 60), (40, 140), (7, 900)} <= got
 
@@ -72,12 +72,12 @@ def test_rows_of_any_id_are_read(spark, tables):
         benchmark=([(1, "one\ntwo"), (far, "x"), (far, "y")], "item_id long, text string"),
     )
     got = lambda name: sorted(map(tuple, QUERIES[name](spark, sf).collect()))
-    assert got("g05_entity_mentions_whole") == [("alphabet", 2, f"1,{far}"), ("betamax", 1, f"{far}")]
-    assert got("g13_triplets_whole") == [(f"customer {far}", "PURCHASED", "nut"), ("customer 3", "PURCHASED", "bolt")]
-    assert got("j05_mentions_whole") == [(4, "1"), (far, f"{far}")]
-    assert got("j17_neighbourhood_whole") == [(f"c{far}",), ("c3",), (f"p{far}",), ("p4",)]
-    assert got("n05_memory_parse_whole") == [(1, "view", 0.9), (far, "click", 0.9)]
-    assert got("s07_text_scan_whole") == [(1, "one\ntwo"), (far, "x"), (far, "y")]
+    assert got("g05_entity_mentions") == [("alphabet", 2, f"1,{far}"), ("betamax", 1, f"{far}")]
+    assert got("g13_triplets") == [(f"customer {far}", "PURCHASED", "nut"), ("customer 3", "PURCHASED", "bolt")]
+    assert got("j05_mentions") == [(4, "1"), (far, f"{far}")]
+    assert got("j17_neighbourhood") == [(f"c{far}",), ("c3",), (f"p{far}",), ("p4",)]
+    assert got("n05_memory_parse") == [(1, "view", 0.9), (far, "click", 0.9)]
+    assert got("s07_text_scan") == [(1, "one\ntwo"), (far, "x"), (far, "y")]
 
 
 def test_reduction_and_merge_of_all_orders(spark, tables):
@@ -102,8 +102,8 @@ def test_reduction_and_merge_of_all_orders(spark, tables):
         two = {(x, y) for x in out(u) - {v} for y in out(x) - {u}}
         return any(y == v for _, y in two) or any(v in out(y) for x, y in two if y != v)
 
-    got = sorted(map(tuple, QUERIES["g10_transitive_reduction_whole"](spark, sf).collect()))
+    got = sorted(map(tuple, QUERIES["g10_transitive_reduction"](spark, sf).collect()))
     assert got == sorted(e for e in edges if e[0] == e[1] or not indirect(*e))
     one = lambda x: 61 + 4 * K if x == 121 + 4 * K else x
-    got = sorted(map(tuple, QUERIES["g11_node_merge_whole"](spark, sf).collect()))
+    got = sorted(map(tuple, QUERIES["g11_node_merge"](spark, sf).collect()))
     assert got == sorted({(one(s), one(d), r) for s, d, r in edges}) and len(got) < len(edges)
