@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import gc
+import hashlib
 import math
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -69,27 +71,85 @@ def buckets_for(df: DataFrame, each: int, least: int) -> int:
 
 
 def rank_within(df: DataFrame, keys: list[str], order: list[str], rank: str, per_bucket: int = 200_000, least: int = 16) -> tuple[DataFrame, DataFrame]:
-    """Gapless ranks from 0 within ``keys`` without gathering a key in one task.
-
-    Rows of a key are dealt to buckets by a salt; a bucket's rows are numbered
-    by a window and start after the buckets before it. ``df`` must be a written
-    table (its row order fixes the salt). Returns the ranked rows, and the
+    """Gapless ranks from 0 within ``keys`` without gathering a key in one task. Returns the ranked rows, and the
     counts by key.
+
+    Rows of a key are in the order of a hash of ``order``, then of ``order`` itself, so a rank depends on what the
+    rows hold and not on where they lie. Alike rows are one row with a number until the end; a range of
+    hashes is numbered by a window and starts after the ranges before it.
     """
-    buckets = max(least, math.ceil(df.count() / per_bucket))
-    salted = df.withColumn("_salt", F.xxhash64(F.monotonically_increasing_id(), *order))
-    salted = written(salted.withColumn("_bucket", F.pmod("_salt", F.lit(buckets)).cast("int")))
-    sizes = salted.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    kept = df.columns
+    alike = df.groupBy(*kept).agg(F.count(F.lit(1)).alias("_n"))
+    alike = written(alike.withColumn("_hash", F.xxhash64(*order)))
+    bits = max(least, math.ceil(alike.count() / per_bucket)).bit_length()
+    bucketed = alike.withColumn("_bucket", F.shiftright("_hash", 64 - bits).cast("int"))
+    sizes = bucketed.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_size"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = written(sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))))
-    counts = starts.groupBy(*keys).agg(F.sum("_n").alias("n"))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order, "_salt")
-    ranked = salted.withColumn("_row", F.row_number().over(inside) - 1)
-    on = [ranked[k].eqNullSafe(starts[k]) for k in keys] + [ranked["_bucket"] == starts["_bucket"]]
-    ranked = ranked.join(starts.hint("shuffle_hash"), on, "inner").select(*[ranked[c] for c in df.columns], (F.col("_start") + F.col("_row")).cast("long").alias(rank))
+    starts = written(sizes.withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0))))
+    counts = starts.groupBy(*keys).agg(F.sum("_size").alias("n"))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy("_hash", *order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = bucketed.withColumn("_row", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    on = [placed[k].eqNullSafe(starts[k]) for k in keys] + [placed["_bucket"] == starts["_bucket"]]
+    placed = placed.join(starts.hint("shuffle_hash"), on, "inner").select(*[placed[c] for c in kept], placed["_n"], (F.col("_start") + F.col("_row")).alias("_first"))
+    # the rows of a large number leave in stretches, so that no array grows with it
+    stretch = 10_000
+    parts = placed.withColumn("_at", F.explode(F.sequence(F.lit(0), F.col("_n") - 1, F.lit(stretch))))
+    nth = F.explode(F.sequence(F.col("_at"), F.least(F.col("_n"), F.col("_at") + stretch) - 1)).alias("_nth")
+    ranked = parts.select(*kept, "_first", nth).select(*kept, (F.col("_first") + F.col("_nth")).cast("long").alias(rank))
     return ranked, counts
 
 
+# ------------------------------------------------------------------ membership
+
+#: A bitmap for membership has at most 2**MARK_BITS bits (8 MB); beyond a million members it lets more and more through.
+MARK_BITS = 26
+
+
+class Marks:
+    """Which 64-bit hashes may be members: one bit for each value of their leading bits. Never wrong about a member."""
+
+    def __init__(self, hashes: DataFrame):
+        """``hashes`` has one long column; the bitmap is made by Spark and its size bounded whatever the input."""
+        name = hashes.columns[0]
+        n = hashes.count()
+        self.bits = int(min(MARK_BITS, max(12, (64 * n).bit_length())))
+        place = F.shiftrightunsigned(name, 64 - self.bits)
+        words = hashes.where(F.col(name).isNotNull()).groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{name}`, {64 - self.bits}) & 63 as int))")).alias("b"))
+        table = words.toArrow()  # 2**(bits - 6) rows of two numbers at most
+        self.words = np.zeros(1 << (self.bits - 6), dtype=np.uint64)
+        self.words[table.column(0).to_numpy()] = table.column(1).to_numpy().view(np.uint64)
+        self.shared = hashes.sparkSession.sparkContext.broadcast(self.words)
+
+    def test(self):
+        """A function of hashes (uint64) for use in tasks, which carries no bitmap itself."""
+        bits, shared = np.uint64(64 - self.bits), self.shared
+
+        def has(h: np.ndarray) -> np.ndarray:
+            at = h >> bits
+            return (shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+
+        return has
+
+
+def may_be_in(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """The rows of ``rows`` whose long ``key`` is among those of ``wanted``, and a few others: for a join to come, at every size."""
+    test = Marks(wanted.select(F.xxhash64(wanted_key).alias("h"))).test()
+
+    @F.pandas_udf("boolean")
+    def near(h: pd.Series) -> pd.Series:
+        return pd.Series(test(h.to_numpy().view(np.uint64)))
+
+    return rows.where(near(F.xxhash64(key)))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that ``df`` has no column of."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 # --------------------------------------------------------------- components
 
 
@@ -164,9 +224,8 @@ def _table() -> np.ndarray:
 
 
 BYTE_CODE = _table()
-_lower = np.arange(256, dtype=np.uint8)
-_lower[65:91] += 32
-LOWER_CODE = BYTE_CODE[_lower]
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
@@ -239,45 +298,72 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+#: Bytes of a word that is hashed in lanes of eight bytes; longer ones by a keyed digest.
+LANES = 64
+_TAIL = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number; zeros follow the last byte."""
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    return np.ndarray(shape=(len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes of spans: each lane of eight bytes goes through a mixer that also takes what came
+    before, so spans don't collide by their structure, as they may under a polynomial modulo a power of two. Two
+    given different spans have the same hash with a chance of about 2**-64."""
+    size = ends - starts
+    h = mix(size.astype(np.uint64) + np.uint64(0x452821E638D01377))
+    for i in np.flatnonzero(size > LANES):
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=b"words").digest(), "little")
+    view, live, at = lanes(data), np.flatnonzero((size > 0) & (size <= LANES)), 0
+    while len(live):
+        x = view[starts[live] + at] & _TAIL[np.minimum(8, size[live] - at)]
+        h[live] = mix((h[live] ^ x) * np.uint64(0xE7037ED1A0B428DB))
+        at += 8
+        live = live[size[live] > at]
+    return h
+
+
 SHINGLE = 5
 _MULTIPLY = np.uint64(0xA0761D6478BD642F | 1)
 
 
-def shingles(array: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted distinct 64-bit hashes of its 5-word shingles) for every row:
-    A-Z lowered; 1 to 4 words give one hash, none give an empty set."""
+def run_hashes(word: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the runs of ``n`` words that start at each word and end within them."""
+    h = np.full(max(0, len(word) - n + 1), n, dtype=np.uint64)
+    for j in range(n):
+        h = mix(h * _MULTIPLY + word[j : len(h) + j])
+    return h
+
+
+def words_hashed(array: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, first word by row, hashes of the words with A-Z lowered) for runs of rows.
+    Memory a byte of text is bounded whatever the text: some flags a byte and 8 bytes for each number of a word."""
     for first, after, data, offsets in utf8_parts(array):
         starts, ends, at = words_of(data, offsets)
-        word = span_hash(prefix_hash(LOWER_CODE[data]), starts, ends)
-        h = np.zeros(max(0, len(word) - SHINGLE + 1), dtype=np.uint64)
-        for j in range(SHINGLE):
-            h = h * _MULTIPLY + word[j : len(h) + j]
-        h = mix(h)
+        yield first, after, at, word_hashes(LOWER[data], starts, ends)
+
+
+def shingles(array: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, sorted distinct 64-bit hashes of its 5-word shingles) for every row: A-Z lowered; 1 to 4 words give
+    one hash, none give an empty set. Two given shingles are taken for one with a chance of about 2**-64."""
+    for first, after, at, word in words_hashed(array):
+        h = run_hashes(word, SHINGLE)
         for r in range(after - first):
             a, b = int(at[r]), int(at[r + 1])
             if b - a >= SHINGLE:
                 yield first + r, distinct(h[a : b - SHINGLE + 1])
-            elif b > a:
-                x = np.zeros(1, dtype=np.uint64)
-                for j in range(a, b):
-                    x = x * _MULTIPLY + word[j : j + 1]
-                yield first + r, mix(x ^ np.uint64(b - a))
             else:
-                yield first + r, h[:0]
+                yield first + r, run_hashes(word[a:b], b - a) if b > a else word[:0]
 
 
 def grams(array: pa.Array, sizes: list[int]) -> Iterator[np.ndarray]:
     """For every row the hashes of its runs of so many words; a run of 1 to 4 words has the
     hash that ``shingles`` gives a text of just these words."""
-    for first, after, data, offsets in utf8_parts(array):
-        starts, ends, at = words_of(data, offsets)
-        word = span_hash(prefix_hash(LOWER_CODE[data]), starts, ends)
-        runs = []
-        for n in sizes:
-            h = np.zeros(max(0, len(word) - n + 1), dtype=np.uint64)
-            for j in range(n):
-                h = h * _MULTIPLY + word[j : len(h) + j]
-            runs.append(mix(h ^ np.uint64(n)))
+    for first, after, at, word in words_hashed(array):
+        runs = [run_hashes(word, n) for n in sizes]
         for r in range(after - first):
             a, b = int(at[r]), int(at[r + 1])
             yield np.concatenate([h[a : max(a, b - n + 1)] for n, h in zip(sizes, runs, strict=True)])

@@ -1,148 +1,170 @@
 """Benchmark decontamination: which documents contain which test items.
 
-Containment of an item's shingles in a document's is searched with MinHash whose
-parameters follow the sizes. Documents are partitioned by size (powers of two)
-and items likewise; for each pair of partitions one permutation is cut in bins,
-and a set's signature is its smallest hash in every bin. A shared shingle is
-found unless the document has a smaller one in the same bin, so the number of
-bins is set from the document's upper size and the item's lower size such that
-an item with a contained share of ``threshold`` is missed with a probability of
-``miss`` at most (10^-12). Candidates are confirmed by exact containment of the
-shingles of whole texts.
-
-Items are the query side: they go to the executors in blocks of ``block`` items,
-one pass over the documents for each block, so memory doesn't grow with them.
+Containment of an item's shingles in a document's is searched with MinHash signatures
+on both sides, whose length follows the sizes. A permutation of the hashes is cut in
+bins and a signature holds the least hash of each bin. Documents and items are
+partitioned by size (powers of two); for each pair of partitions the number of bins is
+chosen so that an item with a share of ``threshold`` in a document is missed with a
+chance of about ``miss``: with c shingles in common, each in both signatures with a
+chance p, that is (1 - p)^c, so long items need a small part of a document's shingles
+and short ones most. All these signatures are nested, as a bin of few is a union of bins
+of many: a shingle is sent once, with the least number of bins (a power of two, its
+*level*) from which on it is in the signature. Signatures meet in one join on the
+hashes, however many items there are, and one scan of the documents is enough.
+
+A bitmap of all items' shingles (of bounded size, see ``common.Marks``) goes over the
+documents first: shingles that no item has leave neither signature entries nor anything
+else behind. What a document keeps is enough to confirm candidates by exact containment
+of the shingles of whole texts.
 
 Items of 1 to 4 words have no shingle inside a longer document: they are contained
 in the documents in which their words occur in a row, and count as one shingle.
 
 Defined results: null text or text without words contains nothing; an item
-without words is contained in nothing; a document that repeats appears for each
-row; ids may be null and are returned as they are; other columns are ignored.
+without words is contained in nothing; a document or item that repeats appears for
+each row; ids may be null and are returned as they are; very long texts are
+searched whole; empty tables give no rows; other columns, whatever their names, are
+ignored by ``contained`` and kept by ``decontaminate``.
 """
 
 from __future__ import annotations
 
 import math
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import SHINGLE, distinct, grams, shingles, utf8_parts, words_of, written
-
-PREFILTER_BITS = 20
-MISS = 1e-12
-
-
-def bin_bits(doc_size: int, item_size: int, threshold: float, miss: float = MISS) -> int:
-    """log2 of the bins for documents of up to ``doc_size`` and items of at least ``item_size`` shingles."""
-    shared = max(1, math.ceil(threshold * item_size))
-    # a shared shingle is hidden with probability below doc_size / bins
-    return min(63, math.ceil(math.log2(doc_size) - math.log2(miss) / shared))
-
-
-def word_counts(texts: list[str]) -> list[int]:
-    out: list[int] = []
-    for _, _, data, offsets in utf8_parts(pa.array(texts, pa.large_string())):
-        out += np.diff(words_of(data, offsets)[2]).tolist()
-    return out
-
-
-class Block:
-    """The items of one block, indexed by their signatures."""
-
-    def __init__(self, items: list[tuple], threshold: float):
-        sets = dict(shingles(pa.array([t or "" for _, t in items], pa.large_string())))
-        self.ids = [i for i, _ in items]
-        self.sets = [sets[r] for r in range(len(items))]
-        self.threshold = threshold
-        counts = word_counts([t or "" for _, t in items])
-        #: items under five words by hash, and their numbers of words
-        self.short: dict[int, list[int]] = {}
-        for r, n in enumerate(counts):
-            if 0 < n < SHINGLE:
-                self.short.setdefault(int(self.sets[r][0]), []).append(r)
-        self.short_sizes = sorted({n for n in counts if 0 < n < SHINGLE})
-        self.short_hashes = np.array(sorted(self.short), dtype=np.uint64)
-        full = [s if n >= SHINGLE else s[:0] for s, n in zip(self.sets, counts, strict=True)]
-        self.by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for band in sorted({len(s).bit_length() - 1 for s in full if len(s)}):
-            own = [r for r, s in enumerate(full) if len(s) and len(s).bit_length() - 1 == band]
-            h = np.concatenate([self.sets[r] for r in own])
-            who = np.repeat(own, [len(self.sets[r]) for r in own])
-            order = np.argsort(h, kind="stable")
-            self.by_size[band] = h[order], who[order]
-        self.all = distinct(np.concatenate(full)) if full else np.zeros(0, np.uint64)
-        self.maybe = np.zeros(1 << PREFILTER_BITS, dtype=bool)
-        self.maybe[(self.all >> np.uint64(64 - PREFILTER_BITS)).astype(np.int64)] = True
-
-    def words_in_row(self, g: np.ndarray) -> list[tuple[int, int]]:
-        """(item, 1) of the items under five words among the runs ``g``."""
-        return [(r, 1) for h in np.intersect1d(g, self.short_hashes) for r in self.short[int(h)]]
-
-    def search(self, u: np.ndarray) -> list[tuple[int, int]]:
-        """(item, shared shingles) of the items that ``u`` contains; u: sorted distinct hashes."""
-        near = np.flatnonzero(self.maybe[(u >> np.uint64(64 - PREFILTER_BITS)).astype(np.int64)])
-        if not len(near):
-            return []
-        found: set[int] = set()
-        size = 1 << (len(u)).bit_length()
-        for band, (h, who) in self.by_size.items():
-            bits = bin_bits(size, 1 << band, self.threshold)
-            # near is in order of the hash: the document's minimum of a bin is the first of u in it
-            bins = u[near] >> np.uint64(64 - bits)
-            before = u[near - 1] >> np.uint64(64 - bits)
-            first = (near == 0) | (before != bins)
-            x = u[near[first]]
-            lo, hi = np.searchsorted(h, x, "left"), np.searchsorted(h, x, "right")
-            for a, b in zip(lo[hi > lo], hi[hi > lo], strict=True):
-                found.update(who[a:b].tolist())
-        out = []
-        for r in sorted(found):
-            s = self.sets[r]
-            at = np.minimum(np.searchsorted(u, s), len(u) - 1)
-            shared = int((u[at] == s).sum())
-            if shared >= self.threshold * len(s) - 1e-9:
-                out.append((r, shared))
-        return out
-
-
-def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.75, block: int = 2_000) -> DataFrame:
+from kgloom.llm.common import SHINGLE, Marks, distinct, fresh, grams, shingles, utf8_parts, words_of, written
+
+MISS = 1e-6
+#: The partition of items under five words.
+SHORT = -1
+
+
+def signature_bits(doc_band: int, item_band: int, threshold: float, miss: float = MISS) -> int:
+    """log2 of the bins for documents of up to 2^(doc_band+1) and items of at least 2^item_band shingles."""
+    shared = max(1, math.ceil(threshold * (1 << item_band)))
+    share = 1 - miss ** (1 / shared)
+    # with x hashes a bin, one of them is the least with chance (1 - e^-x) / x
+    low, high = 1e-9, 1e9
+    for _ in range(100):
+        x = math.sqrt(low * high)
+        low, high = (x, high) if -math.expm1(-x) / x > share else (low, x)
+    return max(1, min(63, math.ceil(math.log2(((2 << doc_band) + (2 << item_band)) / low))))
+
+
+def levels(u: np.ndarray) -> np.ndarray:
+    """For sorted distinct hashes, log2 of the fewest bins in which each is its bin's least:
+    one more than the leading bits that it has in common with the one before."""
+    apart = u[1:] ^ u[:-1]
+    upper = (apart >> np.uint64(32)).astype(np.float64)
+    length = np.where(upper > 0, 32 + np.frexp(upper)[1], np.frexp((apart & np.uint64(0xFFFFFFFF)).astype(np.float64))[1])
+    return np.append(np.zeros(1), 65 - length)[: len(u)].astype(np.uint8)
+
+
+def band(size: int) -> int:
+    return size.bit_length() - 1
+
+
+def item_sets(items: DataFrame) -> DataFrame:
+    """_item, item_id, band and the shingles (packed, sorted) of every item with words."""
+
+    def run(batches):
+        for batch in batches:
+            words = np.concatenate([np.diff(words_of(d, o)[2]) for _, _, d, o in utf8_parts(batch.column(1))] or [np.zeros(0, int)])
+            rows = [(r, SHORT if words[r] < SHINGLE else band(len(u)), u.tobytes()) for r, u in shingles(batch.column(1)) if len(u)]
+            at, bands, sets = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(bands, pa.int32()), pa.array([int(words[r]) for r in at], pa.int32()), pa.array(sets, pa.binary())], names=["item_id", "band", "words", "set"])
+
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "item_id long, band int, words int, set binary")
+    return written(rows.withColumn("_item", F.monotonically_increasing_id()))
+
+
+def entries(sets: DataFrame, owner: str, packed: str = "set") -> DataFrame:
+    """(hash, owner, band, level) of every element of packed sets that carry no levels of their own."""
+
+    def run(batches):
+        for batch in batches:
+            found = [np.frombuffer(x.as_buffer(), "<u8") for x in batch.column(2)]
+            sizes = [len(u) for u in found]
+            h = np.concatenate([*found, np.zeros(0, "<u8")])
+            level = np.concatenate([*map(levels, found), np.zeros(0, np.uint8)])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.repeat(np.array(batch.column(0)), sizes), pa.int64()), pa.array(np.repeat(np.array(batch.column(1)), sizes), pa.int32()), pa.array(level.astype(np.int32))], names=["hash", owner, "band", "level"])
+
+    return sets.select(owner, "band", packed).mapInArrow(run, f"hash long, {owner} long, band int, level int")
+
+
+def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.75, miss: float = MISS) -> DataFrame:
     """Rows (doc_id, item_id, n_item, n_shared, containment) for ``docs`` (doc_id, text) and ``items`` (item_id, text)."""
-    fixed = written(items.select(F.col("item_id").cast("long").alias("item_id"), "text"))
-    count = fixed.count()
-    out = None
-    for at in range(0, max(1, count), block):
-        rows = fixed.orderBy("item_id", "text").offset(at).limit(block).collect() if count > block else fixed.orderBy("item_id", "text").collect()
-        index = Block([(r["item_id"], r["text"]) for r in rows], threshold)
-
-        def run(batches, index=index):
-            for batch in batches:
-                ids = batch.column(0)
-                row, item, n, shared = [], [], [], []
-                runs = grams(batch.column(1), index.short_sizes) if index.short else repeat(None)
-                for (r, u), g in zip(shingles(batch.column(1)), runs, strict=False):
-                    for i, k in [*(index.search(u) if len(u) else ()), *(index.words_in_row(g) if g is not None else ())]:
-                        row.append(r)
-                        item.append(index.ids[i])
-                        n.append(len(index.sets[i]))
-                        shared.append(k)
-                n, shared = np.array(n, dtype=np.int64), np.array(shared, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row, pa.int64())), pa.array(item, pa.int64()), pa.array(n), pa.array(shared), pa.array(shared / np.maximum(n, 1))], names=["doc_id", "item_id", "n_item", "n_shared", "containment"])
-
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, item_id long, n_item long, n_shared long, containment double")
-        out = part if out is None else out.union(part)
-    return out
+    spark = docs.sparkSession
+    fixed = item_sets(items)
+    asked = written(entries(fixed, "_item"))
+    kinds = [(r["band"], r["words"]) for r in fixed.select("band", F.when(F.col("band") == SHORT, F.col("words")).alias("words")).distinct().collect()]  # 68 at most
+    bands, short = sorted(b for b, _ in kinds if b != SHORT), sorted(w for b, w in kinds if b == SHORT)
+    has = Marks(asked.select("hash")).test()
+    bits = [(k, j, signature_bits(k, j, threshold, miss)) for k in range(48) for j in bands]
+    longest = {k: max((b for kk, _, b in bits if kk == k), default=-1) for k in range(48)}
+
+    def search(batches):
+        for batch in batches:
+            runs = grams(batch.column(1), short) if short else iter(lambda: None, 0)
+            rows = []
+            for (r, u), g in zip(shingles(batch.column(1)), runs, strict=False):
+                near = np.flatnonzero(has(u))
+                g = distinct(g[has(g)]) if g is not None and len(g) else u[:0]
+                if len(near) or len(g):
+                    k = band(len(u))
+                    # levels of what is near follow from the whole set
+                    level = levels(u)[near]
+                    signed = level <= longest[k]
+                    rows.append((r, k, u[near].tobytes(), u[near[signed]].tobytes(), level[signed].tobytes(), g.tobytes()))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["doc_id", "band", "near", "sig", "lev", "short"])
+
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    found = written(d.mapInArrow(search, "doc_id long, band int, near binary, sig binary, lev binary, short binary").withColumn("_doc", F.monotonically_increasing_id()))
+
+    def signatures(batches):
+        """(hash, _doc, band, level); runs of 1 to 4 words have the band of short items."""
+        for batch in batches:
+            sig, short_ = ([np.frombuffer(x.as_buffer(), "<u8") for x in batch.column(i)] for i in (2, 4))
+            n, m = [len(x) for x in sig], [len(x) for x in short_]
+            doc, k = np.array(batch.column(0)), np.array(batch.column(1))
+            level = np.concatenate([*(np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column(3)), np.zeros(sum(m), np.uint8)])
+            columns = (np.concatenate([*sig, *short_, np.zeros(0, "<u8")]).view(np.int64), np.concatenate([np.repeat(doc, n), np.repeat(doc, m)]), np.concatenate([np.repeat(k, n), np.full(sum(m), SHORT)]), level)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["hash", "_doc", "k", "lev"])
+
+    sent = found.select("_doc", "band", "sig", "lev", "short").mapInArrow(signatures, "hash long, _doc long, k int, lev int")
+    table = spark.createDataFrame([*bits, (SHORT, SHORT, 64)], "k int, band int, bits int")
+    # 48 partitions of documents by those of items, 48 at most
+    met = sent.join(asked, "hash").join(F.broadcast(table), ["k", "band"]).where((F.col("lev") <= F.col("bits")) & (F.col("level") <= F.col("bits")))
+    pairs = met.select("_doc", "_item", "band").distinct()
+
+    def confirm(batches):
+        for batch in batches:
+            rows = []
+            for i in range(len(batch)):
+                near, item = (np.frombuffer(batch.column(c)[i].as_buffer(), "<u8") for c in (3, 4))
+                short_item = batch.column(2)[i].as_py() == SHORT
+                n = 1 if short_item else int(np.isin(item, near, assume_unique=True).sum())
+                if n >= threshold * len(item) - 1e-9:
+                    rows.append((i, len(item), n, n / len(item)))
+            at, size, n, share = zip(*rows, strict=True) if rows else ((),) * 4
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(share, pa.float64())], names=["doc_id", "item_id", "n_item", "n_shared", "containment"])
+
+    whole = pairs.join(fixed.select("_item", "item_id", "set"), "_item").join(found.select("_doc", "doc_id", "near"), "_doc")
+    return whole.select("doc_id", "item_id", "band", "near", "set").mapInArrow(confirm, "doc_id long, item_id long, n_item long, n_shared long, containment double")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.75) -> DataFrame:
     """The documents that contain no item, with their columns; rows without an id stay only if the text is clean."""
-    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))))
-    hits = written(contained(keyed.select(F.col("_key").alias("doc_id"), "text"), items, threshold).select(F.col("doc_id").alias("_key")).distinct())
-    return keyed.join(hits, "_key", "left_anti").select(*docs.columns)
+    key = fresh(docs, "_key")
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))))
+    hits = written(contained(keyed.select(F.col(key).alias("doc_id"), "text"), items, threshold).select(F.col("doc_id").alias(key)).distinct())
+    return keyed.join(hits, key, "left_anti").select(*docs.columns)
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -13,25 +13,28 @@ spoils at most one of r's non-empty segments, so
   subsets are rarest are probed, and segments that nobody shares cost nothing;
 * a set whose segments are too few for the pigeonhole also probes with the
   one-deletion neighbourhoods of its segments of two or more elements, each of
-  which counts twice; a set for which that isn't enough either is compared
-  with all sets in a scan.
+  which counts twice; in a band with a set for which that isn't enough either,
+  every element is a segment of its own, which is always enough.
 
 Sets that meet in a probed group are in one cluster; clusters are joined
 independently, by counting common elements over an inverted index of the whole
 sets. In a cluster the members are first compared with a few of them, and only
 members outside the largest component so far are compared with all, so a family
 of near copies costs a multiple of its size and no link between different texts
-is lost. A cluster with many elements is cut in chunks, each pair of chunks is
-one task, and only a spanning forest of the links leaves a task. Equal sets are
-one class from the start.
+is lost. A cluster with many elements is cut in chunks, a task each, which all hold
+a few of the cluster's sets; members that are outside the largest component after
+that go to the other chunks, too. Only a spanning forest of the links leaves a
+task. Equal sets are one class from the start.
 
-Shingles are compared by 64-bit hashes and sets are identified by 80 bits.
+Shingles are compared by 64-bit hashes (two given different shingles are taken
+for one with a chance of about 2^-64) and sets are identified by 80 bits.
 
 Defined results: null text and text without words have an empty set, linked
 with nothing; repeated rows are equal sets and rows with one doc_id are one
 node; a null doc_id takes part, is larger than any other (ids are below 2^62)
-and gives a null component_id only where the whole class has none; an empty
-table gives no rows; other columns are ignored.
+and gives a null component_id only where the whole class has none; very long
+texts are sets like others; an empty table gives no rows; other columns, whatever
+their names, are ignored by ``join_classes`` and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -42,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import buckets_for, clean_shuffles, components, drop_written, mix, roots, shingles, union_pairs, utf8_parts, written
+from kgloom.llm.common import buckets_for, clean_shuffles, components, drop_written, fresh, may_be_in, mix, roots, shingles, union_pairs, utf8_parts, written
 
 #: Sets of fewer elements than this (as a power of two) get so many more segments that nearly every element has its own.
 SMALL_BANDS, SMALL_EXTRA = 6, 4
@@ -55,10 +58,9 @@ HEAD = np.dtype([("hi", "<u2"), ("lo", "<u8"), ("scheme", "u1"), ("share", "u1")
 PROFILE = np.dtype([("id", "<i8"), ("hi", "<u2"), ("lo", "<u8"), ("n", "<u4")])
 #: Members of a cluster that are compared with all others at the start.
 PIVOTS = 8
-#: Elements in one chunk of a cluster.
-CHUNK = 1 << 20
-#: Up to so many wanted sets (of about 40 bytes) are broadcast to find their texts; beyond, texts are shuffled.
-BROADCAST_ROWS = 200_000
+#: Elements in one chunk of a cluster, and how many of its sets all chunks hold.
+CHUNK = 1 << 18
+COMMON = 4
 
 
 def segment_bits(scheme: int, extra: int = SMALL_EXTRA) -> int:
@@ -111,13 +113,17 @@ def row_key() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64("text"), F.lit(NO_ID >> 1)))
 
 
-def emit(docs: DataFrame, buckets: int, extra: int, deletions_of: list[int] | None = None) -> DataFrame:
+def element_hashes(u: np.ndarray, scheme: int) -> np.ndarray:
+    return mix(u * np.uint64(0x2545F4914F6CDD1D) + np.uint64(scheme))
+
+
+def emit(docs: DataFrame, buckets: int, extra: int, again: dict[int, bool] | None = None) -> DataFrame:
     """Rows (bucket, kind, data). Kind 0: the documents' sets. Kind 1: subset hashes with a
     table of the sets they are of. Kind 4: the tables alone, by set. Kind 2: sets whose segments are too few for the
-    pigeonhole; kind 3: of these the elements of those for which deletions don't help either.
+    pigeonhole; ``segments`` is then 1 where deletions don't help either.
 
-    With ``deletions_of`` (bands) only kind 1 for those bands, one-deletion
-    neighbourhoods included; ``share`` then says whether a set lacks some.
+    With ``again`` (bands, and whether elements are needed) only kind 1 for those bands: subsets and one-deletion
+    neighbourhoods, or single elements; ``share`` then says whether a set lacks some.
     """
 
     def run(batches):
@@ -135,27 +141,26 @@ def emit(docs: DataFrame, buckets: int, extra: int, deletions_of: list[int] | No
                     seen.add((hi, lo))
                     for k in schemes(n):
                         bits = segment_bits(k, extra)
-                        if deletions_of is not None and k not in deletions_of:
+                        if again is not None and k not in again:
                             continue
                         h, starts = subset_hashes(u, k, bits)
                         few = len(h) < budget(n, k) + 1
-                        if deletions_of is not None:
-                            h = np.concatenate([h, deletion_hashes(u, k, bits)])
+                        if again is not None:
+                            h = element_hashes(u, k) if again[k] else np.concatenate([h, deletion_hashes(u, k, bits)])
                         elif few:
-                            out.append((lo % buckets, 2, np.array([(hi, lo, k, n, 0)], dtype=SET).tobytes()))
-                            if len(h) + int((np.diff(np.append(starts, n)) >= 2).sum()) < budget(n, k) + 1:
-                                out.append((lo % buckets, 3, u.tobytes()))
+                            more = int((np.diff(np.append(starts, n)) >= 2).sum())
+                            out.append((lo % buckets, 2, np.array([(hi, lo, k, n, len(h) + more < budget(n, k) + 1)], dtype=SET).tobytes()))
                         owner.append(np.full(len(h), len(table), dtype=np.uint32))
-                        table.append((hi, lo, k, n, int(few) if deletions_of is not None else len(h)))
+                        table.append((hi, lo, k, n, int(few) if again is not None else len(h)))
                         hashes.append(h & ~np.uint64(0xFFFF))
-                if deletions_of is None:
+                if again is None:
                     rows = np.array(rows, dtype=PROFILE)
                     part = rows["lo"] % np.uint64(16)
                     out += [(int(rows["lo"][part == p][0] % np.uint64(buckets)), 0, rows[part == p].tobytes()) for p in np.unique(part)]
                 if table:
                     table, hashes, owner = np.array(table, dtype=SET), np.concatenate(hashes), np.concatenate(owner)
                     out += [(b, 1, x) for b, x in dealt((hashes >> np.uint64(20)) % np.uint64(buckets), heads(table), hashes, owner)]
-                    if deletions_of is None:
+                    if again is None:
                         home = table["lo"] % np.uint64(buckets)
                         out += [(int(b), 4, table[home == b].tobytes()) for b in np.unique(home)]
                 yield batch_of(out)
@@ -339,7 +344,7 @@ def edge_rows(pdf: pd.DataFrame) -> pd.DataFrame:
 # ---------------------------------------------------------- 3: verification
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, count: int) -> DataFrame:
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted`` (hi, lo, rep, root, chunks) with the sets' elements, read again from the documents."""
 
     def run(batches):
@@ -354,8 +359,9 @@ def sets_of(docs: DataFrame, wanted: DataFrame, count: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in batch.columns[1:]), pa.array(data, pa.binary())], names=["hi", "lo", "rep", "root", "chunks", "elements"])
 
     d = docs.select(row_key().alias("_id"), F.coalesce("text", F.lit("")).alias("_text"))
-    side = F.broadcast(wanted) if count <= BROADCAST_ROWS else wanted
-    found = d.join(side, d["_id"] == side["rep"]).select("_text", "hi", "lo", "rep", "root", "chunks")
+    # texts that nobody wants stay where they are
+    near = may_be_in(d, "_id", wanted, "rep")
+    found = near.join(wanted, near["_id"] == wanted["rep"]).select("_text", "hi", "lo", "rep", "root", "chunks")
     return found.mapInArrow(run, "hi long, lo long, rep long, root long, chunks int, elements binary")
 
 
@@ -430,41 +436,78 @@ def cluster_links(pdf: pd.DataFrame) -> pd.DataFrame:
 # ------------------------------------------------------- where segments are few
 
 
-def deletion_pairs(buckets: int):
-    """Pairs of a set that lacks segments with all that share a subset or a neighbourhood with it."""
+def asked_groups(buckets: int):
+    """Each member of a hash group with one of them, where a member lacks segments: sets that meet are in one cluster."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         head, who, h = unpack(pdf["data"])
         h, who, size = groups_of(h >> np.uint64(16), who)
         h, who = h[size > 1], who[size > 1]
-        bounds = np.append(np.flatnonzero(np.append(True, h[1:] != h[:-1])), len(h)) if len(h) else np.zeros(1, int)
-        out = []
-        for i, j in zip(bounds[:-1], bounds[1:], strict=True):
-            g = who[i:j]
-            for r in g[head["share"][g] > 0]:
-                out.append(np.stack([np.full(j - i - 1, r), g[g != r]], axis=1))
-        return edges_dealt(head, np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64), buckets)
+        if not len(h):
+            return pd.DataFrame({"bucket": [], "data": []})
+        first = np.append(True, h[1:] != h[:-1])
+        group = np.cumsum(first) - 1
+        asked = np.bincount(group, weights=head["share"][who] > 0)[group] > 0
+        return edges_dealt(head, np.stack([who, who[first][group]], axis=1)[asked], buckets)
 
     return run
 
 
-def scanned(docs: DataFrame, queries: DataFrame, block: int = 1000) -> DataFrame | None:
-    """Links of the ``queries``' sets (data) with all documents, block by block, as edges."""
-    found = None
-    total = queries.count()
-    numbered = queries.select("data", F.monotonically_increasing_id().alias("_i"))
-    for at in range(0, -(-total // block)):
-        sets = [np.frombuffer(r["data"], "<u8") for r in numbered.orderBy("_i").offset(at * block).limit(block).collect()]
+# ------------------------------------------------- clusters of several chunks
 
-        def run(batches, sets=sets):
-            names = [signed(identity(q))[1] for q in sets]
-            for batch in batches:
-                out = [(names[i], signed(identity(u))[1]) for _, u in shingles(batch.column(0)) for i, q in enumerate(sets) if similar(u, q)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ((),) * 2)], names=["a", "b"])
 
-        part = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, EDGE)
-        found = part if found is None else found.union(part)
-    return found
+def query_links(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A spanning forest of the links of a chunk's sets with the sets that ask (column ``asks``)."""
+    pdf = pdf.drop_duplicates(["hi", "lo"])
+    asks, rep = pdf["asks"].to_numpy(dtype=bool), pdf["rep"].to_numpy()
+    sets = [np.frombuffer(x, "<u8") for x in pdf["elements"]]
+    base = np.flatnonzero(~asks)
+    if not len(base) or not asks.any():
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    sizes = np.array([len(x) for x in sets])
+    elements, owner = np.concatenate([sets[i] for i in base]), np.repeat(base, sizes[base])
+    order = np.argsort(elements, kind="stable")
+    elements, owner = elements[order], owner[order]
+    parent = np.arange(len(sets))
+    for r in np.flatnonzero(asks):
+        low, high = np.searchsorted(elements, sets[r], "left"), np.searchsorted(elements, sets[r], "right")
+        n = high - low
+        common = np.bincount(owner[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)], minlength=len(sets))
+        near = np.flatnonzero((common > 0) & (100 * common >= 75 * (sizes[r] + sizes - common)))
+        union_pairs(parent, np.full(len(near), r), near)
+    found = roots(parent, np.arange(len(sets)))
+    moved = np.flatnonzero(found != np.arange(len(sets)))
+    return pd.DataFrame({"a": rep[moved], "b": rep[found[moved]]}, dtype="int64")
+
+
+def cluster_edges(docs: DataFrame, wanted: DataFrame, buckets: int) -> DataFrame:
+    """Links that span the components of similar sets in every cluster. ``wanted``: hi, lo, rep, root, chunks."""
+    sets = sets_of(docs, wanted)
+    mine = F.pmod(F.xxhash64("hi", "lo"), F.col("chunks")).cast("int")
+    # small clusters share tasks; a large one has a task for each chunk, and some of its sets are in all of them
+    large = wanted.where("chunks > 1")
+    common = [F.min_by(F.struct("hi", "lo"), F.xxhash64("hi", "lo", F.lit(i))).alias(f"p{i}") for i in range(COMMON)]
+    pivots = written(large.groupBy("root").agg(*common).select(F.explode(F.array_distinct(F.array(*[F.col(f"p{i}") for i in range(COMMON)]))).alias("p")).select("p.hi", "p.lo", F.lit(True).alias("pivot")))
+    everywhere = sets.join(pivots, ["hi", "lo"], "left")
+    chunk = F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(mine))
+    task = F.when(F.col("chunks") == 1, F.pmod("root", F.lit(4 * buckets))).otherwise(F.col("root"))
+    dealt_sets = everywhere.select(task.alias("task"), F.explode(chunk).alias("i"), "hi", "lo", "rep", "root", "elements")
+    links = written(dealt_sets.groupBy("task", "i").applyInPandas(cluster_links, EDGE))
+    if large.isEmpty():
+        return links
+    so_far = components(links)
+    labelled = written(large.join(so_far.withColumnRenamed("root", "comp"), F.col("rep") == F.col("node"), "left").select(*large.columns, F.coalesce("comp", "rep").alias("comp")))
+    main = labelled.groupBy("root", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("root").agg(F.max_by("comp", F.struct("k", -F.col("comp"))).alias("main"))
+    rest = written(labelled.join(main, "root").where("comp <> main").select("hi", "lo", "root").withColumn("outside", F.lit(True)))
+    if rest.isEmpty():
+        return links
+    again = labelled.join(rest.select("root").distinct(), "root", "left_semi").select("hi", "lo", "rep", "root", "chunks")
+    flagged = sets_of(docs, written(again)).join(rest.select("hi", "lo", "outside"), ["hi", "lo"], "left")
+    own = F.struct(mine.alias("i"), F.lit(False).alias("asks"))
+    others = F.transform(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: k != mine), lambda k: F.struct(k.alias("i"), F.lit(True).alias("asks")))
+    places = F.when(F.col("outside"), F.concat(F.array(own), others)).otherwise(F.array(own))
+    asked = flagged.select("root", "hi", "lo", "rep", "elements", F.explode(places).alias("p")).select("root", "p.i", "p.asks", "hi", "lo", "rep", "elements")
+    return written(links.union(asked.groupBy("root", "i").applyInPandas(query_links, EDGE)))
 
 
 # -------------------------------------------------------------------- the join
@@ -488,33 +531,26 @@ def joined(docs: DataFrame, extra: int = SMALL_EXTRA, buckets: int | None = None
     blob = "bucket int, data binary"
     alive = hashes.groupBy("bucket").applyInPandas(surviving(buckets), blob)
     edges = alive.groupBy("bucket").applyInPandas(star(buckets), blob).groupBy("bucket").applyInPandas(edge_rows, EDGE)
-    few = [r["data"] for r in base.where("kind = 2").select(F.substring("data", 11, 1).alias("data")).distinct().collect()]  # bands: 64 at most
+    few = base.where("kind = 2").select(F.substring("data", 11, 1).alias("band"), F.substring("data", 16, 1).alias("elements")).distinct().collect()  # two rows a band: 128 at most
     if few:
-        again = emit(docs, buckets, extra, [x[0] for x in few]).select("bucket", "data")
-        edges = edges.union(again.groupBy("bucket").applyInPandas(deletion_pairs(buckets), blob).groupBy("bucket").applyInPandas(edge_rows, EDGE))
-        whole = scanned(docs, base.where("kind = 3").select("data").distinct())
-        if whole is not None:
-            edges = edges.union(whole.where("a <> b").distinct())
+        need: dict[int, bool] = {}
+        for r in few:
+            need[r["band"][0]] = need.get(r["band"][0], False) or r["elements"][0] > 0
+        again = emit(docs, buckets, extra, need).select("bucket", "data")
+        edges = edges.union(again.groupBy("bucket").applyInPandas(asked_groups(buckets), blob).groupBy("bucket").applyInPandas(edge_rows, EDGE))
     clusters = components(written(edges))
     clean_shuffles(spark)
     members = written(classes.join(clusters, F.col("lo") == F.col("node")).select("hi", "lo", "rep", "root", "n"))
     sizes = written(members.groupBy("root").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks")))
     wanted = written(members.join(sizes, "root").select("hi", "lo", "rep", "root", "chunks"))
-    sets = sets_of(docs, wanted, wanted.count())
-    # small clusters share tasks; a large one has a task for each pair of its chunks
-    mine = F.pmod(F.xxhash64("hi", "lo"), F.col("chunks")).cast("int")
-    others = F.sequence(F.lit(0), F.col("chunks") - 1)
-    pairs = F.transform(others, lambda k: F.struct(F.least(mine, k).alias("i"), F.greatest(mine, k).alias("j")))
-    dealt_sets = sets.withColumn("p", F.explode(F.when(F.col("chunks") > 2, F.filter(pairs, lambda x: (x["i"] != x["j"]))).when(F.col("chunks") == 2, F.array(F.struct(F.lit(0).alias("i"), F.lit(1).alias("j")))).otherwise(F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))))))
-    task = F.when(F.col("chunks") == 1, F.pmod("root", F.lit(4 * buckets))).otherwise(F.col("root"))
-    dealt_sets = dealt_sets.select(task.alias("task"), F.col("p.i").alias("i"), F.col("p.j").alias("j"), "hi", "lo", "rep", "root", "elements")
-    links = written(dealt_sets.groupBy("task", "i", "j").applyInPandas(cluster_links, EDGE))
-    final = components(links)
+    final = components(cluster_edges(docs, wanted, buckets))
     known = written(classes.join(final, F.col("rep") == F.col("node"), "left").select("hi", "lo", F.coalesce("root", "rep").alias("comp")))
-    drop_written(members, sizes, wanted, links)
+    drop_written(members, sizes, wanted, classes)
     clean_shuffles(spark)
-    out = profile.join(known, ["hi", "lo"], "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("comp", "id").alias("comp"))
+    out = profile.where("n > 0").join(known, ["hi", "lo"], "left")
+    # empty sets are alike and link with nothing: they don't meet in the join
+    alone = profile.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("comp"))
+    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("comp", "id").alias("comp")).union(alone)
 
 
 def join_classes(docs: DataFrame, extra: int = SMALL_EXTRA, buckets: int | None = None) -> DataFrame:
@@ -525,13 +561,14 @@ def join_classes(docs: DataFrame, extra: int = SMALL_EXTRA, buckets: int | None
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest id, with its columns; of rows that share an id one stays."""
-    rest = written(joined(docs).where("comp < id").select("id").distinct())
-    keyed = docs.withColumn("_key", row_key())
-    again = written(keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("_key").alias("id")))
-    kept = keyed.join(rest, keyed["_key"] == rest["id"], "left_anti")
+    key = fresh(docs, "_key")
+    rest = written(joined(docs).where("comp < id").select(F.col("id").alias(key)).distinct())
+    keyed = docs.withColumn(key, row_key())
+    again = written(keyed.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key))
+    kept = keyed.join(rest, key, "left_anti")
     if not again.isEmpty():
-        several = kept.join(again, kept["_key"] == again["id"], "left_semi").dropDuplicates(["_key"])
-        kept = kept.join(again, kept["_key"] == again["id"], "left_anti").union(several)
+        several = kept.join(again, key, "left_semi").dropDuplicates([key])
+        kept = kept.join(again, key, "left_anti").union(several)
     return kept.select(*docs.columns)
 
 

@@ -17,13 +17,17 @@ a histogram of at most ``capacity`` entries whatever the input:
 Everything is kept as runs of alike sequences, so plans stay small and pieces
 find their place from their rank among those of their length.
 
-Defined results: null and empty text give the closing id alone; a null doc_id
-is kept; repeated rows are packed each; an empty table gives no rows; other
-columns are ignored.
+Defined results: null and empty text give the closing id alone; very long texts
+give as many full pieces as they need and one last piece; a null doc_id is kept;
+repeated rows are packed each, and pieces of one length take their places in the
+order of their contents; an empty table gives no rows; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
 
+import re
+import sys
 import unicodedata
 import zlib
 from collections import defaultdict
@@ -34,7 +38,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import rank_within, written
+from kgloom.llm.common import rank_within
 
 CAPACITY = 2048
 
@@ -51,24 +55,29 @@ class WordTokenizer:
     """Ids of a BPE with word ends, whose merges never cross words.
 
     White space always ends a word, so ids are remembered by white-space chunk
-    and only unseen chunks are encoded; ``chunks_kept`` bounds the memory, after
-    which remembering starts anew. The vocabulary's merges run in tiktoken, with
-    a zero byte for the end of a word; texts that hold that byte, a special
-    token's opening or a separator control go to the tokenizer itself.
+    and only unseen chunks are encoded; ``chunks_kept`` and ``bytes_kept`` bound
+    the memory, after which remembering starts anew, and long chunks aren't
+    remembered. The vocabulary's merges run in tiktoken, with a zero byte for the
+    end of a word; texts that hold that byte, a special token's opening, a
+    separator control or a code point that Python's tables don't know (the
+    tokenizer's may be newer) go to the tokenizer itself.
     """
 
     #: The splitting pattern of the tokenizer file: fixed value.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    def __init__(self, path: str, chunks_kept: int = 400_000):
+    LONG = 256
+
+    def __init__(self, path: str, chunks_kept: int = 400_000, bytes_kept: int = 64 << 20):
         import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-        self.chunks_kept = chunks_kept
+        self.chunks_kept, self.bytes_kept, self.held = chunks_kept, bytes_kept, 0
         self.find = regex.compile(self.PATTERN).findall
-        self.odd = regex.compile("<\\||[\x00\x1c-\x1f\u03a3]").search
+        self.odd = re.compile("<\\||[\x00\x1c-\x1f\u03a3]").search
+        self.unknown = re.compile(f"[{unassigned()}]").search
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
         byte_of = {c: b for b, c in enumerate(byte_letters())}
@@ -83,7 +92,7 @@ class WordTokenizer:
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if self.odd(text):
+        if self.odd(text) or not text.isascii() and self.unknown(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
@@ -92,8 +101,9 @@ class WordTokenizer:
         try:
             return b"".join([known[c] for c in chunks])
         except KeyError:
-            if len(known) > self.chunks_kept:
+            if len(known) > self.chunks_kept or self.held > self.bytes_kept:
                 known.clear()
+                self.held = 0
             missing = list({c for c in chunks if c not in known})
             split = [self.find(c) for c in missing]
             ids = np.array(self.merge(" ".join([w + "\0" for words in split for w in words])), dtype="<u4")
@@ -102,8 +112,27 @@ class WordTokenizer:
             at, raw = 0, ids.tobytes()
             for c, n in zip(missing, upto.tolist(), strict=True):
                 to = 4 * int(stops[n - 1]) if n else 0
-                known[c], at = raw[at:to], to
-            return b"".join([known[c] for c in chunks])
+                known[c] = raw[at:to]
+                self.held += len(c) + to - at
+                at = to
+            out = b"".join([known[c] for c in chunks])
+            for c in missing:
+                if len(c) > self.LONG:
+                    self.held -= len(c) + len(known.pop(c))
+            return out
+
+
+def unassigned() -> str:
+    """A pattern's character class of the code points without a category in Python's tables."""
+    ranges, first = [], None
+    for c in range(sys.maxunicode + 2):
+        none = c <= sys.maxunicode and unicodedata.category(chr(c)) == "Cn"
+        if none and first is None:
+            first = c
+        elif not none and first is not None:
+            ranges.append(f"\\U{first:08x}-\\U{c - 1:08x}")
+            first = None
+    return "".join(ranges)
 
 
 def byte_letters() -> list[str]:
@@ -325,7 +354,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 128,
 def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, closing: int = 0) -> DataFrame:
     """Every piece with its sequence_id and offset."""
     spark = docs.sparkSession
-    cut = written(pieces(docs, tokenizer_path or default_tokenizer(), capacity, closing))
+    cut = pieces(docs, tokenizer_path or default_tokenizer(), capacity, closing)
     ranked, counts = rank_within(cut, ["length"], ["doc_id", "piece", "ids_crc32"], "_rank")
     rows = plan({r["length"]: r["n"] for r in counts.collect()}, capacity)  # at most ``capacity`` rows
     table = spark.createDataFrame(rows, "_length long, _lo long, _hi long, _first long, _each long, _at long")
