@@ -3,7 +3,7 @@
 Containment of an item's shingles in a document's is searched with MinHash signatures
 on both sides, whose length follows the sizes. A permutation of the hashes is cut in
 bins and a signature holds the least hash of each bin. Documents and items are
-partitioned by size (powers of two); for each pair of partitions the number of bins is
+partitioned by size (items by powers of two, documents by quarters of them); for each pair of partitions the number of bins is
 chosen so that an item with a share of ``threshold`` in a document is missed with a
 chance of about ``miss``: with c shingles in common, each in both signatures with a
 chance p, that is (1 - p)^c, so long items need a small part of a document's shingles
@@ -39,12 +39,19 @@ from pyspark.sql import functions as F
 from kgloom.llm.common import SHINGLE, Marks, distinct, fresh, grams, shingles, utf8_parts, words_of, written
 
 MISS = 1e-6
+#: Partitions of documents: sets have fewer than 2^32 shingles.
+PARTS = 128
 #: The partition of items under five words.
 SHORT = -1
 
 
-def signature_bits(doc_band: int, item_band: int, threshold: float, miss: float = MISS) -> int:
-    """log2 of the bins for documents of up to 2^(doc_band+1) and items of at least 2^item_band shingles."""
+def part(size: int) -> int:
+    """The partition of a document of so many shingles."""
+    return int(4 * math.log2(size))
+
+
+def signature_bits(doc_part: int, item_band: int, threshold: float, miss: float = MISS) -> int:
+    """log2 of the bins for documents of up to 2^((doc_part + 1) / 4) and items of at least 2^item_band shingles."""
     shared = max(1, math.ceil(threshold * (1 << item_band)))
     share = 1 - miss ** (1 / shared)
     # with x hashes a bin, one of them is the least with chance (1 - e^-x) / x
@@ -52,7 +59,7 @@ def signature_bits(doc_band: int, item_band: int, threshold: float, miss: float
     for _ in range(100):
         x = math.sqrt(low * high)
         low, high = (x, high) if -math.expm1(-x) / x > share else (low, x)
-    return max(1, min(63, math.ceil(math.log2(((2 << doc_band) + (2 << item_band)) / low))))
+    return max(1, min(63, math.ceil(math.log2((2 ** ((doc_part + 1) / 4) + (2 << item_band)) / low))))
 
 
 def levels(u: np.ndarray) -> np.ndarray:
@@ -104,8 +111,8 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.75, miss:
     kinds = [(r["band"], r["words"]) for r in fixed.select("band", F.when(F.col("band") == SHORT, F.col("words")).alias("words")).distinct().collect()]  # 68 at most
     bands, short = sorted(b for b, _ in kinds if b != SHORT), sorted(w for b, w in kinds if b == SHORT)
     has = Marks(asked.select("hash")).test()
-    bits = [(k, j, signature_bits(k, j, threshold, miss)) for k in range(48) for j in bands]
-    longest = {k: max((b for kk, _, b in bits if kk == k), default=-1) for k in range(48)}
+    bits = [(k, j, signature_bits(k, j, threshold, miss)) for k in range(PARTS) for j in bands]
+    longest = {k: max((b for kk, _, b in bits if kk == k), default=-1) for k in range(PARTS)}
 
     def search(batches):
         for batch in batches:
@@ -115,7 +122,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.75, miss:
                 near = np.flatnonzero(has(u))
                 g = distinct(g[has(g)]) if g is not None and len(g) else u[:0]
                 if len(near) or len(g):
-                    k = band(len(u))
+                    k = part(len(u)) if len(u) else 0
                     # levels of what is near follow from the whole set
                     level = levels(u)[near]
                     signed = level <= longest[k]
@@ -138,7 +145,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.75, miss:
 
     sent = found.select("_doc", "band", "sig", "lev", "short").mapInArrow(signatures, "hash long, _doc long, k int, lev int")
     table = spark.createDataFrame([*bits, (SHORT, SHORT, 64)], "k int, band int, bits int")
-    # 48 partitions of documents by those of items, 48 at most
+    # PARTS partitions of documents by those of items, 32 at most
     met = sent.join(asked, "hash").join(F.broadcast(table), ["k", "band"]).where((F.col("lev") <= F.col("bits")) & (F.col("level") <= F.col("bits")))
     pairs = met.select("_doc", "_item", "band").distinct()
 
