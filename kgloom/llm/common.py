@@ -309,15 +309,15 @@ def lanes(data: np.ndarray) -> np.ndarray:
     return np.ndarray(shape=(len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0x452821E638D01377, lanes_to: int = LANES) -> np.ndarray:
     """64-bit hashes of the bytes of spans: each lane of eight bytes goes through a mixer that also takes what came
     before, so spans don't collide by their structure, as they may under a polynomial modulo a power of two. Two
     given different spans have the same hash with a chance of about 2**-64."""
     size = ends - starts
-    h = mix(size.astype(np.uint64) + np.uint64(0x452821E638D01377))
-    for i in np.flatnonzero(size > LANES):
+    h = mix(size.astype(np.uint64) + np.uint64(seed))
+    for i in np.flatnonzero(size > lanes_to):
         h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=b"words").digest(), "little")
-    view, live, at = lanes(data), np.flatnonzero((size > 0) & (size <= LANES)), 0
+    view, live, at = lanes(data), np.flatnonzero((size > 0) & (size <= lanes_to)), 0
     while len(live):
         x = view[starts[live] + at] & _TAIL[np.minimum(8, size[live] - at)]
         h[live] = mix((h[live] ^ x) * np.uint64(0xE7037ED1A0B428DB))

@@ -2,9 +2,12 @@
 with a rejection threshold calibrated on texts left out of training.
 
 Defined results: null text and text without a letter are ``und`` with score 0;
-documents without a language teach nothing; a document that repeats teaches
-once; with no language to learn every text is ``und``; ``rejected`` marks scores
-under the calibrated threshold.
+documents without a language, or without an id, teach nothing; a document that
+repeats teaches once and has a row for each; very long texts are read whole, but
+only texts up to ``longest`` bytes teach; with no language to learn every text is
+``und``; a null doc_id isn't held out; an empty table gives no rows; other columns,
+whatever their names, are ignored; ``rejected`` marks scores under the calibrated
+threshold.
 """
 
 from __future__ import annotations
@@ -31,7 +34,10 @@ def fit_language(docs: DataFrame, per_class: int = 800, longest: int = 16_384) -
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score and rejected of every document."""
 
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size follows from the languages
+
     def run(batches):
+        model = shared.value
         names = np.array(model.classes, dtype=object)
         for batch in batches:
             text = batch.column(1)
@@ -48,4 +54,4 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 def op9_language(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = identify(docs, fit_language(docs))
-    return out.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+    return out.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")

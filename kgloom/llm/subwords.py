@@ -8,7 +8,8 @@ softmax weights fold into one table of ``2**BITS`` rows, and whole texts of any
 length are scored in cut-free runs of bytes with sums by document.
 
 Defined results: null text is empty text; a text without features gets the
-bias alone; repeated rows and ties score alike; words are runs without space.
+bias alone; repeated rows and ties score alike; words are runs without space;
+very long texts are scored whole.
 """
 
 from __future__ import annotations
@@ -19,44 +20,59 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-from kgloom.llm.common import BYTE_CODE, LOWER_CODE, SPACE, mix, prefix_hash, span_hash, utf8_parts, words_of
+from kgloom.llm.common import LOWER, SPACE, mix, utf8_parts, word_hashes, words_of
 
 BITS = 18
 GRAMS = (3, 4)
+#: Bytes of a stretch of a long row.
+RUN = 1 << 19
 SHIFT = np.uint64(64 - BITS)
 
 
 def features(array: pa.Array, lower: bool) -> Iterator[tuple[int, int, list[tuple[np.ndarray, np.ndarray]]]]:
     """Runs of rows (first, after) with parts (features, upto): the features of row
-    first+i in a part are features[upto[i]:upto[i + 1]]."""
-    codes = LOWER_CODE if lower else BYTE_CODE
+    first+i in a part are features[upto[i]:upto[i + 1]]. A long row comes several times, with its words first and
+    then its character grams by the stretch in which they start, so memory doesn't follow its length."""
     for first, after, data, offsets in utf8_parts(array):
-        parts = []
-        prefix = prefix_hash(codes[data])
+        text = LOWER[data] if lower else data
         starts, ends, at = words_of(data, offsets)
-        word = span_hash(prefix, starts, ends)
-        parts.append((feature(word, 1), at))
+        word = word_hashes(text, starts, ends)
+        parts = [(feature(word, 1), at)]
         if len(word) > 1:
             first_word = np.zeros(len(word), dtype=bool)
             first_word[at[:-1][at[:-1] < len(word)]] = True
             later = np.flatnonzero(~first_word)
+            # that a word repeats the one before says the same about a text whatever the word: one feature
             pair = np.where(word[later] == word[later - 1], np.uint64(1), mix(word[later] * np.uint64(3) + word[later - 1]))
             parts.append((feature(pair, 2), np.searchsorted(later, at)))
-        chars = np.flatnonzero((data & 0xC0) != 0x80)
-        chars_at = np.searchsorted(chars, offsets)
-        chars = np.append(chars, len(data))
-        blanks = np.cumsum(np.append(0, SPACE[data[chars[:-1]]]))
-        for n in GRAMS:
-            count = len(chars) - n
-            if count <= 0:
-                continue
-            # spaces only at either end, so that a gram knows where a word starts or stops
-            ok = blanks[n - 1 : n - 1 + count] == blanks[1 : 1 + count]
-            for cut in chars_at[1:-1]:
-                ok[max(0, cut - n + 1) : cut] = False
-            take = np.flatnonzero(ok)
-            parts.append((feature(span_hash(prefix, chars[take], chars[take + n]), 2 + n), np.searchsorted(take, chars_at)))
-        yield first, after, parts
+        if after - first > 1 or len(data) <= RUN:
+            yield first, after, parts + char_grams(text, offsets, 0, len(data))
+        else:
+            yield first, after, parts
+            for low in range(0, len(data), RUN):
+                yield first, after, char_grams(text, offsets, low, min(low + RUN, len(data)))
+
+
+def char_grams(text: np.ndarray, offsets: np.ndarray, low: int, high: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Parts with the character grams that start in text[low:high]; a stretch that isn't the whole holds one row."""
+    chars = low + np.flatnonzero((text[low : high + 4 * max(GRAMS)] & 0xC0) != 0x80)
+    begin = int(np.searchsorted(chars, high))
+    if high + 4 * max(GRAMS) >= len(text):
+        chars = np.append(chars, len(text))
+    chars_at = np.minimum(np.searchsorted(chars, offsets), begin)
+    blanks = np.cumsum(np.append(0, SPACE[text[chars[:-1]]]))
+    parts = []
+    for n in GRAMS:
+        count = min(begin, len(chars) - n)
+        if count <= 0:
+            continue
+        # spaces only at either end, so that a gram knows where a word starts or stops
+        ok = blanks[n - 1 : n - 1 + count] == blanks[1 : 1 + count]
+        for cut in chars_at[1:-1]:
+            ok[max(0, cut - n + 1) : cut] = False
+        take = np.flatnonzero(ok)
+        parts.append((feature(word_hashes(text, chars[take], chars[take + n]), 2 + n), np.searchsorted(take, chars_at)))
+    return parts
 
 
 def feature(h: np.ndarray, kind: int) -> np.ndarray:
@@ -65,11 +81,14 @@ def feature(h: np.ndarray, kind: int) -> np.ndarray:
 
 def bags(texts: list[str | None], lower: bool) -> list[tuple[np.ndarray, np.ndarray]]:
     """(features, shares) of every text."""
-    out = []
+    found: list[list[np.ndarray]] = [[] for _ in texts]
     for first, after, parts in features(pa.array([t or "" for t in texts], pa.large_string()), lower):
         for i in range(after - first):
-            f, n = np.unique(np.concatenate([x[u[i] : u[i + 1]] for x, u in parts]), return_counts=True)
-            out.append((f, (n / max(1, n.sum())).astype(np.float32)))
+            found[first + i] += [x[u[i] : u[i + 1]] for x, u in parts]
+    out = []
+    for f in found:
+        f, n = np.unique(np.concatenate([*f, np.zeros(0, np.int32)]), return_counts=True)
+        out.append((f, (n / max(1, n.sum())).astype(np.float32)))
     return out
 
 
@@ -78,21 +97,20 @@ class Model:
     classes: list
     table: np.ndarray  # 2**BITS x classes
     bias: np.ndarray
+    #: What the classes' shares add to the calibrated logits.
+    shift: np.ndarray
     temperature: float
     reject_below: float
     lower: bool
 
     def probabilities(self, array: pa.Array) -> np.ndarray:
-        out = np.empty((len(array), len(self.classes)))
+        total, count = np.zeros((len(array), len(self.classes))), np.zeros(len(array))
         for first, after, parts in features(array, self.lower):
-            total = np.zeros((after - first, len(self.classes)))
-            count = np.zeros(after - first)
             for f, upto in parts:
                 for c in range(len(self.classes)):
-                    total[:, c] += np.diff(np.append(0, np.cumsum(self.table[c][f], dtype=np.float64))[upto])
-                count += np.diff(upto)
-            out[first:after] = softmax((total / np.maximum(count, 1)[:, None] + self.bias) / self.temperature)
-        return out
+                    total[first:after, c] += np.diff(np.append(0, np.cumsum(self.table[c][f], dtype=np.float64))[upto])
+                count[first:after] += np.diff(upto)
+        return softmax((total / np.maximum(count, 1)[:, None] + self.bias) / self.temperature + self.shift)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -106,7 +124,7 @@ def train(texts: list[str | None], labels: list, priors: dict, lower: bool, dim:
     classes = sorted(priors)
     if len(classes) < 2:
         only = classes or [None]
-        return Model(only, np.zeros((1, 1 << BITS), np.float32), np.zeros(1), 1.0, 0.0, lower)
+        return Model(only, np.zeros((1, 1 << BITS), np.float32), np.zeros(1), np.zeros(1), 1.0, 0.0, lower)
     rng = np.random.default_rng(seed)
     bag = bags(texts, lower)
     y = np.array([classes.index(x) for x in labels])
@@ -140,16 +158,18 @@ def train(texts: list[str | None], labels: list, priors: dict, lower: bool, dim:
     table = np.ascontiguousarray((vectors @ out.T).T.astype(np.float32))
     sampled = np.bincount(y, minlength=len(classes)) / len(y)
     shift = np.log([max(priors[c], 1e-6) for c in classes]) - np.log(np.maximum(sampled, 1e-6))
-    model = Model(classes, table, bias.astype(np.float64), 1.0, 0.0, lower)
+    model = Model(classes, table, bias.astype(np.float64), shift, 1.0, 0.0, lower)
     if len(calibrate):
+        truth = y[calibrate]
         logits = np.array([table[:, bag[i][0]] @ bag[i][1] + bias for i in calibrate])
-        model.temperature = min(np.geomspace(0.4, 4, 40), key=lambda t: -np.log(np.maximum(1e-12, softmax(logits / t)[np.arange(len(calibrate)), y[calibrate]])).mean())
-        p = softmax(logits / model.temperature)
-        right, top = p.argmax(axis=1) == y[calibrate], p.max(axis=1)
-        by = np.argsort(-top)
-        good = np.cumsum(right[by]) / np.arange(1, len(by) + 1) >= target
+        # scores are those that are given later, with the shares of the classes, and every text counts for its class's share
+        weight = np.exp(shift)[truth]
+        score = lambda t: softmax(logits / t + shift)
+        model.temperature = min(np.geomspace(0.4, 4, 40), key=lambda t: (-np.log(np.maximum(1e-12, score(t)[np.arange(len(truth)), truth])) * weight).sum())
+        p = score(model.temperature)
+        right, top = p.argmax(axis=1) == truth, p.max(axis=1)
+        by = np.argsort(-top, kind="stable")
+        good = np.cumsum((right * weight)[by]) / np.cumsum(weight[by]) >= target
+        # the lowest score down to which enough texts are right: below what was seen nothing is known
         model.reject_below = float(top[by][np.flatnonzero(good)[-1]]) if good.any() else 1.0
-        if good.all():
-            model.reject_below = 1.5 / len(classes) if len(classes) > 2 else 0.5
-    model.bias = model.bias + shift * model.temperature
     return model

@@ -1,18 +1,20 @@
-"""Suffix arrays by induced sorting, with bucket-wide numpy steps in place of single steps.
+"""Suffix arrays by induced sorting, and permuted common prefixes.
 
 Suffixes are classified (smaller or larger than the next one), leftmost-smaller
-substrings are sorted and named, the string of names is sorted, and the order
-of all suffixes is induced from it: one pass over the characters upwards for
-the larger type and one downwards for the smaller type. Within a character's
-bucket the predecessors of all its suffixes are dealt to their buckets at once;
-only runs of the same character take more turns.
+substrings are sorted by induction and named, the string of names is sorted the same
+way if names repeat, and the order of all suffixes is induced from it: one pass
+upwards for the larger type and one downwards for the smaller type. Induction is done
+in two ways that give the same order: over few characters a bucket's predecessors are
+dealt to their buckets at once with numpy, and only runs of the same character take
+more turns; over many characters, as in strings of names, one suffix after another.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from kgloom.llm.common import mix, prefix_hash, span_hash
+#: Strings of more characters than this, or shorter than that, are induced one suffix after another.
+FEW_CHARACTERS, LONG = 1024, 4096
 
 
 def smaller_than_next(t: np.ndarray) -> np.ndarray:
@@ -34,6 +36,37 @@ def _deal(lists: dict[int, list], suffixes: np.ndarray, chars: np.ndarray) -> No
 
 def induce(t: np.ndarray, small: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """All suffixes in order, given the leftmost-smaller ones (``seeds``) in order within each character."""
+    return induce_each(t, small, seeds) if len(t) < LONG or t.max() >= FEW_CHARACTERS else induce_buckets(t, small, seeds)
+
+
+def induce_each(t: np.ndarray, small: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    counts = np.bincount(t)
+    ends = np.cumsum(counts)
+    text, larger, out = t.tolist(), (~small).tolist(), [-1] * len(t)
+    tail = ends.tolist()
+    for s in reversed(seeds.tolist()):
+        c = text[s]
+        tail[c] -= 1
+        out[tail[c]] = s
+    out[0] = len(t) - 1
+    head = (ends - counts).tolist()
+    for i in range(len(t)):
+        j = out[i] - 1
+        if j >= 0 and larger[j]:
+            c = text[j]
+            out[head[c]] = j
+            head[c] += 1
+    tail = ends.tolist()
+    for i in range(len(t) - 1, -1, -1):
+        j = out[i] - 1
+        if j >= 0 and not larger[j]:
+            c = text[j]
+            tail[c] -= 1
+            out[tail[c]] = j
+    return np.array(out)
+
+
+def induce_buckets(t: np.ndarray, small: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     none = np.zeros(0, dtype=np.int64)
     alphabet = np.unique(t).tolist()
     seeded: dict[int, list] = {c: [] for c in alphabet}
@@ -75,73 +108,68 @@ def induce(t: np.ndarray, small: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     return np.concatenate(parts)[::-1]
 
 
-def by_doubling(names: np.ndarray, depth: int) -> np.ndarray:
-    """The order of the suffixes of a string of names, told apart by ``depth`` names at least: the end of the recursion."""
-    rank, step = np.unique(names, return_inverse=True)[1].astype(np.int64) + 1, 1
-    while step < depth and rank.max(initial=0) < len(rank):
-        after = np.zeros(len(rank), dtype=np.int64)
-        after[:-step] = rank[step:]
-        rank = np.unique(rank * (len(rank) + 2) + after, return_inverse=True)[1].astype(np.int64) + 1
-        step *= 2
-    return np.argsort(rank, kind="stable")
+def equal_spans(t: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether t[a:a + size] is t[b:b + size], character by character for all pairs at once."""
+    same = np.ones(len(a), dtype=bool)
+    live, at = np.flatnonzero(size > 0), 0
+    while len(live):
+        hit = t[a[live] + at] == t[b[live] + at]
+        same[live[~hit]] = False
+        at += 1
+        live = live[hit & (size[live] > at)]
+    return same
 
 
-#: Names beyond this many are sorted by doubling, as buckets would hold a few suffixes each.
-MANY_NAMES = 1024
-
-
-def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
-    """The suffixes of ``t`` in order; ``t`` ends in a unique smallest sentinel. Suffixes that
-    agree in ``depth`` characters may be in any order."""
+def suffix_array(t: np.ndarray) -> np.ndarray:
+    """The suffixes of ``t`` in order; ``t`` ends in a unique smallest sentinel, 0."""
     small = smaller_than_next(t)
     seeds = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    if len(seeds) < 2:
-        return induce(t, small, seeds)
     found = induce(t, small, seeds)
+    if len(seeds) < 2:
+        return found
     is_seed = np.zeros(len(t), dtype=bool)
     is_seed[seeds] = True
     ordered = found[is_seed[found]]
-    end = np.append(seeds[1:] + 1, len(t))
-    stop = np.zeros(len(t), dtype=np.int64)
-    stop[seeds] = end
-    prefix = prefix_hash(mix(t.astype(np.uint64) + np.uint64(1)))
-    h = span_hash(prefix, ordered, stop[ordered])
-    name = np.cumsum(np.append(0, h[1:] != h[:-1]))
+    # a substring reaches to the next seed, which it includes
+    size = np.zeros(len(t), dtype=np.int64)
+    size[seeds] = np.append(seeds[1:] + 1, len(t)) - seeds
+    a, b = ordered[1:], ordered[:-1]
+    same = size[a] == size[b]
+    same[same] = equal_spans(t, a[same], b[same], size[a[same]])
     names = np.zeros(len(t), dtype=np.int64)
-    names[ordered] = name
+    names[ordered] = np.cumsum(np.append(0, ~same))
     reduced = names[seeds]
-    if name[-1] + 1 == len(seeds):
-        order = np.empty(len(seeds), dtype=np.int64)
-        order[reduced] = np.arange(len(seeds))
-    elif name[-1] < MANY_NAMES:
-        order = suffix_array(np.append(reduced + 1, 0), depth)
-        order = order[order < len(seeds)]
+    order = np.empty(len(seeds), dtype=np.int64)
+    if same.any():
+        # the last seed is the sentinel, whose name is the only 0
+        order = suffix_array(reduced)
     else:
-        order = by_doubling(reduced, -(-depth // 2) + 1)
+        order[reduced] = np.arange(len(seeds))
     return induce(t, small, seeds[order])
 
 
-def permuted_common_prefixes(t: np.ndarray, order: np.ndarray, most: int, whole: bool = False) -> np.ndarray:
-    """For every suffix, by its place in ``t``: characters in common with the suffix
-    before it in ``order``, up to ``most``. ``whole``: shorter prefixes may be given as 0."""
-    prefix = prefix_hash(mix(t.astype(np.uint64) + np.uint64(1)))
-    a, b = order[1:], order[:-1]
-    low = np.zeros(len(a), dtype=np.int64)
-    high = np.minimum(most, len(t) - np.maximum(a, b))
-    if whole:
-        full = np.flatnonzero(high == most)
-        same = span_hash(prefix, a[full], a[full] + most) == span_hash(prefix, b[full], b[full] + most)
-        low[full[same]] = most
-        high = low
-    while True:
-        open_ = np.flatnonzero(low < high)
-        if not len(open_):
-            break
-        mid = (low[open_] + high[open_] + 1) // 2
-        x, y = a[open_], b[open_]
-        same = span_hash(prefix, x, x + mid) == span_hash(prefix, y, y + mid)
-        low[open_[same]] = mid[same]
-        high[open_[~same]] = mid[~same] - 1
-    out = np.zeros(len(t), dtype=np.int64)
-    out[a] = low
-    return out
+def permuted_common_prefixes(t: np.ndarray, order: np.ndarray, most: int, starts: np.ndarray | None = None) -> np.ndarray:
+    """For every suffix, by its place in ``t``: characters in common with the suffix before it in ``order``, up to ``most``.
+
+    Where the characters before the two are the same, that is one less than at the place before, so only the
+    other places are compared, character by character, and the rest follows. ``starts`` are compared in
+    any case, so that no comparison needs to reach further than from one of them to the next.
+    """
+    n = len(t)
+    before = np.full(n, -1, dtype=np.int64)
+    before[order[1:]] = order[:-1]
+    i = np.arange(n)
+    follows = (i > 0) & (before > 0)
+    follows[follows] = t[i[follows] - 1] == t[before[follows] - 1]
+    if starts is not None:
+        follows[starts] = False
+    direct = np.flatnonzero(~follows)
+    reach = most + int(np.diff(np.append(direct, n)).max())
+    common = np.zeros(len(direct), dtype=np.int64)
+    live, at = np.flatnonzero(before[direct] >= 0), 0
+    while len(live) and at < reach:
+        live = live[t[direct[live] + at] == t[before[direct[live]] + at]]
+        at += 1
+        common[live] = at
+    last = np.repeat(np.arange(len(direct)), np.diff(np.append(direct, n)))
+    return np.clip(common[last] + direct[last] - i, 0, most)
