@@ -125,8 +125,9 @@ def test_suffix_array_and_prefixes(monkeypatch):
         t = np.array([random.randint(1, most) for _ in range(random.randint(1, 50))] + [0])
         if k % 3 == 0:
             t = np.concatenate([t[:-1], t[:-1], t])
-        # both ways to induce, at every depth of the recursion
-        monkeypatch.setattr(suffixes, "LONG", random.choice([0, 4096]))
+        # all ways to induce, at every depth of the recursion
+        monkeypatch.setattr(suffixes, "FEW_CHARACTERS", random.choice([0, 4096]))
+        monkeypatch.setattr(suffixes, "LONG_RUNS", random.choice([0, 4096]))
         sa = suffixes.suffix_array(t)
         expected = sorted(range(len(t)), key=lambda i: t[i:].tolist())
         assert sa.tolist() == expected
