@@ -21,8 +21,8 @@ no metric bound excludes anything and the join compares nearly all pairs.
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing; vectors of different lengths don't link; repeated
 rows are vectors of their own; rows with one vec_id are one node; a null vec_id
-has a null component unless linked; an empty table gives no rows; other columns
-are ignored.
+has a null component unless linked; very long vectors are compared whole; an empty
+table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -34,22 +34,23 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from kgloom.llm.common import components, drop_written, union_pairs, written
+from kgloom.llm.common import components, drop_written, roots, union_pairs, written
 
 NO_ID = 1 << 62
 MARGIN = 1e-4
 
 
-def unit(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    x = np.frombuffer(b"".join(raw), dtype="<f8").reshape(len(raw), -1)
+def unit(raw: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray]:
+    x = np.frombuffer(b"".join(raw), dtype=kind).reshape(len(raw), -1).astype("<f8")
     return x, x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def scaled(v: list[float]) -> bytes:
+def scaled(v: list[float], kind: str) -> bytes:
     """A multiple by a power of two whose largest component is near 1, so that no norm under- or overflows."""
     x = np.array(v, dtype="<f8")
-    return np.ldexp(x, -int(np.frexp(np.abs(x).max())[1])).astype("<f8").tobytes()
+    return np.ldexp(x, -int(np.frexp(np.abs(x).max())[1])).astype(kind).tobytes()
 
 
 def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
@@ -79,114 +80,109 @@ def bound_cells(units: np.ndarray, pivots: np.ndarray, radius: np.ndarray | None
     return own, mine, reach
 
 
-def join(vectors: DataFrame, cosine: float = 0.9, cell_rows: int = 4096, sample_rows: int = 20_000, most_pivots: int = 512, most_dims: int = 4096) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every row of ``vectors`` (vec_id, embedding).
-    Each length of vectors is joined in turn; more than ``most_dims`` lengths are refused."""
+def join(vectors: DataFrame, cosine: float = 0.9, cell_rows: int = 4096, sample_rows: int = 20_000, most_pivots: int = 4096) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every row of ``vectors`` (vec_id, embedding)."""
     spark = vectors.sparkSession
     eps = math.sqrt(2 - 2 * cosine)
+    # single-precision vectors travel as such: that loses nothing
+    kind = "<f4" if isinstance(vectors.schema["embedding"].dataType.elementType, FloatType) else "<f8"
     e = F.transform("embedding", lambda x: x.cast("double"))
     fine = F.coalesce((F.size("embedding") > 0) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0), F.lit(False))
 
     def raw_of(batches):
         for batch in batches:
-            raw = [scaled(v) if ok else None for v, ok in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            raw = [scaled(v, kind) if ok else None for v, ok in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["id", "raw"])
 
     rows = vectors.select(F.col("vec_id").cast("long").alias("id"), e.alias("e"), fine.alias("ok")).mapInArrow(raw_of, "id long, raw binary")
     # rows without an id get one from their place in a written table
     rows = written(rows.withColumn("node", F.coalesce("id", F.lit(NO_ID) + F.monotonically_increasing_id())))
     groups = written(rows.where("raw is not null").groupBy("raw").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    reps = groups.select("rep", "copies", "raw", F.octet_length("raw").alias("dim"))
-    sizes = {r["dim"]: r["n"] for r in reps.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(most_dims + 1).collect()}
-    if len(sizes) > most_dims:
-        raise ValueError(f"vectors of more than {most_dims} lengths: raise most_dims to join them all")
-    counts = links = None
-    for dim, n in sizes.items():
-        part = reps.where(F.col("dim") == dim)
-        share = min(1.0, sample_rows / n)
-        sample = part.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) <= int(share * (1 << 20))).select("raw").limit(sample_rows).collect()
-        pivots = choose_pivots(unit([r["raw"] for r in sample])[1], int(np.clip(-(-n // cell_rows), 1, most_pivots)))
-        c, l = join_dim(part, pivots, cosine, eps, cell_rows)
-        counts = c if counts is None else counts.union(c)
-        links = l if links is None else links.union(l)
-    if counts is None:
-        return rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
+    reps = groups.select("rep", "copies", "raw", (F.octet_length("raw") / np.dtype(kind).itemsize).cast("int").alias("dim"))
+    # lengths with more vectors than a cell takes are cut by pivots, one at most for ``cell_rows`` vectors; all others are a cell each
+    sizes = reps.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell_rows)
+    sampled = reps.join(sizes, "dim").where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) * F.col("n") <= F.lit(sample_rows << 20))
+    by_dim: dict[int, tuple[int, list[bytes]]] = {}
+    for r in sampled.select("dim", "n", "raw").collect():
+        by_dim.setdefault(r["dim"], (r["n"], []))[1].append(bytes(r["raw"]))
+    pivots = {dim: choose_pivots(unit(raw[:sample_rows], kind)[1], int(np.clip(-(-n // cell_rows), 1, most_pivots))) for dim, (n, raw) in sorted(by_dim.items())}
+    counts, links = join_cells(reps, pivots, cosine, eps, cell_rows, kind)
     total = written(counts.groupBy("rep").agg(F.sum("n").alias("n")))
     comp = components(links)
     info = groups.join(total, "rep", "left").join(comp, F.col("rep") == F.col("node"), "left")
     info = written(info.select("raw", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("comp")))
-    out = rows.join(info, "raw", "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("comp", "node").alias("comp"))
+    out = rows.where("raw is not null").join(info, "raw", "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("comp", "node").alias("comp"))
+    # what links with nothing is alike and doesn't meet in the join
+    out = out.union(rows.where("raw is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("node").alias("comp")))
     drop_written(groups, total)
     comp_id = F.when(F.col("comp") < NO_ID, F.col("comp"))
     return out.select(F.col("id").alias("vec_id"), "n_links", comp_id.alias("component_id"), F.coalesce(F.col("id") == comp_id, F.lit(False)).alias("kept"))
 
 
-def join_dim(reps: DataFrame, pivots: np.ndarray, cosine: float, eps: float, cell_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Partners by vector (rep, n), and links (a, b) that span the components."""
-    k = len(pivots)
+def join_cells(reps: DataFrame, pivots: dict[int, np.ndarray], cosine: float, eps: float, cell_rows: int, kind: str) -> tuple[DataFrame, DataFrame]:
+    """Partners by vector (rep, n), and links (a, b) that span the components, of vectors of all lengths in one job."""
+    spark = reps.sparkSession
+    shared = spark.sparkContext.broadcast(pivots)  # most_pivots vectors a length with many
 
     def measure(batches):
         for batch in batches:
-            if len(batch):
-                own, mine, _ = bound_cells(unit(batch.column(0).to_pylist())[1], pivots, None, eps)
-                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(mine)], names=["cell", "d"])
-
-    stats = reps.select("raw").mapInArrow(measure, "cell int, d double").groupBy("cell").agg(F.max("d").alias("r"), F.count(F.lit(1)).alias("n")).collect()  # a row a pivot
-    radius, held = np.full(k, -10.0), np.zeros(k, dtype=np.int64)
-    for s in stats:
-        radius[s["cell"]], held[s["cell"]] = s["r"], s["n"]
-    chunks = np.maximum(1, -(-held // cell_rows))
+            dims = np.array(batch.column(1))
+            for dim in np.unique(dims):
+                own, mine, _ = bound_cells(unit(batch.column(0).take(pa.array(np.flatnonzero(dims == dim))).to_pylist(), kind)[1], shared.value[int(dim)], None, eps)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), dim, dtype=np.int32)), pa.array(own.astype(np.int32)), pa.array(mine)], names=["dim", "cell", "d"])
+
+    radius = {dim: np.full(len(p), -10.0) for dim, p in pivots.items()}
+    held = {dim: np.zeros(len(p), dtype=np.int64) for dim, p in pivots.items()}
+    if pivots:
+        large = reps.join(spark.createDataFrame([(d,) for d in pivots], "dim int"), "dim", "left_semi").select("raw", "dim")
+        for s in large.mapInArrow(measure, "dim int, cell int, d double").groupBy("dim", "cell").agg(F.max("d").alias("r"), F.count(F.lit(1)).alias("n")).collect():  # a row a pivot
+            radius[s["dim"]][s["cell"]], held[s["dim"]][s["cell"]] = s["r"], s["n"]
 
     def deal(batches):
         """Each vector to its cell's chunk pairs, and as a guest to the chunks of cells with a smaller number."""
         for batch in batches:
-            if not len(batch):
-                continue
-            raw = batch.column(2).to_pylist()
-            _, u = unit(raw)
-            own, _, reach = bound_cells(u, pivots, radius, eps)
-            rep, copies = np.array(batch.column(0)), np.array(batch.column(1))
-            x = np.frombuffer(b"".join(raw), dtype="<f8").reshape(len(raw), -1)
-            chunk = (rep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % chunks[own]
+            dims, rep, copies = np.array(batch.column(3)), np.array(batch.column(0)), np.array(batch.column(1))
             out = []
-            for c in range(k):
-                home = own == c
-                guest = reach[:, c] & (own > c)
-                for i in range(int(chunks[c])):
-                    me = np.flatnonzero(home & (chunk == i))
-                    for j in range(int(chunks[c])):
+            for dim in np.unique(dims).tolist():
+                of = np.flatnonzero(dims == dim)
+                raw = batch.column(2).take(pa.array(of)).to_pylist()
+                pack = lambda rows, of=of, raw=raw: np.uint32(len(rows)).tobytes() + rep[of[rows]].astype("<i8").tobytes() + copies[of[rows]].astype("<i8").tobytes() + b"".join([raw[i] for i in rows])
+                if dim not in shared.value:
+                    out.append((dim, 0, 0, 0, 0, pack(np.arange(len(of)))))
+                    continue
+                chunks = np.maximum(1, -(-held[dim] // cell_rows))
+                own, _, reach = bound_cells(unit(raw, kind)[1], shared.value[dim], radius[dim], eps)
+                chunk = (rep[of].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % chunks[own]
+                for c in np.flatnonzero(reach.any(axis=0)).tolist():
+                    home, g = own == c, np.flatnonzero(reach[:, c] & (own > c))
+                    for i in range(int(chunks[c])):
+                        me = np.flatnonzero(home & (chunk == i))
                         if len(me):
                             # row side of the pair (i, j) for i <= j; column side for i > j
-                            out.append((c, min(i, j), max(i, j), 0 if i <= j else 1, pack(rep[me], copies[me], x[me])))
-                    g = np.flatnonzero(guest)
-                    if len(g) and held[c]:
-                        out.append((c, i, -1, 1, pack(rep[g], copies[g], x[g])))
-                    if len(me):
-                        out.append((c, i, -1, 0, pack(rep[me], copies[me], x[me])))
+                            data = pack(me)
+                            out += [(dim, c, min(i, j), max(i, j), 0 if i <= j else 1, data) for j in range(int(chunks[c]))]
+                            out.append((dim, c, i, -1, 0, data))
+                        if len(g) and held[dim][c]:
+                            out.append((dim, c, i, -1, 1, pack(g)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["cell", "i", "j", "side", "data"])
-
-    width = pivots.shape[1]
-
-    def pack(rep, copies, x) -> bytes:
-        return np.uint32(len(rep)).tobytes() + rep.astype("<i8").tobytes() + copies.astype("<i8").tobytes() + x.astype("<f8").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), (*(pa.int32(),) * 5, pa.binary()), strict=True)], names=["dim", "cell", "i", "j", "side", "data"])
 
-    def unpack(blobs):
+    def unpack(blobs, width):
         rep, copies, x = [], [], []
         for b in blobs:
             n = int(np.frombuffer(b, "<u4", 1)[0])
             rep.append(np.frombuffer(b, "<i8", n, 4))
             copies.append(np.frombuffer(b, "<i8", n, 4 + 8 * n))
-            x.append(np.frombuffer(b, "<f8", n * width, 4 + 16 * n).reshape(n, width))
+            x.append(np.frombuffer(b, kind, n * width, 4 + 16 * n).reshape(n, width))
         if not rep:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, width))
-        return np.concatenate(rep), np.concatenate(copies), np.concatenate(x)
+        return np.concatenate(rep), np.concatenate(copies), np.concatenate(x).astype("<f8")
 
-    def compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        cell, i, j = (int(v) for v in key)
-        a_rep, a_copies, a = unpack(pdf["data"][pdf["side"] == 0])
+    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        dim, _, i, j = (int(v) for v in key)
+        a_rep, a_copies, a = unpack(pdf["data"][pdf["side"] == 0], dim)
         same = i == j
-        b_rep, b_copies, b = (a_rep, a_copies, a) if same else unpack(pdf["data"][pdf["side"] == 1])
+        b_rep, b_copies, b = (a_rep, a_copies, a) if same else unpack(pdf["data"][pdf["side"] == 1], dim)
         if not len(a_rep) or not len(b_rep):
             return pd.DataFrame({"data": []})
         a_norm, b_norm = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
@@ -211,12 +207,10 @@ def join_dim(reps: DataFrame, pivots: np.ndarray, cosine: float, eps: float, cel
                 np.add.at(n_a, r, b_copies[c])
                 np.add.at(n_b, c, a_copies[r])
                 union_pairs(parent, r, c + shift)
-        reps = a_rep if same else np.concatenate([a_rep, b_rep])
+        reps_ = a_rep if same else np.concatenate([a_rep, b_rep])
         n = n_a + n_b if same else np.concatenate([n_a, n_b])
-        root = parent.copy()
-        while not np.array_equal(root, root[root]):
-            root = root[root]
-        out = np.stack([reps, n, reps[root]], axis=1)[(n > 0)]
+        root = roots(parent, np.arange(len(parent)))
+        out = np.stack([reps_, n, reps_[root]], axis=1)[(n > 0)]
         return pd.DataFrame({"data": [out.astype("<i8").tobytes()]} if len(out) else {"data": []})
 
     def rows_of(batches):
@@ -224,8 +218,8 @@ def join_dim(reps: DataFrame, pivots: np.ndarray, cosine: float, eps: float, cel
             x = np.concatenate([np.frombuffer(v.as_buffer(), "<i8").reshape(-1, 3) for v in batch.column(0)] or [np.zeros((0, 3), np.int64)])
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, i])) for i in range(3)], names=["rep", "n", "root"])
 
-    dealt = reps.select("rep", "copies", "raw").mapInArrow(deal, "cell int, i int, j int, side int, data binary")
-    found = written(dealt.groupBy("cell", "i", "j").applyInPandas(compare, "data binary"))
+    dealt = reps.select("rep", "copies", "raw", "dim").mapInArrow(deal, "dim int, cell int, i int, j int, side int, data binary")
+    found = written(dealt.groupBy("dim", "cell", "i", "j").applyInPandas(compare, "data binary"))
     found = found.mapInArrow(rows_of, "rep long, n long, root long")
     return found.select("rep", "n"), found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b"))
 

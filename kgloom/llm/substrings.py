@@ -371,7 +371,7 @@ EMPTY = hashlib.sha256(b"").hexdigest()
 def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, buckets: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (packed byte ranges) of every document."""
     spark = docs.sparkSession
-    buckets = buckets or buckets_for(docs, 1 << 21, 256)
+    buckets = buckets or buckets_for(docs, 1 << 22, 64)
     base = written(emit(docs, buckets, width, gram))
     profile = base.where("kind = 0").select("id", "doc_id", "n_bytes", "sha")
     keyed = base.where("kind = 0").select("id", "sha", "n_bytes")

@@ -151,10 +151,19 @@ def test_vectors(spark):
     assert [tuple(r) for r in join(spark.createDataFrame([(None, [1.0])], "vec_id long, embedding array<float>")).collect()] == [(None, 0, None, False)]
 
 
-def test_too_many_lengths_of_vectors_are_refused(spark):
-    df = spark.createDataFrame(VECTORS, "vec_id long, embedding array<double>")
-    with pytest.raises(ValueError, match="more than 1 lengths"):
-        join(df, most_dims=1)
+@pytest.mark.parametrize("element", ["double", "float"])
+def test_vectors_of_many_lengths(spark, element):
+    """Every length is joined: those with many vectors by pivots, the others in a cell each, all in one job."""
+    import random
+
+    r = random.Random(6)
+    rows = []
+    for dim in [1, 2, 3, *range(40, 90)]:
+        for _ in range(60 if dim == 3 else 3):
+            rows.append((len(rows), [float(r.randrange(-4, 5)) for _ in range(dim)]))
+        rows.append((len(rows), [2 * x for x in rows[-1][1]]))
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{element}>")
+    assert sorted(map(tuple, join(df, cell_rows=10).collect())) == brute.vectors(rows)
 
 
 def test_vectors_in_many_cells(spark, sf):
