@@ -15,14 +15,19 @@ with possessive runs and a test of the character before, so that a text of any
 length is matched in time proportional to it; results are those of the plain
 patterns, leftmost and non-overlapping.
 
+Results leave an array only by its stretches (``scan``), so a text with very many
+matches takes time in proportion to them.
+
 Defined results: null text is empty; no span gives an empty string and its hash;
-repeated rows and ids are rows of their own; an empty table gives no rows; other
-columns are kept by ``redact`` and ignored by ``find``.
+spans with one start are in the order of their kinds; repeated rows and ids are
+rows of their own; very long texts are read whole; an empty table gives no rows;
+other columns, whatever their names, are kept by ``redact`` and ignored by ``find``.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +37,7 @@ from kgloom.llm.common import written
 KINDS = ("email", "ip", "card", "phone")
 
 #: What must be in a text for the pattern to be tried at all.
-TRIGGER = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9]", "phone": r"\+[0-9]", "digits": r"[0-9]{3}", "handle": r"(?i)[\[(]at[\])]"}
+TRIGGER = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9]", "phone": r"\+[0-9]", "digits": r"[0-9]{3}", "handle": r"(?i)[\[(]at[\])]", "spelled": "(?i) dot "}
 
 #: Candidate patterns. The first four have the spans of the fixed rules.
 PATTERN = {
@@ -42,8 +47,8 @@ PATTERN = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "digits": r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
     "handle": r"[A-Za-z0-9._%+-]{1,64}+\x20?+[\[(](?i:at)[\])]\x20?+[A-Za-z0-9-]{1,64}+(?:\.[A-Za-z0-9-]{1,64}+)++",
+    "spelled": r"[A-Za-z0-9._%+-]{1,64}+\x20(?i:at)\x20[A-Za-z0-9-]{1,64}+(?:\x20(?i:dot)\x20[A-Za-z0-9-]{1,64}+)++",
 }
-KIND_OF = {"digits": "phone", "handle": "email"}
 
 #: Context words, in four languages: fixed values.
 CONTEXT = {
@@ -56,30 +61,53 @@ CONTEXT = {
 AGAINST = ["version", "section", "page", "isbn", "order", "id", "no", "seite", "figure"]
 #: Assigned country calling codes by first digits: fixed values.
 CALLING = r"^\+(1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|2[1-6][0-9]|35[0-9]|37[0-9]|38[0-9]|42[013]|50[0-9]|59[0-9]|67[0-9]|68[0-9]|69[0-2]|85[0-6]|88[0-8]|96[0-8]|97[0-7]|99[2-8])"
-DOMAINS = r"(?i)\.(com|org|net|edu|gov|info|io|de|fr|es|uk|eu|us)$"
+DOMAINS = r"(?i)(?:\.|\x20dot\x20)(com|org|net|edu|gov|info|io|de|fr|es|uk|eu|us)$"
 PRIVATE_NETS = r"^(10|127|0|255)\.|^192\.168\."
 
 VOTES = ("strict", "checksum", "gazetteer", "context")
 
 
+#: Items that ``scan`` walks in one go.
+STRETCH = 256
+
+
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with ``value`` evaluated once however often it is used."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def scan(items: Column, zero: Column, step: Callable[[Column, Column], Column], out: Callable[[Column, Column], Column], of: str, to: str) -> Column:
+    """Array of out(state, item) for every item, the state going on by step(state, item). ``of`` and ``to`` are the types
+    of states and results. Arrays only grow within a stretch, and by one entry a stretch, so
+    that the time is in proportion to the items for all but astronomically many."""
+    part = lambda a, c: F.slice(a, (c * STRETCH + 1).cast("int"), F.lit(STRETCH))
+
+    def walked(a: Column) -> Column:
+        stretches = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(a) - 1) / STRETCH).cast("int")))
+        begin = F.struct(zero.alias("state"), F.array().cast(f"array<{of}>").alias("starts"))
+        starts = F.aggregate(stretches, begin, lambda s, c: F.struct(F.aggregate(part(a, c), s["state"], step).alias("state"), F.concat(s["starts"], F.array(s["state"])).alias("starts")), lambda s: s["starts"])
+        none = F.array().cast(f"array<{to}>")
+        one = lambda state, c: F.aggregate(part(a, c), F.struct(state.alias("state"), none.alias("out")), lambda s, x: F.struct(step(s["state"], x).alias("state"), F.concat(s["out"], F.array(out(s["state"], x))).alias("out")), lambda s: s["out"])
+        return F.flatten(F.transform(starts, one))
+
+    return once(items, walked)
+
+
+PLACE = "struct<source:string,start:bigint,end:bigint,value:string,before:string>"
+
+
 def placed(kind: str) -> Column:
     """Array of structs (source, start, end, value, before): start and end in code points."""
-    p = F.lit(PATTERN[kind])
     text = F.col("text")
-    found = F.regexp_extract_all(text, p, F.lit(0))
-    parts = F.split(text, PATTERN[kind], -1)
-    empty = F.array().cast("array<struct<source:string,start:bigint,end:bigint,value:string,before:string>>")
-    zipped = F.arrays_zip(found.alias("m"), F.slice(parts, F.lit(1), F.size(found)).alias("g"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out"))
+    # what lies before each match, and the match
+    pairs = once(F.regexp_extract_all(text, F.lit(PATTERN[kind]), F.lit(0)), lambda m: F.zip_with(F.slice(F.split(text, PATTERN[kind], -1), F.lit(1), F.size(m)), m, lambda g, x: F.struct(g.alias("g"), x.alias("m"))))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["g"])
-        end = begin + F.length(x["m"])
-        one = F.struct(F.lit(kind).alias("source"), begin.cast("bigint").alias("start"), end.cast("bigint").alias("end"), x["m"].alias("value"), F.lower(F.right(x["g"], F.lit(24))).alias("before"))
-        return F.struct(end.cast("bigint").alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def place(at: Column, x: Column) -> Column:
+        begin = at + F.length(x["g"])
+        return F.struct(F.lit(kind).alias("source"), begin.alias("start"), (begin + F.length(x["m"])).alias("end"), x["m"].alias("value"), F.lower(F.right(x["g"], F.lit(24))).alias("before"))
 
-    walked = F.aggregate(zipped, start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(TRIGGER[kind]), walked).otherwise(empty)
+    found = scan(pairs, F.lit(0).cast("bigint"), lambda at, x: at + F.length(x["g"]) + F.length(x["m"]), place, "bigint", PLACE)
+    return F.when(text.rlike(TRIGGER[kind]), found).otherwise(F.array().cast(f"array<{PLACE}>"))
 
 
 def luhn(digits: Column) -> Column:
@@ -92,7 +120,7 @@ def luhn(digits: Column) -> Column:
 def judged(x: Column) -> Column:
     """A candidate with its kind, its place, whether it meets the fixed rule, votes and features."""
     source, value, before = x["source"], x["value"], x["before"]
-    kind = F.when(source == "digits", "phone").when(source == "handle", "email").otherwise(source)
+    kind = F.when(source == "digits", "phone").when(source.isin("handle", "spelled"), "email").otherwise(source)
     digits = F.regexp_replace(value, "[^0-9]", "")
     n = F.length(digits)
     small = lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.coalesce(F.right(F.concat(F.lit("0"), F.ltrim(p, F.lit("0"))), F.lit(3)).cast("int"), F.lit(0)) <= 255)
@@ -137,11 +165,26 @@ def candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
     for kind in PATTERN:
         d = d.withColumn(f"_{kind}", placed(kind))
     found = F.transform(F.concat(*[F.col(f"_{k}") for k in PATTERN]), judged)
-    # a wider pattern yields where a rule's span of the same kind overlaps
-    own = F.filter("found", lambda x: x["source"].isin(*KINDS))
-    free = lambda x: x["source"].isin(*KINDS) | ~F.exists(own, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
     d = d.select(*[f"_k_{c}" for c in keep], found.alias("found"))
-    return d.select(*[F.col(f"_k_{c}").alias(c) for c in keep], F.filter("found", free).alias("found"))
+    return d.select(*[F.col(f"_k_{c}").alias(c) for c in keep], undisputed(F.col("found")).alias("found"))
+
+
+def undisputed(found: Column) -> Column:
+    """Candidates without those of a wider pattern that overlap with a span of the rules' own patterns. In the order
+    of starts, that is seen from the farthest end before and the nearest start after."""
+    own = lambda x: x["source"].isin(*KINDS)
+    low, high = F.lit(-1).cast("bigint"), F.lit((1 << 62)).cast("bigint")
+
+    def check(a: Column) -> Column:
+        x = lambda s: s["x"]
+        before = scan(a, low, lambda end, s: F.when(own(x(s)), F.greatest(end, x(s)["end"])).otherwise(end), lambda end, s: end, "bigint", "bigint")
+        after = F.reverse(scan(F.reverse(a), high, lambda start, s: F.when(own(x(s)), x(s)["start"]).otherwise(start), lambda start, s: start, "bigint", "bigint"))
+        limits = F.zip_with(before, after, lambda b, e: F.struct(b.alias("b"), e.alias("e")))
+        marked = F.zip_with(a, limits, lambda s, t: F.struct(x(s).alias("x"), (own(x(s)) | ((t["b"] <= x(s)["start"]) & (t["e"] >= x(s)["end"]))).alias("free")))
+        return F.transform(F.filter(marked, lambda m: m["free"]), x)
+
+    ordered = F.array_sort(F.transform(found, lambda x: F.struct(x["start"].alias("start"), x.alias("x"))))
+    return F.when(F.exists(found, lambda x: ~own(x)) & F.exists(found, own), once(ordered, check)).otherwise(found)
 
 
 # ------------------------------------------------------------------- learning
@@ -243,19 +286,27 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every found span replaced by its kind in brackets; ``n_chars``, where there is one, follows."""
     weights = fit(docs)
     with_text = candidates(docs.withColumn("_row", F.struct(*docs.columns)), ["_row"])
-    spans = in_order(F.filter("found", lambda x: accepted(x, weights)))
+    with_text = with_text.withColumn("found", in_order(F.filter("found", lambda x: accepted(x, weights))))
+    spans = F.col("found")
     text = F.col("_row.text")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = F.greatest(acc["at"], x["start"])
-        head = F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (begin - acc["at"]).cast("int")))
-        inside = x["end"] <= acc["at"]  # lies in a span that is replaced already
-        mark = F.when(x["start"] >= acc["at"], F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise("")
-        return F.struct(F.greatest(acc["at"], x["end"]).cast("bigint").alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(head, mark)).alias("out"))
-
-    walked = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    new = F.when(F.size("found") > 0, walked).otherwise(text)
+    # where the text before a span was used up, and the span
+    walked = scan(spans, F.lit(0).cast("bigint"), lambda at, x: F.greatest(at, x["end"]), lambda at, x: F.struct(at.alias("at"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")), "bigint", "struct<at:bigint,start:bigint,end:bigint,kind:string>")
+    cut = lambda t, at, n: F.substring(t, (at + 1).cast("int"), n.cast("int"))
+
+    def replaced(part: Column) -> Column:
+        """The text of a stretch of spans: each is looked up in the stretch's own text, not from the start of all."""
+        origin, last = F.element_at(part, 1)["at"], F.element_at(part, -1)
+        block = cut(text, origin, F.greatest(last["at"], last["end"]) - origin)
+        mark = lambda x: F.when((x["end"] > x["at"]) & (x["start"] >= x["at"]), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise("")
+        return once(block, lambda b: F.array_join(F.transform(part, lambda x: F.concat(cut(b, x["at"] - origin, F.greatest(x["at"], x["start"]) - x["at"]), mark(x))), ""))
+
+    def joined(a: Column) -> Column:
+        stretches = F.sequence(F.lit(0), F.floor((F.size(a) - 1) / STRETCH).cast("int"))
+        parts = F.transform(stretches, lambda c: once(F.slice(a, (c * STRETCH + 1).cast("int"), F.lit(STRETCH)), replaced))
+        end = F.element_at(a, -1)
+        return F.concat(F.array_join(parts, ""), cut(text, F.greatest(end["at"], end["end"]), F.length(text)))
+
+    new = F.when(F.size("found") > 0, once(walked, joined)).otherwise(text)
     out = with_text.select("_row", new.alias("_new"))
     columns = []
     for c in docs.columns:

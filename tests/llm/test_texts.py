@@ -195,6 +195,27 @@ def test_personal_data(spark, odd, none):
     assert pii.redact(odd).columns == odd.columns
 
 
+def test_many_matches_in_one_text(spark, monkeypatch):
+    """Results don't depend on stretches, and time follows the matches."""
+    import time
+
+    text = lambda n: " ".join(f"mail{i}@ex.com 10.0.{i % 256}.1 555-123-{1000 + i % 9000} a{i} at b dot com" for i in range(n))
+    took = {}
+    for n in (1000, 2000, 8000):
+        began = time.time()
+        row = pii.find(spark.createDataFrame([(1, text(n))], "doc_id long, text string"), ["doc_id", "text"]).collect()[0]
+        took[n] = time.time() - began
+        assert spans(row) == brute.personal(row.text)
+    assert took[8000] < 8 * took[2000] + 5
+    df = spark.createDataFrame([(i, text(i)) for i in (0, 1, 255, 256, 257, 600)], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    for i in (255, 256, 257, 600):
+        assert out[i].count("[EMAIL]") >= i and out[i].count("[IP]") == i and not brute.personal(out[i])
+        assert out[i].split(" ")[0] == "[EMAIL]" and out[i].split(" ")[1] == "[IP]"
+    monkeypatch.setattr(pii, "STRETCH", 3)
+    assert {r.doc_id: r.text for r in pii.redact(df).collect()} == out
+
+
 def test_personal_data_plan_has_no_python(spark, odd):
     plan = pii.find(odd, ["doc_id"])._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
