@@ -12,8 +12,10 @@ template covers is taken out and the block is tried again, so a block can hold
 several.
 
 Defined results: null text has no blocks; signs without a letter or digit, such as
-those that open a comment line, aren't words; repeated rows are rows of their own;
-ids may be null; an empty table gives no rows; other columns are ignored.
+those that open a comment line, aren't words; of templates that cover the same words
+with the same differences, the longer one is given; repeated rows are rows of their
+own; very long texts are read whole; ids may be null; an empty table gives no rows;
+other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +33,14 @@ from pyspark.sql import functions as F
 
 FREE = "you can redistribute it and/or modify it under the terms of the {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
 
+BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
+)
+
 #: Notices by SPDX identifier: fixed values. Words in capitals or with digits tell licenses apart.
 #: Identifiers with -grant and -endorsement are sentences of full license texts; BSD-grant opens all BSD licenses.
 TEMPLATES = {
@@ -59,7 +69,18 @@ TEMPLATES = {
     "LGPL-3.0-or-later": FREE.format("GNU Lesser General Public License", "3"),
     "LGPL-2.1-or-later": FREE.format("GNU Lesser General Public License", "2.1"),
     "AGPL-3.0-or-later": FREE.format("GNU Affero General Public License", "3"),
+    "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+    "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "MIT-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "ISC-text": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "BSD-2-Clause-text": f"{BSD[0]} {BSD[1]} {BSD[2]} {BSD[4]}",
+    "BSD-3-Clause-text": f"{BSD[0]} {BSD[1]} {BSD[2]} {BSD[3]} {BSD[4]}",
+    "Zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "Unlicense-text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
+#: Tags by SPDX identifier, one for each license above and some more: made from a rule.
+TAGGED = ("Apache-2.0", "MIT", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0")
+TEMPLATES |= {f"{i}-tag": f"SPDX-License-Identifier: {i}" for i in TAGGED}
 
 WORD = re.compile(r"[^\s,;:()\"']+")
 
@@ -77,6 +98,9 @@ def words(text: str) -> list[tuple[str, int, int]]:
 def marked(template: str) -> set[str]:
     """The words that may not differ: with a digit, in capitals, or a name before License."""
     ws = [m.group().rstrip(".!?") for m in WORD.finditer(template)]
+    if ws[:1] == ["SPDX-License-Identifier"] or sum(w.isupper() for w in ws) > 8:
+        # in a tag all words count; where whole sentences are in capitals, numbers and a few long words of the rest do
+        return {w.lower() for w in ws} if len(ws) < 8 else {w.lower() for w in sorted((w for w in ws if not w.isupper()), key=lambda w: (-len(w), w))[:4]}
     fixed = {w.lower() for w in ws if any(c.isdigit() for c in w) or (len(w) > 1 and w.isupper())}
     for a, b in zip(ws, ws[1:], strict=False):
         if b in ("License", "General", "Public") and a[0].isupper():
@@ -174,10 +198,10 @@ class Scanner:
         while again:
             at, found = self.places(left), []
             for saved, name in ranked:
-                found += [(differ, -saved, name, first, last) for differ, first, last in self.hits(left, at, name)]
+                found += [(differ, first - last, -saved, name, first, last) for differ, first, last in self.hits(left, at, name)]
             taken = [False] * len(left)
             out = []
-            for differ, saved, name, first, last in sorted(found):
+            for differ, _, saved, name, first, last in sorted(found):
                 if not any(taken[first:last]):
                     taken[first:last] = [True] * (last - first)
                     out.append((first, last))
