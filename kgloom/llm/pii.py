@@ -32,7 +32,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import written
+from kgloom.llm.common import drop_written, written
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -249,7 +249,10 @@ def train(rows: list[dict], posterior: list[float], rounds: int = 300) -> dict[t
 
 
 def fit(docs: DataFrame) -> dict[tuple[str, str], float]:
-    rows = patterns(candidates(docs, []))
+    # written, as a plan that explodes an array looks at it twice
+    found = written(candidates(docs, []))
+    rows = patterns(found)
+    drop_written(found)
     return train(rows, reliabilities(rows)[1])
 
 
