@@ -77,7 +77,10 @@ class WordTokenizer:
         self.chunks_kept, self.bytes_kept, self.held = chunks_kept, bytes_kept, 0
         self.find = regex.compile(self.PATTERN).findall
         self.odd = re.compile("<\\||[\x00\x1c-\x1f\u03a3]").search
-        self.unknown = re.compile(f"[{unassigned()}]").search
+        # a class beyond the first plane is tested range by range, so only texts that reach there meet it
+        self.unknown = re.compile(f"[{unassigned(0, 0xFFFF)}]").search
+        self.beyond = re.compile("[\U00010000-\U0010ffff]").search
+        self.unknown_beyond = re.compile(f"[{unassigned(0x10000, sys.maxunicode)}]").search
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
         byte_of = {c: b for b, c in enumerate(byte_letters())}
@@ -92,7 +95,7 @@ class WordTokenizer:
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if self.odd(text) or not text.isascii() and self.unknown(text):
+        if self.odd(text) or not text.isascii() and (self.unknown(text) or self.beyond(text) and self.unknown_beyond(text)):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
@@ -122,11 +125,11 @@ class WordTokenizer:
             return out
 
 
-def unassigned() -> str:
-    """A pattern's character class of the code points without a category in Python's tables."""
+def unassigned(least: int, most: int) -> str:
+    """A pattern's character class of the code points from ``least`` to ``most`` without a category in Python's tables."""
     ranges, first = [], None
-    for c in range(sys.maxunicode + 2):
-        none = c <= sys.maxunicode and unicodedata.category(chr(c)) == "Cn"
+    for c in range(least, most + 2):
+        none = c <= most and unicodedata.category(chr(c)) == "Cn"
         if none and first is None:
             first = c
         elif not none and first is not None:
