@@ -31,6 +31,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Texts go to Python workers in Arrow batches of about so many bytes (one longer text alone), unless the session was started with a limit of its own.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches are small: what a batch takes outside the heap and in a worker doesn't grow with the texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not df.sparkSession.sparkContext.getConf().contains(name):
+        df.sparkSession.conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession

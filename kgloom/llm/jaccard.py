@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import buckets_for, clean_shuffles, components, drop_written, fresh, may_be_in, mix, roots, shingles, union_pairs, utf8_parts, written
+from kgloom.llm.common import buckets_for, clean_shuffles, components, drop_written, fresh, may_be_in, mix, roots, shingles, small_batches, union_pairs, utf8_parts, written
 
 #: Sets of fewer elements than this (as a power of two) get so many more segments that nearly every element has its own.
 SMALL_BANDS, SMALL_EXTRA = 6, 4
@@ -165,7 +165,7 @@ def emit(docs: DataFrame, buckets: int, extra: int, again: dict[int, bool] | Non
                         out += [(int(b), 4, table[home == b].tobytes()) for b in np.unique(home)]
                 yield batch_of(out)
 
-    return docs.select(row_key().alias("id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "bucket int, kind int, data binary")
+    return small_batches(docs).select(row_key().alias("id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "bucket int, kind int, data binary")
 
 
 def dealt(bucket: np.ndarray, table: np.ndarray, hashes: np.ndarray, owner: np.ndarray):
