@@ -5,11 +5,13 @@ from kgloom.llm.jaccard import op4_jaccard
 from kgloom.llm.language import op9_language
 from kgloom.llm.licenses import op6_licenses
 from kgloom.llm.packing import op10_packing
+from kgloom.llm.phrases import SQL as PHRASES_SQL
+from kgloom.llm.phrases import op12_phrases
 from kgloom.llm.pii import op5_pii
 from kgloom.llm.pivots import op3_embeddings
 from kgloom.llm.quality import op8_quality
 from kgloom.llm.sharding import op1_shards
 from kgloom.llm.substrings import op7_substrings
 
-QUERIES = {f.__name__: f for f in (op1_shards, op2_decontamination, op3_embeddings, op4_jaccard, op5_pii, op6_licenses, op7_substrings, op8_quality, op9_language, op10_packing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_shards, op2_decontamination, op3_embeddings, op4_jaccard, op5_pii, op6_licenses, op7_substrings, op8_quality, op9_language, op10_packing, op12_phrases)}
+ORACLES: dict[str, str] = {"op12_phrases": PHRASES_SQL}
