@@ -12,7 +12,7 @@ piece repeats the last words before it, which are seen and not counted.
 3. Counts are summed over the shards by Spark. A phrase can only be frequent if what it begins and ends with is, so
    there is a pass for each length, and a bitmap of bounded size over the frequent shorter phrases prunes the next.
 
-Only counts are shuffled; a frequent word or phrase is one row for each task. Words are numbered by 64-bit hashes
+Only counts are shuffled, a frequent word or phrase once for each shard or task. Words are numbered by 64-bit hashes
 that are checked to be different for all words of a language; should two be the same, another seed is taken.
 
 Defined results: null text is empty; null languages are ``und``; ids play no part, so repeated rows count as often
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,7 +40,9 @@ SHARD = 1 << 19
 #: Words that wait for their shards to fill in a task, over all languages.
 WAITING = 4 * SHARD
 #: Entries of bitmaps that are extended together.
-GROUP = 1 << 17
+GROUP = 1 << 15
+#: Counts of phrases that meet in one part, on average over the occurrences of words.
+PART = 1 << 20
 
 BREAK = np.zeros(256, dtype=bool)
 BREAK[[ord(c) for c in ".,;:!?"] + [10, 11, 12, 13]] = True
@@ -266,18 +269,39 @@ def word_table(shards: DataFrame, seed: int) -> DataFrame:
     return counted.groupBy("lang", "word", "h1").agg(F.sum("f").alias("f"))
 
 
-def phrase_table(shards: DataFrame, seed: int, length: int, frequent: list[Test]) -> DataFrame:
-    """(lang, h1 .. , f) of the phrases of ``length`` words whose parts may be frequent."""
+def phrase_table(shards: DataFrame, seed: int, length: int, frequent: list[Test], least: int, parts: int) -> DataFrame:
+    """(lang, h1 .. , f) of the phrases of ``length`` words that occur ``least`` times. A shard packs its counts by part of the
+    phrases' keys, in which it has each phrase once: a part has no hot key and is summed with numpy."""
     names = [f"h{k + 1}" for k in range(length)]
+    width = length + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in (Bitmaps(r, seed) for b in batches for r in rows_of(b)):
-            for phrases, n in grow(s, length, frequent):
-                lang = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(n), np.int32)), [s.lang]).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([lang, *[pa.array(s.hashes[phrases[:, k]].view(np.int64)) for k in range(length)], pa.array(n)], names=["lang", *names, "f"])
+            table = [np.column_stack([s.hashes[phrases].view(np.int64), n]) for phrases, n in grow(s, length, frequent)]
+            if not table:
+                continue
+            table = np.concatenate(table)
+            part = (phrase_keys(np.uint64(1), [table[:, k].view(np.uint64) for k in range(length)]) % np.uint64(parts)).astype(np.int64)
+            at = np.argsort(part, kind="stable")
+            part, table = part[at], table[at]
+            first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            cells = [table[a:z].tobytes() for a, z in zip(first, np.append(first[1:], len(part)), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([s.lang] * len(first), pa.string()), pa.array(part[first]), pa.array(cells, pa.binary())], names=["lang", "part", "counts"])
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.concatenate([np.frombuffer(c.as_buffer(), dtype="<i8") for b in batches for c in b.column("counts")]).reshape(-1, width)
+        at = np.lexsort([table[:, k] for k in range(length)])
+        table = table[at]
+        new = np.ones(len(table), dtype=bool)
+        new[1:] = (table[1:, :length] != table[:-1, :length]).any(axis=1)
+        first = np.flatnonzero(new)
+        f = np.add.reduceat(table[:, length], first)
+        enough = f >= least
+        found = table[first[enough]]
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(found), pa.string()), *[pa.array(np.ascontiguousarray(found[:, k])) for k in range(length)], pa.array(f[enough])], names=["lang", *names, "f"])
 
-    counted = shards.mapInArrow(count, ", ".join(["lang string", *[f"{h} long" for h in names], "f long"]))
-    return counted.groupBy("lang", *names).agg(F.sum("f").alias("f"))
+    counted = shards.mapInArrow(count, "lang string, part long, counts binary")
+    return counted.groupBy("lang", "part").applyInArrow(add, ", ".join(["lang string", *[f"{h} long" for h in names], "f long"]))
 
 
 def key_marks(table: DataFrame, length: int) -> Test:
@@ -318,11 +342,12 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longe
         drop_written(words)
         seed += 1
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
+    parts = max(1, math.ceil((totals.agg(F.sum("n")).first()[0] or 0) / PART))
     tables, tests = [words.where(F.col("f") >= least)], []
     keep = [words]
     for k in range(2, longest + 1):
         tests.append(key_marks(tables[-1], k - 1))
-        tables.append(written(phrase_table(shards, seed, k, list(tests)).where(F.col("f") >= least)))
+        tables.append(written(phrase_table(shards, seed, k, list(tests), least, parts)))
         keep.append(tables[-1])
         clean_shuffles(docs.sparkSession)
     drop_written(shards)
