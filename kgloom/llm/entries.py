@@ -1,5 +1,7 @@
 """The registered queries of this subpackage."""
 
+from kgloom.llm.debruijn import SQL as PASSAGES_SQL
+from kgloom.llm.debruijn import op13_passages
 from kgloom.llm.decontamination import op2_decontamination
 from kgloom.llm.jaccard import op4_jaccard
 from kgloom.llm.language import op9_language
@@ -13,5 +15,5 @@ from kgloom.llm.quality import op8_quality
 from kgloom.llm.sharding import op1_shards
 from kgloom.llm.substrings import op7_substrings
 
-QUERIES = {f.__name__: f for f in (op1_shards, op2_decontamination, op3_embeddings, op4_jaccard, op5_pii, op6_licenses, op7_substrings, op8_quality, op9_language, op10_packing, op12_phrases)}
-ORACLES: dict[str, str] = {"op12_phrases": PHRASES_SQL}
+QUERIES = {f.__name__: f for f in (op1_shards, op2_decontamination, op3_embeddings, op4_jaccard, op5_pii, op6_licenses, op7_substrings, op8_quality, op9_language, op10_packing, op12_phrases, op13_passages)}
+ORACLES: dict[str, str] = {"op12_phrases": PHRASES_SQL, "op13_passages": PASSAGES_SQL}
