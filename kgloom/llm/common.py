@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import hashlib
 import math
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Texts go to Python workers in Arrow batches of about so many bytes (one longer text alone), unless the session was started with a limit of its own.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
+
+#: Packed arrays make rows of megabytes: pages and row groups are closed by their bytes from the first row on, since what a page
+#: takes is taken again by the compressor outside the heap, and kept there.
+PARQUET = {"parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size": str(32 << 20)}
 
 
 def small_batches(df: DataFrame) -> DataFrame:
@@ -43,12 +48,50 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return lambda _: 0
+
+
+def release() -> None:
+    """Gives back to the system what this process has freed: Spark keeps workers for later tasks, and their heaps with them."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+#: Bytes of input after which a running task gives back memory too.
+RELEASE_BYTES = 32 << 20
+
+
+def slim(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``f`` for ``mapInArrow``, without memory that stays behind in the worker."""
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for b in batches:
+            n += b.nbytes
+            yield b
+            if n > RELEASE_BYTES:
+                n = 0
+                release()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(seen(batches))
+        finally:
+            release()
+
+    return run
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/loom-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    df.write.options(**PARQUET).parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._loom_path = path
     return out
@@ -215,6 +258,29 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return mapping
 
 
+def follow(pointers: DataFrame, key: str) -> DataFrame:
+    """(key, head, offset, ended) of chains: ``pointers`` has ``key``, ``to`` (null for the head of a chain) and the distance ``d`` to it.
+    Pointers jump over twice as many rows each round; what doesn't end after the most rounds a chain can take runs in a
+    circle and has ``ended`` false. Written."""
+    jump = written(pointers.select(key, F.coalesce("to", key).alias("to"), F.when(F.col("to").isNull(), 0).otherwise(F.col("d")).cast("long").alias("d"), F.col("to").isNull().alias("ended")))
+    for _ in range(jump.count().bit_length() + 1):
+        if jump.where("NOT ended").isEmpty():
+            break
+        # heads are where they are; the others go on from where they point
+        target = jump.select(F.col(key).alias("to"), F.col("to").alias("to2"), F.col("d").alias("d2"), F.col("ended").alias("e2"))
+        ahead = jump.where("NOT ended").drop("ended").join(target, "to").select(key, F.col("to2").alias("to"), (F.col("d") + F.col("d2")).alias("d"), F.col("e2").alias("ended"))
+        moved = written(jump.where("ended").select(key, "to", "d", "ended").union(ahead))
+        drop_written(jump)
+        jump = moved
+    return same_table(jump.withColumnsRenamed({"to": "head", "d": "offset"}), jump)
+
+
+def same_table(view: DataFrame, table: DataFrame) -> DataFrame:
+    """``view``, which reads the written ``table`` alone: ``drop_written`` knows it too."""
+    view._loom_path = table._loom_path
+    return view
+
+
 # ------------------------------------------------------------- text hashing
 
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)

@@ -14,6 +14,8 @@ from kgloom.llm.pivots import op3_embeddings
 from kgloom.llm.quality import op8_quality
 from kgloom.llm.sharding import op1_shards
 from kgloom.llm.substrings import op7_substrings
+from kgloom.llm.tries import SQL as CONVERSATIONS_SQL
+from kgloom.llm.tries import op11_conversations
 
-QUERIES = {f.__name__: f for f in (op1_shards, op2_decontamination, op3_embeddings, op4_jaccard, op5_pii, op6_licenses, op7_substrings, op8_quality, op9_language, op10_packing, op12_phrases, op13_passages)}
-ORACLES: dict[str, str] = {"op12_phrases": PHRASES_SQL, "op13_passages": PASSAGES_SQL}
+QUERIES = {f.__name__: f for f in (op1_shards, op2_decontamination, op3_embeddings, op4_jaccard, op5_pii, op6_licenses, op7_substrings, op8_quality, op9_language, op10_packing, op11_conversations, op12_phrases, op13_passages)}
+ORACLES: dict[str, str] = {"op11_conversations": CONVERSATIONS_SQL, "op12_phrases": PHRASES_SQL, "op13_passages": PASSAGES_SQL}

@@ -113,3 +113,84 @@ def personal(text):
         if 10 <= len(re.sub("[^0-9]", "", m.group())) <= 15:
             out.append((m.start(), 3, m.end()))
     return sorted(out)
+
+
+def rebuild(rows):
+    """Turns of each rebuilt conversation of (conv_id, turn, role, text)."""
+    import zlib
+
+    own = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            own.setdefault(c, []).append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [x[2:] for x in sorted(t)] for c, t in own.items()}
+    out = {}
+    for c, t in own.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        out[c] = own.get(c - c % 100, [])[:h] + t[h:]
+    return out
+
+
+def trie(convs):
+    """Rows of op11 for {conv: turns}."""
+    nodes = {}
+    for c, t in convs.items():
+        for d in range(len(t) + 1):
+            nodes.setdefault(tuple(t[:d]), []).append(c)
+    children = {}
+    for p in nodes:
+        if p:
+            children.setdefault(p[:-1], []).append(p)
+    leaves, saved = {}, {}
+    for p in sorted(nodes, key=len, reverse=True):
+        below = children.get(p, [])
+        leaves[p] = sum(leaves[q] for q in below) if below else 1
+        saved[p] = ((len(nodes[p]) - 1) * len(p[-1][1]) if p else 0) + sum(saved[q] for q in below)
+    out = []
+    for p, members in nodes.items():
+        ends = ",".join(str(c) for c in sorted(members) if len(convs[c]) == len(p))
+        out.append((min(members), len(p), min(nodes[p[:-1]]) if p else None, len(members), len(children.get(p, [])), leaves[p], saved[p], hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def phrases(rows, longest=3, least=10, share=50, top=2000):
+    """Rows of op12 for (lang, text)."""
+    words, counts = {}, {}
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            words[lang] = words.get(lang, 0) + len(w)
+            for k in range(1, longest + 1):
+                for i in range(len(w) - k + 1):
+                    key = (lang, tuple(w[i : i + k]))
+                    counts[key] = counts.get(key, 0) + 1
+    out = {}
+    for (lang, p), a in counts.items():
+        if len(p) < 2 or a < least:
+            continue
+        inside = any(len(q) > len(p) and f >= least and 100 * f >= share * a and any(q[i : i + len(p)] == p for i in range(len(q) - len(p) + 1)) for (other, q), f in counts.items() if other == lang)
+        if not inside:
+            score, _, left, right = min((1000000 * a * a // (counts[lang, p[:k]] * counts[lang, p[k:]]), k, counts[lang, p[:k]], counts[lang, p[k:]]) for k in range(1, len(p)))
+            out.setdefault(lang, []).append((-score, -a, " ".join(p).encode(), left, right))
+    return sorted((lang, i + 1, p.decode(), -a, left, right, words[lang], -s) for lang, found in out.items() for i, (s, a, p, left, right) in enumerate(sorted(found)[:top]))
+
+
+def passages(rows, width=50):
+    """Rows of op13 for (doc_id, text)."""
+    split = [(i, WORD.findall(t or "")) for i, t in rows]
+    first = {}
+    for i, w in split:
+        for k in range(len(w) - width + 1):
+            if i is not None:
+                key = tuple(w[k : k + width])
+                first[key] = min(first.get(key, i), i)
+    out = []
+    for i, w in split:
+        gone = [False] * len(w)
+        for k in range(len(w) - width + 1):
+            if i is not None and first[tuple(w[k : k + width])] < i:
+                gone[k : k + width] = [True] * width
+        kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
+        out.append((i, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out, key=str)
