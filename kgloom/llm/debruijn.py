@@ -35,11 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import Marks, clean_shuffles, drop_written, mix, small_batches, utf8_parts, word_hashes, words_of, written
+from kgloom.llm.common import Marks, clean_shuffles, drop_written, follow, mix, same_table, slim, small_batches, utf8_parts, word_hashes, words_of, written
 from kgloom.llm.substrings import sliding
 
 WIDTH = 50
-GRAM = 8
+#: Long enough that a changed word is in most of the runs that windows with it have: those don't travel.
+GRAM = 24
 _MULTIPLY = np.uint64(0x8CB92BA72F3D8DD7)
 
 
@@ -102,7 +103,7 @@ def smallest_hashes(texts: DataFrame, width: int, gram: int) -> DataFrame:
                     seen = pd.DataFrame({"h": least.view(np.int64), "d": ids[i:j][row]}).groupby("h", sort=False)["d"].agg(["min", "max"])
                     yield pa.RecordBatch.from_arrays([pa.array(seen.index.to_numpy()), pa.array(seen["min"].to_numpy()), pa.array(seen["max"].to_numpy())], names=["h", "lo", "hi"])
 
-    found = texts.where("doc IS NOT NULL").select("doc", "text").mapInArrow(each, "h long, lo long, hi long")
+    found = texts.where("doc IS NOT NULL").select("doc", "text").mapInArrow(slim(each), "h long, lo long, hi long")
     return found.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("h")
 
 
@@ -131,7 +132,7 @@ def runs(texts: DataFrame, width: int, gram: int, wanted, bits: int) -> DataFram
                 cells = pa.Array.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(ends), pa.py_buffer(packed)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][row]), pa.array(digests[i:j][row]), pa.array(start), cells], names=["doc", "digest", "start", "edges"])
 
-    found = texts.where("doc IS NOT NULL").mapInArrow(each, "doc long, digest long, start long, edges binary")
+    found = texts.where("doc IS NOT NULL").mapInArrow(slim(each), "doc long, digest long, start long, edges binary")
     return found.withColumn("k1", F.xxhash64("edges")).withColumn("k2", F.xxhash64(F.lit(7), "edges"))
 
 
@@ -155,38 +156,31 @@ def edges_of(distinct: DataFrame) -> DataFrame:
                     names=["k1", "k2", "i", "h", "before", "after", "lo", "hi"],
                 )
 
-    return distinct.select("k1", "k2", "lo", "hi", "edges").mapInArrow(each, "k1 long, k2 long, i int, h long, before long, after long, lo long, hi long")
+    return distinct.select("k1", "k2", "lo", "hi", "edges").mapInArrow(slim(each), "k1 long, k2 long, i int, h long, before long, after long, lo long, hi long")
 
 
 def glued(fragments: DataFrame) -> DataFrame:
     """head, n, path, path_n and offset of fragments (head, n, next): ``next`` is the head that follows or null. A path has the
-    name of its first fragment; pointers jump over twice as many fragments each round."""
-    single = fragments.groupBy("head").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n"), F.min("next").alias("next")).where("c = 1")
-    back = single.where("next IS NOT NULL").select(F.col("next").alias("head"), F.col("head").alias("to"), F.col("n").alias("d"))
-    back = back.join(single.select("head"), "head", "left_semi")
-    jump = written(single.select("head", "n").join(back, "head", "left").select("head", "n", F.coalesce("to", "head").alias("to"), F.coalesce("d", F.lit(0)).cast("long").alias("d"), F.col("to").isNull().alias("root")))
-    # every path ends after so many rounds; what doesn't is no path (two hashes that are one by chance)
-    for _ in range(max(1, jump.count()).bit_length() + 1):
-        target = jump.select(F.col("head").alias("to"), F.col("to").alias("to2"), F.col("d").alias("d2"), F.col("root").alias("done"))
-        moved = written(jump.drop("done").join(target, "to").select("head", "n", F.col("to2").alias("to"), (F.col("d") + F.col("d2")).alias("d"), "root", "done"))
-        drop_written(jump)
-        jump = moved
-        if jump.where("NOT done").isEmpty():
-            break
-    open_ = ~F.col("done")
-    first = jump.select(F.col("head").alias("to"), F.col("n").alias("path_n"))
-    named = jump.join(first, "to").select("head", "n", F.when(open_, F.col("head")).otherwise(F.col("to")).alias("path"), F.when(open_, F.col("n")).otherwise(F.col("path_n")).alias("path_n"), F.when(open_, F.lit(0)).otherwise(F.col("d")).alias("offset"))
-    out = written(fragments.select("head", "n").join(named, ["head", "n"], "left").select("head", "n", F.coalesce("path", "head").alias("path"), F.coalesce("path_n", "n").alias("path_n"), F.coalesce("offset", F.lit(0)).alias("offset")))
-    drop_written(jump)
-    return out
+    name of its first fragment; what runs in a circle (two hashes that are one by chance) is left in fragments."""
+    single = written(fragments.groupBy("head").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n"), F.min("next").alias("next")).where("c = 1"))
+    back = single.where("next IS NOT NULL").select(F.col("next").alias("at"), F.col("head").alias("to"), F.col("n").alias("d"))
+    chain = follow(single.select(F.col("head").alias("at")).join(back, "at", "left").select("at", "to", "d"), "at")
+    named = chain.where("ended").join(single.select("head", F.col("n").alias("path_n")), "head").select(F.col("at").alias("head"), F.col("head").alias("path"), "path_n", "offset")
+    out = written(fragments.select("head", "n").join(named, "head", "left").select("head", "n", "path", "path_n", "offset"))
+    drop_written(single, chain)
+    # a head that several fragments have stays alone under its own name
+    own = F.col("path").isNull()
+    return same_table(out.select("head", "n", F.coalesce("path", "head").alias("path"), F.when(own, F.col("n")).otherwise(F.col("path_n")).alias("path_n"), F.coalesce("offset", F.lit(0)).alias("offset")), out)
 
 
 def paths(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, bits: int = 64) -> DataFrame:
     """doc, digest, path, path_n, rel, first, n: where documents hold paths of repeated windows, from window ``first`` on for
     ``n`` windows, ``rel`` after the path's beginning. Written."""
-    wanted = Marks(smallest_hashes(texts, width, gram)).test()
-    found = written(runs(texts, width, gram, wanted, bits))
+    shared = written(smallest_hashes(texts, width, gram))
+    found = written(runs(texts, width, gram, Marks(shared).test(), bits))
+    drop_written(shared)
     distinct = written(found.groupBy("k1", "k2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.any_value("edges").alias("edges")))
+    clean_shuffles(texts.sparkSession)
     listed = edges_of(distinct)
     sides = [f(c).alias(n) for c, n, f in (("lo", "lo", F.min), ("hi", "hi", F.max), ("before", "b0", F.min), ("before", "b1", F.max), ("after", "a0", F.min), ("after", "a1", F.max))]
     repeated = written(listed.groupBy("h").agg(*sides).where("lo < hi").drop("lo", "hi"))
@@ -249,7 +243,7 @@ def read_back(texts: DataFrame, spans: DataFrame, width: int, per_window: bool =
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 7 + [pa.binary()], strict=True)], names=["doc", "digest", "path", "path_n", "rel", "first", "n", "sha"])
 
     asked = texts.join(requests(spans, "path", "path_n", "rel"), ["doc", "digest"])
-    return asked.select("doc", "digest", "text", "spans").mapInArrow(each, "doc long, digest long, path long, path_n long, rel long, first long, n long, sha binary")
+    return asked.select("doc", "digest", "text", "spans").mapInArrow(slim(each), "doc long, digest long, path long, path_n long, rel long, first long, n long, sha binary")
 
 
 def cut_out(texts: DataFrame, spans: DataFrame, width: int) -> DataFrame:
@@ -293,8 +287,8 @@ def cut_out(texts: DataFrame, spans: DataFrame, width: int) -> DataFrame:
     # texts without spans stay where they are
     marked = texts.withColumn("near", near(F.xxhash64("doc", "digest")))
     none = F.lit(None).cast(asked.schema["spans"].dataType)
-    far = marked.where("NOT near OR doc IS NULL").select("doc", "text", none.alias("spans")).mapInArrow(each, schema)
-    close = marked.where("near AND doc IS NOT NULL").join(asked, ["doc", "digest"], "left").select("doc", "text", "spans").mapInArrow(each, schema)
+    far = marked.where("NOT near OR doc IS NULL").select("doc", "text", none.alias("spans")).mapInArrow(slim(each), schema)
+    close = marked.where("near AND doc IS NOT NULL").join(asked, ["doc", "digest"], "left").select("doc", "text", "spans").mapInArrow(slim(each), schema)
     return far.union(close)
 
 

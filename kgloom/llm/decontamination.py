@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import SHINGLE, Marks, distinct, fresh, grams, shingles, utf8_parts, words_of, written
+from kgloom.llm.common import SHINGLE, Marks, distinct, fresh, grams, shingles, slim, utf8_parts, words_of, written
 
 MISS = 1e-6
 #: Partitions of documents: sets have fewer than 2^32 shingles.
@@ -85,7 +85,7 @@ def item_sets(items: DataFrame) -> DataFrame:
             at, bands, sets = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(bands, pa.int32()), pa.array([int(words[r]) for r in at], pa.int32()), pa.array(sets, pa.binary())], names=["item_id", "band", "words", "set"])
 
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "item_id long, band int, words int, set binary")
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(slim(run), "item_id long, band int, words int, set binary")
     return written(rows.withColumn("_item", F.monotonically_increasing_id()))
 
 
@@ -100,7 +100,7 @@ def entries(sets: DataFrame, owner: str, packed: str = "set") -> DataFrame:
             level = np.concatenate([*map(levels, found), np.zeros(0, np.uint8)])
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.repeat(np.array(batch.column(0)), sizes), pa.int64()), pa.array(np.repeat(np.array(batch.column(1)), sizes), pa.int32()), pa.array(level.astype(np.int32))], names=["hash", owner, "band", "level"])
 
-    return sets.select(owner, "band", packed).mapInArrow(run, f"hash long, {owner} long, band int, level int")
+    return sets.select(owner, "band", packed).mapInArrow(slim(run), f"hash long, {owner} long, band int, level int")
 
 
 def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.75, miss: float = MISS) -> DataFrame:
@@ -131,7 +131,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.75, miss:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["doc_id", "band", "near", "sig", "lev", "short"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = written(d.mapInArrow(search, "doc_id long, band int, near binary, sig binary, lev binary, short binary").withColumn("_doc", F.monotonically_increasing_id()))
+    found = written(d.mapInArrow(slim(search), "doc_id long, band int, near binary, sig binary, lev binary, short binary").withColumn("_doc", F.monotonically_increasing_id()))
 
     def signatures(batches):
         """(hash, _doc, band, level); runs of 1 to 4 words have the band of short items."""
@@ -143,7 +143,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.75, miss:
             columns = (np.concatenate([*sig, *short_, np.zeros(0, "<u8")]).view(np.int64), np.concatenate([np.repeat(doc, n), np.repeat(doc, m)]), np.concatenate([np.repeat(k, n), np.full(sum(m), SHORT)]), level)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["hash", "_doc", "k", "lev"])
 
-    sent = found.select("_doc", "band", "sig", "lev", "short").mapInArrow(signatures, "hash long, _doc long, k int, lev int")
+    sent = found.select("_doc", "band", "sig", "lev", "short").mapInArrow(slim(signatures), "hash long, _doc long, k int, lev int")
     table = spark.createDataFrame([*bits, (SHORT, SHORT, 64)], "k int, band int, bits int")
     # PARTS partitions of documents by those of items, 32 at most
     met = sent.join(asked, "hash").join(F.broadcast(table), ["k", "band"]).where((F.col("lev") <= F.col("bits")) & (F.col("level") <= F.col("bits")))
@@ -163,7 +163,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.75, miss:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(share, pa.float64())], names=["doc_id", "item_id", "n_item", "n_shared", "containment"])
 
     whole = pairs.join(fixed.select("_item", "item_id", "set"), "_item").join(found.select("_doc", "doc_id", "near"), "_doc")
-    return whole.select("doc_id", "item_id", "band", "near", "set").mapInArrow(confirm, "doc_id long, item_id long, n_item long, n_shared long, containment double")
+    return whole.select("doc_id", "item_id", "band", "near", "set").mapInArrow(slim(confirm), "doc_id long, item_id long, n_item long, n_shared long, containment double")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.75) -> DataFrame:

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import buckets_for, clean_shuffles, components, drop_written, fresh, may_be_in, mix, roots, shingles, small_batches, union_pairs, utf8_parts, written
+from kgloom.llm.common import buckets_for, clean_shuffles, components, drop_written, fresh, may_be_in, mix, roots, shingles, slim, small_batches, union_pairs, utf8_parts, written
 
 #: Sets of fewer elements than this (as a power of two) get so many more segments that nearly every element has its own.
 SMALL_BANDS, SMALL_EXTRA = 6, 4
@@ -165,7 +165,7 @@ def emit(docs: DataFrame, buckets: int, extra: int, again: dict[int, bool] | Non
                         out += [(int(b), 4, table[home == b].tobytes()) for b in np.unique(home)]
                 yield batch_of(out)
 
-    return small_batches(docs).select(row_key().alias("id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "bucket int, kind int, data binary")
+    return small_batches(docs).select(row_key().alias("id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(slim(run), "bucket int, kind int, data binary")
 
 
 def dealt(bucket: np.ndarray, table: np.ndarray, hashes: np.ndarray, owner: np.ndarray):
@@ -362,7 +362,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     # texts that nobody wants stay where they are
     near = may_be_in(d, "_id", wanted, "rep")
     found = near.join(wanted, near["_id"] == wanted["rep"]).select("_text", "hi", "lo", "rep", "root", "chunks")
-    return found.mapInArrow(run, "hi long, lo long, rep long, root long, chunks int, elements binary")
+    return found.mapInArrow(slim(run), "hi long, lo long, rep long, root long, chunks int, elements binary")
 
 
 def signed(pair: tuple[int, int]) -> tuple[int, int]:
@@ -524,7 +524,7 @@ def joined(docs: DataFrame, extra: int = SMALL_EXTRA, buckets: int | None = None
             rows = np.concatenate([np.frombuffer(x.as_buffer(), PROFILE) for x in batch.column(0)] or [np.zeros(0, PROFILE)])
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[f]).astype("<u8").view(np.int64)) for f in ("id", "hi", "lo", "n")], names=["id", "hi", "lo", "n"])
 
-    profile = base.where("kind = 0").select("data").mapInArrow(profiles, "id long, hi long, lo long, n long")
+    profile = base.where("kind = 0").select("data").mapInArrow(slim(profiles), "id long, hi long, lo long, n long")
     classes = written(profile.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.first("n").alias("n")))
     clean_shuffles(spark)
     hashes = base.where("kind in (1, 4)").select("bucket", "kind", "data")

@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgloom.llm.common import slim
 from kgloom.llm.quality import labelled_sample, remainder
 from kgloom.llm.subwords import Model, train
 
@@ -48,7 +49,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             top = np.where(known, p.max(axis=1) if len(p) else 0.0, 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang.tolist(), pa.string()), pa.array(top, pa.float64()), pa.array(~known | (top < model.reject_below))], names=["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(slim(run), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def op9_language(spark, sf_dir: str) -> DataFrame:

@@ -31,6 +31,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgloom.llm.common import slim
+
 FREE = "you can redistribute it and/or modify it under the terms of the {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
 
 BSD = (
@@ -225,7 +227,7 @@ def notices(docs: DataFrame, templates: dict[str, str] | None = None, wording: f
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ((),) * 6, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], names=["doc_id", "license", "start", "end", "saved", "differences"])
 
     near = docs.where(possible(F.col("text"), templates)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return near.mapInArrow(run, "doc_id long, license string, start long, end long, saved double, differences long")
+    return near.mapInArrow(slim(run), "doc_id long, license string, start long, end long, saved double, differences long")
 
 
 def op6_licenses(spark, sf_dir: str) -> DataFrame:

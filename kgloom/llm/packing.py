@@ -38,7 +38,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import rank_within, small_batches
+from kgloom.llm.common import rank_within, slim, small_batches
 
 CAPACITY = 2048
 
@@ -172,7 +172,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, closi
                         to.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(slim(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 # ------------------------------------------------------------------ planning

@@ -33,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import LOWER, Marks, clean_shuffles, drop_written, mix, small_batches, utf8_parts, word_hashes, written
+from kgloom.llm.common import LOWER, Marks, clean_shuffles, drop_written, mix, slim, small_batches, utf8_parts, word_hashes, written
 
-#: Positions of a shard, so that places of bytes fit in 16 bits.
-SHARD = 1 << 19
+#: Positions of a shard; places of bytes fit in 16 bits up to twice as many.
+SHARD = 1 << 18
 #: Words that wait for their shards to fill in a task, over all languages.
 WAITING = 4 * SHARD
 #: Entries of bitmaps that are extended together.
@@ -119,8 +119,8 @@ class Waiting:
 
 def position_shards(docs: DataFrame, text: str, lang: str, longest: int, size: int = SHARD) -> DataFrame:
     """A row a shard. What lies in one shard depends on how rows are partitioned, sums over shards don't."""
-    if not longest * 8 <= size <= SHARD:
-        raise ValueError(f"shards hold {longest * 8} to {SHARD} positions")
+    if not longest * 8 <= size <= 1 << 19:
+        raise ValueError(f"shards hold {longest * 8} to {1 << 19} positions")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[str, Waiting] = {}
@@ -146,7 +146,7 @@ def position_shards(docs: DataFrame, text: str, lang: str, longest: int, size: i
             yield from map(row, w.shards(size, True))
 
     texts = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return small_batches(texts).mapInArrow(build, SHARDS)
+    return small_batches(texts).mapInArrow(slim(build), SHARDS)
 
 
 class Bitmaps:
@@ -265,7 +265,7 @@ def word_table(shards: DataFrame, seed: int) -> DataFrame:
             some = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([s.lang] * len(some), pa.string()), s.words.take(pa.array(some)), pa.array(s.hashes[some].view(np.int64)), pa.array(n[some])], names=["lang", "word", "h1", "f"])
 
-    counted = shards.select("lang", "skip", "words", "ends", "places", "bits", "inside").mapInArrow(count, "lang string, word string, h1 long, f long")
+    counted = shards.select("lang", "skip", "words", "ends", "places", "bits", "inside").mapInArrow(slim(count), "lang string, word string, h1 long, f long")
     return counted.groupBy("lang", "word", "h1").agg(F.sum("f").alias("f"))
 
 
@@ -300,7 +300,7 @@ def phrase_table(shards: DataFrame, seed: int, length: int, frequent: list[Test]
         found = table[first[enough]]
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(found), pa.string()), *[pa.array(np.ascontiguousarray(found[:, k])) for k in range(length)], pa.array(f[enough])], names=["lang", *names, "f"])
 
-    counted = shards.mapInArrow(count, "lang string, part long, counts binary")
+    counted = shards.mapInArrow(slim(count), "lang string, part long, counts binary")
     return counted.groupBy("lang", "part").applyInArrow(add, ", ".join(["lang string", *[f"{h} long" for h in names], "f long"]))
 
 

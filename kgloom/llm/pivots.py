@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
-from kgloom.llm.common import components, drop_written, roots, union_pairs, written
+from kgloom.llm.common import components, drop_written, roots, slim, union_pairs, written
 
 NO_ID = 1 << 62
 MARGIN = 1e-4
@@ -94,7 +94,7 @@ def join(vectors: DataFrame, cosine: float = 0.9, cell_rows: int = 4096, sample_
             raw = [scaled(v, kind) if ok else None for v, ok in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["id", "raw"])
 
-    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), e.alias("e"), fine.alias("ok")).mapInArrow(raw_of, "id long, raw binary")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), e.alias("e"), fine.alias("ok")).mapInArrow(slim(raw_of), "id long, raw binary")
     # rows without an id get one from their place in a written table
     rows = written(rows.withColumn("node", F.coalesce("id", F.lit(NO_ID) + F.monotonically_increasing_id())))
     groups = written(rows.where("raw is not null").groupBy("raw").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("copies")))
@@ -135,7 +135,7 @@ def join_cells(reps: DataFrame, pivots: dict[int, np.ndarray], cosine: float, ep
     held = {dim: np.zeros(len(p), dtype=np.int64) for dim, p in pivots.items()}
     if pivots:
         large = reps.join(spark.createDataFrame([(d,) for d in pivots], "dim int"), "dim", "left_semi").select("raw", "dim")
-        for s in large.mapInArrow(measure, "dim int, cell int, d double").groupBy("dim", "cell").agg(F.max("d").alias("r"), F.count(F.lit(1)).alias("n")).collect():  # a row a pivot
+        for s in large.mapInArrow(slim(measure), "dim int, cell int, d double").groupBy("dim", "cell").agg(F.max("d").alias("r"), F.count(F.lit(1)).alias("n")).collect():  # a row a pivot
             radius[s["dim"]][s["cell"]], held[s["dim"]][s["cell"]] = s["r"], s["n"]
 
     def deal(batches):
@@ -218,9 +218,9 @@ def join_cells(reps: DataFrame, pivots: dict[int, np.ndarray], cosine: float, ep
             x = np.concatenate([np.frombuffer(v.as_buffer(), "<i8").reshape(-1, 3) for v in batch.column(0)] or [np.zeros((0, 3), np.int64)])
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, i])) for i in range(3)], names=["rep", "n", "root"])
 
-    dealt = reps.select("rep", "copies", "raw", "dim").mapInArrow(deal, "dim int, cell int, i int, j int, side int, data binary")
+    dealt = reps.select("rep", "copies", "raw", "dim").mapInArrow(slim(deal), "dim int, cell int, i int, j int, side int, data binary")
     found = written(dealt.groupBy("dim", "cell", "i", "j").applyInPandas(compare, "data binary"))
-    found = found.mapInArrow(rows_of, "rep long, n long, root long")
+    found = found.mapInArrow(slim(rows_of), "rep long, n long, root long")
     return found.select("rep", "n"), found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b"))
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import fresh, small_batches
+from kgloom.llm.common import fresh, slim, small_batches
 from kgloom.llm.subwords import Model, train
 
 #: The texts that teach are at most this many bytes together; they go to the driver.
@@ -71,7 +71,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], name: str = "score") -
             p = shared.value.probabilities(text)[:, one] if one is not None else np.full(len(text), 0.5)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(p, pa.float64())], names=[*names, name])
 
-    return small_batches(docs).select(*keep, F.col("text").alias(fresh(docs, "_text"))).mapInArrow(run, schema.add(name, "double"))
+    return small_batches(docs).select(*keep, F.col("text").alias(fresh(docs, "_text"))).mapInArrow(slim(run), schema.add(name, "double"))
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:

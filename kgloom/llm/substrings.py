@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import BYTE_CODE, buckets_for, clean_shuffles, drop_written, may_be_in, prefix_hash, span_hash, utf8_parts, word_hashes, written
+from kgloom.llm.common import BYTE_CODE, buckets_for, clean_shuffles, drop_written, may_be_in, prefix_hash, slim, span_hash, utf8_parts, word_hashes, written
 from kgloom.llm.jaccard import row_key
 from kgloom.llm.suffixes import permuted_common_prefixes, suffix_array
 
@@ -167,7 +167,7 @@ def emit(docs: DataFrame, buckets: int, width: int, gram: int) -> DataFrame:
                 rows += [(b, 1, None, None, None, None, x) for b, x in dealt(to, e)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return docs.select(row_key().alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "bucket int, kind int, id long, doc_id long, n_bytes long, sha binary, data binary")
+    return docs.select(row_key().alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(slim(run), "bucket int, kind int, id long, doc_id long, n_bytes long, sha binary, data binary")
 
 
 def dealt(bucket: np.ndarray, rows: np.ndarray):
@@ -383,7 +383,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, bucket
     sift = written(small.groupBy("bucket").applyInPandas(sifted(buckets), "bucket int, kind int, data binary"))
     to_count = sift.where("kind = 3").select("bucket", "data")
     if some_hot:
-        to_count = to_count.union(entries.join(hot, "bucket", "left_semi").select("data").mapInArrow(unsifted(buckets), "bucket int, data binary"))
+        to_count = to_count.union(entries.join(hot, "bucket", "left_semi").select("data").mapInArrow(slim(unsifted(buckets)), "bucket int, data binary"))
     clean_shuffles(spark)
 
     def with_keys(batches):
@@ -391,7 +391,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, bucket
             k = np.array([np.frombuffer(x.as_buffer(), "<i8", 2) for x in batch.column(0)]).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1]), *batch.columns], names=["hi", "lo", "sha", "rep", "copies", "n_bytes"])
 
-    named = written(classes.select("sha", "rep", "copies", "n_bytes").mapInArrow(with_keys, "hi long, lo long, sha binary, rep long, copies long, n_bytes long"))
+    named = written(classes.select("sha", "rep", "copies", "n_bytes").mapInArrow(slim(with_keys), "hi long, lo long, sha binary, rep long, copies long, n_bytes long"))
     d = docs.select(row_key().alias("_id"), F.coalesce("text", F.lit("")).alias("_text"))
 
     def of_texts(pieces: DataFrame) -> DataFrame:
@@ -401,14 +401,14 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, bucket
         return near.join(wanted.hint("merge"), near["_id"] == wanted["rep"]).select("_text", "hi", "lo", "pieces")
 
     to_sort = of_texts(sift.where("kind = 2").select("bucket", "data"))
-    sorted_ = written(to_sort.mapInArrow(cut_pieces(buckets, width), "bucket int, piece binary, raw binary").groupBy("bucket").applyInPandas(sort_shard(buckets, width), "bucket int, kind int, data binary"))
+    sorted_ = written(to_sort.mapInArrow(slim(cut_pieces(buckets, width)), "bucket int, piece binary, raw binary").groupBy("bucket").applyInPandas(sort_shard(buckets, width), "bucket int, kind int, data binary"))
     clean_shuffles(spark)
     found = sift.where("kind = 1").select("bucket", "data").union(sorted_.select("bucket", "data")).union(base.where("kind = 2").select("bucket", "data"))
     if some_hot or not to_count.isEmpty():
-        windows = written(of_texts(to_count).mapInArrow(windows_of(width), "d1 long, d2 long, hi long, lo long, pos long"))
+        windows = written(of_texts(to_count).mapInArrow(slim(windows_of(width)), "d1 long, d2 long, hi long, lo long, pos long"))
         twice = windows.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("d1", "d2")
-        found = found.union(windows.join(twice, ["d1", "d2"]).select("hi", "lo", "pos").mapInArrow(window_pieces(buckets), "bucket int, data binary"))
-    cuts = of_texts(found).mapInArrow(removed(width), "hi long, lo long, n_removed long, n_spans long, kept string, spans binary").dropDuplicates(["hi", "lo"])
+        found = found.union(windows.join(twice, ["d1", "d2"]).select("hi", "lo", "pos").mapInArrow(slim(window_pieces(buckets)), "bucket int, data binary"))
+    cuts = of_texts(found).mapInArrow(slim(removed(width)), "hi long, lo long, n_removed long, n_spans long, kept string, spans binary").dropDuplicates(["hi", "lo"])
     results = named.join(cuts, ["hi", "lo"], "left")
     all_gone = (F.col("copies") > 1) & (F.col("n_bytes") >= width)
     results = written(
