@@ -8,15 +8,19 @@ document is the first to hold it.
 1. A window belongs to the smallest hash of its ``GRAM``-word runs. Windows in a row with the same place of that hash
    travel as one run with their hashes and those of the windows before and after. Hashes that only one document holds
    can't be in a repeated window and send nothing.
-2. Equal runs become one. Their edges are counted by documents and neighbours; joins tell which follow each other
-   without a branch. What is linked inside a run is a fragment; fragments are glued by pointer jumping: so many rounds
-   as the longest path has doublings.
+2. Equal runs become one and meet by that hash, which all runs with an edge have. Edges are told by documents and
+   neighbours; what follows without a branch inside a run is a fragment. Joins glue the fragments to paths by pointer
+   jumping: so many rounds as the longest path has doublings.
 3. Runs give the places of whole paths in documents. The words at the first place of each path are read from the source
    and digested (SHA-256); each other place is compared with that digest before it is removed. A path for which one
    doesn't agree (two windows with one 64-bit hash) is decided window by window over digests of the words.
 
-Hot keys: equal runs and edges are aggregated before they are shuffled, joins read exchanges directly, so that
-AQE can split a run or a path that a third of all documents hold.
+Should an edge have two places in paths, for which there is a count, its paths are decided in this way too, so what is
+removed is exact whatever the hashes.
+
+Hot keys: equal runs are aggregated before they are shuffled, joins read exchanges directly, so that AQE can split a run
+or a path that a third of all documents hold. Where very many different runs have one smallest hash, as at the ends of
+a usual line, they meet by edge instead, and edges are aggregated before they do.
 
 Defined results: null text has no words; a null doc_id is smaller than nothing and nothing is smaller than it, so such a
 document keeps all; equal ids aren't smaller than each other, so repeated rows both stay as they are; texts shorter than
@@ -27,6 +31,7 @@ their names, are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +46,9 @@ from kgloom.llm.substrings import sliding
 WIDTH = 50
 #: Long enough that a changed word is in most of the runs that windows with it have: those don't travel.
 GRAM = 24
+#: Edges of different runs that meet in one part, on average; and of those with one smallest hash, beyond which they meet by edge.
+PART_EDGES = 1 << 18
+HOT_EDGES = 1 << 15
 _MULTIPLY = np.uint64(0x8CB92BA72F3D8DD7)
 
 
@@ -108,7 +116,7 @@ def smallest_hashes(texts: DataFrame, width: int, gram: int) -> DataFrame:
 
 
 def runs(texts: DataFrame, width: int, gram: int, wanted, bits: int) -> DataFrame:
-    """doc, digest, start and edges of the runs whose smallest hash ``wanted`` lets through: edges are the packed hashes of the
+    """doc, digest, start, least and edges of the runs whose smallest hash ``wanted`` lets through: edges are the packed hashes of the
     window before, the windows and the window after, 0 for none."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,12 +138,24 @@ def runs(texts: DataFrame, width: int, gram: int, wanted, bits: int) -> DataFram
                 packed[(place + n + 1)[start + n == windows]] = 0
                 ends = np.append(place, len(packed)).astype(np.int64) * 8
                 cells = pa.Array.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(ends), pa.py_buffer(packed)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][row]), pa.array(digests[i:j][row]), pa.array(start), cells], names=["doc", "digest", "start", "edges"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][row]), pa.array(digests[i:j][row]), pa.array(start), pa.array(least[keep].view(np.int64)), cells], names=["doc", "digest", "start", "least", "edges"])
 
-    found = texts.where("doc IS NOT NULL").mapInArrow(slim(each), "doc long, digest long, start long, edges binary")
+    found = texts.where("doc IS NOT NULL").mapInArrow(slim(each), "doc long, digest long, start long, least long, edges binary")
     return found.withColumn("k1", F.xxhash64("edges")).withColumn("k2", F.xxhash64(F.lit(7), "edges"))
 
 
+def unpacked(cells: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of packed runs: run, place in it, hash, and the hashes before and after, for each edge."""
+    ends = np.frombuffer(cells.buffers()[1], dtype=np.int32)[cells.offset : cells.offset + len(cells) + 1].astype(np.int64) // 8
+    packed = np.frombuffer(cells.buffers()[2], dtype="<i8", count=int(ends[-1]))[ends[0] :] if len(cells) else np.zeros(0, "<i8")
+    ends = ends - ends[0]
+    n = np.diff(ends) - 2
+    of = np.repeat(np.arange(len(n)), n)
+    i = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    at = ends[:-1][of] + 1 + i
+    return of, i, packed[at], packed[at - 1], packed[at + 1]
+
+
 def edges_of(distinct: DataFrame) -> DataFrame:
     """k1, k2, i, h, before, after, lo, hi: a row for each edge of each different run."""
 
@@ -143,68 +163,114 @@ def edges_of(distinct: DataFrame) -> DataFrame:
         for b in batches:
             for part in range(0, b.num_rows, 4096):
                 c = b.slice(part, 4096)
-                cells = c.column(4)
-                ends = np.frombuffer(cells.buffers()[1], dtype=np.int32)[cells.offset : cells.offset + len(cells) + 1].astype(np.int64) // 8
-                packed = np.frombuffer(cells.buffers()[2], dtype="<i8", count=int(ends[-1]))[ends[0] :]
-                ends = ends - ends[0]
-                n = np.diff(ends) - 2
-                of = np.repeat(np.arange(len(n)), n)
-                i = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-                at = ends[:-1][of] + 1 + i
-                yield pa.RecordBatch.from_arrays(
-                    [c.column(0).take(pa.array(of)), c.column(1).take(pa.array(of)), pa.array(i.astype(np.int32)), *[pa.array(packed[x]) for x in (at, at - 1, at + 1)], c.column(2).take(pa.array(of)), c.column(3).take(pa.array(of))],
-                    names=["k1", "k2", "i", "h", "before", "after", "lo", "hi"],
-                )
+                of, i, *hashes = unpacked(c.column(4))
+                k1, k2, lo, hi = (c.column(k).take(pa.array(of)) for k in range(4))
+                yield pa.RecordBatch.from_arrays([k1, k2, pa.array(i.astype(np.int32)), *map(pa.array, hashes), lo, hi], names=["k1", "k2", "i", "h", "before", "after", "lo", "hi"])
 
     return distinct.select("k1", "k2", "lo", "hi", "edges").mapInArrow(slim(each), "k1 long, k2 long, i int, h long, before long, after long, lo long, hi long")
 
 
+PIECES = "k1 long, k2 long, i long, n long, head long, back long, tail long, next long"
+
+
+def fragments_by_hash(distinct: DataFrame, parts: int, places: bool = False) -> DataFrame:
+    """PIECES of runs that meet by their smallest hash, which all runs with an edge have: ``n`` edges from ``i`` on that follow each other
+    without a branch, from ``head`` to ``tail``, and the only edges before and after them, 0 if there are several. A row
+    without keys has the number of repeated edges. With ``places``, each repeated edge's places instead."""
+
+    def each(table: pa.Table) -> pa.Table:
+        of, i, h, before, after = unpacked(table.column("edges").combine_chunks() if table.num_rows else pa.array([], pa.binary()))
+        k1, k2, lo, hi = (table.column(c).to_numpy() for c in ("k1", "k2", "lo", "hi"))
+        order = np.argsort(h, kind="stable")
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = h[order][1:] != h[order][:-1]
+        first = np.flatnonzero(new)
+        group = np.empty(len(h), dtype=np.int64)
+        group[order] = np.cumsum(new) - 1
+        some = lambda x, op: op.reduceat(x[order], first) if len(first) else x[:0]
+        shared = some(lo[of], np.minimum) < some(hi[of], np.maximum)
+        only = lambda x: np.where(some(x, np.minimum) == some(x, np.maximum), some(x, np.minimum), 0)
+        repeated, back, ahead = shared[group], only(before)[group], only(after)[group]
+        linked = np.zeros(len(h) + 1, dtype=bool)  # to the edge before, in the same run
+        linked[1:-1] = (of[1:] == of[:-1]) & repeated[1:] & repeated[:-1] & (ahead[:-1] == h[1:]) & (back[1:] == h[:-1])
+        start, stop = np.flatnonzero(repeated & ~linked[:-1]), np.flatnonzero(repeated & ~linked[1:])
+        n = stop - start + 1
+        if places:
+            which = np.repeat(np.arange(len(n)), n)
+            at = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+            return pa.table({"h": h[start[which] + at], "head": h[start[which]], "n": n[which], "at": at})
+        run = of[start]
+        count = lambda x, last: pa.concat_arrays([pa.array(x, pa.int64()), pa.array([last], pa.int64())])
+        return pa.table({"k1": count(k1[run], None), "k2": count(k2[run], None), "i": count(i[start], None), "n": count(n, int(shared.sum())), "head": count(h[start], None), "back": count(back[start], None), "tail": count(h[stop], None), "next": count(ahead[stop], None)})
+
+    sent = distinct.select(F.pmod(F.xxhash64("least"), F.lit(parts)).alias("part"), "k1", "k2", "lo", "hi", "edges")
+    return sent.groupBy("part").applyInArrow(each, "h long, head long, n long, at long" if places else PIECES)
+
+
+def fragments_by_edge(distinct: DataFrame, places: bool = False) -> DataFrame:
+    """The same of runs whose smallest hash very many different runs have, by edges, which are aggregated before they meet."""
+    listed = edges_of(distinct)
+    sides = [f(c).alias(n) for c, n, f in (("lo", "lo", F.min), ("hi", "hi", F.max), ("before", "b0", F.min), ("before", "b1", F.max), ("after", "a0", F.min), ("after", "a1", F.max))]
+    only = lambda a, b: F.when(F.col(a) == F.col(b), F.col(a)).otherwise(F.lit(0))
+    known = written(listed.groupBy("h").agg(*sides).where("lo < hi").select("h", only("b0", "b1").alias("back"), only("a0", "a1").alias("next")))
+    over = "OVER (PARTITION BY k1, k2 ORDER BY i)"
+    cut = listed.select("k1", "k2", "i", "h").join(known, "h").selectExpr("*", f"CASE WHEN lag(i) {over} = i - 1 AND lag(next) {over} = h AND lag(h) {over} = back THEN 0 ELSE 1 END AS begins").selectExpr("*", f"sum(begins) {over} AS fragment")
+    if places:
+        first = "OVER (PARTITION BY k1, k2, fragment ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+        return cut.selectExpr("h", f"first(h) {first} AS head", f"count(*) {first} AS n", f"cast(i - first(i) {first} AS long) AS at")
+    pieces = cut.groupBy("k1", "k2", "fragment").agg(F.min("i").cast("long").alias("i"), F.count(F.lit(1)).alias("n"), F.min_by("h", "i").alias("head"), F.min_by("back", "i").alias("back"), F.max_by("h", "i").alias("tail"), F.max_by("next", "i").alias("next"))
+    null = F.lit(None).cast("long")
+    return pieces.drop("fragment").union(known.agg(F.count(F.lit(1)).alias("n")).select(null, null, null, "n", null, null, null, null))
+
+
 def glued(fragments: DataFrame) -> DataFrame:
-    """head, n, path, path_n and offset of fragments (head, n, next): ``next`` is the head that follows or null. A path has the
-    name of its first fragment; what runs in a circle (two hashes that are one by chance) is left in fragments."""
-    single = written(fragments.groupBy("head").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n"), F.min("next").alias("next")).where("c = 1"))
-    back = single.where("next IS NOT NULL").select(F.col("next").alias("at"), F.col("head").alias("to"), F.col("n").alias("d"))
-    chain = follow(single.select(F.col("head").alias("at")).join(back, "at", "left").select("at", "to", "d"), "at")
+    """head, n, path, path_n and offset of fragments (head, n, back, tail, next). A path has the name of its first fragment; what
+    runs in a circle (two hashes that are one by chance) is left in fragments."""
+    single = written(fragments.groupBy("head").agg(F.count(F.lit(1)).alias("c"), *[F.min(c).alias(c) for c in ("n", "back", "tail", "next")]).where("c = 1"))
+    ahead = single.where("next <> 0").select(F.col("next").alias("at"), F.col("tail").alias("back"), F.col("head").alias("to"), F.col("n").alias("d"))
+    chain = follow(single.select(F.col("head").alias("at"), "back").join(ahead, ["at", "back"], "left").select("at", "to", "d"), "at")
     named = chain.where("ended").join(single.select("head", F.col("n").alias("path_n")), "head").select(F.col("at").alias("head"), F.col("head").alias("path"), "path_n", "offset")
-    out = written(fragments.select("head", "n").join(named, "head", "left").select("head", "n", "path", "path_n", "offset"))
+    out = written(fragments.select("head", "n").distinct().join(named, "head", "left").select("head", "n", "path", "path_n", "offset"))
     drop_written(single, chain)
     # a head that several fragments have stays alone under its own name
     own = F.col("path").isNull()
     return same_table(out.select("head", "n", F.coalesce("path", "head").alias("path"), F.when(own, F.col("n")).otherwise(F.col("path_n")).alias("path_n"), F.coalesce("offset", F.lit(0)).alias("offset")), out)
 
 
-def paths(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, bits: int = 64) -> DataFrame:
+def paths(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, bits: int = 64, hot_edges: int = HOT_EDGES) -> tuple[DataFrame, DataFrame | None]:
     """doc, digest, path, path_n, rel, first, n: where documents hold paths of repeated windows, from window ``first`` on for
-    ``n`` windows, ``rel`` after the path's beginning. Written."""
+    ``n`` windows, ``rel`` after the path's beginning; and, where an edge has several places in paths (two windows with
+    one hash), the paths with such an edge. Written."""
     shared = written(smallest_hashes(texts, width, gram))
     found = written(runs(texts, width, gram, Marks(shared).test(), bits))
     drop_written(shared)
-    distinct = written(found.groupBy("k1", "k2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.any_value("edges").alias("edges")))
-    clean_shuffles(texts.sparkSession)
-    listed = edges_of(distinct)
-    sides = [f(c).alias(n) for c, n, f in (("lo", "lo", F.min), ("hi", "hi", F.max), ("before", "b0", F.min), ("before", "b1", F.max), ("after", "a0", F.min), ("after", "a1", F.max))]
-    repeated = written(listed.groupBy("h").agg(*sides).where("lo < hi").drop("lo", "hi"))
-    follow = repeated.where("a0 = a1 AND a0 <> 0").select(F.col("h").alias("x"), F.col("a0").alias("y"))
-    lead = repeated.where("b0 = b1 AND b0 <> 0").select(F.col("h").alias("y"), F.col("b0").alias("x"))
-    links = follow.join(lead, ["x", "y"]).select(F.col("x").alias("h"), F.col("y").alias("next"))
-    known = written(repeated.select("h").join(links, "h", "left"))
-    drop_written(repeated)
+    distinct = written(found.groupBy("k1", "k2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.any_value("least").alias("least"), F.any_value("edges").alias("edges")))
     clean_shuffles(texts.sparkSession)
-    inside = listed.select("k1", "k2", "i", "h").join(known, "h")
-    # fragments: edges of one run, each linked to the one before
-    over = "OVER (PARTITION BY k1, k2 ORDER BY i)"
-    cut = inside.selectExpr("*", f"CASE WHEN lag(i) {over} = i - 1 AND lag(next) {over} = h THEN 0 ELSE 1 END AS begins").selectExpr("*", f"sum(begins) {over} AS fragment")
-    pieces = written(cut.groupBy("k1", "k2", "fragment").agg(F.min("i").cast("long").alias("i"), F.count(F.lit(1)).alias("n"), F.min_by("h", "i").alias("head"), F.max_by("next", "i").alias("next")))
-    drop_written(known, distinct)
-    named = glued(pieces.select("head", "n", "next").groupBy("head", "n").agg(F.min("next").alias("next")))
+    edges = F.octet_length("edges") / 8 - 2
+    parts = max(1, math.ceil((distinct.agg(F.sum(edges)).first()[0] or 0) / PART_EDGES))
+    hot = written(distinct.groupBy("least").agg(F.sum(edges).alias("n")).where(F.col("n") > hot_edges).select("least"))
+    usual, spread = distinct.join(hot, "least", "left_anti"), distinct.join(hot, "least", "left_semi")
+    both = lambda places: fragments_by_hash(usual, parts, places) if hot.isEmpty() else fragments_by_hash(usual, parts, places).union(fragments_by_edge(spread, places))
+    told = written(both(False))
+    pieces = told.where("k1 IS NOT NULL")
+    fragments = written(pieces.select("head", "n", "back", "tail", "next").distinct())
+    named = glued(fragments)
+    mixed = None
+    # each edge has one place in one fragment, or else the numbers differ
+    if fragments.agg(F.sum("n")).first()[0] != (told.where("k1 IS NULL").agg(F.sum("n")).first()[0] or None):
+        held = written(both(True).select("h", F.struct("head", "n", "at").alias("place")).distinct())
+        several = held.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
+        mixed = written(held.join(several, "h", "left_semi").select("place.head", "place.n").distinct().join(named, ["head", "n"]).select("path").distinct())
+        drop_written(held)
+    drop_written(distinct, fragments, hot)
     placed = pieces.join(named, ["head", "n"]).select("k1", "k2", "i", "n", "path", "path_n", "offset")
     places = found.select("doc", "digest", "start", "k1", "k2").join(placed, ["k1", "k2"])
     places = places.select("doc", "digest", "path", "path_n", (F.col("start") + F.col("i")).alias("at"), "n", "offset")
     spans = places.groupBy("doc", "digest", "path", "path_n", (F.col("at") - F.col("offset")).alias("zero")).agg(F.min("at").alias("first"), F.max(F.col("at") + F.col("n")).alias("stop"))
     out = written(spans.select("doc", "digest", "path", "path_n", (F.col("first") - F.col("zero")).alias("rel"), "first", (F.col("stop") - F.col("first")).alias("n")))
-    drop_written(found, pieces, named)
+    drop_written(found, told, named)
     clean_shuffles(texts.sparkSession)
-    return out
+    return out, mixed
 
 
 def in_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -292,30 +358,31 @@ def cut_out(texts: DataFrame, spans: DataFrame, width: int) -> DataFrame:
     return far.union(close)
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, gram: int = GRAM, bits: int = 64) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, gram: int = GRAM, bits: int = 64, hot_edges: int = HOT_EDGES) -> DataFrame:
     """doc_id, n_words, n_removed and the SHA-256 of what stays (words joined by a space) for every row: words in a window of
     ``width`` that a document with a smaller id holds too are removed. ``bits`` of a window's hash are used; few make collisions, for tests."""
     if not 1 <= gram <= width:
         raise ValueError("the runs that place a window lie inside it")
     texts = small_batches(texts_of(docs, text, key))
-    spans = paths(texts, width, gram, bits)
+    spans, mixed = paths(texts, width, gram, bits, hot_edges)
     group = ["path", "path_n", "rel", "n"]
     canonical = spans.groupBy(*group).agg(F.min(F.struct("doc", "digest", "first")).alias("source"), F.max("doc").alias("last"))
     canonical = written(canonical.where("source.doc < last").select(*group, "source.*"))
-    several = spans.groupBy("path", "path_n").agg(F.min(F.struct("rel", "n")).alias("x"), F.max(F.struct("rel", "n")).alias("y")).where("x <> y").select("path", "path_n")
-    told = written(read_back(texts, canonical, width).select(*group, F.col("doc").alias("from"), "sha"))
+    several = spans.groupBy("path", "path_n").agg(F.min(F.struct("rel", "n")).alias("x"), F.max(F.struct("rel", "n")).alias("y")).where("x <> y").select("path")
+    if mixed is not None:
+        several = several.union(mixed)
+    told = written(read_back(texts, canonical, width).select(*group, F.col("doc").alias("from"), "sha").distinct())
     candidates = spans.join(told, group).where(F.col("doc") > F.col("from")).select("doc", "digest", "first", "n", "path", "path_n", "sha")
-    wrong = several
-    out = written(cut_out(texts, candidates.join(wrong, ["path", "path_n"], "left_anti"), width))
+    out = written(cut_out(texts, candidates.join(several, "path", "left_anti"), width))
     failed = out.select(F.explode("failed").alias("path")).distinct()
     if not (several.isEmpty() and failed.isEmpty()):
         # two different windows have one hash: all places of their paths are decided window by window
-        unsure = written(several.select("path").union(failed).distinct())
+        unsure = written(several.union(failed).distinct())
         windows = read_back(texts, spans.join(unsure, "path"), width, True)
         windows = written(windows)
         least = windows.groupBy("sha").agg(F.min("doc").alias("from"))
         sure = windows.join(least, "sha").where(F.col("doc") > F.col("from")).select("doc", "digest", "first", "n", "path", "path_n", "sha")
-        again = written(cut_out(texts, candidates.join(unsure, "path", "left_anti").union(sure), width))
+        again = written(cut_out(texts, candidates.join(unsure, "path", "left_anti").unionByName(sure), width))
         drop_written(out, windows, unsure)
         out = again
     drop_written(spans, canonical, told)
