@@ -278,9 +278,9 @@ def phrase_table(shards: DataFrame, seed: int, length: int, frequent: list[Test]
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in (Bitmaps(r, seed) for b in batches for r in rows_of(b)):
             table = [np.column_stack([s.hashes[phrases].view(np.int64), n]) for phrases, n in grow(s, length, frequent)]
-            if not table:
+            table = np.concatenate([*table, np.zeros((0, width), np.int64)])
+            if not len(table):
                 continue
-            table = np.concatenate(table)
             part = (phrase_keys(np.uint64(1), [table[:, k].view(np.uint64) for k in range(length)]) % np.uint64(parts)).astype(np.int64)
             at = np.argsort(part, kind="stable")
             part, table = part[at], table[at]
@@ -395,13 +395,14 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longes
     return every.join(totals, "lang").select("lang", "phrase", "a", "l", "r", "n", "score")
 
 
-def ranked(candidates: DataFrame, top: int, parts: int = 64) -> DataFrame:
-    """The first ``top`` of each language with their rank from 1. Each of ``parts`` parts of a language gives its own
-    first ones, so no task sorts a language."""
+def ranked(candidates: DataFrame, top: int, parts: tuple[int, ...] = (64, 4)) -> DataFrame:
+    """The first ``top`` of each language with their rank from 1. First each part of a language gives its own first
+    ones, then each of fewer parts, so no task sorts a language."""
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    part = candidates.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(parts)))
-    first = part.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top).drop("rank", "part")
-    return first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
+    for n in parts:
+        part = candidates.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(n)))
+        candidates = part.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top).drop("rank", "part")
+    return candidates.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
 
 
 TOP = 2000
