@@ -17,6 +17,11 @@ documents first: shingles that no item has leave neither signature entries nor a
 else behind. What a document keeps is enough to confirm candidates by exact containment
 of the shingles of whole texts.
 
+A shingle that very many documents hold, as of a usual opening, would make each of them a candidate for
+each item with it. So an item may be searched by its rarest shingles alone: of n of which s must be shared, the
+rarest n - s + c hold c at least, for which signatures are then made. Documents are counted by shingle,
+and each item takes the c, s halved some times, with the fewest expected meetings.
+
 Items of 1 to 4 words have no shingle inside a longer document: they are contained
 in the documents in which their words occur in a row, and count as one shingle.
 
@@ -33,7 +38,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgloom.llm.common import SHINGLE, Marks, distinct, fresh, grams, shingles, slim, utf8_parts, words_of, written
@@ -43,6 +48,8 @@ MISS = 1e-6
 PARTS = 128
 #: The partition of items under five words.
 SHORT = -1
+#: So many times the shared shingles of an item's search may be halved.
+HALVINGS = 6
 
 
 def part(size: int) -> int:
@@ -50,9 +57,10 @@ def part(size: int) -> int:
     return int(4 * math.log2(size))
 
 
-def signature_bits(doc_part: int, item_band: int, threshold: float, miss: float = MISS) -> int:
-    """log2 of the bins for documents of up to 2^((doc_part + 1) / 4) and items of at least 2^item_band shingles."""
-    shared = max(1, math.ceil(threshold * (1 << item_band)))
+def signature_bits(doc_part: int, item_band: int, threshold: float, miss: float = MISS, halved: int = 0) -> int:
+    """log2 of the bins for documents of up to 2^((doc_part + 1) / 4) and items of at least 2^item_band shingles, of
+    whose shared ones a half, ``halved`` times over, is among those searched for."""
+    shared = max(1, math.ceil(threshold * (1 << item_band)) >> halved)
     share = 1 - miss ** (1 / shared)
     # with x hashes a bin, one of them is the least with chance (1 - e^-x) / x
     low, high = 1e-9, 1e9
@@ -103,16 +111,37 @@ def entries(sets: DataFrame, owner: str, packed: str = "set") -> DataFrame:
     return sets.select(owner, "band", packed).mapInArrow(slim(run), f"hash long, {owner} long, band int, level int")
 
 
+def searched(asked: DataFrame, fixed: DataFrame, held: DataFrame, threshold: float, miss: float) -> DataFrame:
+    """(hash, _item, band, level, half): the shingles each item is searched by, the rarest in ``held`` (hash, docs) with the fewest
+    expected meetings."""
+    n = fixed.select("_item", (F.octet_length("set") / 8).cast("long").alias("n"), F.greatest(F.lit(1), F.ceil(F.octet_length("set") / 8 * threshold - 1e-9)).cast("long").alias("s"))
+    known = asked.join(held, "hash", "left").join(n, "_item").withColumn("docs", F.coalesce("docs", F.lit(0)))
+    order = Window.partitionBy("_item").orderBy("docs", "hash")
+    placed = written(known.withColumn("place", F.row_number().over(order)).withColumn("cost", F.sum("docs").over(order)))
+    options = []
+    for half in range(HALVINGS):
+        c = F.greatest(F.lit(1), F.shiftright("s", half)).cast("long")
+        # a shingle is in both signatures with this chance
+        cost = F.max(F.when(F.col("place") == F.col("n") - F.col("s") + c, F.col("cost"))) * (1 - F.pow(F.lit(miss), 1 / F.max(c)))
+        options.append(F.struct(cost.alias("cost"), F.lit(half).alias("half"), F.max(F.col("n") - F.col("s") + c).alias("take")))
+    best = placed.groupBy("_item").agg(F.array_min(F.array(*options)).alias("best")).select("_item", "best.half", "best.take")
+    return placed.join(best, "_item").where("place <= take").select("hash", "_item", "band", "level", "half")
+
+
+def candidates(sent: DataFrame, wanted: DataFrame, table: DataFrame) -> DataFrame:
+    """Distinct (_doc, _item, band) whose signatures meet; only ids travel. ``table``: PARTS partitions of documents by those of items."""
+    met = sent.join(wanted, "hash").join(F.broadcast(table), ["k", "band", "half"]).where((F.col("lev") <= F.col("bits")) & (F.col("level") <= F.col("bits")))
+    return met.select("_doc", "_item", "band").distinct()
+
+
 def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.75, miss: float = MISS) -> DataFrame:
     """Rows (doc_id, item_id, n_item, n_shared, containment) for ``docs`` (doc_id, text) and ``items`` (item_id, text)."""
     spark = docs.sparkSession
     fixed = item_sets(items)
     asked = written(entries(fixed, "_item"))
     kinds = [(r["band"], r["words"]) for r in fixed.select("band", F.when(F.col("band") == SHORT, F.col("words")).alias("words")).distinct().collect()]  # 68 at most
-    bands, short = sorted(b for b, _ in kinds if b != SHORT), sorted(w for b, w in kinds if b == SHORT)
+    short = sorted(w for b, w in kinds if b == SHORT)
     has = Marks(asked.select("hash")).test()
-    bits = [(k, j, signature_bits(k, j, threshold, miss)) for k in range(PARTS) for j in bands]
-    longest = {k: max((b for kk, _, b in bits if kk == k), default=-1) for k in range(PARTS)}
 
     def search(batches):
         for batch in batches:
@@ -124,30 +153,42 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.75, miss:
                 if len(near) or len(g):
                     k = part(len(u)) if len(u) else 0
                     # levels of what is near follow from the whole set
-                    level = levels(u)[near]
-                    signed = level <= longest[k]
-                    rows.append((r, k, u[near].tobytes(), u[near[signed]].tobytes(), level[signed].tobytes(), g.tobytes()))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["doc_id", "band", "near", "sig", "lev", "short"])
+                    rows.append((r, k, u[near].tobytes(), levels(u)[near].tobytes(), g.tobytes()))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["doc_id", "band", "near", "lev", "short"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = written(d.mapInArrow(slim(search), "doc_id long, band int, near binary, sig binary, lev binary, short binary").withColumn("_doc", F.monotonically_increasing_id()))
+    found = written(d.mapInArrow(slim(search), "doc_id long, band int, near binary, lev binary, short binary").withColumn("_doc", F.monotonically_increasing_id()))
+
+    def counted(batches):
+        """Documents by shingle, a row a batch."""
+        for batch in batches:
+            h = np.concatenate([*(np.frombuffer(x.as_buffer(), "<u8") for c in batch.columns for x in c), np.zeros(0, "<u8")])
+            h, n = np.unique(h, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["hash", "docs"])
+
+    held = found.select("near", "short").mapInArrow(slim(counted), "hash long, docs long").groupBy("hash").agg(F.sum("docs").alias("docs"))
+    wanted = written(searched(asked, fixed, held, threshold, miss))
+    kinds = [(r["band"], r["half"]) for r in wanted.where(F.col("band") != SHORT).select("band", "half").distinct().collect()]  # 32 * HALVINGS at most
+    bits = [(k, j, half, signature_bits(k, j, threshold, miss, half)) for k in range(PARTS) for j, half in sorted(kinds)]
+    longest = np.array([max((b for kk, _, _, b in bits if kk == k), default=-1) for k in range(PARTS)])
+    still = Marks(wanted.select("hash")).test()
 
     def signatures(batches):
-        """(hash, _doc, band, level); runs of 1 to 4 words have the band of short items."""
+        """(hash, _doc, band, level) of what is searched for; runs of 1 to 4 words have the band of short items."""
         for batch in batches:
-            sig, short_ = ([np.frombuffer(x.as_buffer(), "<u8") for x in batch.column(i)] for i in (2, 4))
-            n, m = [len(x) for x in sig], [len(x) for x in short_]
+            near, short_ = ([np.frombuffer(x.as_buffer(), "<u8") for x in batch.column(i)] for i in (2, 4))
+            n, m = [len(x) for x in near], [len(x) for x in short_]
             doc, k = np.array(batch.column(0)), np.array(batch.column(1))
             level = np.concatenate([*(np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column(3)), np.zeros(sum(m), np.uint8)])
-            columns = (np.concatenate([*sig, *short_, np.zeros(0, "<u8")]).view(np.int64), np.concatenate([np.repeat(doc, n), np.repeat(doc, m)]), np.concatenate([np.repeat(k, n), np.full(sum(m), SHORT)]), level)
+            h, of, part_ = np.concatenate([*near, *short_, np.zeros(0, "<u8")]), np.concatenate([np.repeat(doc, n), np.repeat(doc, m)]), np.concatenate([np.repeat(k, n), np.full(sum(m), SHORT)])
+            keep = np.flatnonzero(((part_ == SHORT) | (level <= longest[part_])) & still(h))
+            columns = (h[keep].view(np.int64), of[keep], part_[keep], level[keep])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["hash", "_doc", "k", "lev"])
 
-    sent = found.select("_doc", "band", "sig", "lev", "short").mapInArrow(slim(signatures), "hash long, _doc long, k int, lev int")
-    table = spark.createDataFrame([*bits, (SHORT, SHORT, 64)], "k int, band int, bits int")
-    # PARTS partitions of documents by those of items, 32 at most
-    met = sent.join(asked, "hash").join(F.broadcast(table), ["k", "band"]).where((F.col("lev") <= F.col("bits")) & (F.col("level") <= F.col("bits")))
-    pairs = met.select("_doc", "_item", "band").distinct()
+    sent = found.select("_doc", "band", "near", "lev", "short").mapInArrow(slim(signatures), "hash long, _doc long, k int, lev int")
+    table = spark.createDataFrame([*bits, *[(SHORT, SHORT, half, 64) for half in range(HALVINGS)]], "k int, band int, half int, bits int")
+    pairs = candidates(sent, wanted, table)
 
     def confirm(batches):
         for batch in batches:
