@@ -9,7 +9,9 @@ d(v, q) - radius(q) away, and at least (d(v,q)^2 - d(v,p)^2) / (2 d(p,q)) for
 its own pivot p (the distance to the plane between them). A pair of different
 cells meets in the cell with the smaller number only, so each pair is compared
 once, and cells join independently. Cells with many vectors are cut in chunks
-and their pairs of chunks dealt out.
+and their pairs of chunks dealt out; the guests that may have a partner in a cell are counted
+first and come in chunks too, so no task holds more than about two chunks. Pivots grow with the
+square root of the vectors.
 
 Equal vectors are one with a count. In a cell only counts of partners and a
 spanning forest of the links leave, never all pairs. Comparisons run in single
@@ -65,7 +67,16 @@ def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
     return sample[chosen]
 
 
-def bound_cells(units: np.ndarray, pivots: np.ndarray, radius: np.ndarray | None, eps: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def pivot_count(n: int, cell_rows: int, most: int) -> int:
+    """A quarter of the square root, and enough for cells of ``cell_rows`` on average; one below 64 vectors."""
+    return int(np.clip(max(math.isqrt(n) // 4, -(-n // cell_rows)), 1, most))
+
+
+def apart(pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, 2 - 2 * (pivots @ pivots.T)))
+
+
+def bound_cells(units: np.ndarray, pivots: np.ndarray, radius: np.ndarray | None, between: np.ndarray | None, eps: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Own cell, distance to its pivot, and for every cell whether a partner may be there."""
     d2 = np.maximum(0, 2 - 2 * (units @ pivots.T))
     own = d2.argmin(axis=1)
@@ -73,14 +84,13 @@ def bound_cells(units: np.ndarray, pivots: np.ndarray, radius: np.ndarray | None
     mine = d[np.arange(len(units)), own]
     if radius is None:
         return own, mine, d
-    between = np.sqrt(np.maximum(0, 2 - 2 * (pivots @ pivots.T)))
     plane = (d2 - (mine**2)[:, None]) / np.maximum(1e-12, 2 * between[own])
     reach = (d - radius[None, :] <= eps + 1e-9) & (plane <= eps + 1e-9)
     reach[np.arange(len(units)), own] = True
     return own, mine, reach
 
 
-def join(vectors: DataFrame, cosine: float = 0.9, cell_rows: int = 4096, sample_rows: int = 20_000, most_pivots: int = 4096) -> DataFrame:
+def join(vectors: DataFrame, cosine: float = 0.9, cell_rows: int = 4096, sample_rows: int = 20_000, most_pivots: int = 16_384) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of ``vectors`` (vec_id, embedding)."""
     spark = vectors.sparkSession
     eps = math.sqrt(2 - 2 * cosine)
@@ -99,13 +109,14 @@ def join(vectors: DataFrame, cosine: float = 0.9, cell_rows: int = 4096, sample_
     rows = written(rows.withColumn("node", F.coalesce("id", F.lit(NO_ID) + F.monotonically_increasing_id())))
     groups = written(rows.where("raw is not null").groupBy("raw").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("copies")))
     reps = groups.select("rep", "copies", "raw", (F.octet_length("raw") / np.dtype(kind).itemsize).cast("int").alias("dim"))
-    # lengths with more vectors than a cell takes are cut by pivots, one at most for ``cell_rows`` vectors; all others are a cell each
-    sizes = reps.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell_rows)
-    sampled = reps.join(sizes, "dim").where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) * F.col("n") <= F.lit(sample_rows << 20))
+    # lengths with enough vectors for two pivots are cut by them; all others are a cell each
+    sizes = reps.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(64, cell_rows + 1))
+    few = F.least(F.lit(float(sample_rows)), 16 * F.sqrt("n"))
+    sampled = reps.join(sizes, "dim").where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) * F.col("n") <= few * F.lit(1 << 20))
     by_dim: dict[int, tuple[int, list[bytes]]] = {}
-    for r in sampled.select("dim", "n", "raw").collect():
+    for r in sampled.select("dim", "n", "raw").orderBy("dim", "raw").collect():
         by_dim.setdefault(r["dim"], (r["n"], []))[1].append(bytes(r["raw"]))
-    pivots = {dim: choose_pivots(unit(raw[:sample_rows], kind)[1], int(np.clip(-(-n // cell_rows), 1, most_pivots))) for dim, (n, raw) in sorted(by_dim.items())}
+    pivots = {dim: choose_pivots(unit(raw[:sample_rows], kind)[1], pivot_count(n, cell_rows, most_pivots)) for dim, (n, raw) in sorted(by_dim.items())}
     counts, links = join_cells(reps, pivots, cosine, eps, cell_rows, kind)
     total = written(counts.groupBy("rep").agg(F.sum("n").alias("n")))
     comp = components(links)
@@ -119,16 +130,23 @@ def join(vectors: DataFrame, cosine: float = 0.9, cell_rows: int = 4096, sample_
     return out.select(F.col("id").alias("vec_id"), "n_links", comp_id.alias("component_id"), F.coalesce(F.col("id") == comp_id, F.lit(False)).alias("kept"))
 
 
-def join_cells(reps: DataFrame, pivots: dict[int, np.ndarray], cosine: float, eps: float, cell_rows: int, kind: str) -> tuple[DataFrame, DataFrame]:
-    """Partners by vector (rep, n), and links (a, b) that span the components, of vectors of all lengths in one job."""
+def dealt_cells(reps: DataFrame, pivots: dict[int, np.ndarray], eps: float, cell_rows: int, kind: str) -> DataFrame:
+    """(dim, cell, i, j, side, data): packed vectors by pair of chunks (i, j) of a cell; j is -1 - q where chunk i meets the cell's guests of chunk q."""
     spark = reps.sparkSession
     shared = spark.sparkContext.broadcast(pivots)  # most_pivots vectors a length with many
+    between: dict[int, np.ndarray] = {}
+
+    def planes(dim: int) -> np.ndarray:
+        """Distances of the pivots, once a worker."""
+        if dim not in between:
+            between[dim] = apart(shared.value[dim])
+        return between[dim]
 
     def measure(batches):
         for batch in batches:
             dims = np.array(batch.column(1))
             for dim in np.unique(dims):
-                own, mine, _ = bound_cells(unit(batch.column(0).take(pa.array(np.flatnonzero(dims == dim))).to_pylist(), kind)[1], shared.value[int(dim)], None, eps)
+                own, mine, _ = bound_cells(unit(batch.column(0).take(pa.array(np.flatnonzero(dims == dim))).to_pylist(), kind)[1], shared.value[int(dim)], None, None, eps)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), dim, dtype=np.int32)), pa.array(own.astype(np.int32)), pa.array(mine)], names=["dim", "cell", "d"])
 
     radius = {dim: np.full(len(p), -10.0) for dim, p in pivots.items()}
@@ -138,6 +156,21 @@ def join_cells(reps: DataFrame, pivots: dict[int, np.ndarray], cosine: float, ep
         for s in large.mapInArrow(slim(measure), "dim int, cell int, d double").groupBy("dim", "cell").agg(F.max("d").alias("r"), F.count(F.lit(1)).alias("n")).collect():  # a row a pivot
             radius[s["dim"]][s["cell"]], held[s["dim"]][s["cell"]] = s["r"], s["n"]
 
+    def visit(batches):
+        """How many guests each cell gets: a guest's own cell has a larger number."""
+        for batch in batches:
+            dims = np.array(batch.column(1))
+            for dim in np.unique(dims).tolist():
+                own, _, reach = bound_cells(unit(batch.column(0).take(pa.array(np.flatnonzero(dims == dim))).to_pylist(), kind)[1], shared.value[dim], radius[dim], planes(dim), eps)
+                n = (reach & (own[:, None] > np.arange(reach.shape[1]))).sum(axis=0)
+                some = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), dim, dtype=np.int32)), pa.array(some.astype(np.int32)), pa.array(n[some])], names=["dim", "cell", "n"])
+
+    guests = {dim: np.zeros(len(p), dtype=np.int64) for dim, p in pivots.items()}
+    if pivots:
+        for s in large.mapInArrow(slim(visit), "dim int, cell int, n long").groupBy("dim", "cell").agg(F.sum("n").alias("n")).collect():  # a row a pivot
+            guests[s["dim"]][s["cell"]] = s["n"]
+
     def deal(batches):
         """Each vector to its cell's chunk pairs, and as a guest to the chunks of cells with a smaller number."""
         for batch in batches:
@@ -151,8 +184,9 @@ def join_cells(reps: DataFrame, pivots: dict[int, np.ndarray], cosine: float, ep
                     out.append((dim, 0, 0, 0, 0, pack(np.arange(len(of)))))
                     continue
                 chunks = np.maximum(1, -(-held[dim] // cell_rows))
-                own, _, reach = bound_cells(unit(raw, kind)[1], shared.value[dim], radius[dim], eps)
-                chunk = (rep[of].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % chunks[own]
+                own, _, reach = bound_cells(unit(raw, kind)[1], shared.value[dim], radius[dim], planes(dim), eps)
+                spread = (rep[of].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+                chunk, parties = spread % chunks[own], -(-guests[dim] // cell_rows)
                 for c in np.flatnonzero(reach.any(axis=0)).tolist():
                     home, g = own == c, np.flatnonzero(reach[:, c] & (own > c))
                     for i in range(int(chunks[c])):
@@ -161,12 +195,20 @@ def join_cells(reps: DataFrame, pivots: dict[int, np.ndarray], cosine: float, ep
                             # row side of the pair (i, j) for i <= j; column side for i > j
                             data = pack(me)
                             out += [(dim, c, min(i, j), max(i, j), 0 if i <= j else 1, data) for j in range(int(chunks[c]))]
-                            out.append((dim, c, i, -1, 0, data))
-                        if len(g) and held[dim][c]:
-                            out.append((dim, c, i, -1, 1, pack(g)))
+                            out += [(dim, c, i, -1 - q, 0, data) for q in range(int(parties[c]))]
+                    if len(g) and held[dim][c]:
+                        for q in np.unique(spread[g] % parties[c]).tolist():
+                            party = pack(g[spread[g] % parties[c] == q])
+                            out += [(dim, c, i, -1 - q, 1, party) for i in range(int(chunks[c]))]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), (*(pa.int32(),) * 5, pa.binary()), strict=True)], names=["dim", "cell", "i", "j", "side", "data"])
 
+    return reps.select("rep", "copies", "raw", "dim").mapInArrow(slim(deal), "dim int, cell int, i int, j int, side int, data binary")
+
+
+def join_cells(reps: DataFrame, pivots: dict[int, np.ndarray], cosine: float, eps: float, cell_rows: int, kind: str) -> tuple[DataFrame, DataFrame]:
+    """Partners by vector (rep, n), and links (a, b) that span the components, of vectors of all lengths in one job."""
+
     def unpack(blobs, width):
         rep, copies, x = [], [], []
         for b in blobs:
@@ -218,7 +260,7 @@ def join_cells(reps: DataFrame, pivots: dict[int, np.ndarray], cosine: float, ep
             x = np.concatenate([np.frombuffer(v.as_buffer(), "<i8").reshape(-1, 3) for v in batch.column(0)] or [np.zeros((0, 3), np.int64)])
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, i])) for i in range(3)], names=["rep", "n", "root"])
 
-    dealt = reps.select("rep", "copies", "raw", "dim").mapInArrow(slim(deal), "dim int, cell int, i int, j int, side int, data binary")
+    dealt = dealt_cells(reps, pivots, eps, cell_rows, kind)
     found = written(dealt.groupBy("dim", "cell", "i", "j").applyInPandas(compare, "data binary"))
     found = found.mapInArrow(slim(rows_of), "rep long, n long, root long")
     return found.select("rep", "n"), found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b"))
