@@ -4,8 +4,8 @@ with a rejection threshold calibrated on texts left out of training.
 Defined results: null text and text without a letter are ``und`` with score 0;
 documents without a language, or without an id, teach nothing; a document that
 repeats teaches once and has a row for each; very long texts are read whole, but
-only texts up to ``longest`` bytes teach; with no language to learn every text is
-``und``; a null doc_id isn't held out; an empty table gives no rows; other columns,
+only texts up to ``longest`` bytes teach; with no language that a text teaches every
+text is ``und``, with one only every text with a letter is of that one; a null doc_id isn't held out; an empty table gives no rows; other columns,
 whatever their names, are ignored; ``rejected`` marks scores under the calibrated
 threshold.
 """

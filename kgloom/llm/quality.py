@@ -3,7 +3,8 @@
 Defined results: null and empty texts score the bias; very long texts are scored
 whole, but only texts up to ``longest`` bytes teach; a label row without a value,
 or a document whose labels disagree, teaches nothing; a document that repeats
-teaches once and has a row for each; without both classes the score is 0.5 for
+teaches once and has a row for each; without texts of both classes that teach (no
+labels, labels of other documents, texts all too long) the score is 0.5 for
 all; a null doc_id is scored, teaches nothing and isn't held out; an empty table
 gives no rows; other columns, whatever their names, are kept by
 ``filter_quality`` and ignored by ``score``.
@@ -47,7 +48,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     chosen = near.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= each).select("doc_id", "_y")
     # at most most_bytes / longest keys
     rows = docs.where(F.octet_length("text") <= longest).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "_y").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
-    return [r["text"] for r in rows], [r["_y"] for r in rows], {y: n / total for y, n in counts.items()}
+    return [r["text"] for r in rows], [r["_y"] for r in rows], {y: n / total for y, n in counts.items()}  # classes without a text too
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1500, longest: int = 65_536) -> Model:

@@ -120,8 +120,9 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 def train(texts: list[str | None], labels: list, priors: dict, lower: bool, dim: int = 16, updates: int = 24_000, rate: float = 0.6, held: int = 8, target: float = 0.99, seed: int = 7) -> Model:
     """A model of the labels; ``priors`` (shares of the classes in the population)
-    correct for a sample that is even over classes; every ``held``-th text only calibrates."""
-    classes = sorted(priors)
+    correct for a sample that is even over classes; every ``held``-th text only calibrates. Classes are those
+    that a text teaches; without two of them nothing is learned."""
+    classes = sorted(set(labels))
     if len(classes) < 2:
         only = classes or [None]
         return Model(only, np.zeros((1, 1 << BITS), np.float32), np.zeros(1), np.zeros(1), 1.0, 0.0, lower)

@@ -2,6 +2,7 @@
 
 import pytest
 
+from kgloom.llm.common import written
 from kgloom.llm.decontamination import contained, decontaminate
 from kgloom.llm.jaccard import cluster_forest, join_classes, keep_one
 from kgloom.llm.pivots import join
@@ -121,7 +122,39 @@ def test_signatures_shrink_with_the_items_and_miss_next_to_nothing(spark):
 
     u = next(shingles(pa.array([" ".join(word() for _ in range(20_000))])))[1]
     share = lambda size: (levels(u) <= signature_bits(part(len(u)), band(size), 0.75)).mean()
-    assert share(16) < 0.9 and share(64) < 0.5 and share(400) < 0.1
+    assert share(16) < 0.8 and share(64) < 0.4 and share(400) < 0.11
+
+
+def test_items_and_documents_with_one_opening(spark):
+    """All items and documents begin alike: what is frequent isn't searched for where something rarer must be shared."""
+    from kgloom.llm import decontamination
+
+    opening = "please read the text and answer what follows"
+    items = [(i, opening + " " + " ".join(f"i{i}w{k}" for k in range(12))) for i in range(60)]
+    docs = [(i, opening + " " + " ".join(f"d{i}w{k}" for k in range(9))) for i in range(400)] + [(1000 + i, "so " + items[i][1]) for i in range(20)]
+    d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    met = []
+    real = decontamination.candidates
+    try:
+        decontamination.candidates = lambda *a: met.append(written(real(*a))) or met[0]
+        got = sorted(tuple(r)[:4] for r in contained(d, q).collect())
+    finally:
+        decontamination.candidates = real
+    assert got == [(1000 + i, i, 16, 16) for i in range(20)]
+    assert met[0].count() < 100  # 400 * 60 pairs share the opening
+
+
+def test_items_of_nothing_but_frequent_words(spark):
+    """Items whose every shingle is in all documents have to be searched by them."""
+    common = "a b c d e f g h"
+    docs = [(i, f"x{i} {common} y{i}") for i in range(50)]
+    items = [(1, common), (2, common + " z1"), (3, common + " z1 z2 z3 z4")]
+    d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(map(tuple, contained(d, q).collect())) == sorted(brute_contained(docs, items))
+
+
+def brute_contained(docs, items):
+    return [(*r, r[3] / r[2]) for r in brute.contained(docs, items)]
 
 
 def test_an_item_that_many_documents_hold(spark):
@@ -171,3 +204,36 @@ def test_vectors_in_many_cells(spark, sf):
     data = [(r.vec_id, list(r.embedding)) for r in df.collect()]
     got = sorted(map(tuple, join(spark.createDataFrame(data, "vec_id long, embedding array<float>"), cell_rows=20).collect()))
     assert got == brute.vectors(data)
+
+
+@pytest.mark.parametrize("structure", [0, 6])
+def test_no_group_of_vectors_exceeds_two_chunks(spark, monkeypatch, structure):
+    """Without structure nearly every vector is a guest of nearly every cell: guests come in chunks like a cell's own."""
+    import numpy as np
+
+    from kgloom.llm import pivots
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 16)) if not structure else rng.normal(size=(structure, 16))[rng.integers(structure, size=1500)] + 0.2 * rng.normal(size=(1500, 16))
+    rows = [(i, [float(f) for f in v]) for i, v in enumerate(x)]
+    real, groups = pivots.dealt_cells, []
+
+    def seen(*args):
+        dealt = written(real(*args))
+        size = {}
+        for r in dealt.collect():
+            key = (r.dim, r.cell, r.i, r.j)
+            size[key] = size.get(key, 0) + int.from_bytes(r.data[:4], "little")
+        groups.append(size)
+        return dealt
+
+    monkeypatch.setattr(pivots, "dealt_cells", seen)
+    got = sorted(map(tuple, join(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4), cell_rows=100).collect()))
+    assert got == brute.vectors(rows)
+    assert max(groups[0].values()) <= 2.6 * 100 and len({k[1] for k in groups[0]}) > 5
+
+
+def test_the_given_table_goes_through_pivots():
+    from kgloom.llm.pivots import pivot_count
+
+    assert [pivot_count(n, 4096, 16_384) for n in (50, 500, 10_000, 10**6, 10**8)] == [1, 5, 25, 250, 16_384]

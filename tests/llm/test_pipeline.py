@@ -57,3 +57,29 @@ def test_stages(spark):
         expected |= {(i, p, zlib.crc32(np.array(ids[a : a + 2048], dtype="<u4").tobytes())) for p, a in enumerate(range(0, len(ids), 2048))}
     assert {(r.doc_id, r.piece, r.ids_crc32) for r in after["packing"].collect()} == expected
     assert corpus_pipeline.run(spark, SF).count() == len(expected)
+
+
+def folder(tmp_path, spark, docs):
+    """A folder of tables with these documents and the labels and items of the smallest one."""
+    d = str(tmp_path / "sf")
+    docs.write.parquet(f"{d}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{d}/{t}.parquet")
+    return d
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    assert corpus_pipeline.run(spark, folder(tmp_path, spark, docs)).count() == 0
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path, repeated):
+    """Clashing columns, null ids and texts, repeated rows: every document that stays is packed whole."""
+    docs = repeated.withColumnRenamed("found", "_row").union(repeated.where("doc_id < 3").selectExpr("cast(null as long)", *repeated.columns[1:]))
+    d = folder(tmp_path, spark, docs)
+    now = spark.read.parquet(f"{d}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = written(stage(spark, now, d))
+        assert now.columns == docs.columns, name
+    pieces = corpus_pipeline.run(spark, d).collect()
+    assert {r.doc_id for r in pieces} == {r.doc_id for r in now.collect()}
