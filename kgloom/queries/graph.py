@@ -94,11 +94,48 @@ def order_edges(spark, sf):
     return edges.distinct()
 
 
-@query("g10_transitive_reduction", f"WITH e AS ({ORDER_EDGES}), h AS (SELECT * FROM e WHERE src <> dst), two AS (SELECT DISTINCT a.rel, a.src AS u, b.src AS x, b.dst AS y FROM h a JOIN h b ON a.dst = b.src AND a.rel = b.rel WHERE b.dst <> a.src), gone AS (SELECT rel, u, y AS v FROM two UNION SELECT t.rel, t.u, c.dst FROM two t JOIN h c ON c.src = t.y AND c.rel = t.rel WHERE c.dst NOT IN (t.u, t.x)) SELECT src, dst, rel FROM e WHERE (rel, src, dst) NOT IN (SELECT rel, u, v FROM gone)")
+@query("g10_transitive_reduction", f"WITH e AS ({ORDER_EDGES}), h AS (SELECT * FROM e WHERE src <> dst), starts AS (SELECT DISTINCT rel, src FROM h), a AS (SELECT h.* FROM h SEMI JOIN starts s ON s.rel = h.rel AND s.src = h.dst), two AS (SELECT DISTINCT a.rel, a.src AS u, g.dst AS v FROM h g JOIN a ON a.rel = g.rel AND a.src = g.src SEMI JOIN h b ON b.rel = a.rel AND b.src = a.dst AND b.dst = g.dst), three AS (SELECT DISTINCT g.rel, g.src AS u, g.dst AS v FROM h g JOIN a ON a.rel = g.rel AND a.src = g.src AND a.dst <> g.dst JOIN a m ON m.rel = a.rel AND m.src = a.dst AND m.dst NOT IN (g.src, g.dst) SEMI JOIN h c ON c.rel = m.rel AND c.src = m.dst AND c.dst = g.dst), gone AS (SELECT * FROM two UNION SELECT * FROM three) SELECT src, dst, rel FROM e ANTI JOIN gone ON gone.rel = e.rel AND u = src AND v = dst")
 def g10b(spark, sf):
     return G.reduced(order_edges(spark, sf)).select("src", "dst", "rel")
 
 
+MERGED = """
+WITH RECURSIVE plan AS (SELECT c_custkey::BIGINT AS dup, c_custkey::BIGINT // 3 AS keep, -c_custkey::BIGINT AS tm FROM customer WHERE c_custkey % 3 = 1 AND c_custkey > 3 AND c_custkey // 3 IN (SELECT c_custkey FROM customer)),
+chain AS (SELECT dup, keep, [tm] AS path FROM plan UNION ALL SELECT chain.dup, plan.keep, list_prepend(plan.tm, chain.path) FROM chain JOIN plan ON plan.dup = chain.keep),
+fin AS (SELECT dup, keep, path FROM chain WHERE keep NOT IN (SELECT dup FROM plan)),
+"""
+MERGED_NODES = MERGED + """
+n AS (SELECT coalesce(keep, c_custkey)::BIGINT AS id, coalesce(path, []) AS path, c_name AS name, CASE WHEN c_acctbal >= 0 THEN c_mktsegment END AS segment, CASE WHEN c_nationkey % 2 = 1 THEN c_acctbal END AS balance, CASE WHEN c_custkey % 2 = 0 THEN ['C' || c_custkey, 'any'] ELSE [] END AS aliases, c_mktsegment AS label FROM customer LEFT JOIN fin ON dup = c_custkey),
+heard AS (SELECT id, item, min({'p': path, 'i': i}) AS place FROM (SELECT id, path, unnest(list_prepend(name, aliases)) AS item, generate_subscripts(list_prepend(name, aliases), 1) AS i FROM n WHERE len(path) > 0) GROUP BY ALL),
+own AS (SELECT id, name, aliases FROM n WHERE len(path) = 0),
+more AS (SELECT own.id, string_agg(item, ',' ORDER BY place) AS names FROM own JOIN heard ON heard.id = own.id WHERE NOT list_contains(list_prepend(own.name, own.aliases), item) GROUP BY 1),
+g AS (SELECT id, count(*) - 1 AS merged, first(segment ORDER BY path) FILTER (segment IS NOT NULL) AS segment, first(balance ORDER BY path) FILTER (balance IS NOT NULL) AS balance, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM n GROUP BY id)
+SELECT g.id, own.name, segment, balance, concat_ws(',', nullif(array_to_string(own.aliases, ','), ''), names) AS aliases, labels FROM g JOIN own ON own.id = g.id LEFT JOIN more ON more.id = g.id"""
+MERGED_EDGES = MERGED + """
+e AS (SELECT o_custkey::BIGINT AS src, 1000000000 + o_orderkey % 50 AS dst, o_orderpriority AS rel, min(CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END) AS price FROM orders GROUP BY ALL)
+SELECT coalesce(keep, src)::BIGINT AS src, dst::BIGINT AS dst, rel, count(*) AS edges, first(price ORDER BY coalesce(path, []), e.src) FILTER (price IS NOT NULL) AS price FROM e LEFT JOIN fin ON dup = src GROUP BY ALL"""
+
+
+def thirds(spark, sf):
+    """Customers, what they ordered, and merges in chains: every third one goes into the one with a third of its number."""
+    c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
+    nodes = c.select(F.col("c_custkey").cast("long").alias("id"), F.col("c_name").alias("name"), F.when(F.col("c_acctbal") >= 0, F.col("c_mktsegment")).alias("segment"), F.when(F.col("c_nationkey") % 2 == 1, F.col("c_acctbal")).alias("balance"), F.when(F.col("c_custkey") % 2 == 0, F.array(F.concat(F.lit("C"), "c_custkey"), F.lit("any"))).alias("aliases"), F.array("c_mktsegment").alias("labels"))
+    edges = o.groupBy(F.col("o_custkey").cast("long").alias("src"), (F.col("o_orderkey") % 50 + 10**9).cast("long").alias("dst"), F.col("o_orderpriority").alias("rel")).agg(F.min(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice"))).alias("price"))
+    third = F.floor(F.col("id") / 3).cast("long")
+    plan = nodes.where("id % 3 = 1 AND id > 3").select(F.col("id").alias("dup"), third.alias("keep"), (-F.col("id")).alias("at")).join(nodes.select(F.col("id").alias("keep")), "keep", "left_semi")
+    return G.merge_nodes(nodes, edges, plan, ["segment", "balance"], ["price"])
+
+
+@query("g11_merged_nodes", MERGED_NODES)
+def g11_nodes(spark, sf):
+    return thirds(spark, sf)[0].withColumn("aliases", F.array_join("aliases", ",")).withColumn("labels", F.array_join("labels", ","))
+
+
+@query("g11_merged_edges", MERGED_EDGES)
+def g11_edges(spark, sf):
+    return thirds(spark, sf)[1]
+
+
 @query("g11_node_merge", f"WITH m AS (SELECT p_partkey + 4000000000000 AS dup, min(p_partkey + 4000000000000) OVER (PARTITION BY lower(p_name)) AS keep FROM part), e AS (SELECT coalesce(a.keep, src)::BIGINT AS s, coalesce(b.keep, dst)::BIGINT AS d, src, dst, rel FROM ({ORDER_EDGES}) LEFT JOIN m a ON a.dup = src LEFT JOIN m b ON b.dup = dst) SELECT DISTINCT s AS src, d AS dst, rel FROM e WHERE s <> d OR src = dst")
 def g11b(spark, sf):
     """Parts of one name become the one with the smallest id."""

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from kgloom.catalog import table
 from kgloom.operators import catalog_ops as C
+from kgloom.operators import ontology
 from kgloom.registry import query
 
 
@@ -84,13 +85,75 @@ def q10(spark, sf):
     return table(spark, sf, "documents").groupBy("lang").agg(n.alias("docs"), F.round(F.lit(100.0) * F.count_if(F.col("n_chars") > 500) / n, 2).alias("described_pct"), F.when(long >= 3000, "HIGH").when(long >= 2000, "MEDIUM").otherwise("LOW").alias("band"))
 
 
-@query("q11_triple_layers", "SELECT DISTINCT s, p, o FROM (SELECT 'customer/' || c_custkey AS s, 'type' AS p, 'class/' || lower(c_mktsegment) AS o FROM customer UNION ALL SELECT 'customer/' || c_custkey, 'type', 'class/customer' FROM customer)")
+SCHEMA = [
+    *[(f"class/{x}", "subClassOf", "class/customer") for x in ("automobile", "building", "furniture", "household", "machinery")],
+    ("class/customer", "subClassOf", "class/party"), ("class/party", "subClassOf", "class/thing"), ("class/order", "subClassOf", "class/thing"), ("class/place", "subClassOf", "class/thing"),
+    ("placedBy", "subPropertyOf", "concerns"), ("concerns", "subPropertyOf", "linkedTo"), ("placedBy", "inverseOf", "placed"), ("placedBy", "domain", "class/order"), ("placedBy", "range", "class/customer"),
+    ("locatedIn", "range", "class/place"), ("locatedIn", "type", "TransitiveProperty"),
+]
+FACTS = "SELECT 'customer/' || c_custkey AS s, 'type' AS p, 'class/' || lower(c_mktsegment) AS o FROM customer UNION SELECT 'customer/' || c_custkey, 'locatedIn', 'nation/' || c_nationkey FROM customer UNION SELECT 'nation/' || n_nationkey, 'locatedIn', 'region/' || n_regionkey FROM nation UNION SELECT 'order/' || o_orderkey, 'placedBy', 'customer/' || o_custkey FROM orders"
+STATED = f"SELECT * FROM ({FACTS}) UNION SELECT * FROM (VALUES {', '.join(map(str, SCHEMA))}) t(s, p, o)"
+CLOSED = f"""
+WITH RECURSIVE stated AS ({STATED}),
+classes AS (SELECT s, o FROM stated WHERE p = 'subClassOf' UNION SELECT c.s, t.o FROM classes c JOIN stated t ON t.s = c.o AND t.p = 'subClassOf'),
+properties AS (SELECT s, o FROM stated WHERE p = 'subPropertyOf' UNION SELECT c.s, t.o FROM properties c JOIN stated t ON t.s = c.o AND t.p = 'subPropertyOf'),
+rules AS (SELECT 'same' AS kind, s AS p, o AS q FROM properties UNION SELECT 'subject', s, o FROM stated WHERE p = 'domain' UNION SELECT 'object', s, o FROM stated WHERE p = 'range' UNION SELECT 'turned', s, o FROM stated WHERE p = 'inverseOf' UNION SELECT 'turned', o, s FROM stated WHERE p = 'inverseOf'),
+facts AS (
+  SELECT s, p, o FROM (SELECT * FROM stated UNION SELECT s, 'subClassOf', o FROM classes UNION SELECT s, 'subPropertyOf', o FROM properties)
+  UNION
+  SELECT * FROM (
+    SELECT CASE WHEN kind IN ('turned', 'object') THEN f.o ELSE f.s END AS s, CASE WHEN kind IN ('subject', 'object') THEN 'type' ELSE q END AS p, CASE kind WHEN 'same' THEN f.o WHEN 'turned' THEN f.s ELSE q END AS o FROM facts f JOIN rules r ON r.p = f.p
+    UNION ALL SELECT f.s, f.p, c.o FROM facts f JOIN classes c ON c.s = f.o WHERE f.p = 'type'
+    UNION ALL SELECT f.s, f.p, t.o FROM facts f JOIN stated t ON t.s = f.o AND t.p = f.p WHERE f.p = 'locatedIn'))
+SELECT s, p, o FROM facts"""
+
+
+def stated(spark, sf):
+    c, n, o = (table(spark, sf, t) for t in ("customer", "nation", "orders"))
+    name = lambda kind, key: F.concat(F.lit(kind + "/"), key)
+    edge = lambda df, s, p, o: df.select(s.alias("s"), F.lit(p).alias("p"), o.alias("o"))
+    facts = edge(c, name("customer", "c_custkey"), "type", name("class", F.lower("c_mktsegment"))).union(edge(c, name("customer", "c_custkey"), "locatedIn", name("nation", "c_nationkey")))
+    facts = facts.union(edge(n, name("nation", "n_nationkey"), "locatedIn", name("region", "n_regionkey"))).union(edge(o, name("order", "o_orderkey"), "placedBy", name("customer", "o_custkey")))
+    return facts.union(spark.createDataFrame(SCHEMA, "s string, p string, o string"))
+
+
+@query("q11_triple_layers", CLOSED)
 def q11(spark, sf):
-    """Types with those that follow from the class hierarchy; a shape check keeps rows with a class."""
-    c = table(spark, sf, "customer").where(F.col("c_mktsegment").isNotNull())
-    own = c.select(F.concat(F.lit("customer/"), "c_custkey").alias("s"), F.lit("type").alias("p"), F.concat(F.lit("class/"), F.lower("c_mktsegment")).alias("o"))
-    above = c.select(F.concat(F.lit("class/"), F.lower("c_mktsegment")).alias("o")).distinct().withColumn("parent", F.lit("class/customer"))
-    return own.union(own.join(above, "o").select("s", "p", "parent")).distinct()
+    """Customers, places and orders as triples, with everything that follows from their schema."""
+    return ontology.consequences(stated(spark, sf))
+
+
+SHAPES = [
+    {"target": "class/order", "path": "placedBy", "min": 1, "max": 1, "type": "class/customer"},
+    {"target": "class/customer", "path": "placed", "min": 1, "max": 15, "pattern": "^order/[0-9]+[02468]$"},
+    {"target": "class/party", "path": "locatedIn", "one_of": [*(f"region/{i}" for i in range(5)), *(f"nation/{i}" for i in range(20))]},
+]
+VIOLATED = f"""
+WITH f AS (SELECT * FROM ({CLOSED})), n AS (SELECT DISTINCT s AS focus, o AS target FROM f WHERE p = 'type'),
+k AS (SELECT focus, count(f.o) AS n FROM n LEFT JOIN f ON f.s = focus AND f.p = 'placed' WHERE target = 'class/customer' GROUP BY 1),
+b AS (SELECT focus, count(f.o) AS n FROM n LEFT JOIN f ON f.s = focus AND f.p = 'placedBy' WHERE target = 'class/order' GROUP BY 1)
+SELECT focus, 'placedBy' AS path, CASE WHEN n < 1 THEN 'minCount' ELSE 'maxCount' END AS "constraint", n::VARCHAR AS value FROM b WHERE n <> 1
+UNION ALL SELECT focus, 'placedBy', 'class', f.o FROM n JOIN f ON f.s = focus AND f.p = 'placedBy' WHERE target = 'class/order' AND f.o NOT IN (SELECT focus FROM n WHERE target = 'class/customer')
+UNION ALL SELECT focus, 'placed', 'minCount', n::VARCHAR FROM k WHERE n < 1 UNION ALL SELECT focus, 'placed', 'maxCount', n::VARCHAR FROM k WHERE n > 15
+UNION ALL SELECT focus, 'placed', 'pattern', f.o FROM n JOIN f ON f.s = focus AND f.p = 'placed' WHERE target = 'class/customer' AND NOT regexp_full_match(f.o, 'order/[0-9]+[02468]')
+UNION ALL SELECT focus, 'locatedIn', 'in', f.o FROM n JOIN f ON f.s = focus AND f.p = 'locatedIn' WHERE target = 'class/party' AND f.o IN ('nation/20', 'nation/21', 'nation/22', 'nation/23', 'nation/24')"""
+
+
+@query("q11_shape_report", VIOLATED)
+def q11_shapes(spark, sf):
+    """Every constraint of a shape that a node of the closed triples violates, with the value."""
+    return ontology.violations(ontology.consequences(stated(spark, sf)), SHAPES)
+
+
+@query("q11_rule_matrix", "WITH f AS (SELECT event_id, event_type AS predicate, CASE user_id % 3 WHEN 0 THEN 'PERSON' WHEN 1 THEN 'ORGANIZATION' ELSE 'PLACE' END AS st, CASE event_id % 2 WHEN 0 THEN 'PRODUCT' ELSE 'PAGE' END AS ot, CASE WHEN event_type = 'purchase' OR value > 90 THEN 'event' ELSE 'relationship' END AS mode, CASE WHEN value > 90 THEN 1 ELSE 0 END AS k FROM events) SELECT event_id, mode, CASE WHEN mode = 'event' THEN CASE WHEN k = 0 THEN 'event with no participants or attributes' END WHEN (st = 'PERSON' AND predicate IN ('click', 'view')) OR (predicate = 'signup' AND ot = 'PAGE') THEN NULL ELSE 'OWL rule violation: ' || st || ' -[' || predicate || ']-> ' || ot END AS reason FROM f")
+def q11_rules(spark, sf):
+    """Events as facts: those with an attribute become events, the others have to be in the matrix."""
+    e = table(spark, sf, "events")
+    kind = F.when(F.col("user_id") % 3 == 0, "PERSON").when(F.col("user_id") % 3 == 1, "ORGANIZATION").otherwise("PLACE")
+    large = (F.col("value") > 90).cast("int")
+    facts = e.select("event_id", F.when(F.col("event_type") == "purchase", "event").otherwise("relationship").alias("mode"), F.col("event_type").alias("predicate"), F.col("user_id").cast("string").alias("subject"), kind.alias("subject_type"), F.col("event_id").cast("string").alias("object"), F.when(F.col("event_id") % 2 == 0, "PRODUCT").otherwise("PAGE").alias("object_type"), F.lit(None).cast("string").alias("event_name"), F.lit(0).alias("n_participants"), F.coalesce(large, F.lit(0)).alias("n_attributes"))
+    matrix = spark.createDataFrame([("PERSON", "click", ontology.ANY_TYPE), ("PERSON", "view", ontology.ANY_TYPE), (ontology.ANY_TYPE, "signup", "PAGE")], "subject_type string, predicate string, object_type string")
+    return ontology.enforced(ontology.routed(facts), matrix).select("event_id", "mode", "reason")
 
 
 @query("q12_idf_discount", "WITH t AS (SELECT DISTINCT doc_id, lower(w) AS term FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS w FROM documents)), n AS (SELECT count(*) AS total FROM documents) SELECT term, count(*) AS docs, round(ln(max(total)::DOUBLE / count(*)) / ln(max(total)), 6) AS idf FROM t, n GROUP BY 1 HAVING count(*) >= 20")

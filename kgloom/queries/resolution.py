@@ -3,10 +3,8 @@
 from pyspark.sql import functions as F
 
 from kgloom.catalog import table
-from kgloom.operators import graph as G
 from kgloom.operators import resolve as R
 from kgloom.registry import query
-from kgloom.sources.readers import scratch
 
 BLOCKS = "SELECT c_custkey AS id, unnest(['w:' || regexp_split_to_array(lower(nm), '\\s+')[1], 'p:' || lower(nm)[1:3]]) AS block FROM (SELECT c_custkey, c_mktsegment[1:2] || c_name[16:18] || ' ' || c_nationkey AS nm FROM customer)"
 
@@ -66,15 +64,17 @@ def j12(spark, sf):
 SCORE = "CASE WHEN a % 97 = 0 THEN 0.0::DOUBLE ELSE round((1 - levenshtein(lower(an), lower(bn))::DOUBLE / greatest(length(an), length(bn))) * 30 + (am = bm)::INT * 20 + 10 + (ac = bc)::INT * 15 + 5 + 2.5, 6)::DOUBLE END"
 
 
-CANDIDATES = f"SELECT x.id AS a, y.id AS b FROM ({BLOCKS}) x JOIN ({BLOCKS}) y ON x.block = y.block AND x.id < y.id UNION SELECT least(x.id, y.id), greatest(x.id, y.id) FROM ({RANKS}) x JOIN ({RANKS}) y ON y.n BETWEEN x.n + 1 AND x.n + 15"
+WORDS = "SELECT c_custkey AS id, lower(c_mktsegment[1:2] || c_name[16:18]) AS word FROM customer"
+CANDIDATES = f"SELECT x.id AS a, y.id AS b FROM ({WORDS}) x JOIN ({WORDS}) y ON x.word = y.word AND x.id < y.id UNION SELECT least(x.id, y.id), greatest(x.id, y.id) FROM ({RANKS}) x JOIN ({RANKS}) y ON y.n BETWEEN x.n + 1 AND x.n + 15"
 CANDIDATE_PAIRS = f"SELECT a.c_custkey AS a, b.c_custkey AS b, a.c_name AS an, b.c_name AS bn, a.c_mktsegment AS am, b.c_mktsegment AS bm, a.c_nationkey AS ac, b.c_nationkey AS bc FROM ({CANDIDATES}) p JOIN customer a ON a.c_custkey = p.a JOIN customer b ON b.c_custkey = p.b"
 
 
 def candidates(spark, sf):
-    """The pairs that blocking or the sorted neighbourhood finds among all customers, smaller id first."""
+    """The pairs that share a first word or that the sorted neighbourhood finds among all customers, smaller id first. Prefixes are left
+    out here: their blocks grow with the customers and hold what is near in the order of names besides."""
     n = names(spark, sf)
     near = R.neighbour_pairs(n, "c_custkey", "nm").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return R.blocked_pairs(n, "c_custkey", "nm").union(near).distinct()
+    return R.blocked_pairs(n, "c_custkey", "nm", prefix=0).union(near).distinct()
 
 
 def scored(spark, sf, pairs):
@@ -121,14 +121,38 @@ def u06b(spark, sf):
     return j.select("a", "b", F.round(F.size(F.array_intersect("ra", "rb")) / F.size(F.array_union("ra", "rb")), 6).alias("jaccard"))
 
 
-@query("g12_merge_plan")
+WEIGHTS = "SELECT c_custkey AS id, 2 * ((c_name IS NOT NULL)::INT + (c_mktsegment IS NOT NULL)::INT + (c_acctbal IS NOT NULL)::INT) + 3 * coalesce(k, 0) + length(c_name) AS w FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS k FROM orders GROUP BY 1) ON o_custkey = c_custkey"
+PLANNED = f"""
+WITH p AS (SELECT CASE WHEN x.w >= y.w THEN a ELSE b END AS keep, CASE WHEN x.w >= y.w THEN b ELSE a END AS dup, score FROM (SELECT a, b, {SCORE} AS score FROM ({CANDIDATE_PAIRS})) JOIN ({WEIGHTS}) x ON x.id = a JOIN ({WEIGHTS}) y ON y.id = b WHERE score >= 70),
+l AS (SELECT list({{'k': [keep], 'd': [dup], 's': [score]}} ORDER BY score DESC, keep, dup) AS pairs FROM p),
+r AS (SELECT list_reduce(list_prepend({{'k': []::BIGINT[], 'd': []::BIGINT[], 's': []::DOUBLE[]}}, pairs), lambda done, x: CASE WHEN list_contains(done.d, x.k[1]) OR list_contains(done.d, x.d[1]) THEN done ELSE {{'k': list_concat(done.k, x.k), 'd': list_concat(done.d, x.d), 's': list_concat(done.s, x.s)}} END) AS done FROM l)
+SELECT unnest(done.k) AS keep, unnest(done.d) AS dup, unnest(done.s) AS score FROM r"""
+
+
+def weighed(spark, sf):
+    """(id, weight) of the customers: which of two is kept."""
+    k = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("k"))
+    c = table(spark, sf, "customer").join(k, "c_custkey", "left")
+    return c.select(F.col("c_custkey").alias("id"), R.selection(c, ["c_name", "c_mktsegment", "c_acctbal"], F.col("k"), F.col("c_name")).alias("w"))
+
+
+@query("g12_merge_plan", PLANNED)
 def g12(spark, sf):
-    """Greedy merges of all candidate pairs that score 55; each connected component of them is planned in one go."""
-    path = scratch(spark, "pairs")
-    scored(spark, sf, candidates(spark, sf)).where("score >= 55").write.parquet(path)
-    pairs = spark.read.parquet(path)
-    block = G.components(pairs).select(F.col("node").alias("a"), "root")
-    return R.merge_plan(pairs.join(block, "a"), "root", "a", "b", "score")
+    """Greedy merges of all candidate pairs that score 70, in the order of their scores."""
+    w = weighed(spark, sf)
+    s = scored(spark, sf, candidates(spark, sf)).where("score >= 70")
+    s = s.join(w.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(w.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
+    first = F.col("wa") >= F.col("wb")
+    pairs = s.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("keep"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("dup"), "score")
+    return R.merge_plan(pairs).select("keep", "dup", "score")
+
+
+@query("g12_same_names", "WITH p AS (SELECT p_partkey AS id, p_name AS name, p_size AS size, 2 * ((p_brand IS NOT NULL)::INT + (p_type IS NOT NULL)::INT) + length(p_name) + 3 * (p_size % 4) AS w FROM part WHERE trim(lower(p_name)) <> ''), k AS (SELECT *, first_value(id) OVER g AS keep, first_value(size) OVER g AS keep_size FROM p WINDOW g AS (PARTITION BY trim(lower(name)) ORDER BY w DESC, id)) SELECT keep, id AS dup FROM k WHERE id <> keep AND NOT (size > 45 AND keep_size > 45 AND size <> keep_size)")
+def g12_names(spark, sf):
+    """The second pass: parts of one name become one, whatever their type, unless large sizes, which here tell parts apart, differ."""
+    p = table(spark, sf, "part")
+    nodes = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").alias("size"), R.selection(p, ["p_brand", "p_type"], F.col("p_size") % 4, F.col("p_name")).alias("weight"))
+    return R.same_names(nodes, (F.col("keep_size") > 45) & (F.col("dup_size") > 45) & (F.col("keep_size") != F.col("dup_size")))
 
 
 @query("n01_regex_entities", "SELECT DISTINCT doc_id, lower(w) AS entity, 'ORGANIZATION' AS kind FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS w FROM documents) WHERE regexp_full_match(w, '[A-Za-z]{4,10}')")

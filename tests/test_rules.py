@@ -51,11 +51,6 @@ def test_resolution_score_is_80(spark):
     assert spark.range(1).select(R.score(parts, F.lit(True))).first()[0] == 0.0
 
 
-def test_merge_plan_skips_what_is_gone(spark):
-    pairs = spark.createDataFrame([(1, 1, 2, 99.0), (1, 2, 3, 98.0), (1, 4, 5, 97.0)], "g int, a long, b long, s double")
-    assert sorted(map(tuple, R.merge_plan(pairs, "g", "a", "b", "s").collect())) == [(1, 2), (4, 5)]
-
-
 def test_reduction_keeps_loops_and_other_types(spark):
     e = spark.createDataFrame([("a", "b", "r"), ("b", "c", "r"), ("a", "c", "r"), ("a", "c", "q"), ("a", "a", "r")], "src string, dst string, rel string")
     assert ("a", "c", "r") not in {(r.src, r.dst, r.rel) for r in G.reduced(e).collect()}
