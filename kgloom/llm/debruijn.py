@@ -48,7 +48,7 @@ WIDTH = 50
 GRAM = 24
 #: Edges of different runs that meet in one part, on average; and of those with one smallest hash, beyond which they meet by edge.
 PART_EDGES = 1 << 18
-HOT_EDGES = 1 << 15
+HOT_EDGES = 1 << 13
 _MULTIPLY = np.uint64(0x8CB92BA72F3D8DD7)
 
 
