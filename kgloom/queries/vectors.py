@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from kgloom.catalog import table
 from kgloom.functions import vectors as V
 from kgloom.operators import retrieval as R
+from kgloom.operators import similarity
 from kgloom.registry import query
 
 Q = [((i * 37) % 17 - 8) / 10 for i in range(64)]
@@ -39,7 +40,10 @@ def v06(spark, sf):
     """The five nearest rows of every hundredth one, by an approximate index. These vectors have hardly any structure, so
     three quarters of the lists are looked into for nine of ten neighbours."""
     e = emb(spark, sf)
-    return V.ListIndex(e, "vec_id", "embedding").search(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q")), 5, 12).select("query", "vec_id", F.round("similarity", 6).alias("similarity"))
+    index = similarity.ListIndex(e, "vec_id", "embedding")
+    lists = max([1, *(len(c) for c in index.centres.values())])
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    return index.search(asked, 5, -(-3 * lists // 4), again=20).select("query", "vec_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query("x06_first_of_sorted", "SELECT a.label, a.vec_id, b.label AS best FROM embeddings a JOIN (SELECT label, list(x ORDER BY i) AS c FROM (SELECT label, i, avg((embedding[i])::DOUBLE) AS x FROM embeddings, range(1, 65) t(i) GROUP BY 1, 2) GROUP BY 1) b ON true QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.c), 9) DESC, b.label) = 1")
@@ -93,17 +97,17 @@ def v10(spark, sf):
 
 @query("j09_similar_pairs", "SELECT a.vec_id AS a, b.vec_id AS b, round((list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) + 1) / 2, 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE (list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) + 1) / 2 >= 0.7")
 def j09(spark, sf):
-    return V.pairs_above(emb(spark, sf), "vec_id", "embedding", 0.7).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return similarity.pairs_above(emb(spark, sf), "vec_id", "embedding", 0.7).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query("t07_similar_pair_cap", "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE (list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) + 1) / 2 >= 0.7 ORDER BY round((list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) + 1) / 2, 9) DESC, 1, 2 LIMIT 40")
 def t07(spark, sf):
-    return V.pairs_above(emb(spark, sf), "vec_id", "embedding", 0.7).orderBy(F.desc(F.round("similarity", 9)), "a", "b").limit(40).select("a", "b")
+    return similarity.best_pairs(emb(spark, sf), "vec_id", "embedding", 0.7, 40).select("a", "b")
 
 
 @query("g06_similar_edges", "WITH p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE (list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) + 1) / 2 >= 0.7) SELECT x AS src, y AS dst FROM p UNION ALL SELECT y, x FROM p")
 def g06(spark, sf):
-    p = V.pairs_above(emb(spark, sf), "vec_id", "embedding", 0.7).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    p = similarity.pairs_above(emb(spark, sf), "vec_id", "embedding", 0.7).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     return p.union(p.select("dst", "src"))
 
 
