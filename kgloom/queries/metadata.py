@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from kgloom.catalog import table
 from kgloom.operators import catalog_ops as C
-from kgloom.operators import ontology
+from kgloom.operators import ontology, relationships
 from kgloom.registry import query
 
 
@@ -54,6 +54,57 @@ def q05(spark, sf):
     return C.foreign_key_share(table(spark, sf, "orders"), "o_custkey", table(spark, sf, "customer"), "c_custkey")
 
 
+#: Whole-number and text (:s) columns of the tables.
+KEY_COLUMNS = {
+    "benchmark": "item_id text:s",
+    "conversations": "conv_id turn role:s text:s",
+    "customer": "c_custkey c_name:s c_nationkey c_mktsegment:s",
+    "documents": "doc_id text:s lang:s source:s n_chars",
+    "embeddings": "vec_id label",
+    "events": "event_id user_id event_type:s props:s",
+    "labels": "doc_id quality toxic",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_returnflag:s l_linestatus:s",
+    "nation": "n_nationkey n_name:s n_regionkey",
+    "orders": "o_orderkey o_custkey o_orderstatus:s o_orderpriority:s",
+    "pages": "page_id url:s html:s",
+    "part": "p_partkey p_name:s p_brand:s p_type:s p_size",
+    "region": "r_regionkey r_name:s",
+    "supplier": "s_suppkey s_name:s s_nationkey",
+}
+CELLS = " UNION ALL ".join(f"SELECT '{t}' AS tab, '{c.split(':')[0]}' AS col, '{'s' if ':' in c else 'n'}' AS kind, {c.split(':')[0]}::VARCHAR AS value FROM {t}" for t, cs in KEY_COLUMNS.items() for c in cs.split())
+STEM = "lower(regexp_replace({0}, '^[A-Za-z]_', ''))"
+RELATED = f"""
+WITH v AS (SELECT tab, col, kind, value, count(*) AS rows FROM ({CELLS}) WHERE value IS NOT NULL GROUP BY ALL),
+p AS (SELECT tab, col, count(*) AS n, max(rows) = 1 AS uniq FROM v GROUP BY ALL HAVING max(length(value)) <= 64),
+k AS (SELECT v.* FROM v SEMI JOIN p ON p.tab = v.tab AND p.col = v.col),
+s AS (SELECT a.tab, a.col, b.tab AS ref_tab, b.col AS ref_col, count(*) AS shared FROM k a JOIN k b ON a.kind = b.kind AND a.value = b.value AND a.tab <> b.tab GROUP BY ALL),
+c AS (SELECT s.*, x.n, CASE WHEN {STEM.format("s.col")} = {STEM.format("s.ref_col")} THEN 1.0 WHEN contains(lower(s.col), CASE WHEN ref_tab LIKE '%ies' THEN ref_tab[:-4] || 'y' WHEN ref_tab LIKE '%s' AND ref_tab NOT LIKE '%ss' THEN ref_tab[:-2] ELSE ref_tab END) THEN 0.75 ELSE 0.0 END AS name
+      FROM s JOIN p x ON x.tab = s.tab AND x.col = s.col JOIN p y ON y.tab = ref_tab AND y.col = ref_col AND y.uniq),
+d AS (SELECT tab, col, ref_tab, ref_col, 'draft' AS status, round(0.6::DOUBLE * shared / n + 0.4::DOUBLE * name, 4) AS confidence FROM c WHERE shared >= 0.95 * n AND round(0.6::DOUBLE * shared / n + 0.4::DOUBLE * name, 4) >= 0.8 AND NOT (tab = 'orders' AND col = 'o_custkey' AND ref_tab = 'customer'))
+SELECT tab || '.' || col || '->' || ref_tab || '.' || ref_col AS item_key, * FROM (SELECT * FROM d UNION ALL SELECT 'orders', 'o_custkey', 'customer', 'c_custkey', 'confirmed', 1.0)"""
+PATHS = f"""
+WITH RECURSIVE e AS (SELECT tab AS a, ref_tab AS b, round(1000 + 1000 * (1 - confidence))::BIGINT AS cost FROM ({RELATED})),
+w AS (SELECT a, b, min(cost) AS cost FROM (SELECT * FROM e UNION ALL SELECT b, a, cost FROM e) WHERE a <> b GROUP BY ALL),
+r AS (SELECT a, b, cost, a || ' -> ' || b AS path, [a, b] AS nodes FROM w UNION ALL SELECT r.a, w.b, r.cost + w.cost, r.path || ' -> ' || w.b, list_append(nodes, w.b) FROM r JOIN w ON w.a = r.b WHERE NOT list_contains(nodes, w.b))
+SELECT a, b, cost, path FROM r QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY cost, path) = 1"""
+
+
+def related(spark, sf):
+    return relationships.relationships({t: table(spark, sf, t) for t in KEY_COLUMNS}, [("orders", "o_custkey", "customer", "c_custkey")])
+
+
+@query("q05_relationships", RELATED)
+def q05_relationships(spark, sf):
+    """Foreign keys among all columns of all tables, from their values and names; one is declared."""
+    return related(spark, sf)
+
+
+@query("q05_join_paths", PATHS)
+def q05_paths(spark, sf):
+    """The cheapest chain of joins between each two tables."""
+    return relationships.join_paths(related(spark, sf))
+
+
 @query("q06_value_index", "SELECT 'p_brand' AS \"column\", p_brand AS value, count(*) AS frequency FROM part GROUP BY 2 UNION ALL SELECT 'p_type', p_type, count(*) FROM part GROUP BY 2")
 def q06(spark, sf):
     return C.value_index(table(spark, sf, "part"), ["p_brand", "p_type"])

@@ -3,7 +3,6 @@
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kgloom.catalog import table
@@ -68,11 +67,3 @@ def m09(spark, sf):
             yield pd.DataFrame(rows, columns=["event_id", "attempts", "done", "waited"])
 
     return table(spark, sf, "events").select("event_id").mapInPandas(run, "event_id long, attempts int, done boolean, waited double")
-
-
-@query("m11_dataset_pin", "SELECT conv_id, turn, role, last_value(CASE WHEN turn % 7 = 0 THEN 'set ' || (turn // 7) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS pinned FROM conversations")
-def m11(spark, sf):
-    """The data set chosen in a turn answers the next three turns and then expires; a new choice replaces it."""
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(-3, -1)
-    choice = F.when(F.col("turn") % 7 == 0, F.concat(F.lit("set "), F.floor(F.col("turn") / 7).cast("string")))
-    return table(spark, sf, "conversations").select("conv_id", "turn", "role", F.last(choice, ignorenulls=True).over(w).alias("pinned"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from kgloom.catalog import table
 from kgloom.registry import query
 from kgloom.sources.readers import scratch
+from kgloom.streaming import memory
 from kgloom.streaming import pipelines as P
 
 
@@ -70,3 +71,28 @@ def m01(spark, sf):
 @query("m07_stream_sessions", "WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g) SELECT user_id, min(ts) AS start, count(*) AS count FROM s GROUP BY user_id, n")
 def m07(spark, sf):
     return closed(spark, sf, lambda s: P.sessions(s, "ts", "user_id")).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "count")
+
+
+def remembered(spark, sf):
+    """Conversations as a stream that is stopped and started again in between: the second run has only the checkpoint."""
+    c = table(spark, sf, "conversations")
+    path, out, ck = (scratch(spark, n) for n in ("turns-in", "turns", "turns-ck"))
+
+    def run():
+        s = P.files(spark, path, c).select("conv_id", "turn", "role", F.concat_ws(" ", "turn", "role").alias("message"), F.when(F.col("role") == "user", 25).alias("asked"), F.when(F.col("turn") % 7 == 0, F.concat(F.lit("set "), F.floor(F.col("turn") / 7).cast("string"))).alias("choice"))
+        P.run_once(memory.remembering(s, "conv_id", ["turn", "role"], "message", "asked", "choice"), out, ck)
+
+    memory.in_runs(spark, c, "turn", path, 2, run)
+    return spark.read.parquet(out)
+
+
+@query("m07_memory_window", "WITH m AS (SELECT conv_id, turn, role, turn || ' ' || role AS message FROM conversations) SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN coalesce(array_to_string(list(message) OVER (PARTITION BY conv_id ORDER BY turn, role ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), chr(10)), '') ELSE coalesce(array_to_string(list(message) OVER (PARTITION BY conv_id ORDER BY turn, role ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), chr(10)), '') END AS context FROM m")
+def m07_memory(spark, sf):
+    """What each message can refer to: the last 10 messages, or those asked for up to 20, kept as state."""
+    return remembered(spark, sf).select("conv_id", "turn", "role", "context")
+
+
+@query("m11_dataset_pin", "SELECT conv_id, turn, role, last_value(CASE WHEN turn % 7 = 0 THEN 'set ' || (turn // 7) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, role ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS pinned FROM conversations")
+def m11(spark, sf):
+    """The data set chosen in a turn answers the next three turns and then expires; a new choice replaces it. Kept as state."""
+    return remembered(spark, sf).select("conv_id", "turn", "role", "pinned")
