@@ -43,7 +43,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     # only texts that are short enough are chosen from; a share of the hashes holds more than enough of a large class
     fits = docs.where(F.octet_length("text") <= longest).select("doc_id").distinct().join(one, "doc_id").withColumn("_h", F.xxhash64("doc_id", F.lit(11)))
     sizes = fits.groupBy("_y").agg(F.count(F.lit(1)).alias("_m"))
-    near = fits.join(sizes, "_y").where(F.pmod("_h", F.lit(1 << 30)) * F.col("_m") <= F.lit((2 * each + 100) << 30))
+    # a row a class, of which there are few: rows that are too many for a class go before they meet
+    near = fits.join(F.broadcast(sizes), "_y").where(F.pmod("_h", F.lit(1 << 30)) * F.col("_m") <= F.lit((2 * each + 100) << 30))
     first = Window.partitionBy("_y").orderBy(F.pmod("_h", F.lit(1 << 30)), "_h", "doc_id")
     chosen = near.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= each).select("doc_id", "_y")
     # at most most_bytes / longest keys
