@@ -39,6 +39,11 @@ INTENTS = [
 SMALL_WORDS = ["and", "of", "the", "for", "in", "to", "a", "an", "with", "by", "at", "on"]
 
 
+def entity_group(name: Column) -> Column:
+    """The group a field belongs to, null for others."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for g, es in ENTITY_GROUPS.items() for e in es for x in (e, g)]), F.coalesce(F.lower(F.trim(name)), F.lit("")))
+
+
 def lookup(values: dict[str, str], key: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[key]
 

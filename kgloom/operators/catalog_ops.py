@@ -141,6 +141,17 @@ def plural_variants(word: str) -> list[str]:
     return sorted(out)
 
 
+def plural_forms(word: Column) -> Column:
+    """``plural_variants`` of a column, sorted: whole tables of words without Python."""
+    w = F.lower(word)
+    part = lambda n: F.substring(w, F.lit(1), F.length(w) - n)
+    base = F.when(w.endswith("ies") & (F.length(w) > 4), F.array(w, F.concat(part(3), F.lit("y")))).when(w.rlike(r"(ss|us|is|sh|ch|x|z)es$"), F.array(w, part(2)))
+    base = base.when(w.endswith("s") & ~w.rlike(r"(ss|us|is|ws)$"), F.array(w, part(1))).otherwise(F.array(w))
+    more = F.when(w.rlike(r"[^aeiou]y$"), F.concat(part(1), F.lit("ies"))).when(w.rlike(r"(s|sh|ch|x|z)$") & ~(w.endswith("s") & (F.size(base) > 1)), F.concat(w, F.lit("es")))
+    more = more.when(~w.endswith("s"), F.concat(w, F.lit("s")))
+    return F.array_sort(F.array_distinct(F.filter(F.concat(base, F.array(more)), lambda x: x.isNotNull())))
+
+
 def idf(n: Column, total: Column) -> Column:
     """1 for a term of one document, 0 for one in all: log(total / n) / log(total)."""
     return F.when(total <= 1, 1.0).otherwise(F.ln(total / n) / F.ln(total))

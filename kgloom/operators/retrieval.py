@@ -34,6 +34,14 @@ def knobs_for(intent: str, base: Knobs = Knobs()) -> Knobs:
     }.get(intent, base)
 
 
+def knob_columns(intent: Column, base: Knobs = Knobs()) -> Column:
+    """``knobs_for`` of a column of intents; a null or unknown one has the usual settings."""
+    known = ("CHUNK_SEARCH", "GRAPH_SUMMARY", "CHAIN_OF_THOUGHT", "MEMORY_ONLY", "ENTITY_CONNECTION", "SOCIAL")
+    of = lambda x: F.struct(F.lit(x.k).alias("k"), F.lit(x.depth).alias("depth"), F.lit(x.per_hop).alias("per_hop"), F.lit(x.budget).alias("budget"))
+    table = F.create_map(*[c for n in known for c in (F.lit(n), of(knobs_for(n, base)))])
+    return F.coalesce(F.try_element_at(table, F.coalesce(intent, F.lit(""))), of(knobs_for("", base)))
+
+
 def graph_score(depth: Column) -> Column:
     return F.when(depth == 0, 1.0).otherwise(F.greatest(F.lit(0.3), 1 - F.lit(0.25) * depth))
 

@@ -57,24 +57,26 @@ def k06(spark, sf):
     return rows.select("grp", "chunk_index", F.array_join(F.transform("r", lambda x: x["line"]), "\n").alias("chunk"))
 
 
-@query("k07_chunk_csv", "WITH w AS (SELECT avg(length(s_suppkey::VARCHAR) + length(s_name) + length(s_nationkey::VARCHAR)) AS w FROM supplier), r AS (SELECT s_suppkey, '| ' || s_suppkey || ' | ' || s_name || ' | ' || s_nationkey || ' |' AS line, (row_number() OVER (ORDER BY s_suppkey) - 1) // greatest(5, least(50, (2000 // w)::INT)) AS chunk_index FROM supplier, w) SELECT chunk_index::INT AS chunk_index, 'rows' AS kind, '| s_suppkey | s_name | s_nationkey |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg(line, chr(10) ORDER BY s_suppkey) AS chunk FROM r GROUP BY 1")
+@query("k07_chunk_csv", "WITH f AS (SELECT *, s_suppkey // 250 AS file FROM supplier), w AS (SELECT file, avg(length(s_suppkey::VARCHAR) + length(s_name) + length(s_nationkey::VARCHAR)) AS w FROM f GROUP BY 1), r AS (SELECT file, s_suppkey, '| ' || s_suppkey || ' | ' || s_name || ' | ' || s_nationkey || ' |' AS line, (row_number() OVER (PARTITION BY file ORDER BY s_suppkey) - 1) // greatest(5, least(50, (2000 // w)::INT)) AS chunk_index FROM f JOIN w USING (file)) SELECT 'suppliers ' || file || '.csv' AS path, chunk_index::INT AS chunk_index, 'rows' AS kind, '| s_suppkey | s_name | s_nationkey |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg(line, chr(10) ORDER BY s_suppkey) AS chunk FROM r GROUP BY file, chunk_index")
 def k07(spark, sf):
-    """A comma-separated file: no column groups its rows, so they are cut by their mean width."""
-    s = table(spark, sf, "supplier")
-    text = s.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", F.concat_ws(",", F.col("s_suppkey").cast("string"), "s_name", F.col("s_nationkey").cast("string")).alias("l")))), lambda x: x["l"]), "\n").alias("t"))
-    file = text.select(F.lit("suppliers.csv").alias("path"), F.concat(F.lit("s_suppkey,s_name,s_nationkey\n"), "t").cast("binary").alias("content"))  # one file
-    return K.sheet_chunks(sheets(file)).select("chunk_index", "kind", "chunk")
+    """Comma-separated files of 250 suppliers: no column groups their rows, so they are cut by their mean width."""
+    line = F.struct("s_suppkey", F.concat_ws(",", F.col("s_suppkey").cast("string"), "s_name", F.col("s_nationkey").cast("string")).alias("l"))
+    s = table(spark, sf, "supplier").groupBy(F.floor(F.col("s_suppkey") / 250).alias("file"))
+    text = s.agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["l"]), "\n").alias("t"))  # 250 rows a file
+    files = text.select(F.concat(F.lit("suppliers "), F.col("file").cast("string"), F.lit(".csv")).alias("path"), F.concat(F.lit("s_suppkey,s_name,s_nationkey\n"), "t").cast("binary").alias("content"))
+    return K.sheet_chunks(sheets(files)).select("path", "chunk_index", "kind", "chunk")
 
 
-@query("k06_chunk_workbook", "SELECT (dense_rank() OVER (ORDER BY g) - 1)::INT AS chunk_index, 'group' AS kind, '| key | shade | name |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || g || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS chunk FROM (SELECT *, 'shade ' || (n_nationkey % 3) AS g FROM nation) GROUP BY g")
+@query("k06_chunk_workbook", "WITH f AS (SELECT *, s_suppkey // 250 AS file, 'shade ' || (s_suppkey % 3) AS g FROM supplier), r AS (SELECT file, g, '| ' || s_suppkey || ' | ' || g || ' | ' || s_name || ' |' AS line, s_suppkey, (row_number() OVER (PARTITION BY file, g ORDER BY s_suppkey) - 1) // 50 AS part FROM f) SELECT 'suppliers ' || file || '.xlsx' AS path, (row_number() OVER (PARTITION BY file ORDER BY g, part) - 1)::INT AS chunk_index, 'group' AS kind, '| key | shade | name |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg(line, chr(10) ORDER BY s_suppkey) AS chunk FROM r GROUP BY file, g, part")
 def k06b(spark, sf):
-    """A workbook's sheet, grouped by the first column with few values."""
-    def book(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [[str(k), f"shade {k % 3}", n] for k, n in sorted(zip(pdf["n_nationkey"], pdf["n_name"], strict=True))]
-        return pd.DataFrame({"path": ["nations.xlsx"], "content": [workbook({"all": [["key", "shade", "name"], [None, None], *rows]})]})
+    """Workbooks of 250 suppliers, grouped by the first column with few values."""
 
-    files = table(spark, sf, "nation").groupBy().applyInPandas(book, "path string, content binary")  # one file
-    return K.sheet_chunks(sheets(files)).select("chunk_index", "kind", "chunk")
+    def book(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [[str(k), f"shade {k % 3}", n] for k, n in sorted(zip(pdf["s_suppkey"], pdf["s_name"], strict=True))]
+        return pd.DataFrame({"path": [f"suppliers {key[0]}.xlsx"], "content": [workbook({"all": [["key", "shade", "name"], [None, None], *rows]})]})
+
+    files = table(spark, sf, "supplier").withColumn("file", F.floor(F.col("s_suppkey") / 250).cast("long")).groupBy("file").applyInPandas(book, "path string, content binary")
+    return K.sheet_chunks(sheets(files)).select("path", "chunk_index", "kind", "chunk")
 
 
 @query("k08_chunk_html")

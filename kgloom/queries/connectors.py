@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from kgloom.catalog import table
+from kgloom.operators import analyzer as A
 from kgloom.functions import vectors as V
 from kgloom.operators import chunking as K
 from kgloom.operators import retrieval as R
@@ -57,20 +58,23 @@ def workbooks(nation):
     return nation.groupBy("n_regionkey").applyInPandas(pack, "path string, content binary")
 
 
-@query("s04_graph_ingest_scan", 'SELECT n_nationkey::VARCHAR AS row_key, "column", target FROM (SELECT n_nationkey, unnest([\'name\', \'region\']) AS "column", unnest([n_name, n_regionkey::VARCHAR]) AS target FROM nation) UNION ALL SELECT r_regionkey::VARCHAR, \'name\', r_name FROM region')
+@query("s04_graph_ingest_scan", 'SELECT path, row_key, "column", target FROM (SELECT \'suppliers \' || s_suppkey // 500 || \'.xlsx\' AS path, s_suppkey::VARCHAR AS row_key, unnest([\'name\', \'nation\']) AS "column", unnest([s_name, s_nationkey::VARCHAR]) AS target FROM supplier) UNION ALL SELECT \'customers \' || c_custkey // 500 || \'.csv\', c_custkey::VARCHAR, unnest([\'name\', \'segment\']), unnest([c_name, c_mktsegment]) FROM customer')
 def s04(spark, sf):
-    """Workbooks and comma-separated files alike become cells by row key and column; the path's ending tells which is which."""
-    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
+    """Workbooks and comma-separated files alike become cells by file, row key and column; the path's ending tells which is which. A file
+    holds 500 rows, so there are more with a larger table."""
+    s, c = table(spark, sf, "supplier"), table(spark, sf, "customer")
 
-    def book(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"path": ["nations.xlsx"], "content": [workbook({"all": [["key", "name", "region"], *[[str(a), b, str(c)] for a, b, c in pdf[["n_nationkey", "n_name", "n_regionkey"]].itertuples(index=False)]]})]})
+    def book(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [[str(a), b, str(n)] for a, b, n in pdf[["s_suppkey", "s_name", "s_nationkey"]].itertuples(index=False)]
+        return pd.DataFrame({"path": [f"suppliers {key[0]}.xlsx"], "content": [workbook({"all": [["key", "name", "nation"], *rows]})]})
 
-    text = r.agg(F.array_join(F.collect_list(F.concat_ws(",", F.col("r_regionkey").cast("string"), "r_name")), "\n").alias("t"))
-    files = n.groupBy().applyInPandas(book, "path string, content binary").union(text.select(F.lit("regions.csv").alias("path"), F.concat(F.lit("key,name\n"), "t").cast("binary").alias("content")))  # two files
+    books = s.withColumn("file", F.floor(F.col("s_suppkey") / 500).cast("long")).groupBy("file").applyInPandas(book, "path string, content binary")
+    lines = c.groupBy(F.floor(F.col("c_custkey") / 500).alias("file")).agg(F.array_join(F.collect_list(F.concat_ws(",", F.col("c_custkey").cast("string"), "c_name", "c_mktsegment")), "\n").alias("t"))  # 500 rows a file
+    files = books.union(lines.select(F.concat(F.lit("customers "), F.col("file").cast("string"), F.lit(".csv")), F.concat(F.lit("key,name,segment\n"), "t").cast("binary")))
     rows = sheets(files)
     heads = rows.where("row_index = 0").select("path", "sheet", F.col("cells").alias("head"))
-    cells = rows.where("row_index > 0").join(heads, ["path", "sheet"]).select(F.col("cells")[0].alias("row_key"), F.explode(F.slice(F.arrays_zip(F.col("head").alias("column"), F.col("cells").alias("target")), F.lit(2), F.size("head"))).alias("c"))
-    return cells.select("row_key", "c.column", "c.target").where("target is not null")
+    cells = rows.where("row_index > 0").join(heads, ["path", "sheet"]).select("path", F.col("cells")[0].alias("row_key"), F.explode(F.slice(F.arrays_zip(F.col("head").alias("column"), F.col("cells").alias("target")), F.lit(2), F.size("head"))).alias("c"))
+    return cells.select("path", "row_key", "c.column", "c.target").where("target is not null")
 
 
 @query("s14_drive_pages", "SELECT doc_id::VARCHAR AS id, source AS folder, (lang || '.txt') AS name, n_chars::BIGINT AS size FROM documents WHERE source = (SELECT min(source) FROM documents)")
@@ -139,10 +143,15 @@ def c18(spark, sf):
     return table(spark, sf, "pages").select("page_id", (~t.contains("<script") & ~t.contains("track(0)")).alias("clean"))
 
 
-@query("c31_intent_knobs", "SELECT * FROM (VALUES ('CHUNK_SEARCH', 10, 0, 3000), ('GRAPH_SUMMARY', 20, 2, 4000), ('CHAIN_OF_THOUGHT', 10, 3, 3000), ('MEMORY_ONLY', 5, 1, 3000), ('ENTITY_CONNECTION', 20, 2, 3000), ('SOCIAL', 1, 0, 3000), ('OTHER', 10, 2, 3000)) t(intent, k, depth, budget)")
+INTENT_NAMES = ["CHUNK_SEARCH", "GRAPH_SUMMARY", "CHAIN_OF_THOUGHT", "MEMORY_ONLY", "ENTITY_CONNECTION", "SOCIAL", "OTHER"]
+
+
+@query("c31_intent_knobs", "SELECT conv_id, turn, role, intent, k, depth, budget FROM (SELECT *, list_extract(['CHUNK_SEARCH', 'GRAPH_SUMMARY', 'CHAIN_OF_THOUGHT', 'MEMORY_ONLY', 'ENTITY_CONNECTION', 'SOCIAL', 'OTHER'], (conv_id + turn) % 7 + 1) AS intent FROM conversations) JOIN (VALUES ('CHUNK_SEARCH', 10, 0, 3000), ('GRAPH_SUMMARY', 20, 2, 4000), ('CHAIN_OF_THOUGHT', 10, 3, 3000), ('MEMORY_ONLY', 5, 1, 3000), ('ENTITY_CONNECTION', 20, 2, 3000), ('SOCIAL', 1, 0, 3000), ('OTHER', 10, 2, 3000)) t(name, k, depth, budget) ON name = intent")
 def c31(spark, sf):
-    names = ["CHUNK_SEARCH", "GRAPH_SUMMARY", "CHAIN_OF_THOUGHT", "MEMORY_ONLY", "ENTITY_CONNECTION", "SOCIAL", "OTHER"]
-    return spark.createDataFrame([(n, (x := R.knobs_for(n)).k, x.depth, x.budget) for n in names], "intent string, k int, depth int, budget int")
+    """How each turn is answered: settings of retrieval by its intent."""
+    c = table(spark, sf, "conversations")
+    c = c.withColumn("intent", F.element_at(F.array(*[F.lit(n) for n in INTENT_NAMES]), ((F.col("conv_id") + F.col("turn")) % 7 + 1).cast("int")))
+    return c.select("conv_id", "turn", "role", "intent", R.knob_columns(F.col("intent")).alias("x")).select("conv_id", "turn", "role", "intent", "x.k", "x.depth", "x.budget")
 
 
 @query("c32_value_normalize", "SELECT p_partkey, lower(p_name) AS value FROM part")
@@ -182,13 +191,20 @@ def n04(spark, sf):
     return table(spark, sf, "events").select("event_id", raw.alias("raw")).mapInPandas(run, "event_id long, tier string, entities string")
 
 
-@query("q17_query_analyzer", "SELECT * FROM (VALUES ('totl amount of ORD-77', 'total amount of ORD-77', 'ORD-77', 'TABULAR'), ('explain the policy', 'explain the policy', '', 'VECTOR')) t(question, corrected, identifiers, route)")
+QUESTIONS = "SELECT conv_id, turn, role, CASE WHEN turn % 3 = 0 THEN 'what is the ' || CASE WHEN conv_id % 2 = 0 THEN w[1:2] || w[4:] ELSE w END || ' totl of ORD-' || (conv_id * 10 + turn) || ' and is ' || upper(w) || ' late?' WHEN turn % 3 = 1 THEN 'explain ' || w || 'x, is it ' || replace(w, 'e', 'a') || '?' ELSE NULL END AS question FROM (SELECT c.*, split_part(p_name, ' ', 1) AS w FROM conversations c JOIN part ON p_partkey = conv_id * 7 % 199 + 1)"
+
+
+@query("q17_query_analyzer", f"WITH v AS (SELECT word, count(*) AS n FROM (SELECT DISTINCT p_partkey, unnest(regexp_split_to_array(lower(p_name), '\\s+')) AS word FROM part) WHERE regexp_full_match(word, '[a-z]{{4,}}') GROUP BY 1 UNION ALL SELECT * FROM (VALUES ('total', 1000000), ('explain', 1000000), ('what', 1000000), ('late', 1000000)) f(word, n)), known AS (SELECT word, sum(n) AS n FROM v GROUP BY 1), q AS (SELECT conv_id, turn, role, coalesce(question, '') AS question FROM ({QUESTIONS})), s AS (SELECT conv_id, turn, role, i, w, CASE WHEN NOT regexp_full_match(regexp_replace(w, '[,?!]+$', ''), '[A-Z]+-[0-9]+') THEN lower(regexp_replace(w, '[,?!]+$', '')) END AS word FROM (SELECT *, unnest(string_split(question, ' ')) AS w, generate_subscripts(string_split(question, ' '), 1) AS i FROM q)), wrong AS (SELECT DISTINCT word FROM s WHERE regexp_full_match(word, '[a-z]{{4,}}') AND word NOT IN (SELECT word FROM known)), r AS (SELECT wrong.word, first(known.word ORDER BY n DESC, known.word) AS right_ FROM wrong JOIN known ON levenshtein(wrong.word, known.word) <= 1 GROUP BY 1), l AS (SELECT conv_id, turn, role, string_agg(CASE WHEN right_ IS NULL THEN w ELSE right_ || regexp_extract(w, '([,?!]*)$', 1) END, ' ' ORDER BY i) AS corrected FROM s LEFT JOIN r ON r.word = s.word GROUP BY ALL), x AS (SELECT *, list_filter(regexp_split_to_array(corrected, '[\\s,?!]+'), lambda w: w <> '') AS every FROM l), y AS (SELECT *, list_filter(every, lambda w: regexp_full_match(w, '[A-Z]+-[0-9]+')) AS ids FROM x) SELECT conv_id, turn, role, corrected, array_to_string(list_filter(list_transform(regexp_split_to_array(corrected, '\\?| and '), lambda p: trim(p)), lambda p: p <> ''), '|') AS parts, array_to_string(ids, ',') AS identifiers, CASE WHEN len(ids) = 0 AND list_has_any(list_transform(every, lambda w: lower(w)), ['it', 'its', 'this', 'that', 'they', 'them']) THEN last_value(CASE WHEN len(ids) > 0 THEN ids[-1] END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, role ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS refers_to, CASE WHEN list_has_any(list_transform(every, lambda w: lower(w)), ['total', 'amount', 'average', 'count', 'sum', 'many']) THEN 'TABULAR' ELSE 'VECTOR' END AS route FROM y")
 def q17(spark, sf):
-    """Near words of a vocabulary are corrected, identifiers stay as they are."""
-    vocabulary = ["total", "amount", "average", "count", "explain", "policy"]
-    words = F.split("question", " ")
-    is_id = lambda w: w.rlike(r"^[A-Z]+-\d+$")
-    fixed = F.transform(words, lambda w: F.when(is_id(w) | (F.length(w) < 4), w).otherwise(F.coalesce(F.try_element_at(F.filter(F.array(*[F.lit(v) for v in vocabulary]), lambda v: F.levenshtein(v, w) <= 1), F.lit(1)), w)))
-    q = spark.createDataFrame([("totl amount of ORD-77",), ("explain the policy",)], "question string")
-    route = F.when(F.exists(fixed, lambda w: w.isin("total", "average", "count")), "TABULAR").otherwise("VECTOR")
-    return q.select("question", F.array_join(fixed, " ").alias("corrected"), F.array_join(F.filter(words, is_id), ",").alias("identifiers"), route.alias("route"))
+    """Questions of conversations about parts, with misspelled names: corrected against the values of the table, cut in parts, and
+    what a pronoun refers to."""
+    c, p = table(spark, sf, "conversations"), table(spark, sf, "part")
+    named = c.withColumn("p_partkey", (F.col("conv_id") * 7 % 199 + 1)).join(p.select("p_partkey", F.split_part("p_name", F.lit(" "), F.lit(1)).alias("w")), "p_partkey")
+    typed = F.when(F.col("conv_id") % 2 == 0, F.concat(F.substring("w", 1, 2), F.substring(F.col("w"), F.lit(4), F.length("w")))).otherwise(F.col("w"))
+    first = F.concat(F.lit("what is the "), typed, F.lit(" totl of ORD-"), (F.col("conv_id") * 10 + F.col("turn")).cast("string"), F.lit(" and is "), F.upper("w"), F.lit(" late?"))
+    second = F.concat(F.lit("explain "), "w", F.lit("x, is it "), F.regexp_replace("w", "e", "a"), F.lit("?"))
+    asked = named.select("conv_id", "turn", "role", F.when(F.col("turn") % 3 == 0, first).when(F.col("turn") % 3 == 1, second).alias("question"))
+    fixed = spark.createDataFrame([(w, 1_000_000) for w in ("total", "explain", "what", "late")], "word string, n long")
+    known = A.vocabulary(p, "p_name").union(fixed).groupBy("word").agg(F.sum("n").alias("n"))
+    out = A.analyzed(asked, known, ["conv_id"], ["turn", "role"], "question")
+    return out.select("conv_id", "turn", "role", "corrected", F.array_join("parts", "|").alias("parts"), F.array_join("identifiers", ",").alias("identifiers"), "refers_to", "route")
\ No newline at end of file

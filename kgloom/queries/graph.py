@@ -176,10 +176,13 @@ def g15(spark, sf):
     return edges("customer", "c_custkey", "c_nationkey", "nation", "IN_NATION").union(edges("orders", "o_orderkey", "o_custkey", "customer", "PLACED_BY"))
 
 
-@query("g16_subgraph_view", "SELECT DISTINCT id FROM (SELECT 'c' || c_custkey AS id FROM (SELECT c_custkey FROM customer ORDER BY 1 LIMIT 100) UNION ALL SELECT 'o' || o_orderkey FROM (SELECT o_orderkey FROM orders ORDER BY 1 LIMIT 200))")
+@query("g16_subgraph_view", "WITH c AS (SELECT c_custkey FROM customer ORDER BY 1 LIMIT 100), o AS (SELECT o_orderkey, o_custkey FROM orders SEMI JOIN c ON o_custkey = c_custkey ORDER BY 1 LIMIT 200), n AS (SELECT c_custkey, c_nationkey FROM customer SEMI JOIN c USING (c_custkey)) SELECT src, dst, rel FROM (SELECT 'o' || o_orderkey AS src, 'c' || o_custkey AS dst, 'PLACED_BY' AS rel FROM o UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'IN_NATION' FROM n)")
 def g16(spark, sf):
-    c = table(spark, sf, "customer").orderBy("c_custkey").limit(100).select(F.concat(F.lit("c"), "c_custkey").alias("id"))
-    return c.union(table(spark, sf, "orders").orderBy("o_orderkey").limit(200).select(F.concat(F.lit("o"), "o_orderkey"))).distinct()
+    """The view of a graph: its first 100 customers, the first 200 orders next to them, and all edges among what is shown."""
+    c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
+    placed = o.select(F.col("o_orderkey").alias("src_key"), F.concat(F.lit("o"), "o_orderkey").alias("src"), F.concat(F.lit("c"), "o_custkey").alias("dst"), F.lit("PLACED_BY").alias("rel"))
+    located = c.select(F.concat(F.lit("c"), "c_custkey").alias("src"), F.concat(F.lit("n"), "c_nationkey").alias("dst"), F.lit("IN_NATION").alias("rel"))
+    return G.view(c.orderBy("c_custkey").limit(100).select(F.concat(F.lit("c"), "c_custkey").alias("id")), placed, located, 200)
 
 
 @query("g17_ontology_read", "SELECT (SELECT string_agg(n, ',' ORDER BY n) FROM (SELECT DISTINCT p_type AS n FROM part)) AS classes, (SELECT string_agg(n, ',' ORDER BY n) FROM (SELECT DISTINCT p_brand AS n FROM part)) AS relations")

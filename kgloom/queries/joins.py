@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from kgloom.catalog import table
+from kgloom.operators import graph as G
 from kgloom.registry import query
 from kgloom.sources import sinks
 
@@ -69,15 +70,13 @@ def j16(spark, sf):
     return table(spark, sf, "customer").join(latest, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.col("m.o_orderkey").alias("last_order"))
 
 
-@query("j17_neighbourhood", "SELECT DISTINCT id FROM (SELECT 'c' || o_custkey AS id FROM orders UNION ALL SELECT 'p' || l_partkey FROM lineitem)")
+@query("j17_neighbourhood", "SELECT DISTINCT node, id FROM (SELECT 's' || l_suppkey AS node, 'p' || l_partkey AS id FROM lineitem UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier)")
 def j17b(spark, sf):
-    return neighbours(table(spark, sf, "orders"), table(spark, sf, "lineitem"))
-
-
-def neighbours(orders, lineitem):
-    out = orders.select(F.concat(F.lit("c"), F.col("o_custkey")).alias("id"))
-    into = lineitem.select(F.concat(F.lit("p"), F.col("l_partkey")).alias("id"))
-    return out.union(into).distinct()
+    """What is one edge away from each supplier, in either direction: parts that point at it, and its nation."""
+    s, l = table(spark, sf, "supplier"), table(spark, sf, "lineitem")
+    named = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string"))
+    edges = l.select(named("p", "l_partkey").alias("src"), named("s", "l_suppkey").alias("dst")).union(s.select(named("s", "s_suppkey"), named("n", "s_nationkey")))
+    return G.neighbours(edges, s.select(named("s", "s_suppkey").alias("id")))
 
 
 @query("j18_session_page", "SELECT conv_id, turn, count(*) OVER () AS total FROM conversations WHERE role = 'user' ORDER BY conv_id, turn LIMIT 20 OFFSET 20")

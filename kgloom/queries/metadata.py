@@ -245,9 +245,17 @@ def q15(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.when(n < 500, 0.5).when(n > 5000, 2.0).otherwise(1.0).alias("trust"), (n < 500).alias("heuristic"))
 
 
-@query("q16_plural_variants", "SELECT * FROM (VALUES ('entries', 'entries,entry'), ('entry', 'entries,entry'), ('status', 'status,statuses'), ('news', 'news,newses'), ('order', 'order,orders')) t(word, variants)")
+PLURALS = "CASE WHEN w LIKE '%ies' AND length(w) > 4 THEN [w, w[:-4] || 'y'] WHEN regexp_matches(w, '(ss|us|is|sh|ch|x|z)es$') THEN [w, w[:-3]] WHEN w LIKE '%s' AND NOT regexp_matches(w, '(ss|us|is|ws)$') THEN [w, w[:-2]] ELSE [w] END"
+
+
+@query("q16_plural_variants", f"WITH s AS (SELECT DISTINCT lower(w) AS w FROM (SELECT unnest(regexp_split_to_array(p_name || ' ' || p_type || 'S ' || split_part(p_name, ' ', 1) || 'es ' || split_part(p_name, ' ', 2) || 'ies', '\\s+')) AS w FROM part)), o AS (SELECT w, {PLURALS} AS v FROM s), x AS (SELECT w, CASE WHEN regexp_matches(w, '[^aeiou]y$') THEN list_append(v, w[:-2] || 'ies') WHEN regexp_matches(w, '(s|sh|ch|x|z)$') AND NOT (w LIKE '%s' AND len(v) > 1) THEN list_append(v, w || 'es') WHEN w NOT LIKE '%s' THEN list_append(v, w || 's') ELSE v END AS v FROM o) SELECT w AS word, array_to_string(list_sort(list_distinct(v)), ',') AS variants FROM x")
 def q16(spark, sf):
-    return spark.createDataFrame([(w, ",".join(C.plural_variants(w))) for w in ("entries", "entry", "status", "news", "order")], "word string, variants string")
+    """Singular and plural forms of all words of the parts' names and types, and of forms made of them."""
+    p = table(spark, sf, "part")
+    first, second = (F.split_part("p_name", F.lit(" "), F.lit(i)) for i in (1, 2))
+    text = F.concat("p_name", F.lit(" "), "p_type", F.lit("S "), first, F.lit("es "), second, F.lit("ies"))
+    w = p.select(F.explode(F.split(text, r"\s+")).alias("w")).select(F.lower("w").alias("word")).distinct()
+    return w.select("word", F.array_join(C.plural_forms(F.col("word")), ",").alias("variants"))
 
 
 @query("q18_dataset_disambiguation", "SELECT p_brand, CASE WHEN a >= 1.2 * coalesce(b, 0) THEN 'PICK' ELSE 'ASK' END AS decision FROM (SELECT p_brand, max(n) FILTER (r = 1) AS a, max(n) FILTER (r = 2) AS b FROM (SELECT p_brand, p_type, count(*) AS n, row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, p_type) AS r FROM part GROUP BY 1, 2) GROUP BY 1)")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from kgloom.catalog import table
 from kgloom.registry import query
 from kgloom.sources.readers import scratch
-from kgloom.streaming import memory
+from kgloom.streaming import deltas, memory
 from kgloom.streaming import pipelines as P
 
 
@@ -38,9 +38,13 @@ def m03(spark, sf):
 
 @query("m04_stream_upsert", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def m04(spark, sf):
-    out, ck = scratch(spark, "m04"), scratch(spark, "m04-ck")
-    P.run_once(staged(spark, sf), out, ck, each=P.upserter(out, ["user_id"], ["ts", "event_id"]))
-    return P.newest(spark, out).select("user_id", "event_id", "event_type")
+    """Four batches, one a file, as deltas that are compacted after the third."""
+    e = table(spark, sf, "events")
+    path, out, ck = (scratch(spark, n) for n in ("events-in", "m04", "m04-ck"))
+    e.repartitionByRange(4, "ts").write.parquet(path)
+    keys, version = ["user_id"], ["ts", "event_id"]
+    P.run_once(P.files(spark, path, e, per_trigger=1), out, ck, each=deltas.upserter(out, keys, version, every=3))
+    return deltas.read(spark, out, keys, version, e.schema).select("user_id", "event_id", "event_type")
 
 
 @query("m10_stream_dedupe", "SELECT DISTINCT user_id, event_type FROM events")

@@ -50,10 +50,15 @@ def c06(spark, sf):
     return p.select("p_partkey", F.coalesce("kind", F.replace(F.upper("p_type"), F.lit(" "), F.lit("_"))).alias("kind"))
 
 
-@query("c07_entity_groups", "SELECT * FROM (VALUES " + ", ".join(f"('{g}', {i}, '{f}')" for g, fs in S.ENTITY_GROUPS.items() for i, f in enumerate(fs)) + ") t(grp, pos, entity)")
+ENTITIES = [e for es in S.ENTITY_GROUPS.values() for e in es]
+
+
+@query("c07_entity_groups", "WITH g AS (SELECT * FROM (VALUES " + ", ".join(f"('{g}', '{e}')" for g, es in S.ENTITY_GROUPS.items() for e in es) + ") t(grp, entity)), n AS (SELECT s_suppkey, list_extract([" + ", ".join(f"'{e}'" for e in ENTITIES) + f", s_name], (s_suppkey % {len(ENTITIES) + 1} + 1)::INT) AS entity FROM supplier) SELECT s_suppkey, n.entity, grp FROM n LEFT JOIN g ON g.entity = n.entity")
 def c07(spark, sf):
-    groups = spark.createDataFrame(list(S.ENTITY_GROUPS.items()), "grp string, entities array<string>")
-    return groups.select("grp", F.posexplode("entities").alias("pos", "entity"))
+    """The group of each supplier's field; names that are no field have none."""
+    fields = F.array(*[F.lit(e) for e in ENTITIES], F.col("s_name"))
+    s = table(spark, sf, "supplier")
+    return s.select("s_suppkey", F.element_at(fields, (F.col("s_suppkey") % (len(ENTITIES) + 1) + 1).cast("int")).alias("entity")).withColumn("grp", S.entity_group(F.col("entity")))
 
 
 @query("c08_header_normalize", "SELECT p_partkey, trim(regexp_replace(lower(p_brand || ' / ' || p_name || ' %'), '[^a-z0-9]+', '_', 'g'), '_') AS header FROM part")

@@ -34,24 +34,3 @@ def sessions(stream: DataFrame, ts: str, key: str, gap: str = "30 minutes", late
 
 def first_seen(stream: DataFrame, ts: str, keys: list[str], late: str = "2 days") -> DataFrame:
     return timed(stream, ts).withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
-
-
-def upserter(target: str, keys: list[str], version: list[str]) -> Callable[[DataFrame, int], None]:
-    """Writes a version of the target for each batch: rows of the version before with the batch's rows,
-    the newest of each key. A batch that runs again writes the same version again."""
-
-    def write(batch: DataFrame, n: int) -> None:
-        from kgloom.sources.sinks import upserted
-
-        spark = batch.sparkSession
-        path = lambda i: f"{target}/v={i}"
-        old = spark.read.schema(batch.schema).parquet(path(n - 1)) if n else spark.createDataFrame([], batch.schema)
-        upserted(old, batch, keys, version).write.mode("overwrite").parquet(path(n))
-
-    return write
-
-
-def newest(spark: SparkSession, target: str) -> DataFrame:
-    df = spark.read.parquet(target)
-    last = df.agg(F.max("v")).first()[0]
-    return df.where(F.col("v") == last).drop("v")
