@@ -77,5 +77,7 @@ def retrieve(chunks: DataFrame, edges: DataFrame, query: Column, terms: list[str
     scored = reached.join(seeds, "id", "left")
     g = graph_score(F.col("depth"))
     s = scored.select("id", "depth", F.round(hybrid_score(F.coalesce("similarity", g * 0.7), g, F.coalesce("weight", F.lit(1.0))), 6).alias("score"))
-    text = chunks.select("id", F.floor(F.size(F.split(F.trim("text"), r"\s+")) * 1.3).cast("long").alias("tokens"))
-    return within_budget(s.join(text, "id"), "score", "tokens", "id", knobs.budget).select("id", "depth", "score", "tokens")
+    # the few rows that are left meet their texts before any is split
+    tokens = F.floor(F.size(F.split(F.trim("text"), r"\s+")) * 1.3).cast("long").alias("tokens")
+    text = chunks.select("id", "text").join(F.broadcast(s), "id").select("id", "depth", "score", tokens)  # ``k`` and ``per_hop`` bound them
+    return within_budget(text, "score", "tokens", "id", knobs.budget).select("id", "depth", "score", "tokens")

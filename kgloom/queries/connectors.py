@@ -15,6 +15,7 @@ from kgloom.operators import chunking as K
 from kgloom.operators import retrieval as R
 from kgloom.registry import query
 from kgloom.sources import pages as pages_of
+from kgloom.sources.pdf import pdf, pdf_pages
 from kgloom.sources.readers import jdbc_table, scratch, sheets, whole_texts, workbook
 
 
@@ -77,6 +78,20 @@ def s04(spark, sf):
     return cells.select("path", "row_key", "c.column", "c.target").where("target is not null")
 
 
+@query("s05_pdf_pages", "SELECT 'doc ' || doc_id || '.pdf' AS path, (i // 3000 + 1)::INT AS page, trim(regexp_replace(substring(text, i + 1, 3000), '\\s+', ' ', 'g')) AS text FROM (SELECT doc_id, text, unnest(range(0, length(text), 3000)) AS i FROM documents WHERE length(text) > 0) WHERE trim(regexp_replace(substring(text, i + 1, 3000), '\\s+', ' ', 'g')) <> ''")
+def s05(spark, sf):
+    """Each document as a PDF file with a page for 3000 characters, read again page by page."""
+    d = table(spark, sf, "documents").where(F.length("text") > 0)
+
+    def printed(batches):
+        for rows in batches:
+            cut = [[" ".join(t[i : i + 3000].split()) for i in range(0, len(t), 3000)] for t in rows["text"]]
+            yield pd.DataFrame({"path": [f"doc {i}.pdf" for i in rows["doc_id"]], "content": [pdf(c) for c in cut]})
+
+    files = d.select("doc_id", "text").mapInPandas(printed, "path string, content binary")
+    return pdf_pages(files).where("problem IS NULL").select("path", "page", "text")
+
+
 @query("s14_drive_pages", "SELECT doc_id::VARCHAR AS id, source AS folder, (lang || '.txt') AS name, n_chars::BIGINT AS size FROM documents WHERE source = (SELECT min(source) FROM documents)")
 def s14(spark, sf):
     """A drive's recorded listing, with the files under the chosen folders at any depth."""
