@@ -27,7 +27,7 @@ def k01(spark, sf):
     return K.chunked(text, "t", "text", K.table_chunks)
 
 
-@query("k02_chunk_faq")
+@query("k02_chunk_faq", "WITH l AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN 'Q: ' ELSE 'A: ' END || replace(text, chr(10), ' ') AS line FROM conversations WHERE role <> 'system'), t AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY turn, role, line) AS text FROM l GROUP BY 1), g AS (SELECT *, sum(CASE WHEN role = 'user' AND before IS DISTINCT FROM 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn, role, line) AS n FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, line) AS before FROM l)), p AS (SELECT conv_id, n, string_agg(line, chr(10) ORDER BY turn, role, line) FILTER (role = 'user') AS q, string_agg(line, chr(10) ORDER BY turn, role, line) FILTER (role <> 'user') AS a FROM g WHERE n > 0 GROUP BY ALL), f AS (SELECT conv_id, n, 'Q: ' || trim(q[4:]) || chr(10) || 'A: ' || trim(a[4:]) AS chunk FROM p WHERE q IS NOT NULL AND a IS NOT NULL), k AS (SELECT conv_id, count(*) AS found FROM f GROUP BY 1) SELECT f.conv_id, (row_number() OVER (PARTITION BY f.conv_id ORDER BY n) - 1)::INT AS chunk_index, 'chunk' AS kind, chunk FROM f JOIN k ON k.conv_id = f.conv_id JOIN t ON t.conv_id = f.conv_id WHERE found > length(text) / 5000")
 def k02(spark, sf):
     c = table(spark, sf, "conversations").where("role <> 'system'")
     line = F.concat(F.when(F.col("role") == "user", "Q: ").otherwise("A: "), F.regexp_replace("text", "\n", " "))

@@ -6,17 +6,20 @@ import unicodedata
 import uuid
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kgloom.catalog import table
-from kgloom.operators import analyzer as A
 from kgloom.functions import vectors as V
+from kgloom.operators import analyzer as A
 from kgloom.operators import chunking as K
 from kgloom.operators import retrieval as R
 from kgloom.registry import query
+from kgloom.sources import crawlers
 from kgloom.sources import pages as pages_of
 from kgloom.sources.pdf import pdf, pdf_pages
 from kgloom.sources.readers import jdbc_table, scratch, sheets, whole_texts, workbook
+from kgloom.streaming import pipelines as P
 
 
 @query("s07_text_scan", "SELECT item_id, text FROM benchmark")
@@ -103,6 +106,42 @@ def s14(spark, sf):
     return pages_of.drive_files(pages, chosen).select("id", "folder", "name", "size")
 
 
+@query("s14_listing_stream", "SELECT doc_id::VARCHAR AS id, source AS folder, lang || '.txt' AS name, n_chars::BIGINT AS size FROM documents")
+def s14_stream(spark, sf):
+    """All folders of a drive, 40 files a page, scanned in two runs: the second goes on from the tokens in the checkpoint, and finds the
+    page that failed in the first one mended. The recorded pages are files in a folder that all executors see as a path."""
+    d = table(spark, sf, "documents").where("source IS NOT NULL")
+    root, out, ck = (scratch(spark, n) for n in ("listing", "found", "found-ck"))
+    local = root.removeprefix("file://")
+    n = F.row_number().over(Window.partitionBy("source", F.pmod("doc_id", F.lit(4))).orderBy("doc_id")) - 1
+    # each page names the next one; the last one's delta token isn't there yet
+    placed = d.withColumn("part", F.pmod("doc_id", F.lit(4))).withColumn("page", F.floor(n / 40))
+    item = F.struct(F.col("doc_id").cast("string").alias("id"), F.concat("lang", F.lit(".txt")).alias("name"), F.col("n_chars").alias("size"))
+    pages = placed.groupBy("source", "part", "page").agg(F.to_json(F.collect_list(item)).alias("value"))
+    order = Window.partitionBy("source").orderBy("part", "page")
+    pages = pages.withColumn("token", F.row_number().over(order) - 1).withColumn("last", F.count(F.lit(1)).over(Window.partitionBy("source")) - 1)
+
+    def put(rows, fail):
+        def write(batches):
+            for pdf in batches:
+                for folder, token, last, value in pdf[["source", "token", "last", "value"]].itertuples(index=False):
+                    os.makedirs(f"{local}/{folder}", exist_ok=True)
+                    page = {"value": json.loads(value), "delta" if token == last else "next": str(token + 1)}
+                    with open(f"{local}/{folder}/{token}.json", "w", encoding="utf-8") as f:
+                        json.dump({"error": 503} if fail and token == 1 else page, f)
+                yield pdf[["token"]]
+
+        rows.select("source", "token", "last", "value").mapInPandas(write, "token long").count()
+
+    crawlers.register(spark)
+    run = lambda: P.run_once(spark.readStream.format("paged_listing").option("root", local).load(), out, ck)
+    put(pages.where("token % 3 < 2 OR token < 2"), True)
+    run()
+    put(pages, False)
+    run()
+    return spark.read.parquet(out).select("id", "folder", "name", "size")
+
+
 @query("s16_mail_pages", "SELECT event_id::VARCHAR AS id, 'user' || user_id || '@example.com' AS sender, event_type AS subject, ts AS received FROM events WHERE ts >= TIMESTAMP '2024-01-15 00:00:00'")
 def s16(spark, sf):
     """A mailbox's recorded listing since the last scan; a message that two pages hold comes once."""

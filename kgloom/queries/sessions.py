@@ -8,27 +8,20 @@ from pyspark.sql import functions as F
 from kgloom.catalog import table
 from kgloom.operators import session as S
 from kgloom.registry import query
+from kgloom.sources.readers import scratch
+from kgloom.streaming import memory
+from kgloom.streaming import pipelines as P
 
 
-@query("m06_result_cache")
+@query("m06_result_cache", "WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events), nxt AS (SELECT a.user_id, a.event_type, a.n, min(b.n) AS after FROM e a JOIN e b ON b.user_id = a.user_id AND b.event_type = a.event_type AND b.n > a.n AND b.ts > a.ts + INTERVAL 300 SECOND GROUP BY ALL), r AS (SELECT user_id, event_type, 1::BIGINT AS n FROM e WHERE n = 1 UNION ALL SELECT r.user_id, r.event_type, nxt.after FROM r JOIN nxt ON nxt.user_id = r.user_id AND nxt.event_type = r.event_type AND nxt.n = r.n) SELECT e.event_id, r.n IS NULL AS hit FROM e LEFT JOIN r ON r.user_id = e.user_id AND r.event_type = e.event_type AND r.n = e.n")
 def m06(spark, sf):
-    """Which events a cache of results answers: its key is the user and the kind of event, entries live 300 seconds and the
-    oldest inserted goes first. A user's cache lives a day; the users of a day are dealt to 64 groups."""
-    e = table(spark, sf, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts")).withColumn("day", F.to_date("ts")).withColumn("part", F.pmod(F.xxhash64("user_id"), F.lit(64)).cast("int"))
-
-    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        now = [0.0]
-        caches, hits = {}, []
-        for t, user, kind in zip(pdf["ts"].to_numpy().astype("datetime64[us]").astype("int64") / 1e6, pdf["user_id"], pdf["event_type"], strict=True):
-            now[0] = t
-            cache = caches.setdefault(user, S.ResultCache(clock=lambda: now[0]))
-            hits.append(cache.get(kind) is not None)
-            if not hits[-1]:
-                cache.put(kind, t)
-        return pd.DataFrame({"event_id": pdf["event_id"], "hit": hits})
-
-    return e.groupBy("day", "part").applyInPandas(answer, "event_id long, hit boolean")
+    """Which events a cache of results answers: the key is the kind of event, entries live 300 seconds from when they were made, and
+    a user has 1000 at most. The cache is a stream's state, kept over a restart between the two halves of the events."""
+    e = table(spark, sf, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    path, out, ck = (scratch(spark, n) for n in ("events-in", "answers", "answers-ck"))
+    seconds = e.withColumn("at", F.unix_micros("ts"))
+    memory.in_runs(spark, seconds, "at", path, 2, lambda: P.run_once(memory.answering(P.files(spark, path, seconds), "user_id", "event_type", "at", "event_id"), out, ck))
+    return spark.read.parquet(out).select("event_id", "hit")
 
 
 @query("m08_bounded_fan_out", "SELECT page_id, length(html)::INT AS size FROM pages")

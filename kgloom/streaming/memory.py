@@ -67,6 +67,34 @@ def remembering(stream: DataFrame, key: str, order: list[str], message: str, ask
     return stream.groupBy(key).applyInPandasWithState(step, out, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+#: Seconds an answer is kept and how many of one user's are: fixed values.
+KEPT_SECONDS, KEPT_ANSWERS = 300, 1000
+
+
+def answering(stream: DataFrame, owner: str, question: str, at: str, tie: str, seconds: int = KEPT_SECONDS, most: int = KEPT_ANSWERS) -> DataFrame:
+    """The rows of ``stream`` with ``hit``: whether an answer to ``question`` that the owner got within ``seconds`` before (``at`` in microseconds) is still kept. A
+    question without one is answered and its answer kept from then on; beyond ``most`` the one kept longest goes. Rows of a batch are taken in
+    order of ``at`` and ``tie``."""
+    out = T.StructType([*stream.schema.fields, T.StructField("hit", T.BooleanType())])
+
+    def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept: dict[str, int] = dict(json.loads(state.get[0])) if state.exists else {}
+        rows = pd.concat(list(batches)).sort_values([at, tie], kind="stable")
+        hits = []
+        for asked, now in zip(rows[question].astype(str), rows[at].astype("int64"), strict=True):
+            now = int(now)
+            hits.append(asked in kept and now - kept[asked] <= seconds * 1_000_000)
+            if not hits[-1]:
+                kept.pop(asked, None)
+                kept[asked] = now
+                if len(kept) > most:
+                    del kept[next(iter(kept))]
+        state.update((json.dumps(list(kept.items())),))
+        yield rows.assign(hit=hits)[out.names]
+
+    return stream.groupBy(owner).applyInPandasWithState(step, out, T.StructType([T.StructField("kept", T.StringType())]), "append", GroupStateTimeout.NoTimeout)
+
+
 def in_runs(spark, df: DataFrame, order: str, path: str, runs: int, run: Callable[[], None]) -> None:
     """Hands ``df`` out as files in the order of ``order``, a part for each run: what a run leaves in its checkpoint is all that the next one has."""
     bounds = df.approxQuantile(order, [i / runs for i in range(1, runs)], 0.0)

@@ -143,3 +143,17 @@ def test_a_file_of_the_same_time_is_still_new(tmp_path):
 def test_pairs_above_leave_out_what_has_no_direction(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, [1.0, 0.0, 0.0])], "id long, v array<double>")
     assert [tuple(r) for r in similarity.pairs_above(df, "id", "v", 0.9, block_rows=2).collect()] == [(1, 2, 1.0)]
+
+
+def test_masking_equals_the_patterns_one_after_the_other(spark):
+    """A word boundary is one of any script here, which SQL engines with ASCII boundaries can't say."""
+    sf = "/root/testdata/sf0.01"
+    rules = [r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.]+", r"\b(?:[0-9][ -]?){13,19}\b", r"\+[0-9][0-9 ()-]{8,}[0-9]", r"\b[a-f0-9]{32,}\b"]
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        if any(re.search(p, r.text or "") for p in rules):
+            text = r.text
+            for p in rules:
+                text = re.sub(p, "***", text)
+            want[r.doc_id] = text
+    assert {r.doc_id: r.text for r in QUERIES["q04_masking"](spark, sf).collect()} == want and len(want) > 20
