@@ -9,7 +9,7 @@ cover the same words the one with fewest differences, then the best ranked, is
 given. For exact wording the template's words must occur in the block, in order and close together, with at most ``wording`` of them missing or
 inserted, and none of its numbers or marked words may differ. What a confirmed
 template covers is taken out and the block is tried again, so a block can hold
-several.
+several. A confirmed SPDX tag is read on to the end of its expression.
 
 Defined results: null text has no blocks; signs without a letter or digit, such as
 those that open a comment line, aren't words; of templates that cover the same words
@@ -84,7 +84,37 @@ TEMPLATES = {
 TAGGED = ("Apache-2.0", "MIT", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0")
 TEMPLATES |= {f"{i}-tag": f"SPDX-License-Identifier: {i}" for i in TAGGED}
 
+#: Titles of licenses, as they stand over a text or for it.
+TEMPLATES |= {
+    "MIT-title": "The MIT License",
+    "MIT-short-title": "MIT License",
+    "ISC-title": "ISC License",
+    "GPL-3.0-title": "GNU GENERAL PUBLIC LICENSE Version 3",
+    "GPL-2.0-title": "GNU GENERAL PUBLIC LICENSE Version 2",
+    "LGPL-3.0-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 3",
+    "LGPL-2.1-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1",
+    "AGPL-3.0-title": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3",
+    "Apache-2.0-title": "Apache License Version 2.0, January 2004",
+    "MPL-2.0-title": "Mozilla Public License Version 2.0",
+    "BSD-style": "governed by a BSD-style license that can be found in the LICENSE file.",
+}
+#: Addresses: made from a rule. A word begins after a colon, so http and https are alike.
+ADDRESSES = {f"CC-{k.upper()}-{v}": f"creativecommons.org/licenses/{k}/{v}" for k in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd") for v in ("3.0", "4.0")}
+ADDRESSES |= {"CC0-1.0": "creativecommons.org/publicdomain/zero/1.0", "Apache-2.0": "www.apache.org/licenses/LICENSE-2.0", "MIT": "opensource.org/licenses/MIT"}
+TEMPLATES |= {f"{n}-url{end and '-folder'}": f"//{a}{end}" for n, a in ADDRESSES.items() for end in ("", "/")}
+
 WORD = re.compile(r"[^\s,;:()\"']+")
+#: A tag with what follows it: identifiers joined by operators, with brackets.
+EXPRESSION = re.compile(r"SPDX-License-Identifier:\s*(\(*[A-Za-z0-9.+-]+\)*(?:\s+(?:AND|OR|WITH)\s+\(*[A-Za-z0-9.+-]+\)*)+)", re.IGNORECASE)
+
+
+def expression(text: str, start: int, end: int, name: str) -> tuple[str, int]:
+    """(license, end) of a confirmed tag: the whole expression where it is more than one identifier."""
+    m = EXPRESSION.match(text, start) if name.endswith("-tag") else None
+    if not m or m.end() < end:
+        return name, end
+    stop = m.end() - (len(m[1]) - len(m[1].rstrip(".")))
+    return " ".join(m[1].rstrip(".").split()) + "-tag", stop
 
 
 def words(text: str) -> list[tuple[str, int, int]]:
@@ -207,7 +237,8 @@ class Scanner:
                 if not any(taken[first:last]):
                     taken[first:last] = [True] * (last - first)
                     out.append((first, last))
-                    yield name, left[first][1], left[last - 1][2], -saved, differ
+                    license_, end = expression(text, left[first][1], left[last - 1][2], name)
+                    yield license_, left[first][1], end, -saved, differ
             # what the notices cover can't match again; what lies around them can
             for first, last in sorted(out, reverse=True):
                 left[first:last] = [("\0", left[first][1], left[first][2])]

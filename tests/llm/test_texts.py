@@ -418,3 +418,31 @@ def test_rows_that_repeat_are_filtered_alike(spark, repeated):
     kept = [r.doc_id for r in filter_quality(repeated, labels).collect()]
     every = [r.doc_id for r in repeated.collect()]
     assert all(kept.count(i) in (0, every.count(i)) for i in set(every))
+
+
+def test_titles_addresses_and_expressions(spark):
+    rows = {
+        "// SPDX-License-Identifier: MIT OR Apache-2.0": ["MIT OR Apache-2.0-tag"],
+        "SPDX-License-Identifier: (MIT AND BSD-3-Clause) OR GPL-2.0-only. More text.": ["(MIT AND BSD-3-Clause) OR GPL-2.0-only-tag"],
+        "SPDX-License-Identifier: MIT or nothing": ["MIT or nothing-tag"],
+        "SPDX-License-Identifier: MIT\norders": ["MIT-tag"],
+        "The MIT License (MIT)": ["MIT-title"],
+        "MIT License\n\nCopyright (c) 2020": ["MIT-short-title"],
+        "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007": ["GPL-3.0-title"],
+        "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/": ["Apache-2.0-title"],
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.": ["BSD-style"],
+        "see https://creativecommons.org/licenses/by-sa/4.0/ for it": ["CC-BY-SA-4.0-url-folder"],
+        "see http://creativecommons.org/licenses/by/4.0.": ["CC-BY-4.0-url"],
+        "a general public, license by MIT and others in version 3; the GNU library": [],
+        "https://creativecommons.org/licenses/by/9.0/": [],
+    }
+    got = {}
+    for r in licenses.notices(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.license))
+    assert {t: [n for _, n in sorted(got.get(i, []))] for i, t in enumerate(rows)} == rows
+
+
+def test_every_expression_is_inside_its_text(spark):
+    text = "x " * 50 + "SPDX-License-Identifier: MIT WITH Classpath-exception-2.0." + " y" * 50
+    (r,) = licenses.notices(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert text[r.start : r.end] == "SPDX-License-Identifier: MIT WITH Classpath-exception-2.0"
