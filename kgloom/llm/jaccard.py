@@ -560,16 +560,25 @@ def join_classes(docs: DataFrame, extra: int = SMALL_EXTRA, buckets: int | None
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest id, with its columns; of rows that share an id one stays."""
-    key = fresh(docs, "_key")
-    rest = written(joined(docs).where("comp < id").select(F.col("id").alias(key)).distinct())
-    keyed = docs.withColumn(key, row_key())
-    again = written(keyed.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key))
-    kept = keyed.join(rest, key, "left_anti")
+    """One document of each component, the one with the smallest id, with its columns. Rows with one id and text are one document, of which the
+    row with the least hash of all columns stays; of different texts with one id the one with the least hash has the id, and the others are documents
+    without one: they stay unless they are near copies, and so does their id in the result."""
+    key, own, least = fresh(docs, "_key"), fresh(docs, "_own"), fresh(docs, "_least")
+    again = written(docs.groupBy(row_key().alias(key)).agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("text")).alias("lo"), F.max(F.xxhash64("text")).alias("hi")).where("n > 1"))
+    mixed = again.where("lo <> hi").select(key, F.col("lo").alias(least))
+    rows = docs.withColumn(own, F.col("doc_id"))
+    if not mixed.isEmpty():
+        other = F.col(least).isNotNull() & (F.xxhash64("text") != F.col(least))
+        named = F.when(other, F.lit(NO_ID) + F.pmod(F.xxhash64("doc_id", "text"), F.lit(NO_ID >> 1))).otherwise(F.col("doc_id"))
+        rows = rows.join(mixed, rows["doc_id"] == mixed[key], "left").withColumn("doc_id", named).drop(key, least)
+        again = rows.groupBy(row_key().alias(key)).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rest = written(joined(rows).where("comp < id").select(F.col("id").alias(key)).distinct())
+    kept = rows.withColumn(key, row_key()).join(rest, key, "left_anti")
     if not again.isEmpty():
-        several = kept.join(again, key, "left_semi").dropDuplicates([key])
-        kept = kept.join(again, key, "left_anti").union(several)
-    return kept.select(*docs.columns)
+        columns = kept.columns
+        several = kept.join(again.select(key), key, "left_semi").groupBy(key).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row")).select("row.*")
+        kept = kept.join(again.select(key), key, "left_anti").select(*columns).union(several.select(*columns))
+    return kept.withColumn("doc_id", F.col(own)).select(*docs.columns)
 
 
 def op4_jaccard(spark, sf_dir: str) -> DataFrame:

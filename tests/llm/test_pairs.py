@@ -237,3 +237,17 @@ def test_the_given_table_goes_through_pivots():
     from kgloom.llm.pivots import pivot_count
 
     assert [pivot_count(n, 4096, 16_384) for n in (50, 500, 10_000, 10**6, 10**8)] == [1, 5, 25, 250, 16_384]
+
+
+def test_texts_that_share_an_id_are_documents_of_their_own(spark):
+    from tests.llm.conftest import sentence
+
+    a, b, c = (sentence(60, 400 + i) for i in range(3))
+    rows = [(1, a, "x"), (1, b, "y"), (1, b, "z"), (2, a + " tail", "x"), (3, c, "x"), (3, c, "x"), (None, c, "q"), (None, b, "r")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lo string")
+    for parts in (1, 4):
+        got = sorted(((r.doc_id, r.text) for r in keep_one(df.repartition(parts)).collect()), key=str)
+        texts_ = [t for _, t in got]
+        # no text is lost, near copies are one, and what an id-less copy is a copy of stays
+        assert sorted(texts_) == sorted({a, b, c}) and (3, c) in got and (2, a + " tail") not in got
+        assert len({x for x in got}) == 3
