@@ -46,7 +46,7 @@ from kgloom.llm.substrings import sliding
 WIDTH = 50
 #: Long enough that a changed word is in most of the runs that windows with it have: those don't travel.
 GRAM = 24
-#: Edges of different runs that meet in one part, on average; and of those with one smallest hash, beyond which they meet by edge.
+#: Edges of different runs that meet in one part, on average and at most; and of those with one smallest hash, beyond which they meet by edge.
 PART_EDGES = 1 << 18
 HOT_EDGES = 1 << 13
 _MULTIPLY = np.uint64(0x8CB92BA72F3D8DD7)
@@ -247,7 +247,7 @@ def paths(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, bits: int = 64
     distinct = written(found.groupBy("k1", "k2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.any_value("least").alias("least"), F.any_value("edges").alias("edges")))
     clean_shuffles(texts.sparkSession)
     edges = F.octet_length("edges") / 8 - 2
-    parts = max(1, math.ceil((distinct.agg(F.sum(edges)).first()[0] or 0) / PART_EDGES))
+    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((distinct.agg(F.sum(edges)).first()[0] or 0) / PART_EDGES))
     hot = written(distinct.groupBy("least").agg(F.sum(edges).alias("n")).where(F.col("n") > hot_edges).select("least"))
     usual, spread = distinct.join(hot, "least", "left_anti"), distinct.join(hot, "least", "left_semi")
     both = lambda places: fragments_by_hash(usual, parts, places) if hot.isEmpty() else fragments_by_hash(usual, parts, places).union(fragments_by_edge(spread, places))

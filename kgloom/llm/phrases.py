@@ -342,7 +342,7 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longe
         drop_written(words)
         seed += 1
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    parts = max(1, math.ceil((totals.agg(F.sum("n")).first()[0] or 0) / PART))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((totals.agg(F.sum("n")).first()[0] or 0) / PART))
     tables, tests = [words.where(F.col("f") >= least)], []
     keep = [words]
     for k in range(2, longest + 1):
