@@ -354,9 +354,9 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longe
     return totals, tables, keep
 
 
-def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = 3, least: int = 10, share: int = 50, size: int = SHARD, seed: int = 0) -> DataFrame:
-    """(lang, phrase, a, l, r, n, score) of the candidates that stay: phrases of 2 to ``longest`` words that occur
-    ``least`` times, without those inside a longer candidate that occurs in ``share`` of a hundred of their places.
+def candidates(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = 3, least: int = 10, share: int = 50, size: int = SHARD, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(lang, phrase, a, l, r, score) of the candidates that stay: phrases of 2 to ``longest`` words that occur
+    ``least`` times, without those inside a longer candidate that occurs in ``share`` of a hundred of their places; and (lang, n).
 
     The score is a million times a*a / (l*r) at the cut where that is lowest, in decimals of 38 digits: counts up to
     10**15 are exact.
@@ -392,17 +392,23 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longes
             t = t.join(most, ["lang", "ids"], "left").where(F.col("most").isNull() | (100 * exact("most") < share * exact("a"))).drop("most")
         t = t.select("lang", "phrase", "a", "best.l", "best.r", F.col("best.score").cast("long").alias("score"))
         every = t if every is None else every.union(t)
+    return every, totals
+
+
+def collocations(docs: DataFrame, **options) -> DataFrame:
+    """(lang, phrase, a, l, r, n, score) of the ``candidates``."""
+    every, totals = candidates(docs, **options)
     return every.join(totals, "lang").select("lang", "phrase", "a", "l", "r", "n", "score")
 
 
-def ranked(candidates: DataFrame, top: int, parts: tuple[int, ...] = (64, 4)) -> DataFrame:
+def ranked(rows: DataFrame, top: int, parts: tuple[int, ...] = (64, 4)) -> DataFrame:
     """The first ``top`` of each language with their rank from 1. First each part of a language gives its own first
     ones, then each of fewer parts, so no task sorts a language."""
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     for n in parts:
-        part = candidates.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(n)))
-        candidates = part.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top).drop("rank", "part")
-    return candidates.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
+        part = rows.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(n)))
+        rows = part.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top).drop("rank", "part")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
 
 
 TOP = 2000
@@ -411,7 +417,9 @@ TOP = 2000
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 2000 phrases of two or three words of each language."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return ranked(collocations(docs), TOP).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    every, totals = candidates(docs)
+    # counts of words join what is left: before, they would gather each language in one task
+    return ranked(every, TOP).join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 SQL = r"""
