@@ -400,22 +400,22 @@ def test_a_long_text_scores_like_its_parts(monkeypatch, text):
 
 def test_labels_that_no_text_teaches(spark, odd, none):
     """Labels without documents, of other documents, or of texts that are all too long: nothing is learned and nothing fails."""
-    labels = spark.createDataFrame([(i, i % 2) for i in range(5000, 5100)], "doc_id long, quality int")
+    other = spark.createDataFrame([(i, i % 2) for i in range(5000, 5100)], "doc_id long, quality int")
     own = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
-    for docs, taught in ((none, own), (odd, labels), (odd, labels.limit(0))):
-        model = fit_quality(docs, taught)
-        assert {r.score for r in score(odd, model, ["doc_id"]).collect()} == {0.5}
-        assert filter_quality(odd, taught).count() == odd.count() if docs is odd else filter_quality(none, taught).count() == 0
-    one = spark.createDataFrame([(i, 1) for i in range(30)], "doc_id long, quality int")
-    assert {r.score for r in score(odd, fit_quality(odd, one), ["doc_id"]).collect()} == {0.5}
-    model = fit_language(odd, longest=0)
-    assert {r.lang_pred for r in identify(odd, model).collect()} == {"und"}
-    assert {r.lang_pred for r in identify(odd, fit_language(none)).collect()} == {"und"}
+    same = lambda model: {r.score for r in quality.score(odd, model, ["doc_id"]).collect()}
+    for docs, taught in ((none, own), (odd, other), (odd, own.limit(0)), (odd, spark.createDataFrame([(i, 1) for i in range(30)], "doc_id long, quality int"))):
+        assert same(quality.fit_quality(docs, taught)) == {0.5}
+    assert same(quality.fit_quality(odd, own, longest=1)) == {0.5}
+    assert quality.filter_quality(odd, other).count() == odd.count() and quality.filter_quality(none, own).count() == 0
+    for model in (language.fit_language(none), language.fit_language(odd.where("lang IS NULL"))):
+        assert {r.lang_pred for r in language.identify(odd, model).collect()} == {"und"}
+    # one language alone: every text with a letter is of it
+    assert {r.lang_pred for r in language.identify(odd, language.fit_language(odd)).collect()} == {"en", "und"}
 
 
 def test_rows_that_repeat_are_filtered_alike(spark, repeated):
     labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
-    kept = [r.doc_id for r in filter_quality(repeated, labels).collect()]
+    kept = [r.doc_id for r in quality.filter_quality(repeated, labels).collect()]
     every = [r.doc_id for r in repeated.collect()]
     assert all(kept.count(i) in (0, every.count(i)) for i in set(every))
 
