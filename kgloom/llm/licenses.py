@@ -13,7 +13,7 @@ several. A confirmed SPDX tag is read on to the end of its expression.
 
 Defined results: null text has no blocks; signs without a letter or digit, such as
 those that open a comment line, aren't words; of templates that cover the same words
-with the same differences, the longer one is given; repeated rows are rows of their
+with the same differences, the longer one is given; templates without a word are left out; repeated rows are rows of their
 own; very long texts are read whole; ids may be null; an empty table gives no rows;
 other columns, whatever their names, are ignored.
 """

@@ -21,7 +21,8 @@ On vectors without structure in many dimensions (pairwise right angles, eps 0.45
 no metric bound excludes anything and the join compares nearly all pairs.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
-components link with nothing; vectors of different lengths don't link; repeated
+components link with nothing; a pair at exactly the threshold, in double precision, links;
+vectors of different lengths don't link; repeated
 rows are vectors of their own; rows with one vec_id are one node; a null vec_id
 has a null component unless linked; very long vectors are compared whole; an empty
 table gives no rows; other columns, whatever their names, are ignored.
