@@ -37,6 +37,23 @@ def test_a_block_in_parts_gives_the_same_pairs(spark, monkeypatch):
     assert len(whole) == 60 * 59 // 2 + 3
 
 
+@pytest.mark.parametrize("size", [4096, 3])
+def test_candidates_come_once_for_each_pair(spark, monkeypatch, size):
+    monkeypatch.setattr(R, "BLOCK_ROWS", size)
+    rows = [(i, n) for i, n in enumerate(["a b", "a c", "A b", "ab", "abc x", "abc y", "abd x", "", None, " a", "abdx"] + [f"m{k:02} z" for k in range(12)] + ["mz", "mz"])]
+    rows += [(4, "a b"), (4, "m03 q")]  # a key with several names is in the blocks of all
+    low = [(i, n.lower()) for i, n in rows if n is not None]
+    keys = lambda n: {"w:" + re.split(r"\s+", n)[0], "p:" + n[:3]}
+    blocked = {(a, b) for a, m in low for b, n in low if a < b and keys(m) & keys(n)}
+    df = spark.createDataFrame(rows, "id long, name string")
+    assert sorted(tuple(r) for r in R.blocked_pairs(df, "id", "name").collect()) == sorted(blocked)
+    order = [i for i, _ in sorted(low, key=lambda r: (r[1], r[0]))] + [i for i, n in rows if n is None]
+    near = {tuple(sorted(p)) for k, a in enumerate(order) for p in ((a, b) for b in order[k + 1 : k + 3])}
+    got = R.candidate_pairs(df, "id", "name", df.select("id").distinct().withColumn("twice", F.col("id") * 2), window=2).collect()
+    assert sorted((r.a, r.b) for r in got) == sorted(blocked | near) and all((r.l_twice, r.r_twice) == (2 * r.a, 2 * r.b) for r in got)
+    assert near - blocked
+
+
 def test_the_list_index_finds_most_and_with_all_lists_everything(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(8, 16))[rng.integers(0, 8, 600)] + 0.4 * rng.normal(size=(600, 16))

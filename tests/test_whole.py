@@ -1,11 +1,13 @@
 """Queries over whole tables, on small tables with rows anywhere, against plain versions."""
 
+import duckdb
 import pytest
 
 from kgloom import catalog
 from kgloom.operators import graph as G
+from kgloom.operators import resolve as R
 from kgloom.queries import resolution
-from kgloom.registry import QUERIES
+from kgloom.registry import ORACLES, QUERIES
 
 catalog.load()
 
@@ -50,6 +52,35 @@ def test_entities_of_distant_ids_are_scored_and_planned(spark, tables):
     assert got == plain_plan(scores) and {(5, 1000), (40, 60), (40, 140)} <= got
 
 
+ORDERS = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string"
+
+
+def alike_in_prefix(tables):
+    """40 customers of one prefix, each with a first word of its own, so the ends of their order share the prefix alone; one key comes twice, one name is
+    missing, and one customer has no order."""
+    rows = [(i, f"Customer#000000{100 + i}", i % 3, 1.0, "FURNITURE") for i in range(1, 41)]
+    rows += [(7, "Customer#000000555", 1, 1.0, "MACHINERY"), (90, "Customer#000000556", 1, 1.0, "MACHINERY"), (91, None, 2, 1.0, "MACHINERY"), (92, "Customer#000000999", 2, 1.0, "BUILDING")]
+    orders = [(i, i, "FO"[i % 2], 1.0, ("1-URGENT", "2-HIGH", "5-LOW")[i % 3]) for i in [*range(1, 41), 90, 91]]
+    return tables(customer=(rows, CUSTOMER), orders=([*orders, (900, 3, "P", 1.0, "5-LOW")], ORDERS))
+
+
+def by_sql(sf, name):
+    con = duckdb.connect()
+    for t in ("customer", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet/*.parquet'")
+    return sorted(con.execute(f"SELECT a, b FROM ({ORACLES[name]})").fetchall())
+
+
+@pytest.mark.parametrize("name", ["n06_resolution_score"])
+def test_pairs_of_one_prefix_are_candidates(spark, tables, monkeypatch, name):
+    sf = alike_in_prefix(tables)
+    for size in (4096, 5):
+        monkeypatch.setattr(R, "BLOCK_ROWS", size)
+        got = [(r.a, r.b) for r in QUERIES[name](spark, sf).collect()]
+        assert {(a, b) for a in range(1, 41) for b in range(a + 1, 41)} <= set(got)
+        assert sorted(got) == by_sql(sf, name)
+
+
 def test_the_plan_of_all_candidates_is_the_plan_at_once(spark, sf):
     scores = [(r.score, r.a, r.b) for r in resolution.scored(spark, sf, resolution.candidates(spark, sf)).where("score >= 70").collect()]
     got = [(r.keep, r.dup) for r in QUERIES["g12_merge_plan"](spark, sf).collect()]
