@@ -124,14 +124,14 @@ def relations(orders):
 
 
 def similarities(pairs):
-    jaccard = F.size(F.array_intersect("ra", "rb")) / F.size(F.array_union("ra", "rb"))
-    return pairs.select("a", "b", F.round(F.greatest(F.lit(0.0), jaccard - F.when(~F.arrays_overlap("ta", "tb"), 0.3).otherwise(0.0)), 6).alias("similarity"))
+    jaccard = F.size(F.array_intersect("l_r", "r_r")) / F.size(F.array_union("l_r", "r_r"))
+    return pairs.select("a", "b", F.round(F.greatest(F.lit(0.0), jaccard - F.when(~F.arrays_overlap("l_t", "r_t"), 0.3).otherwise(0.0)), 6).alias("similarity"))
 
 
-@query("n07_relation_similarity", f"WITH s AS (SELECT o_custkey AS id, list(DISTINCT o_orderpriority) AS r, list(DISTINCT o_orderstatus) AS t FROM orders GROUP BY 1) SELECT a.id AS a, b.id AS b, round(greatest(0, len(list_intersect(a.r, b.r))::DOUBLE / len(list_distinct(list_concat(a.r, b.r))) - CASE WHEN len(list_intersect(a.t, b.t)) = 0 THEN 0.3::DOUBLE ELSE 0 END), 6) AS similarity FROM ({CANDIDATES}) p JOIN s a ON a.id = p.a JOIN s b ON b.id = p.b")
+@query("n07_relation_similarity", f"WITH s AS (SELECT o_custkey AS id, list(DISTINCT o_orderpriority) AS r, list(DISTINCT o_orderstatus) AS t FROM orders GROUP BY 1) SELECT a.id AS a, b.id AS b, round(greatest(0, len(list_intersect(a.r, b.r))::DOUBLE / len(list_distinct(list_concat(a.r, b.r))) - CASE WHEN len(list_intersect(a.t, b.t)) = 0 THEN 0.3::DOUBLE ELSE 0 END), 6) AS similarity FROM ({ALL_CANDIDATES}) p JOIN s a ON a.id = p.a JOIN s b ON b.id = p.b")
 def n07b(spark, sf):
-    a, b = relations(table(spark, sf, "orders"))
-    return similarities(candidates(spark, sf).join(a, "a").join(b, "b"))
+    s = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.collect_set("o_orderpriority").alias("r"), F.collect_set("o_orderstatus").alias("t"))
+    return similarities(all_candidates(spark, sf, s))
 
 
 @query("u06_jaccard", f"WITH s AS (SELECT o_custkey, list(DISTINCT o_orderpriority) AS p FROM orders GROUP BY 1) SELECT a.o_custkey AS a, b.o_custkey AS b, round(len(list_intersect(a.p, b.p))::DOUBLE / len(list_distinct(list_concat(a.p, b.p))), 6) AS jaccard FROM ({CANDIDATES}) c JOIN s a ON a.o_custkey = c.a JOIN s b ON b.o_custkey = c.b")
