@@ -116,13 +116,6 @@ def n08b(spark, sf):
     return all_scored(spark, sf).select("a", "b", R.band(F.col("score"), F.when(F.col("a") % 2 == 0, 0.9).otherwise(0.1)).alias("band"))
 
 
-def relations(orders):
-    s = orders.groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("r"), F.collect_set("o_orderstatus").alias("t"))
-    a = s.select(F.col("o_custkey").alias("a"), F.col("r").alias("ra"), F.col("t").alias("ta"))
-    b = s.select(F.col("o_custkey").alias("b"), F.col("r").alias("rb"), F.col("t").alias("tb"))
-    return a, b
-
-
 def similarities(pairs):
     jaccard = F.size(F.array_intersect("l_r", "r_r")) / F.size(F.array_union("l_r", "r_r"))
     return pairs.select("a", "b", F.round(F.greatest(F.lit(0.0), jaccard - F.when(~F.arrays_overlap("l_t", "r_t"), 0.3).otherwise(0.0)), 6).alias("similarity"))
@@ -134,11 +127,10 @@ def n07b(spark, sf):
     return similarities(all_candidates(spark, sf, s))
 
 
-@query("u06_jaccard", f"WITH s AS (SELECT o_custkey, list(DISTINCT o_orderpriority) AS p FROM orders GROUP BY 1) SELECT a.o_custkey AS a, b.o_custkey AS b, round(len(list_intersect(a.p, b.p))::DOUBLE / len(list_distinct(list_concat(a.p, b.p))), 6) AS jaccard FROM ({CANDIDATES}) c JOIN s a ON a.o_custkey = c.a JOIN s b ON b.o_custkey = c.b")
+@query("u06_jaccard", f"WITH s AS (SELECT o_custkey, list(DISTINCT o_orderpriority) AS p FROM orders GROUP BY 1) SELECT a.o_custkey AS a, b.o_custkey AS b, round(len(list_intersect(a.p, b.p))::DOUBLE / len(list_distinct(list_concat(a.p, b.p))), 6) AS jaccard FROM ({ALL_CANDIDATES}) c JOIN s a ON a.o_custkey = c.a JOIN s b ON b.o_custkey = c.b")
 def u06b(spark, sf):
-    a, b = relations(table(spark, sf, "orders"))
-    j = candidates(spark, sf).join(a, "a").join(b, "b")
-    return j.select("a", "b", F.round(F.size(F.array_intersect("ra", "rb")) / F.size(F.array_union("ra", "rb")), 6).alias("jaccard"))
+    s = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.collect_set("o_orderpriority").alias("p"))
+    return all_candidates(spark, sf, s).select("a", "b", F.round(F.size(F.array_intersect("l_p", "r_p")) / F.size(F.array_union("l_p", "r_p")), 6).alias("jaccard"))
 
 
 WEIGHTS = "SELECT c_custkey AS id, 2 * ((c_name IS NOT NULL)::INT + (c_mktsegment IS NOT NULL)::INT + (c_acctbal IS NOT NULL)::INT) + 3 * coalesce(k, 0) + length(c_name) AS w FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS k FROM orders GROUP BY 1) ON o_custkey = c_custkey"

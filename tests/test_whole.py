@@ -71,7 +71,7 @@ def by_sql(sf, name):
     return sorted(con.execute(f"SELECT a, b FROM ({ORACLES[name]})").fetchall())
 
 
-@pytest.mark.parametrize("name", ["n06_resolution_score", "n08_decision_bands", "n07_relation_similarity"])
+@pytest.mark.parametrize("name", ["n06_resolution_score", "n08_decision_bands", "n07_relation_similarity", "u06_jaccard"])
 def test_pairs_of_one_prefix_are_candidates(spark, tables, monkeypatch, name):
     sf = alike_in_prefix(tables)
     for size in (4096, 5):
