@@ -67,7 +67,17 @@ def k07(spark, sf):
     return K.sheet_chunks(sheets(files)).select("path", "chunk_index", "kind", "chunk")
 
 
-@query("k06_chunk_workbook", "WITH f AS (SELECT *, s_suppkey // 250 AS file, 'shade ' || (s_suppkey % 3) AS g FROM supplier), r AS (SELECT file, g, '| ' || s_suppkey || ' | ' || g || ' | ' || s_name || ' |' AS line, s_suppkey, (row_number() OVER (PARTITION BY file, g ORDER BY s_suppkey) - 1) // 50 AS part FROM f) SELECT 'suppliers ' || file || '.xlsx' AS path, (row_number() OVER (PARTITION BY file ORDER BY g, part) - 1)::INT AS chunk_index, 'group' AS kind, '| key | shade | name |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg(line, chr(10) ORDER BY s_suppkey) AS chunk FROM r GROUP BY file, g, part")
+#: The rule of ``sheet_chunks``: the first grouping column, or steps of rows by their mean width, and lines packed into 2500 characters with the header's 43.
+WORKBOOK_CHUNKS = """
+WITH RECURSIVE f AS (SELECT s_suppkey, s_suppkey // 250 AS file, 'shade ' || (s_suppkey % 3) AS shade, coalesce(s_name, '') AS name FROM supplier),
+w AS (SELECT file, CASE WHEN count(DISTINCT shade) >= 2 AND count(DISTINCT shade) < 0.7 * count(*) THEN 'shade' WHEN count(DISTINCT nullif(name, '')) BETWEEN 2 AND 20 AND count(DISTINCT nullif(name, '')) < 0.7 * count(*) AND NOT bool_and(name = '' OR regexp_full_match(name, '[+-]?\\d*\\.\\d+')) THEN 'name' END AS by_, greatest(5, least(50, (2000 // avg(length(s_suppkey::VARCHAR) + length(shade) + length(name)))::INT)) AS step FROM f GROUP BY 1),
+r AS (SELECT file, by_, CASE by_ WHEN 'shade' THEN shade WHEN 'name' THEN name ELSE '' END AS g, CASE WHEN by_ IS NULL THEN (row_number() OVER (PARTITION BY file ORDER BY s_suppkey, name) - 1) // step ELSE 0 END AS b, s_suppkey, name, '| ' || s_suppkey || ' | ' || shade || ' | ' || name || ' |' AS line FROM f JOIN w USING (file)),
+l AS (SELECT *, row_number() OVER (PARTITION BY file, g, b ORDER BY s_suppkey, name, i) AS n FROM (SELECT file, by_, g, b, s_suppkey, name, i, substring(line, i + 1, 2457) AS line FROM r, LATERAL (SELECT unnest(range(0, length(line), 2457)) AS i) WHERE by_ IS NULL OR g <> '')),
+p AS (SELECT file, g, b, n, 0 AS part, length(line) AS size FROM l WHERE n = 1 UNION ALL SELECT l.file, l.g, l.b, l.n, part + (size + 1 + length(line) > 2457)::INT, CASE WHEN size + 1 + length(line) > 2457 THEN length(line) ELSE size + 1 + length(line) END FROM p JOIN l ON l.file = p.file AND l.g = p.g AND l.b = p.b AND l.n = p.n + 1)
+SELECT 'suppliers ' || file || '.xlsx' AS path, (row_number() OVER (PARTITION BY file ORDER BY g, b, part) - 1)::INT AS chunk_index, CASE WHEN any_value(by_) IS NULL THEN 'rows' ELSE 'group' END AS kind, '| key | shade | name |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg(line, chr(10) ORDER BY n) AS chunk FROM l JOIN p USING (file, g, b, n) GROUP BY file, g, b, part"""
+
+
+@query("k06_chunk_workbook", WORKBOOK_CHUNKS)
 def k06b(spark, sf):
     """Workbooks of 250 suppliers, grouped by the first column with few values."""
 

@@ -34,3 +34,14 @@ def test_long_keys_make_no_names(spark, tables):
     sf = tables(part=([(k,) for k in (6, 16, 8, 9_996, 10_006, 10_008, *range(123_456_780, 123_456_790))], "p_partkey long"))
     got = same_as_sql(spark, sf, "f14_ineligible_names", "part")
     assert {k for k, ok in got if ok} == {8, 10_008, 123_456_788}
+
+
+def test_full_workbooks_are_packed_by_characters(spark, tables):
+    """A full file, one of long names, one with a name longer than a chunk, and two with too few rows for groups."""
+    names = {300: "x" * 6000, 301: None, 302: ""}
+    rows = [(k, names.get(k, f"Supplier#{k:09d}")) for k in (*range(250), *range(298, 310), 500, 501, 502, 1000, 1003)]
+    rows += [(k, "long name " * (k % 40)) for k in range(1250, 1500)] + [(k, "ab"[k % 2]) for k in range(1500, 1530, 3)]
+    sf = tables(supplier=(rows, "s_suppkey long, s_name string"))
+    got = same_as_sql(spark, sf, "k06_chunk_workbook", "supplier")
+    assert {kind for _, _, kind, _ in got} == {"group", "rows"} and all(len(c) <= 2500 for *_, c in got)
+    assert sum(path == "suppliers 0.xlsx" for path, *_ in got) == 6
