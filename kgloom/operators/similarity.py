@@ -2,7 +2,7 @@
 
 Centres come from Lloyd steps on a bounded sample, the square root of the vectors in number. A vector belongs to the
 nearest centre. For the join, a vector can only have a partner in another cell if two bounds allow it: its angle to the cell's centre less
-the cell's radius, and its distance to the plane between the two centres. Pairs of cells are compared in chunks; inside a chunk
+the cell's radius, and its distance to the plane between the two centres. Cells share bins, which are compared in chunks, cell by cell; inside a chunk
 the products of the first coordinates (those that vary most) bound the whole ones, which are made only where
 the bound reaches the threshold. Nothing is missed, and what can't be bounded is compared.
 """
@@ -25,6 +25,10 @@ PER_CENTRE = 64
 MOST_CENTRES = 2048
 STEPS = 6
 SLACK = 1e-9
+#: Cells of a bin, at most, as each is a bit of a long; vectors that are dealt at a time, and rows of a batch that they make.
+MOST_CELLS = 60
+SLICE = 1024
+DEALT_ROWS = 8192
 
 
 def spherical_means(x: np.ndarray, k: int, steps: int = STEPS) -> np.ndarray:
@@ -79,18 +83,32 @@ def bounds(x: np.ndarray, centres: np.ndarray, radius: np.ndarray, angle: float)
     return own, near
 
 
-def dealt(rows: DataFrame, centres: dict[int, np.ndarray], cosine: float, block_rows: int, own_cells: bool = False) -> DataFrame:
-    """(dim, cell, i, j, side, k, v): each vector with side 0 in the chunks of its own cell, and with side 1 where it is compared with chunk i
-    of a cell: its own one's (j, another chunk) or, as a guest (j = -1 - chunk of guests), one with a smaller number. Only the former with ``own_cells``."""
+def bins_of(held: np.ndarray, rows: int) -> np.ndarray:
+    """The first cells of bins: cells one after the other as long as they hold ``rows`` vectors together, MOST_CELLS at most."""
+    first, n = [0], 0
+    for c, size in enumerate(held.tolist()):
+        if c > first[-1] and (n + size > rows or c - first[-1] == MOST_CELLS):
+            first.append(c)
+            n = 0
+        n += size
+    return np.array(first)
+
+
+def dealt(rows: DataFrame, centres: dict[int, np.ndarray], cosine: float, block_rows: int | None = None, own_cells: bool = False) -> DataFrame:
+    """(dim, bin, i, j, side, cell, mask, k, v): cells share bins, and each vector is a host (side 0) in its own one and a guest (side 1) of each bin
+    with cells that it is compared with: its own cell and those with a smaller number that the bounds leave, or the former only with ``own_cells``.
+    Hosts of a bin are dealt in chunks i, guests in chunks j, of ``block_rows`` (a sixteenth of the vectors, 4096 to 32,768, where none are given), so a vector is sent
+    as often as there are chunks, however many cells. ``mask`` has the places of a guest's cells in the bin. ``cell`` is a host's place there, and a guest's
+    where the hosts are the chunk that it is in itself (else -1)."""
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(centres)  # MOST_CENTRES vectors a length
     angle = math.acos(max(-1.0, min(1.0, cosine)))
     radius = {dim: np.full(len(c), -10.0) for dim, c in centres.items()}
-    held, guests = ({dim: np.zeros(len(c), dtype=np.int64) for dim, c in centres.items()} for _ in range(2))
+    held = {dim: np.zeros(len(c), dtype=np.int64) for dim, c in centres.items()}
 
     def grouped(pdf: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        for dim, at in pdf.groupby("dim").indices.items():
-            if dim in shared.value:
+        for dim, every in pdf.groupby("dim").indices.items():
+            for at in np.array_split(every, -(-len(every) // SLICE)) if dim in shared.value else []:
                 yield int(dim), at, unit_rows(pdf["v"].iloc[at])
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,94 +120,116 @@ def dealt(rows: DataFrame, centres: dict[int, np.ndarray], cosine: float, block_
 
     for r in rows.mapInPandas(measure, "dim int, cell int, r double, n long").groupBy("dim", "cell").agg(F.max("r").alias("r"), F.sum("n").alias("n")).collect():  # a row a centre
         radius[r["dim"]][r["cell"]], held[r["dim"]][r["cell"]] = r["r"], r["n"]
+    if block_rows is None:
+        block_rows = int(np.clip(max([0, *(h.sum() for h in held.values())]) // 16, 4096, 32_768))
+    first = {dim: bins_of(h, block_rows) for dim, h in held.items()}
+    chunks = {dim: np.maximum(1, -(-np.add.reduceat(h, first[dim]) // block_rows)) for dim, h in held.items()}
+    parties = {dim: np.ones_like(c) for dim, c in chunks.items()}
+
+    def visited(dim: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Own bin and own place in it, and the mask of the cells in each bin."""
+        own, near = bounds(x, shared.value[dim], radius[dim], angle)
+        cells = np.arange(near.shape[1])
+        near &= (held[dim] > 0)[None, :] & ((cells[None, :] == own[:, None]) if own_cells else (cells[None, :] <= own[:, None]))
+        bin_ = np.searchsorted(first[dim], cells, side="right") - 1
+        place = cells - first[dim][bin_]
+        return bin_[own], place[own], np.add.reduceat(near.astype(np.int64) << place[None, :], first[dim], axis=1)
 
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for dim, _, x in grouped(pdf):
-                own, near = bounds(x, shared.value[dim], radius[dim], angle)
-                n = (near & (own[:, None] > np.arange(near.shape[1]))).sum(axis=0)
-                yield pd.DataFrame({"dim": dim, "cell": np.flatnonzero(n), "n": n[n > 0]})
+                n = (visited(dim, x)[2] != 0).sum(axis=0)
+                yield pd.DataFrame({"dim": dim, "bin": np.flatnonzero(n), "n": n[n > 0]})
 
-    if not own_cells:
-        for r in rows.mapInPandas(visits, "dim int, cell int, n long").groupBy("dim", "cell").agg(F.sum("n").alias("n")).collect():  # a row a centre
-            guests[r["dim"]][r["cell"]] = r["n"]
+    for r in rows.mapInPandas(visits, "dim int, bin int, n long").groupBy("dim", "bin").agg(F.sum("n").alias("n")).collect():  # a row a bin
+        parties[r["dim"]][r["bin"]] = max(1, -(-r["n"] // block_rows))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             spread = pd.util.hash_array(pdf["k"].to_numpy()).astype(np.uint64) >> np.uint64(8)
             for dim, at, x in grouped(pdf):
-                own, near = bounds(x, shared.value[dim], radius[dim], angle)
-                chunks, parties = np.maximum(1, -(-held[dim] // block_rows)), -(-guests[dim] // block_rows)
-                mine = (spread[at] % chunks[own].astype(np.uint64)).astype(np.int64)
+                own, place, masks = visited(dim, x)
+                mine = (spread[at] % chunks[dim][own].astype(np.uint64)).astype(np.int64)
                 rows_: list[tuple[np.ndarray, ...]] = []
 
-                def put(at_, cell, i, j, side, rows_=rows_):
-                    n = len(at_)
-                    rows_.append((at_, np.broadcast_to(cell, n), np.broadcast_to(i, n), np.broadcast_to(j, n), np.broadcast_to(side, n)))
+                def put(*columns, rows_=rows_):
+                    rows_.append(tuple(np.broadcast_to(c, len(columns[0])) for c in columns))
 
                 every = np.arange(len(x))
-                for step in range(int(chunks[own].max())):
-                    other = every[step < chunks[own]]
-                    i, c = mine[other], own[other]
-                    put(other, c, np.minimum(i, step), np.maximum(i, step), (i > step).astype(np.int64))
-                if not own_cells:
-                    for q in range(int(parties[own].max())):
-                        host = every[q < parties[own]]
-                        put(host, own[host], mine[host], -1 - q, 0)
-                    v, c = np.nonzero(near & (own[:, None] > np.arange(near.shape[1])) & (held[dim] > 0)[None, :])
-                    party = (spread[at][v] % np.maximum(parties[c], 1).astype(np.uint64)).astype(np.int64)
-                    for i in range(int(chunks[c].max()) if len(c) else 0):
-                        some = np.flatnonzero(i < chunks[c])
-                        put(v[some], c[some], i, -1 - party[some], 1)
-                take, cell, i, j, side = (np.concatenate(y) for y in zip(*rows_, strict=True))
-                yield pd.DataFrame({"dim": dim, "cell": cell, "i": i, "j": j, "side": side, "k": pdf["k"].to_numpy()[at[take]], "v": [y.tobytes() for y in x[take]]})
-
-    return rows.mapInPandas(deal, f"dim int, cell int, i int, j int, side int, k {rows.schema['k'].dataType.simpleString()}, v binary")
+                for j in range(int(parties[dim][own].max())):
+                    host = every[j < parties[dim][own]]
+                    put(host, own[host], mine[host], j, 0, place[host], 0)
+                v, b = np.nonzero(masks)
+                party = (spread[at][v] % parties[dim][b].astype(np.uint64)).astype(np.int64)
+                for i in range(int(chunks[dim][b].max())):
+                    some = i < chunks[dim][b]
+                    # within a cell the chunks up to the vector's own one
+                    at_home = (own[v] == b) & (i == mine[v])
+                    mask = np.where((own[v] == b) & (i > mine[v]), masks[v, b] & ~(1 << place[v]), masks[v, b])
+                    some &= mask != 0
+                    put(v[some], b[some], i, party[some], 1, np.where(at_home, place[v], -1)[some], mask[some])
+                take, bin_, i, j, side, cell, mask = (np.concatenate(y) for y in zip(*rows_, strict=True))
+                for to in range(0, len(take), DEALT_ROWS):
+                    s = slice(to, to + DEALT_ROWS)
+                    yield pd.DataFrame({"dim": dim, "bin": bin_[s], "i": i[s], "j": j[s], "side": side[s], "cell": cell[s], "mask": mask[s], "k": pdf["k"].to_numpy()[at[take[s]]], "v": [y.tobytes() for y in x[take[s]]]})
+
+    return rows.mapInPandas(deal, f"dim int, bin int, i int, j int, side int, cell int, mask long, k {rows.schema['k'].dataType.simpleString()}, v binary")
 
 
 def compared(parts: DataFrame) -> DataFrame:
     """(dim, pairs): how many pairs the chunks of ``dealt`` hold."""
-    n = parts.groupBy("dim", "cell", "i", "j").agg(F.count_if(F.col("side") == 0).alias("x"), F.count_if(F.col("side") == 1).alias("y"))
-    pairs = F.when(F.col("i") == F.col("j"), F.col("x") * (F.col("x") - 1) / 2).otherwise(F.col("x") * F.col("y"))
-    return n.groupBy("dim").agg(F.sum(pairs).cast("long").alias("pairs"))
+    key = ["dim", "bin", "i", "j", "place"]
+    hosts = parts.where("side = 0").groupBy(*key[:4], F.col("cell").alias("place")).agg(F.count(F.lit(1)).alias("x"))
+    places = F.filter(F.sequence(F.lit(0), F.lit(MOST_CELLS - 1)), lambda b: F.call_function("shiftright", "mask", b).bitwiseAND(1) == 1)
+    guests = parts.where("side = 1").withColumn("place", F.explode(places)).groupBy(*key).agg(F.count(F.lit(1)).alias("y"), F.count_if(F.col("cell") == F.col("place")).alias("same"))
+    return hosts.join(guests, key).groupBy("dim").agg(F.sum(F.col("x") * (F.col("y") - F.col("same")) + (F.col("x") - 1) * F.col("same") / 2).cast("long").alias("pairs"))
 
 
 def matches(parts: DataFrame, cosine: float) -> DataFrame:
-    """(a, b, similarity) of the pairs in ``parts`` with a cosine of at least ``cosine``, a < b; similarity is (cosine + 1) / 2."""
+    """(a, b, similarity) of the pairs in ``parts`` with a cosine of at least ``cosine``, a < b; similarity is (cosine + 1) / 2. Pairs
+    leave in batches, so what a task holds is bounded by its chunks."""
     kind = parts.schema["k"].dataType.simpleString()
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        k, side = pdf["k"].to_numpy(), pdf["side"].to_numpy()
-        x = np.frombuffer(b"".join(pdf["v"]), dtype="<f8").reshape(len(pdf), -1)
-        same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
-        left, right = np.flatnonzero(side == 0), np.arange(len(pdf)) if same else np.flatnonzero(side == 1)
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns: dict[str, list] = {c: [] for c in ("side", "cell", "mask", "k", "v")}
+        for pdf in batches:
+            for c in ("side", "cell", "mask", "k"):
+                columns[c].append(pdf[c].to_numpy())
+            columns["v"].append(np.frombuffer(b"".join(pdf["v"]), dtype="<f8").reshape(len(pdf), -1))
+        side, cell, mask, k, x = (np.concatenate(columns.pop(c)) for c in ("side", "cell", "mask", "k", "v"))
         # the coordinates that vary most come first, so that the rest has short vectors
         order = np.argsort(-x.var(axis=0), kind="stable")
         head = max(1, x.shape[1] // 4)
         h, t = x[:, order[:head]], x[:, order[head:]]
         rest = np.sqrt((t * t).sum(axis=1))
-        out = []
-        for at in range(0, len(left), 512):
-            some = left[at : at + 512]
-            for to in range(0, len(right), 4096):
-                others = right[to : to + 4096]
-                part = h[some] @ h[others].T
-                i, j = np.nonzero(part + rest[some][:, None] * rest[others][None, :] >= cosine - SLACK)
-                if len(i) > 0.1 * part.size:
-                    i, j = np.nonzero((score := x[some] @ x[others].T) >= cosine - SLACK)
-                    score = score[i, j]
-                else:
-                    score = np.einsum("ij,ij->i", x[some[i]], x[others[j]])
-                one, two, score = k[some[i]], k[others[j]], (score + 1) / 2
-                fine = (score >= (cosine + 1) / 2) & ((one < two) if same else (one != two))
-                one, two = one[fine], two[fine]
-                out.append(pd.DataFrame({"a": np.minimum(one, two), "b": np.maximum(one, two), "similarity": score[fine]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "similarity": []})
-
-    return parts.groupBy("dim", "cell", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}, similarity double")
-
-
-def pairs_above(df: DataFrame, key: str, vector: str, threshold: float, block_rows: int = 4096, centres: dict[int, np.ndarray] | None = None) -> DataFrame:
+        hosts, guests = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        for place in np.unique(cell[hosts]):
+            left, right = hosts[cell[hosts] == place], guests[(mask[guests] >> place) & 1 == 1]
+            for at in range(0, len(left), 512):
+                some = left[at : at + 512]
+                for to in range(0, len(right), 4096):
+                    others = right[to : to + 4096]
+                    part = h[some] @ h[others].T
+                    i, j = np.nonzero(part + rest[some][:, None] * rest[others][None, :] >= cosine - SLACK)
+                    if len(i) > 0.1 * part.size:
+                        i, j = np.nonzero((score := x[some] @ x[others].T) >= cosine - SLACK)
+                        score = score[i, j]
+                    else:
+                        score = np.einsum("ij,ij->i", x[some[i]], x[others[j]])
+                    one, two, score = k[some[i]], k[others[j]], (score + 1) / 2
+                    # the members of a chunk of a cell meet twice
+                    fine = (score >= (cosine + 1) / 2) & np.where(cell[others[j]] == place, one < two, one != two)
+                    one, two = one[fine], two[fine]
+                    if len(one):
+                        yield pd.DataFrame({"a": np.minimum(one, two), "b": np.maximum(one, two), "similarity": score[fine]})
+
+    # the number of parts is given: a chunk's bytes say nothing about the work that it makes
+    n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = ["dim", "bin", "i", "j"]
+    return parts.repartition(n, *key).groupBy(*key).applyInPandas(compare, f"a {kind}, b {kind}, similarity double")
+
+
+def pairs_above(df: DataFrame, key: str, vector: str, threshold: float, block_rows: int | None = None, centres: dict[int, np.ndarray] | None = None) -> DataFrame:
     """All pairs a < b with unit cosine of ``threshold`` or more.
 
     Defined results: vectors without a norm, with a null or a component that is not finite are in no pair; vectors of different lengths aren't compared;
@@ -199,7 +239,7 @@ def pairs_above(df: DataFrame, key: str, vector: str, threshold: float, block_ro
     return matches(dealt(rows, trained(rows) if centres is None else centres, cosine, block_rows), cosine)
 
 
-def best_pairs(df: DataFrame, key: str, vector: str, threshold: float, most: int, block_rows: int = 4096, digits: int = 9) -> DataFrame:
+def best_pairs(df: DataFrame, key: str, vector: str, threshold: float, most: int, block_rows: int | None = None, digits: int = 9) -> DataFrame:
     """The ``most`` most similar pairs of those above ``threshold``, ties by keys.
 
     The pairs inside the cells come first: where they are many enough, the similarity of the last one that is needed bounds the

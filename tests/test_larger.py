@@ -1,9 +1,11 @@
 """Queries on rows that the small tables don't have: long keys, full workbooks, many copies."""
 
 import duckdb
+import numpy as np
 import pytest
 
 from kgloom import catalog
+from kgloom.operators import similarity as S
 from kgloom.registry import ORACLES, QUERIES
 
 catalog.load()
@@ -45,3 +47,15 @@ def test_full_workbooks_are_packed_by_characters(spark, tables):
     got = same_as_sql(spark, sf, "k06_chunk_workbook", "supplier")
     assert {kind for _, _, kind, _ in got} == {"group", "rows"} and all(len(c) <= 2500 for *_, c in got)
     assert sum(path == "suppliers 0.xlsx" for path, *_ in got) == 6
+
+
+def test_vectors_without_structure_are_sent_to_few_chunks(spark):
+    """Nothing is bounded here: a vector goes to each bin of cells once, not to each of 44 cells."""
+    x = np.random.default_rng(3).normal(size=(2000, 16))
+    used = S.usable(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>"), "id", "v")
+    parts = S.dealt(used, S.trained(used), 0.4, 500)
+    assert parts.count() < 12 * 2000
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    got = [(r.a, r.b) for r in S.matches(parts, 0.4).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(unit @ unit.T, 1) >= 0.4), strict=True)}
+    assert 0.99 * 2000 * 1999 / 2 < S.compared(parts).first().pairs <= 2000 * 1999 / 2
