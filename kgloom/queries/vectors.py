@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from kgloom.catalog import table
 from kgloom.functions import vectors as V
+from kgloom.operators import graph as G
 from kgloom.operators import retrieval as R
 from kgloom.operators import similarity
 from kgloom.registry import query
@@ -107,8 +108,7 @@ def t07(spark, sf):
 
 @query("g06_similar_edges", "WITH p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE (list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) + 1) / 2 >= 0.7) SELECT x AS src, y AS dst FROM p UNION ALL SELECT y, x FROM p")
 def g06(spark, sf):
-    p = similarity.pairs_above(emb(spark, sf), "vec_id", "embedding", 0.7).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    return p.union(p.select("dst", "src"))
+    return G.undirected(similarity.pairs_above(emb(spark, sf), "vec_id", "embedding", 0.7).select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
 @query("v11_retrieval_self_check", "WITH s AS (SELECT * FROM embeddings WHERE vec_id < 10), r AS (SELECT s.vec_id AS id, e.vec_id AS hit, row_number() OVER (PARTITION BY s.vec_id ORDER BY round(list_cosine_similarity(s.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) DESC, e.vec_id) AS n FROM s, embeddings e) SELECT count(*) AS sampled, count(*) FILTER (found) AS passed, count(*) FILTER (found)::DOUBLE / count(*) >= 0.8 AS ok FROM (SELECT id, bool_or(hit = id) AS found FROM r WHERE n <= 5 GROUP BY 1)")
