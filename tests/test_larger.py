@@ -3,8 +3,10 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kgloom import catalog
+from kgloom.operators import resolve as R
 from kgloom.operators import similarity as S
 from kgloom.registry import ORACLES, QUERIES
 
@@ -59,3 +61,33 @@ def test_vectors_without_structure_are_sent_to_few_chunks(spark):
     got = [(r.a, r.b) for r in S.matches(parts, 0.4).collect()]
     assert len(got) == len(set(got)) and set(got) == {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(unit @ unit.T, 1) >= 0.4), strict=True)}
     assert 0.99 * 2000 * 1999 / 2 < S.compared(parts).first().pairs <= 2000 * 1999 / 2
+
+
+CUSTOMER = "c_custkey long, c_name string, c_nationkey long, c_acctbal double, c_mktsegment string"
+ORDERS = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string"
+
+
+@pytest.fixture
+def copies(tables):
+    """Three names, 40 copies of each with shifted keys, and a name of its own."""
+    rows = [(1000 * c + i, f"Customer#00000010{i}", i, 1.0, "FURNITURE") for c in range(40) for i in range(3)]
+    rows += [(5, "Customer#000000177", 7, 1.0, "FURNITURE")]
+    orders = [(k, k, "FOP"[k % 3], 1.0, ("1-URGENT", "2-HIGH")[k % 2]) for k, *_ in rows] + [(9000 + k, 1000 * k, "F", 1.0, "5-LOW") for k in range(0, 40, 3)]
+    return tables(customer=(rows, CUSTOMER), orders=(orders, ORDERS))
+
+
+@pytest.mark.parametrize("name", ["n06_resolution_score", "n08_decision_bands", "n07_relation_similarity", "u06_jaccard", "j10_blocked_pairs", "g12_merge_plan"])
+@pytest.mark.parametrize("size", [128, 7])
+def test_copies_are_measured_once_and_all_paired(spark, copies, monkeypatch, name, size):
+    monkeypatch.setattr(R, "GROUP_IDS", size)
+    monkeypatch.setattr(R, "BLOCK_ROWS", 8 * size)
+    same_as_sql(spark, copies, name, "customer", "orders")
+
+
+def test_a_pair_of_groups_stands_for_its_copies(spark):
+    df = spark.createDataFrame([(100 * c + i, f"alpha {i}") for c in range(50) for i in range(3)], "id long, name string")
+    rows = df.select("id", F.length("name").alias("size"), "name")
+    groups = R.grouped_rows(rows.join(R.blocks_of(df, "id", "name"), "id"))
+    assert groups.count() == 3 and sum(len(r.ids) for r in groups.collect()) == 150
+    pairs = R.pairs_in_blocks(groups)
+    assert pairs.count() == 6 and R.each_pair(pairs).count() == 150 * 149 // 2
