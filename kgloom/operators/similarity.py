@@ -29,6 +29,9 @@ SLACK = 1e-9
 MOST_CELLS = 60
 SLICE = 1024
 DEALT_ROWS = 8192
+#: Rows of a part of the list index, and queries that it is asked at a time.
+PART_ROWS = 32_768
+PART_QUERIES = 4096
 
 
 def spherical_means(x: np.ndarray, k: int, steps: int = STEPS) -> np.ndarray:
@@ -313,31 +316,47 @@ class ListIndex:
                         continue
                     x = unit_rows(pdf["q"].iloc[at])
                     near = np.argsort(-(x @ centres[dim].T), axis=1, kind="stable")[:, :probes]
-                    yield pd.DataFrame({"dim": dim, "list": near.ravel(), "query": np.repeat(pdf["query"].to_numpy()[at], near.shape[1]), "q": [v.tobytes() for v in np.repeat(x, near.shape[1], axis=0)]})
-
-        # rows of a list are dealt in parts, so a long list is no single task's
-        split = 16
-        places = asked.mapInPandas(probe, f"dim int, list int, query {kind}, q binary").select("*", F.explode(F.sequence(F.lit(0), F.lit(split - 1))).alias("part"))
-        listed = self.rows.withColumn("part", F.pmod(F.xxhash64("k"), F.lit(split)).cast("int"))
+                    lists = np.zeros((len(x), len(centres[dim])), dtype=np.uint8)
+                    np.put_along_axis(lists, near, 1, axis=1)
+                    yield pd.DataFrame({"dim": dim, "lists": [b.tobytes() for b in np.packbits(lists, axis=1)], "query": pdf["query"].to_numpy()[at], "q": [v.tobytes() for v in x]})
+
+        # rows are dealt in parts whatever their lists, so no part holds a long list and each names its best rows for all lists together
+        n = self.rows.count()
+        split = max(16, -(-n // PART_ROWS))
+        crowds = max(1, -(-asked.count() // PART_QUERIES))
+        crowd = F.pmod(F.xxhash64("query"), F.lit(crowds)).cast("int")
+        places = asked.mapInPandas(probe, f"dim int, lists binary, query {kind}, q binary").select("*", crowd.alias("crowd"), F.explode(F.sequence(F.lit(0), F.lit(split - 1))).alias("part"))
+        listed = self.rows.withColumn("part", F.pmod(F.xxhash64("k"), F.lit(split)).cast("int")).withColumn("crowd", F.explode(F.sequence(F.lit(0), F.lit(crowds - 1))))
         most = again * k
 
         def rank(key: tuple, rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
             none = pd.DataFrame({"query": [], "k": [], "near": []})
             if rows.empty or asks.empty:
                 return none
-            dim, own = int(key[0]), centres[int(key[0])][int(key[1])]
+            dim = int(key[0])
+            rows = rows.sort_values(["list", "k"])
+            keys, of = rows["k"].to_numpy(), rows["list"].to_numpy()
             code = np.frombuffer(b"".join(rows["code"]), dtype=np.uint8).reshape(len(rows), -1)
-            out = []
-            for query, raw in zip(asks["query"], asks["q"], strict=True):
-                q = np.frombuffer(raw, dtype="<f8")
-                pieces = np.array_split(q, len(books[dim]))
-                tables = [book @ p for book, p in zip(books[dim], pieces, strict=True)]
-                near = q @ own + sum(t[code[:, p]] for p, t in enumerate(tables))
-                best = np.argsort(-near, kind="stable")[:most]
-                out.append(pd.DataFrame({"query": query, "k": rows["k"].to_numpy()[best], "near": near[best]}))
+            # what the codes say the vectors are
+            x = centres[dim][of] + np.concatenate([book[code[:, p]] for p, book in enumerate(books[dim])], axis=1)
+            lists, start = np.unique(of, return_index=True)
+            stop = np.append(start[1:], len(of))
+            q = np.frombuffer(b"".join(asks["q"]), dtype="<f8").reshape(len(asks), -1)
+            probed = np.unpackbits(np.frombuffer(b"".join(asks["lists"]), dtype=np.uint8).reshape(len(asks), -1), axis=1)
+            names, out = asks["query"].to_numpy(), []
+            for at in range(0, len(q), 256):
+                some, looks = q[at : at + 256], probed[at : at + 256].astype(bool)
+                near = np.full((len(some), len(x)), -np.inf)
+                for one, a, b in zip(lists, start, stop, strict=True):
+                    who = np.flatnonzero(looks[:, one])
+                    near[who, a:b] = some[who] @ x[a:b].T
+                # all that are as near as the last one of the best; which of them are taken is left to the keys
+                least = np.partition(near, -most, axis=1)[:, -most, None] if most < near.shape[1] else -np.inf
+                i, j = np.nonzero((near >= least) & (near > -np.inf))
+                out.append(pd.DataFrame({"query": names[at + i], "k": keys[j], "near": near[i, j]}))
             return pd.concat(out)
 
-        hits = listed.groupBy("dim", "list", "part").cogroup(places.groupBy("dim", "list", "part")).applyInPandas(rank, f"query {kind}, k {key_kind}, near double")
+        hits = listed.groupBy("dim", "part", "crowd").cogroup(places.groupBy("dim", "part", "crowd")).applyInPandas(rank, f"query {kind}, k {key_kind}, near double")
         first = hits.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near"), "k"))).where(F.col("n") <= most).select("query", "k")
         exact = first.join(self.vectors.select("k", "v"), "k").join(asked.select("query", "q"), "query")
         dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)

@@ -91,3 +91,17 @@ def test_a_pair_of_groups_stands_for_its_copies(spark):
     assert groups.count() == 3 and sum(len(r.ids) for r in groups.collect()) == 150
     pairs = R.pairs_in_blocks(groups)
     assert pairs.count() == 6 and R.each_pair(pairs).count() == 150 * 149 // 2
+
+
+def test_parts_of_the_list_index_find_the_same(spark, monkeypatch):
+    """Small parts and few queries at a time give what one part gives; keys decide between rows that are as near."""
+    x = np.repeat(np.random.default_rng(8).normal(size=(150, 8)), 4, axis=0)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    index = S.ListIndex(df, "id", "v", parts=4, codes=16)
+    asked = df.where("id % 20 = 0").selectExpr("id AS query", "v AS q")
+    found = lambda: sorted(map(tuple, index.search(asked, 6, 5, again=10).selectExpr("query", "id", "round(similarity, 9)").collect()))
+    whole = found()
+    monkeypatch.setattr(S, "PART_ROWS", 20)
+    monkeypatch.setattr(S, "PART_QUERIES", 7)
+    assert found() == whole and all({(q, q + n) for n in range(4)} <= {(a, b) for a, b, _ in whole} for q in range(0, 600, 20))
+    index.drop()
