@@ -105,3 +105,17 @@ def test_parts_of_the_list_index_find_the_same(spark, monkeypatch):
     monkeypatch.setattr(S, "PART_QUERIES", 7)
     assert found() == whole and all({(q, q + n) for n in range(4)} <= {(a, b) for a, b, _ in whole} for q in range(0, 600, 20))
     index.drop()
+
+
+def test_the_edges_of_the_reduction_are_made_once(spark, sf):
+    """What is left is read from the written edges, not made from the tables again."""
+    df = QUERIES["g10_transitive_reduction"](spark, sf)
+    assert not [f for f in df.inputFiles() if "/lineitem.parquet" in f or "/orders.parquet" in f]
+    assert df.count() == duckdb_count(sf, "g10_transitive_reduction", "customer", "orders", "lineitem", "nation")
+
+
+def duckdb_count(sf, name, *needed):
+    con = duckdb.connect()
+    for t in needed:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    return len(con.execute(ORACLES[name]).fetchall())
